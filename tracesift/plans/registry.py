@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import localization
+
 FLAGSHIP = "line_ochiai"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(localization.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(localization.ORACLES)
