@@ -32,14 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back. For tables too wide for checkpointed()."""
+    """df, computed once: written as a Parquet table to the shared folder and read back.
+
+    It cuts the lineage, so a lost executor costs no recomputation, and the plan. A checkpointed DataFrame
+    would hand the constraints of its plan on, which in loops makes plans take ever longer to optimize.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

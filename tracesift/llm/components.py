@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,19 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
     of the nodes goes in each, whatever the shape of the graph.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges, "edges")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         turn = F.lit(len(rounds))
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
         order = lambda c: F.struct(F.xxhash64(c, turn).alias("h"), F.col(c).alias("node"))
-        chosen = checkpointed(both.groupBy("v").agg(F.min(order("w")).alias("best")).select("v", F.least("best", order("v"))["node"].alias("to")))
+        chosen = stored(both.groupBy("v").agg(F.min(order("w")).alias("best")).select("v", F.least("best", order("v"))["node"].alias("to")), "chosen")
         rounds.append(chosen)
         left = edges.join(chosen.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(chosen.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
-        edges = checkpointed(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+        edges = stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     made = rounds[0].select(F.col("v").alias("node"), F.col("to").alias("root"))
     for step in rounds[1:]:
         made = made.join(step.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return checkpointed(made)
+    return stored(made, "components")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import BASE, SLICE_BYTES, lower_ascii, powers, ranges, space_bytes, text_buffers, word_hashes
-from .common import checkpointed, list_array, slices, stored, text_batches
+from .common import list_array, slices, stored, text_batches
 from .components import components
 from .sketches import key_filter, passes, summed_table
 
@@ -199,13 +199,13 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
         pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             if turn >= HUB_ROUNDS:
                 break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = checkpointed(verify(pairs))
+        new = stored(verify(pairs), "links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
     base = docs.select("doc_id", "node", "size")

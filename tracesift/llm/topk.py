@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array
+from .common import list_array, stored
 
 SCALE = 256
 PIVOTS = 24
@@ -84,8 +84,6 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, x: np.ndarray,
 
 def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for every row whose id is divisible by every."""
-    from .common import checkpointed
-
     spark = df.sparkSession
     vectors = scaled(df, id_col, vector_col)
     sample = [r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
@@ -104,7 +102,7 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["id", "v", "d"])
 
     table = vectors.mapInArrow(measure, T.StructType([*vectors.schema.fields, T.StructField("d", T.ArrayType(T.DoubleType()))]))
-    table = checkpointed(table)
+    table = stored(table, "pivots")
     # Each block of candidates meets each block of queries: both sides carry the pair's number.
     x = table.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(n_x))).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb")).select((F.col("xb") * n_q + F.col("qb")).alias("pair"), "id", "v", "d")
     q = table.where(F.col("id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_q))).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("xb")).select((F.col("xb") * n_q + F.col("qb")).alias("pair"), "id", "v", "d")

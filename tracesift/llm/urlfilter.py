@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 ROUNDS = 6
 DAMPING = 0.85
@@ -79,15 +79,15 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """kind, host, score: personalised PageRank. links: kind, src, dst, n; seeds: kind, host, seed (summing to 1 a kind)."""
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    edges = checkpointed(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")))
-    seeds = checkpointed(seeds)
+    edges = stored(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
+    seeds = stored(seeds, "seeds")
     scores = seeds.select("kind", "host", F.col("seed").alias("score"))
     for turn in range(rounds):
         moved = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
         kept = seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
         scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.round(F.sum("score"), 12).alias("score"))
         if turn % 2:  # plans of two rounds each
-            scores = checkpointed(scores)
+            scores = stored(scores, "scores")
     return scores
 
 
