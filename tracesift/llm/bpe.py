@@ -179,7 +179,7 @@ class TrieEncoder:
         for piece in pieces:
             if piece in self.special:
                 out.append(self.special[piece])
-            elif self.plain and piece.isascii() and not ("\x1c" <= min(piece, default="~") <= "\x1f"):
+            elif self.plain and piece.isascii() and piece.isprintable():
                 out += _ASCII_PARTS.findall(piece.lower())
             elif piece:
                 normal = self.library.normalizer.normalize_str(piece)

@@ -15,8 +15,9 @@ shingles with it, and join the nodes that link into components. What is left are
 components: there each text outside the shingle's largest component is compared with all texts of other components.
 So a group of copies costs as much as its size, and no pair that could join two components goes unseen.
 
-Verification: pairs are distinct and meet the full sets once. A suffix filter bounds the overlap by counts of the
-elements between fixed probes; the rest are intersected exactly.
+Verification: pairs are distinct. A suffix filter first bounds their overlap: every text carries the counts of its elements
+in 64 parts of the hash range, and two sets share at most the lesser count of each part. Only texts of pairs that pass send
+their whole sets, and each such pair is intersected exactly, once.
 
 Defined cases: a text that is null or without words has the size 0 and links with nothing, not even its likes.
 Rows that repeat a text link with each other. Rows with a null id belong to components, whose id is the smallest
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytehash import BASE, SLICE_BYTES, lower_ascii, powers, ranges, space_bytes, text_buffers, word_hashes
+from .bytehash import BASE, SLICE_BYTES, lower_ascii, mix, powers, ranges, space_bytes, text_buffers, word_hashes
 from .common import list_array, slices, stored, text_batches
 from .components import components
 from .sketches import key_filter, passes, summed_table
@@ -42,6 +43,8 @@ WORDS, PERCENT = 5, 80
 #: Counters of words, as a power of two.
 COUNTER_BITS = 20
 HUB_ROUNDS = 3
+CELLS = 64
+_LAST = 2**63 - 1
 
 
 def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,21 +96,22 @@ def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 4) -> int:
-    """The largest overlap that two ordered sets can have, by the number of elements between common probes."""
-    larger = a if len(a) >= len(b) else b
-    probes = larger[np.linspace(0, len(larger), (1 << depth) + 1).astype(np.int64)[1:-1]] if len(larger) > (1 << depth) else larger
-    cells = lambda s: np.diff(np.concatenate(([0], np.searchsorted(s, probes), [len(s)])))
-    return int(np.minimum(cells(a), cells(b)).sum())
+def cell_counts(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of each set's elements fall into each of CELLS parts of the hash range."""
+    text = np.repeat(np.arange(len(size)), size)
+    cell = (grams & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.bincount(text * CELLS + cell, minlength=len(size) * CELLS).reshape(len(size), CELLS).astype("<u4")
+
+
+def least_overlap(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """What two sets of these sizes must share to link."""
+    return -(-percent * (size_a + size_b) // (100 + percent))
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    total = len(x) + len(y)
-    need = -(-percent * total // (100 + percent))  # least overlap for the threshold
-    if min(len(x), len(y)) < need or suffix_bound(x, y) < need:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+    need = least_overlap(len(x), len(y), percent)
+    return min(len(x), len(y)) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
 def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +128,10 @@ def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
                 at = np.cumsum(size) - size
                 inside = np.arange(len(grams)) - np.repeat(at, size) < np.repeat(keep, size)
                 made = list_array(grams[inside].view(np.int64), keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes.view(np.int64)), pa.array(size.astype(np.int32)), made], names=["doc_id", "node", "size", "grams"])
+                cells = pa.array([row.tobytes() for row in cell_counts(grams, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes.view(np.int64)), pa.array(size.astype(np.int32)), made, cells], names=["doc_id", "node", "size", "grams", "cells"])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("cells", T.BinaryType())])
     docs = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prefixes, schema), "prefixes")
 
     # Rows of shingles that several nodes have in their prefixes; a running window streams, however large the group.
@@ -139,41 +144,64 @@ def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     shared = stored(rows.select("gram", "node", "size", "pos"), "shared")
     several = shared.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("gram")
     shared = stored(shared.join(several, "gram", "left_semi"), "several")
-    return _joined(spark, df.select(text_col), docs, shared, rarity, words, percent)
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
+    return _joined(spark, texts, docs, shared, rarity, words, percent)
+
+
+def _copy_key(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Tells one row among those that have a node's text."""
+    return mix(nodes ^ mix(ids.astype(np.int64).view(np.uint64)))
 
 
 def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: DataFrame, rarity, words: int, percent: int) -> DataFrame:
-    wanted = spark.sparkContext.broadcast(key_filter(shared.select("node").distinct()))
+    # Of each node that may be in a pair: one row that has its text, and its counts.
+    some = shared.select("node").distinct()
+    nodes = docs.join(some, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc_id"), F.max("size").alias("size"), F.min("cells").alias("cells"))
+    nodes = stored(nodes, "nodes")
+    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a copy in the same task is left out; the others go with the aggregation
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, hashes, first in words_in(batch.column(0)):
-                sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-                np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
-                near = np.flatnonzero(passes(wanted.value, ranges(sums, first[:-1], first[1:])) & (np.diff(first) > 0))
-                if not len(near):
-                    continue
-                nodes, size, grams = sets_in(hashes, first, rarity.value, words)
-                at = np.cumsum(size) - size
-                new = [i for i in near.tolist() if not (int(nodes[i]) in seen or seen.add(int(nodes[i])))]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[new].view(np.int64)), pa.array([grams[at[i] : at[i] + size[i]].tobytes() for i in new], pa.binary())], names=["node", "grams"])
-                if len(seen) > 200_000:
-                    seen.clear()
+            cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CELLS) for c in ("cells_a", "cells_b")]
+            need = least_overlap(*(batch.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b")), percent)
+            good = np.minimum(*cells).sum(axis=1) >= need
+            yield batch.select(["node_a", "node_b", "doc_id_a", "doc_id_b"]).filter(pa.array(good))
 
-    sets = texts.mapInArrow(full_sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.BinaryType())]))
-    sets = stored(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
+        both = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(side(nodes, "b"), "node_b").join(side(nodes, "a"), "node_a")
+        near = stored(both.select("node_a", "node_b", "size_a", "size_b", "cells_a", "cells_b", "doc_id_a", "doc_id_b").mapInArrow(may_link, "node_a long, node_b long, doc_id_a long, doc_id_b long"), "near")
+        ends = near.select(F.explode(F.array(F.struct(F.col("node_a").alias("node"), F.col("doc_id_a").alias("doc_id")), F.struct(F.col("node_b").alias("node"), F.col("doc_id_b").alias("doc_id")))).alias("e")).select("e.*").distinct()
 
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = [linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                made = _copy_key(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["key"])
 
-        both = pairs.join(sets.withColumnsRenamed({"node": "b", "grams": "gb"}), "b").join(sets.withColumnsRenamed({"node": "a", "grams": "ga"}), "a")
-        return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long")
+        wanted = spark.sparkContext.broadcast(key_filter(ends.mapInArrow(keys, "key long")))
+
+        def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for a, b, hashes, first in words_in(batch.column(1)):
+                    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+                    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
+                    own = ranges(sums, first[:-1], first[1:])
+                    use = np.flatnonzero(passes(wanted.value, _copy_key(own, ids[a:b])) & (np.diff(first) > 0))
+                    if len(use):
+                        made, size, grams = sets_in(hashes, first, rarity.value, words)
+                        at = np.cumsum(size) - size
+                        yield pa.RecordBatch.from_arrays([pa.array(made[use].view(np.int64)), pa.array([grams[at[i] : at[i] + size[i]].tobytes() for i in use], pa.binary())], names=["node", "grams"])
+
+        sets = texts.mapInArrow(full_sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.BinaryType())]))
+        sets = stored(sets, "sets")
+        full = near.select("node_a", "node_b").join(side(sets, "b"), "node_b").join(side(sets, "a"), "node_a")
+        return full.select("node_a", "node_b", "grams_a", "grams_b").mapInArrow(test, "node_a long, node_b long").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
     low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
     need = F.ceil(F.lit(percent) * (F.col("size") + F.col("other_size")) / (100 + percent))

@@ -187,7 +187,7 @@ p0 as (
   from s{rounds} group by host
 )
 select page_id, j.host, path, rule,
-  coalesce(by_rule, case when coalesce(distrust, 0) > coalesce(trust, 0) and coalesce(distrust, 0) >= {urlfilter.LEAST_DISTRUST} then 'block' else 'allow' end) as verdict
+  coalesce(by_rule, case when distrust > 0 and distrust >= {urlfilter.LEAST_SHARE} * (trust + distrust) then 'block' else 'allow' end) as verdict
 from judged j left join h on h.host = j.host"""
 
 

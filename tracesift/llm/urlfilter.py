@@ -2,8 +2,8 @@
 
 Rules judge the urls that they fit. All others follow their host: personalised PageRank spreads trust from
 the hosts that allow rules fit along links, and distrust from the hosts that block rules fit against them
-(who links to a blocked host is suspect). Hosts whose distrust exceeds both LEAST_DISTRUST and their trust
-are blocked. Edges are the links between different hosts, counted once per pair, and each host counts as linked
+(who links to a blocked host is suspect). Hosts whose share of distrust, in the sum of both, is LEAST_SHARE
+or more are blocked. Edges are the links between different hosts, counted once per pair, and each host counts as linked
 with its parent domain both ways.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; a null
@@ -22,7 +22,7 @@ from .common import stored
 
 ROUNDS = 6
 DAMPING = 0.85
-LEAST_DISTRUST = 0.05
+LEAST_SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links with a host of their own: a scheme, or // alone.
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -106,5 +106,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_c
     hosts = scores.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
     joined = judged.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("by_rule", F.when((distrust > trust) & (distrust >= LEAST_DISTRUST), "block").otherwise("allow"))
+    verdict = F.coalesce("by_rule", F.when((distrust > 0) & (distrust >= LEAST_SHARE * (trust + distrust)), "block").otherwise("allow"))
     return joined.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
