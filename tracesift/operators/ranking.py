@@ -85,20 +85,26 @@ def top_n_expected(ranked: DataFrame, faulty: DataFrame, n: int, *by: str) -> Da
     return per.select(*by, "pool", "found", F.round(F.col("found") / F.col("pool"), 9).alias("share"), F.round(1 - none, 9).alias("best"), F.round(F.coalesce(F.try_divide(expected, F.col("n_faulty")), F.lit(0.0)), 9).alias("worst"), F.round(F.coalesce(half, F.lit(0.0)), 9).alias("average"))
 
 
-def fault_ranks(ranked: DataFrame, faulty: DataFrame, *by: str) -> DataFrame:
-    """Ranks of the faulty places, per group: best, worst, mean, and the one in the middle (the lower, counted from below).
+def fault_ranks(ranked: DataFrame, faulty: DataFrame, *by: str, total: int | None = None) -> DataFrame:
+    """Of the faulty places of each group: best, worst, middle (the lower one of the middle) and mean of their exam scores, which are
+    ranks over the number of places, and of their efforts, the last places of their tie groups.
 
-    A faulty place that isn't ranked has the mean rank of all places after the last one, as if n_places were all there are.
-    Also exam, the best rank over the number of places, and effort, the least place by which a fault is found.
+    total: how many places there are, ranked or not; all are ranked unless given. A faulty place that isn't ranked has the mean
+    rank of the unranked ones, and all places as effort.
     """
-    size = ranked.groupBy(*by).agg(F.count("*").alias("n_places"), F.max("effort").alias("_last"))
+    size = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.max("effort").alias("_last")).withColumn("n_places", F.col("_n") if total is None else F.lit(total))
     every = size.crossJoin(F.broadcast(faulty.select("file", "line")))
     joined = every.join(ranked.select(*by, "file", "line", "rank", "effort"), [*by, "file", "line"], "left")
-    missing = F.coalesce("rank", F.col("n_places") / 2 + F.col("_last"))
-    per = joined.groupBy(*by, "n_places").agg(F.array_sort(F.collect_list(missing)).alias("r"), F.min(F.coalesce("effort", "n_places")).alias("effort"))
-    middle = F.greatest(F.floor(F.size("r") / 2) - 1, F.lit(0)).cast("int")
-    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
-    return per.select(*by, "n_places", F.array_min("r").alias("best"), F.array_max("r").alias("worst"), F.get("r", middle).alias("middle"), F.round(mean, 9).alias("mean"), F.round(F.array_min("r") / F.col("n_places"), 9).alias("exam"), "effort")
+    rank = F.coalesce("rank", (F.col("n_places") - F.col("_n")) / 2 + F.col("_last"))
+    effort = F.coalesce("effort", "n_places").cast("double")
+    per = joined.groupBy(*by, "n_places").agg(F.array_sort(F.collect_list(rank / F.col("n_places"))).alias("exam"), F.array_sort(F.collect_list(effort)).alias("effort"))
+    middle = F.greatest(F.floor(F.size("exam") / 2) - 1, F.lit(0)).cast("int")
+
+    def four(name: str) -> list[Column]:
+        mean = F.aggregate(name, F.lit(0.0), lambda a, x: a + x) / F.size(name)
+        return [F.round(c, 9).alias(f"{name}_{n}") for n, c in (("best", F.array_min(name)), ("worst", F.array_max(name)), ("middle", F.get(name, middle)), ("mean", mean))]
+
+    return per.select(*by, "n_places", *four("exam"), *four("effort"))
 
 
 def precision_at(ranked: DataFrame, faulty: DataFrame, k: int, *by: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators import counts, extractors, ranking, sequence, vectors, weights
-from ..sources import testdata
+from ..shared import scratch_path, stored
+from ..sources import binary_log, csv_log, mapping, reports, testdata
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,11 +207,11 @@ def top_n_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_n_expected(_ranked(spark, sf_dir), faulty(spark, sf_dir), 10, "type")
 
 
-@query(f"""{_RANKED}, sz as (select type, count(*) as n_places, max(effort) as last from ranked group by type
+@query(f"""{_RANKED}, sz as (select type, count(*) as n_places from ranked group by type
 ), j as (
-  select sz.type, n_places, coalesce(rank, n_places / 2 + last) as r, coalesce(effort, n_places) as e from sz cross join faulty left join ranked on ranked.type = sz.type and ranked.file = faulty.file and ranked.line = faulty.line
+  select sz.type, n_places, coalesce(rank, n_places) / n_places as exam, cast(coalesce(effort, n_places) as double) as effort from sz cross join faulty left join ranked on ranked.type = sz.type and ranked.file = faulty.file and ranked.line = faulty.line
 )
-select type, n_places, min(r) as best, max(r) as worst, list_sort(list(r))[greatest(len(list(r)) // 2 - 1, 0) + 1] as middle, round(avg(r), 9) as mean, round(min(r) / n_places, 9) as exam, min(e) as effort from j group by type, n_places""")
+select type, n_places, """ + ", ".join(f"round(min({c}), 9) as {c}_best, round(max({c}), 9) as {c}_worst, round(list_sort(list({c}))[greatest(len(list({c})) // 2 - 1, 0) + 1], 9) as {c}_middle, round(avg({c}), 9) as {c}_mean" for c in ("exam", "effort")) + " from j group by type, n_places")
 def fault_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fault_ranks(_ranked(spark, sf_dir), faulty(spark, sf_dir), "type")
 
@@ -311,3 +312,101 @@ def proximity_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proximity_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights by definitions, uses of uses, and asserts; folded in order of distance, which SQL can't express."""
     return _proximity(spark, sf_dir, weights.def_use_weights(testdata.trace(spark, sf_dir, "tests"), uses=True, asserts=True))
+
+
+@query(f"""with {_SEGMENTS}, obs as ({sql.OBSERVATIONS['LINE'][2]}), {sql.COUNTS}, en as (
+  select run_id, min(case when event_type = 'TEST_DEF' then segment end) as first, max(case when event_type = 'TEST_ASSERT' then segment end) as last from seg group by run_id
+), fw as (
+  select feature, o.run_id, max(case when seg.segment < first or seg.segment > last then 0.5 else 1.0 end) as weight from obs o join seg using (run_id, seq) join runs r on r.run_id = o.run_id and failing join en on en.run_id = o.run_id group by all
+), w as (select feature, avg(weight) as weight from fw group by all)
+select c.file, c.line, round(coalesce(weight, 0), 9) as weight, round({metrics.expression('Ochiai')} * coalesce(weight, 0), 9) as score from counts c left join w using (feature)""")
+def proximity_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first test definition opens the test's function here, the last assertion closes it."""
+    events = testdata.trace(spark, sf_dir, "tests")
+    kind = F.when(F.col("event_type") == "TEST_DEF", "TEST_START").when(F.col("event_type") == "TEST_ASSERT", "TEST_END").otherwise(F.col("event_type"))
+    return _proximity(spark, sf_dir, weights.function_weights(events.withColumn("event_type", kind)))
+
+
+# Sources and sinks, in round trips.
+
+
+@query(f"with {sql.trace('flow')} select run_id, event_type, count(*) as n, sum(line) as lines, sum(case when event_type = 'BRANCH' then then_id end) as then_ids, max(seq) as last_seq from tr where event_type in ('LINE', 'BRANCH') group by all" .replace("from tr where", "from (select * replace (row_number() over (partition by run_id order by seq) as seq) from tr where event_type in ('LINE', 'BRANCH')) tr where"))
+def source_csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as text logs, a file per run, and read back."""
+    path = scratch_path(spark, "csv-logs")
+    events = testdata.trace(spark, sf_dir, "flow").where(F.col("event_type").isin("LINE", "BRANCH"))
+    csv_log.write_csv_logs(events, path)
+    back = csv_log.read_csv_logs(spark, path, F.regexp_extract(F.col("_metadata.file_path"), r"run_id=(\d+)", 1).cast("long"))
+    return back.groupBy("run_id", "event_type").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum("then_id").alias("then_ids"), F.max("seq").alias("last_seq"))
+
+
+_STATIC = ("event_id", "event_type", "file", "line", "function", "function_id", "var", "then_id", "else_id", "loop_id", "condition")
+
+
+@query(f"with {sql.trace('scopes')} select run_id, seq, event_id, event_type, line, case when event_type in ('DEF', 'FUNCTION_EXIT') then value_num end as value_num, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr")
+def source_binary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events encoded as binary logs, a log per run, and decoded by the mapping of their static parts."""
+    events = testdata.trace(spark, sf_dir, "scopes")
+    logs = stored(binary_log.encode_logs(events), "binary-logs")
+    return binary_log.decode_logs(logs, events.select(*_STATIC)).select("run_id", "seq", "event_id", "event_type", "line", "value_num", "var_id")
+
+
+@query(f"with {sql.trace('scopes')} select case when event_id % 3 = 0 then event_id + 1000000 else event_id end as event_id, event_type, case when event_type = 'DEF' then 'other' else file end as file, line from tr")
+def mapping_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping with new ids for some events, united with another that overrides definitions; only valid events stay."""
+    events = testdata.trace(spark, sf_dir, "scopes")
+    known = events.select(*_STATIC)
+    other = known.where("event_type = 'DEF'").withColumn("file", F.lit("other"))
+    moved = known.where("event_id % 3 = 0").select("event_id", (F.col("event_id") + 1000000).alias("new_id"))
+    united = mapping.valid_events(mapping.united(known, other), known)
+    return mapping.translated(united, moved).select("event_id", "event_type", "file", "line")
+
+
+@query(f"{_FLOW} select type, feature, ef, ep, {sql.DEFAULT_SCORE} as score from counts")
+def dump_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts dumped as JSON, loaded and scored."""
+    path = scratch_path(spark, "dump")
+    reports.dump_counts(counts_of(spark, sf_dir, *FLOW), path)
+    return counts.scored(reports.load_counts(spark, path)).select("type", "feature", "ef", "ep", "score")
+
+
+@query(f"""{_SCORED} select file, line, cast(floor(s * 100) as integer) as percent from (select file, line, least(greatest(max(score), 0), 1) as s from pl group by all)""")
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly each line would be marked in a listing."""
+    return reports.colored(ranking.places(_scores(spark, sf_dir))).select("file", "line", "percent")
+
+
+@query(f"""with {sql.RUNS}, n as (select user_id as run_id, count(*) filter (event_type in ('click', 'view')) as passed, count(*) filter (event_type = 'error' and value > {testdata.FAILING_VALUE}) as failed from events group by 1)
+select run_id, case when passed > 0 and failed = 0 then 'PASSING' when failed > 0 and passed = 0 then 'FAILING' else 'UNDEFINED' end as outcome from n""")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = testdata.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count_if(F.col("event_type").isin("click", "view")).alias("passed"), F.count_if((F.col("event_type") == "error") & (F.col("value") > testdata.FAILING_VALUE)).alias("failed"))
+    return rows.select("run_id", reports.test_outcome(F.col("passed"), F.col("failed")).alias("outcome"))
+
+
+@query(r"""select doc_id, case when length(p) > 255 then md5(s) else p end as name from (
+  select doc_id, s, regexp_replace(regexp_replace(s, '[^\x00-\x7f]', '', 'g'), '[^A-Za-z0-9]', '_', 'g') as p from (select doc_id, substr(text, 1, 300) as s from documents))""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from the first 300 characters of texts; those that stay long become checksums."""
+    docs = testdata.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", reports.safe_name(F.substring("text", 1, 300)).alias("name"))
+
+
+@query("""select window_start, event_type, count(*) as n from (select time_bucket(interval '10 minutes', ts) as window_start, event_type from events) group by all""")
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per kind and ten minutes, by a stream over the table's file that ends when all is read."""
+    from ..streaming import live
+
+    path = scratch_path(spark, "rates")
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    made = live.event_rates(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    out = made.select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch.write.parquet(f"{path}/batch={number}")
+
+    running = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(merge).start()
+    running.awaitTermination()
+    kept = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = kept.agg(F.max("batch").alias("batch"))
+    return kept.join(F.broadcast(last), "batch").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
