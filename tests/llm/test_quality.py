@@ -21,9 +21,9 @@ def test_held_out_accuracy(spark):
 
 def test_votes_against_plain_loop():
     rng = np.random.default_rng(1)
-    model = quality.Voters(np.ones(quality.TRIGRAMS, np.float32), rng.standard_normal((quality.TRIGRAMS, 8)).astype(np.float32), np.zeros((0, 8), np.float32), (rng.random(40) < 0.5).astype(float))
-    model.vectors = model.latent(rng.integers(0, 5, (40, quality.TRIGRAMS)).astype(np.float32))
-    counts = rng.integers(0, 5, (300, quality.TRIGRAMS)).astype(np.float32)
+    model = quality.Voters(np.ones(quality.TRIGRAMS, np.float32), rng.standard_normal((quality.TERMS, 8)).astype(np.float32), np.zeros((0, 8), np.float32), (rng.random(40) < 0.5).astype(float))
+    model.vectors = model.latent(rng.integers(0, 5, (40, quality.TERMS)).astype(np.float32))
+    counts = rng.integers(0, 5, (300, quality.TERMS)).astype(np.float32)
     scores = model.scores(counts)
     for i in (0, 1, 255, 256, 299):
         cos = model.latent(counts[i : i + 1])[0] @ model.vectors.T
@@ -35,10 +35,11 @@ def test_votes_against_plain_loop():
 
 def test_counts_do_not_depend_on_slices(monkeypatch):
     texts = pa.array(["abcdef" * 50, None, "", "ab", "xyz", "é" * 30])
-    whole = quality.trigram_counts(texts)
+    whole = quality.term_counts(texts)
     monkeypatch.setattr(quality, "SLICE_BYTES", 16)
-    assert (quality.trigram_counts(texts) == whole).all()
-    assert whole.sum(axis=1).tolist() == [298, 0, 0, 0, 1, 58]
+    assert (quality.term_counts(texts) == whole).all()
+    assert whole[:, : quality.TRIGRAMS].sum(axis=1).tolist() == [298, 0, 0, 0, 1, 58]
+    assert whole[:, quality.TRIGRAMS :].sum(axis=1).tolist() == [4, 0, 0, 4, 4, 4]
 
 
 def test_defined_cases(spark):
@@ -51,3 +52,8 @@ def test_defined_cases(spark):
     none = quality.fit_voters(docs, labels.limit(0))
     assert {r.score for r in quality.quality_scores(docs, none).collect()} == {0.5}
     assert quality.quality_scores(docs.limit(0), none).count() == 0
+
+
+def test_repeated_words():
+    row = quality.term_counts(pa.array(["go go go go stop", "go stop go stop go"]))[:, quality.TRIGRAMS : quality.TRIGRAMS + len(quality.BINS) + 1]
+    assert row.tolist() == [[0, 0, 0, 0, 0, 1], [1, 0, 0, 0, 0, 0]]

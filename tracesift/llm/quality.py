@@ -1,8 +1,9 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes counts of its hashed byte trigrams (digits taken as one), dampened by log1p, weighted
-by inverse document frequency in the labelled sample and projected to a few latent dimensions by a
-truncated SVD of that sample. The labelled vectors are broadcast; for every document the cosines with
+A text becomes two blocks of terms of equal weight. One holds counts of its hashed byte trigrams (digits taken
+as one), dampened by log1p and weighted by inverse document frequency in the labelled sample; the other
+says into which of a few bins each of its shares falls: words that repeat the one before, punctuation, digits and
+capitals. Both are projected to a few latent dimensions by a truncated SVD of the sample. The labelled vectors are broadcast; for every document the cosines with
 all of them come from one exact product per block of documents, and the NEIGHBOURS most similar vote
 for their labels with their similarity.
 
@@ -25,10 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytehash import text_buffers
+from .bytehash import punctuation_bytes, space_bytes, text_buffers, word_hashes
 from .common import add_columns, slices, text_batches
 
 TRIGRAMS = 2048
+#: Upper ends of the bins of a share, but the last.
+BINS = (0.0, 0.01, 0.03, 0.1, 0.3)
+SHARES = 4
+TERMS = TRIGRAMS + SHARES * (len(BINS) + 1)
 LATENT = 48
 PER_CLASS = 1024
 NEIGHBOURS = 15
@@ -43,38 +48,68 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def trigram_counts(column: pa.Array) -> np.ndarray:
-    """A row of hashed byte-trigram counts for each text."""
+def term_counts(column: pa.Array) -> np.ndarray:
+    """A row for each text: counts of hashed byte trigrams, then a 1 in one bin of each share; zeros if the text has no word."""
     data, offsets = text_buffers(column)
-    out = np.zeros((len(offsets) - 1, TRIGRAMS), dtype=np.float32)
+    out = np.zeros((len(offsets) - 1, TERMS), dtype=np.float32)
     table = np.arange(256, dtype=np.uint32)
     table[48:58] = 48
+    marks, space = punctuation_bytes() & ~space_bytes(), space_bytes()
+    kinds = (marks, _byte_range(48, 57), _byte_range(65, 90))
     for a, b in slices(np.diff(offsets), SLICE_BYTES):
-        for first in range(offsets[a], offsets[b], 8 * SLICE_BYTES):  # a very long text in parts that overlap by two bytes
-            part = table[data[first : min(first + 8 * SLICE_BYTES + 2, offsets[b])]]
-            if len(part) < 3:
+        part, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        words, _, _, first = word_hashes(part, places, space)
+        same = np.zeros(len(words) + 1, dtype=np.int64)
+        if len(words):
+            again = np.append(False, words[1:] == words[:-1])
+            again[first[:-1][first[:-1] < len(words)]] = False
+            np.cumsum(again, out=same[1:])
+        count = np.diff(first)
+        shares = [(same[first[1:]] - same[first[:-1]]) / np.maximum(count, 1)]
+        for kind in kinds:
+            so_far = np.zeros(len(part) + 1, dtype=np.int64)
+            np.cumsum(kind[part], out=so_far[1:])
+            shares.append((so_far[places[1:]] - so_far[places[:-1]]) / np.maximum(np.diff(places), 1))
+        rows = np.flatnonzero(count > 0)
+        for n, share in enumerate(shares):
+            out[a + rows, TRIGRAMS + n * (len(BINS) + 1) + np.searchsorted(BINS, share[rows], "left")] = 1
+        for start in range(offsets[a], offsets[b], 8 * SLICE_BYTES):  # a very long text in parts that overlap by two bytes
+            coded = table[data[start : min(start + 8 * SLICE_BYTES + 2, offsets[b])]]
+            if len(coded) < 3:
                 continue
-            hashed = (part[:-2] * np.uint32(2654435761) ^ part[1:-1] * np.uint32(2246822519) ^ part[2:] * np.uint32(3266489917)) >> np.uint32(21)
-            row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))[first - offsets[a] :][: len(part)]
-            same = row[:-2] == row[2:]
-            key = row[:-2][same] * TRIGRAMS + hashed[same]
-            out[a:b] += np.bincount(key, minlength=(b - a) * TRIGRAMS).reshape(b - a, TRIGRAMS)
+            hashed = (coded[:-2] * np.uint32(2654435761) ^ coded[1:-1] * np.uint32(2246822519) ^ coded[2:] * np.uint32(3266489917)) >> np.uint32(21)
+            row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))[start - offsets[a] :][: len(coded)]
+            whole = row[:-2] == row[2:]
+            key = row[:-2][whole] * TRIGRAMS + hashed[whole]
+            out[a:b, :TRIGRAMS] += np.bincount(key, minlength=(b - a) * TRIGRAMS).reshape(b - a, TRIGRAMS)
     return out
 
 
+def _byte_range(first: int, last: int) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[first : last + 1] = True
+    return table
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 1e-12)
+
+
 @dataclass
 class Voters:
     """A fitted model; of fixed size whatever the corpus."""
 
     weights: np.ndarray  # by trigram
-    projection: np.ndarray  # trigrams x latent
+    projection: np.ndarray  # terms x latent
     vectors: np.ndarray  # sample rows x latent, of length 1
     labels: np.ndarray
 
+    def terms(self, counts: np.ndarray) -> np.ndarray:
+        return np.concatenate((_unit(np.log1p(counts[:, :TRIGRAMS]) * self.weights), _unit(counts[:, TRIGRAMS:])), axis=1)
+
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        made = (np.log1p(counts) * self.weights) @ self.projection
-        length = np.linalg.norm(made, axis=1, keepdims=True)
-        return np.divide(made, length, out=np.zeros_like(made), where=length > 1e-12)
+        return _unit(self.terms(counts) @ self.projection)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """The share of the vote for label 1."""
@@ -112,7 +147,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = trigram_counts(batch.column(1)).astype(np.float16)
+            counts = term_counts(batch.column(1)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([row.tobytes() for row in counts], pa.binary())], names=["id", "label", "counts"])
 
     rows = texts.mapInArrow(count, T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())]))
@@ -121,12 +156,12 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", t
         found[row.id, row.label] = np.frombuffer(row.counts, dtype=np.float16)
     order = sorted(found)
     if not order:
-        return Voters(np.zeros(TRIGRAMS, np.float32), np.zeros((TRIGRAMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0))
+        return Voters(np.zeros(TRIGRAMS, np.float32), np.zeros((TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0))
     counts = np.stack([found[k] for k in order]).astype(np.float32)
     counts[~np.isfinite(counts)] = np.finfo(np.float16).max
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    made = np.log1p(counts) * weights
-    model = Voters(weights, _axes(made), np.zeros((0, LATENT), np.float32), np.array([label for _, label in order], dtype=np.float64))
+    weights = np.log((1 + len(counts)) / (1 + (counts[:, :TRIGRAMS] > 0).sum(axis=0))).astype(np.float32) + 1
+    model = Voters(weights, np.zeros((TERMS, 0), np.float32), np.zeros((0, LATENT), np.float32), np.array([label for _, label in order], dtype=np.float64))
+    model.projection = _axes(model.terms(counts))
     model.vectors = model.latent(counts)
     return model
 
@@ -148,6 +183,6 @@ def quality_scores(df: DataFrame, model: Voters, text_col: str = "text", score_c
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        return [pa.array(np.concatenate([shared.value.scores(trigram_counts(texts.slice(a, BLOCK))) for a in range(0, len(texts), BLOCK)]), pa.float64())]
+        return [pa.array(np.concatenate([shared.value.scores(term_counts(texts.slice(a, BLOCK))) for a in range(0, len(texts), BLOCK)]), pa.float64())]
 
     return add_columns(df, text_col, [(score_col, T.DoubleType())], make, keep)
