@@ -42,7 +42,7 @@ from .sketches import key_filter, passes, summed_table
 WORDS, PERCENT = 5, 80
 #: Counters of words, as a power of two.
 COUNTER_BITS = 20
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 CELLS = 64
 _LAST = 2**63 - 1
 
@@ -148,6 +148,17 @@ def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     return _joined(spark, texts, docs, shared, rarity, words, percent)
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after new links: only the components that they touch are worked on."""
+    if roots is None:
+        return components(links)
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return stored(moved.unionByName(joined.join(roots, "node", "left_anti")), "roots")
+
+
 def _copy_key(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Tells one row among those that have a node's text."""
     return mix(nodes ^ mix(ids.astype(np.int64).view(np.uint64)))
@@ -235,7 +246,7 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = stored(verify(pairs), "links")
         links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        roots = _merged(roots, new)
     base = docs.select("doc_id", "node", "size")
     if roots is None or links is None:
         named = base.withColumn("root", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
