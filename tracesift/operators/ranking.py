@@ -61,10 +61,13 @@ def top(ranked: DataFrame, n: int, *by: str) -> DataFrame:
     return ranked.where(F.col("effort") - F.col("tied") < n)
 
 
+def _log_factorial(n: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
+
+
 def choose(n: Column, k: Column) -> Column:
     """log of n over k, for closed forms of sampling."""
-    lg = lambda x: F.expr("0.0") + F.aggregate(F.sequence(F.lit(0), F.greatest(x.cast("int"), F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
-    return lg(n) - lg(k) - lg(n - k)
+    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
 def top_n_expected(ranked: DataFrame, faulty: DataFrame, n: int, *by: str) -> DataFrame:

@@ -53,3 +53,8 @@ def either(a: Column, b: Column) -> Column:
 
 def negated(a: Column) -> Column:
     return F.when(a == UNDEFINED, a).otherwise(1 - a)
+
+
+def merged(values: DataFrame, *by: str) -> DataFrame:
+    """One vector for several runs: a feature is true if it is in any, else false if any observed it."""
+    return values.groupBy(*by, "feature", "type").agg(F.max("value").alias("value"))

@@ -410,3 +410,66 @@ def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     last = kept.agg(F.max("batch").alias("batch"))
     return kept.join(F.broadcast(last), "batch").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+# What needs no more than a query or two.
+
+_THREADS = sql.SCOPES.replace("partition by run_id", "partition by run_id, event_id % 2")
+
+
+@query(f"with {sql.trace('scopes')}, {_THREADS} select run_id, event_id % 2 as thread_id, seq, depth, scope_id from sc")
+def scopes_by_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each thread of a run has scopes of its own."""
+    return sequence.with_scopes(testdata.trace(spark, sf_dir, "scopes", threads=2)).select("run_id", "thread_id", "seq", "depth", "scope_id")
+
+
+_SPANS = "spans as (select distinct type as kind, file, line, type = 'BRANCH' and ends_with(feature, ':then') as then, line as first, least(line + 2, 19) as last from counts where type = 'BRANCH')"
+
+
+@query(f"""{_SCORED}, {_SPANS}, ex as (
+  select s.type, s.feature, s.file, unnest(case when p.first is null then [s.line] else range(p.first, p.last + 1) end) as line, s.score from scores s left join spans p on s.type = p.kind and s.file = p.file and s.line = p.line and (s.type = 'BRANCH' and ends_with(s.feature, ':then')) = p.then
+) select type, file, cast(line as integer) as line, max(score) as score from ex group by all""")
+def expanded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches point to the lines of their side: here the branch's and two more."""
+    scored = _scores(spark, sf_dir)
+    sides = scored.where("type = 'BRANCH'").select(F.col("type").alias("kind"), "file", "line", F.col("feature").endswith(":then").alias("then"), F.col("line").alias("first"), F.least(F.col("line") + 2, F.lit(19)).alias("last")).distinct()
+    return ranking.expanded_places(scored, sides, "type").groupBy("type", "file", "line").agg(F.max("score").alias("score"))
+
+
+@query(f"{sql.counted('LINE')} select file, line, {metrics.expression('Ochiai')} as ochiai, {metrics.expression('Zoltar')} as zoltar from counts")
+def similarity_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients as SQL functions of four counts."""
+    metrics.register(spark)
+    made = counts_of(spark, sf_dir, "LINE")
+    four = [F.col(c) for c in ("ep", "np", "ef", "nf")]
+    return made.select("file", "line", metrics.similarity("Ochiai", *four).alias("ochiai"), metrics.similarity("Zoltar", *four).alias("zoltar"))
+
+
+@query(f"with {sql.observations(*FLOW)}, {_VALUES} select r.failing, feature, max(value) as value from vals join runs r using (run_id) group by r.failing, feature")
+def merged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector for all failing runs, and one for all passing ones."""
+    values, runs = _values(spark, sf_dir)
+    return vectors.merged(values.join(runs, "run_id"), "failing").select("failing", "feature", "value")
+
+
+@query("""with o as (select user_id as test, case when bool_or(event_type = 'error' and value > 150) then 'FAILED' else 'PASSED' end as result, case when bool_or(event_type = 'error' and value > 120) then 'FAILED' else 'PASSED' end as first from events group by 1)
+select test, result from o where result = first""")
+def consistent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests whose result is that of another try, here one with a stricter limit."""
+    rows = testdata.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("test"))
+    outcome = lambda least: rows.agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > least)).alias("bad")).select("test", F.when(F.col("bad"), "FAILED").otherwise("PASSED").alias("result"))
+    return reports.consistent_runs(outcome(testdata.FAILING_VALUE), outcome(120))
+
+
+@query(f"with {sql.RUNS}, n as (select user_id as run_id, count(*) as n from events group by 1) select failing, count(*) as runs, cast(sum(n) as bigint) as events from runs join n using (run_id) group by failing")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and events by outcome."""
+    per = testdata.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n"))
+    return testdata.runs(spark, sf_dir).join(per, "run_id").groupBy("failing").agg(F.count("*").alias("runs"), F.sum("n").alias("events"))
+
+
+@query(f"with {sql.trace('scopes')} select run_id, seq, event_type, file, line from tr where seq > 10 and seq <= 20")
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of ten events of every run's log."""
+    events = testdata.trace(spark, sf_dir, "scopes")
+    return events.where((F.col("seq") > 10) & (F.col("seq") <= 20)).select("run_id", "seq", "event_type", "file", "line")

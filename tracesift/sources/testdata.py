@@ -28,8 +28,8 @@ def number_of(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("int")
 
 
-def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes") -> DataFrame:
-    """The events table as events of a variant."""
+def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes", threads: int = 0) -> DataFrame:
+    """The events table as events of a variant. threads: how many threads a run's events are dealt to; 0: none are named."""
     k = F.col("k")
     kind = None
     for source, (even, odd) in VARIANTS[variant].items():
@@ -41,7 +41,7 @@ def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes") -> DataFram
     return rows.select(
         "run_id",
         F.row_number().over(order).cast("long").alias("seq"),
-        F.lit(None).cast("long").alias("thread_id"),
+        (F.col("event_id") % threads if threads else F.lit(None)).cast("long").alias("thread_id"),
         "event_id",
         kind.alias("event_type"),
         F.concat(F.lit("f"), (k % 5).cast("string")).alias("file"),
