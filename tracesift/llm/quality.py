@@ -152,7 +152,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", t
 
     rows = texts.mapInArrow(count, T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())]))
     found = {}
-    for row in rows.groupBy("id", "label").agg(F.min("counts").alias("counts")).toLocalIterator():
+    for row in rows.groupBy("id", "label").agg(F.min("counts").alias("counts")).collect():
         found[row.id, row.label] = np.frombuffer(row.counts, dtype=np.float16)
     order = sorted(found)
     if not order:

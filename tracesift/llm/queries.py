@@ -193,6 +193,52 @@ from judged j left join h on h.host = j.host"""
 
 SQL["op5_urls"] = _url_sql(urlfilter.ROUNDS)
 
+SQL["op9_jaccard"] = rf"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{urlfilter._UPPER}', '{urlfilter._LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select doc_id, case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w
+), n as (
+  select doc_id, len(sh) as n from s
+), g as (
+  select doc_id, unnest(sh) as g from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 85 * (x.n + y.n - o)
+), e as (
+  select a, b from l union all select b, a from l
+), r as (
+  select doc_id as d, doc_id as c from documents union select e.b, r.c from r join e on e.a = r.d
+)
+select n.doc_id, cast(n.n as bigint) as n_shingles, min(c) as component_id from n join r on r.d = n.doc_id group by all"""
+
+SQL["op10_lines"] = f"""
+with x as (
+  select doc_id, string_split(text, chr(10)) as ls from documents
+), o as (
+  select doc_id, unnest(range(len(ls))) as line, unnest(ls) as s from x
+), solid as (
+  select * from o where length(translate(s, concat({_BLANK}), '')) > 0
+), f as (
+  select s, min({{'d': doc_id, 'n': line}}) as fst, length(s) as z from solid group by s
+), k as (
+  select s, fst, z, z as m, 'P' as part, left(s, z // 2) as t from f where z >= {linededup.FUZZY_CHARS} union all
+  select s, fst, z, z, 'S', right(s, z // 2) from f where z >= {linededup.FUZZY_CHARS} union all
+  select s, fst, z, z - 1, 'P', left(s, (z - 1) // 2) from f where z > {linededup.FUZZY_CHARS} union all
+  select s, fst, z, z - 1, 'S', right(s, (z - 1) // 2) from f where z > {linededup.FUZZY_CHARS}
+), c as (
+  select distinct a.s as a, b.s as b, a.z as za, b.z as zb, b.fst < a.fst as later from k a join k b on a.m = b.m and a.part = b.part and a.t = b.t and a.s <> b.s and a.m = least(a.z, b.z) and a.z <= b.z
+), one as (
+  select a, b, later from c where case when za = zb then len(list_filter(range(1, za + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+    else list_bool_or(list_transform(range(0, zb), lambda i: left(b, i) || substr(b, i + 2) = a)) end
+), near as (
+  select case when later then a else b end as s from one group by 1
+), gone as (
+  select doc_id, list(line order by line) as ns from solid join f using (s) left join near using (s) where near.s is not null or {{'d': doc_id, 'n': line}} <> f.fst group by doc_id
+)
+select x.doc_id, coalesce(cast(len(ls) as bigint), 0) as n_lines, coalesce(cast(len(ns) as bigint), 0) as n_removed, coalesce(array_to_string(ns, ','), '') as removed from x left join gone using (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -38,7 +38,7 @@ def summed_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], N
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     out = np.zeros((_PARTS, size // _PARTS), dtype=kind)
-    for row in df.mapInArrow(count, _PART).groupBy("part").applyInArrow(add, _PART).toLocalIterator():
+    for row in df.mapInArrow(count, _PART).groupBy("part").applyInArrow(add, _PART).collect():
         out[row.part] = np.frombuffer(zlib.decompress(row.packed), dtype=kind)
     return out.ravel()
 
@@ -72,7 +72,7 @@ def ored_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], Non
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     out = np.zeros((_PARTS, size // _PARTS), dtype=np.uint8)
-    for row in df.mapInArrow(mark, _PART).groupBy("part").applyInArrow(join, _PART).toLocalIterator():
+    for row in df.mapInArrow(mark, _PART).groupBy("part").applyInArrow(join, _PART).collect():
         out[row.part] = np.frombuffer(zlib.decompress(row.packed), dtype=np.uint8)
     return out.ravel()
 
