@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from .common import add_columns, list_array
 
 #: Entries that a Python worker keeps of words, of their parts and of stable pairs; all are caches only.
-WORDS_KEPT = 120_000
-PARTS_KEPT = 260_000
-PAIRS_KEPT = 400_000
+WORDS_KEPT = 60_000
+PARTS_KEPT = 150_000
+PAIRS_KEPT = 250_000
 
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")

@@ -4,9 +4,9 @@ Words are runs of bytes other than white space, A-Z lower-cased; a text's set ho
 ``words`` words, or its whole word sequence if that is shorter. Two texts link if 100 * |intersection| >=
 percent * |union|. Texts of the same word sequence are one node.
 
-Order: a shingle is at most as frequent as its rarest word. Occurrences of all words of the corpus are counted
-into a table of 2^20 counters, whose size is fixed; shingles are ordered by the least count among their words,
-then by hash. Rare ones come first.
+Order: occurrences of all shingles of the corpus are counted into a table of 2^22 counters, and those of all words, none of
+which a shingle can outnumber, into one of 2^20; the tables' sizes are fixed. Shingles are ordered by the least of the
+counts of themselves and their words, then by hash. Rare ones come first, and passages that many texts share last.
 
 Candidates: two sets that link share a shingle within their prefixes in that order, where a set of n has a prefix
 of n - ceil(n * percent / 100) + 1. Prefix shingles are the join's keys; lengths and positions prune pairs. Not all
@@ -36,14 +36,16 @@ from pyspark.sql import types as T
 
 from .bytehash import BASE, SLICE_BYTES, lower_ascii, mix, powers, ranges, space_bytes, text_buffers, word_hashes
 from .common import list_array, slices, stored, text_batches
-from .components import components
+from .components import components, tasks_for
 from .sketches import key_filter, passes, summed_table
 
 WORDS, PERCENT = 5, 80
-#: Counters of words, as a power of two.
-COUNTER_BITS = 20
+#: Counters of words and of shingles, as powers of two.
+WORD_BITS, SHINGLE_BITS = 20, 22
 HUB_ROUNDS = 2
 CELLS = 64
+#: Pairs that a task filters, and pairs of whole sets that a task compares.
+PAIRS_EACH, SETS_EACH = 50_000, 2_000
 _LAST = 2**63 - 1
 
 
@@ -57,39 +59,51 @@ def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, hashes, first
 
 
-def sets_in(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text in a slice: the node (a hash of its word sequence), the size of its set, and the sets, one
-    after another, each in order: the rarity in the top byte, then the hash."""
+def shingles_in(hashes: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text in a slice the node, a hash of its word sequence; of each shingle its text, first word, end and hash."""
     n = np.diff(first)
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
-    nodes = ranges(sums, first[:-1], first[1:])
-    shingles = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    text = np.repeat(np.arange(len(n)), shingles)
-    start = np.repeat(first[:-1] - np.cumsum(shingles) + shingles, shingles) + np.arange(len(text))
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    text = np.repeat(np.arange(len(n)), count)
+    start = np.repeat(first[:-1] - np.cumsum(count) + count, count) + np.arange(len(text))
     end = np.minimum(start + words, first[1:][text])
-    rarity = np.full(len(start), 255, dtype=np.uint8)
-    of_word = counts[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    return ranges(sums, first[:-1], first[1:]), text, start, end, ranges(sums, start, end)
+
+
+def sets_in(hashes: np.ndarray, first: np.ndarray, rarity: tuple[np.ndarray, np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text in a slice: the node, the size of its set, and the sets, one after another, each in order: the rarity
+    in the top byte, then the hash."""
+    nodes, text, start, end, made = shingles_in(hashes, first, words)
+    of_word, of_shingle = rarity
+    common = of_shingle[(made >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)]
+    per_word = of_word[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
     for k in range(words):
-        np.minimum(rarity, of_word[np.minimum(start + k, end - 1)], out=rarity)
-    grams = (rarity.astype(np.uint64) << np.uint64(56)) | (ranges(sums, start, end) >> np.uint64(8))
+        np.minimum(common, per_word[np.minimum(start + k, end - 1)], out=common)
+    grams = (common.astype(np.uint64) << np.uint64(56)) | (made >> np.uint64(8))
     order = np.lexsort((grams, text))
     grams, text = grams[order], text[order]
     fresh = np.ones(len(grams), dtype=bool)
     fresh[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
     grams, text = grams[fresh], text[fresh]
-    return nodes, np.bincount(text, minlength=len(n)), grams
+    return nodes, np.bincount(text, minlength=len(nodes)), grams
 
 
-def word_rarity(texts: DataFrame) -> np.ndarray:
-    """For each word counter, how common its words are: 8 times the binary logarithm, in a byte."""
+def rarities(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter of words, and of shingles, how common they are: 8 times the binary logarithm, in a byte."""
 
-    def update(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    def count_words(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, _, hashes, _ in words_in(batch.column(0)):
-            table += np.bincount((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(table)).astype(table.dtype)
+            np.add(table, np.bincount((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(table)).astype(table.dtype), out=table)
+
+    def count_shingles(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, _, hashes, first in words_in(batch.column(0)):
+            made = shingles_in(hashes, first, words)[4]
+            at, times = np.unique((made >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), return_counts=True)
+            table[at] += times.astype(table.dtype)
 
-    counts = summed_table(texts, update, COUNTER_BITS)
-    return np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
+    scale = lambda counts: np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
+    return scale(summed_table(texts, count_words, WORD_BITS)), scale(summed_table(texts, count_shingles, SHINGLE_BITS))
 
 
 def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
@@ -118,7 +132,7 @@ def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """doc_id, n_shingles, component_id and n_links (the node's links that were needed and verified) for every row of df."""
     spark = df.sparkSession
     text_batches(spark)
-    rarity = spark.sparkContext.broadcast(word_rarity(df.select(text_col)))
+    rarity = spark.sparkContext.broadcast(rarities(df.select(text_col), words))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +183,7 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
     some = shared.select("node").distinct()
     nodes = docs.join(some, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc_id"), F.max("size").alias("size"), F.min("cells").alias("cells"))
     nodes = stored(nodes, "nodes")
+    known = nodes.count()
     side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
 
     def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +198,10 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
             good = [linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
+    def verify(pairs: DataFrame, count: int) -> DataFrame:
+        """Those of so many pairs (a, b) that link."""
         both = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(side(nodes, "b"), "node_b").join(side(nodes, "a"), "node_a")
-        near = stored(both.select("node_a", "node_b", "size_a", "size_b", "cells_a", "cells_b", "doc_id_a", "doc_id_b").mapInArrow(may_link, "node_a long, node_b long, doc_id_a long, doc_id_b long"), "near")
+        near = stored(both.select("node_a", "node_b", "size_a", "size_b", "cells_a", "cells_b", "doc_id_a", "doc_id_b").coalesce(tasks_for(max(count, known), PAIRS_EACH)).mapInArrow(may_link, "node_a long, node_b long, doc_id_a long, doc_id_b long"), "near")
         ends = near.select(F.explode(F.array(F.struct(F.col("node_a").alias("node"), F.col("doc_id_a").alias("doc_id")), F.struct(F.col("node_b").alias("node"), F.col("doc_id_b").alias("doc_id")))).alias("e")).select("e.*").distinct()
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +226,9 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
 
         sets = texts.mapInArrow(full_sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.BinaryType())]))
         sets = stored(sets, "sets")
+        left = near.count()
         full = near.select("node_a", "node_b").join(side(sets, "b"), "node_b").join(side(sets, "a"), "node_a")
-        return full.select("node_a", "node_b", "grams_a", "grams_b").mapInArrow(test, "node_a long, node_b long").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return full.select("node_a", "node_b", "grams_a", "grams_b").coalesce(tasks_for(left, SETS_EACH)).mapInArrow(test, "node_a long, node_b long").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().coalesce(tasks_for(left))
 
     low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
     need = F.ceil(F.lit(percent) * (F.col("size") + F.col("other_size")) / (100 + percent))
@@ -239,12 +255,13 @@ def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: Data
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             if turn >= HUB_ROUNDS:
                 break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(verify(pairs), "links")
+        new = stored(verify(pairs, count), "links")
         links = new if links is None else links.unionByName(new)
         roots = _merged(roots, new)
     base = docs.select("doc_id", "node", "size")
