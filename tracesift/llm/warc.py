@@ -12,8 +12,8 @@ reads on past the end of it for the last one. Members are decoded as streams in
 Repeated payloads: of records with equal payloads of at least ``least`` bytes, the one with the smallest id
 is a response and the others revisit it.
 
-Defined cases: a null payload is empty; a null url is an empty one. Of rows that repeat an id, all but one
-revisit if their payloads are equal. Rows with a null id are responses and never referred to unless all
+Defined cases: a null payload is empty; a null url is an empty one. Rows that repeat the id and the payload of a
+response are responses too. Rows with a null id are responses and never referred to unless all
 rows of a payload have null ids.
 """
 
@@ -36,6 +36,8 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + b"\x00" * 8
 #: Bytes of an archive that one task scans, and bytes that it reads at a time.
 SPLIT_BYTES, STEP_BYTES = 8 << 20, 1 << 18
+#: Ranges that one task scans in a large archive.
+RANGES_EACH = 16
 #: Bytes of members in one row of the text sink.
 ROW_BYTES = 4 << 20
 _LEVEL = 4
@@ -191,7 +193,10 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     file system, as pyarrow knows it (local folders, HDFS, S3, GCS)."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     parts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    parts = parts.withColumn("end", F.col("start") + split_bytes).repartition("path", "start")
+    # Rows of a few bytes stand for ranges of megabytes: a number of tasks is given, or they would be put together again.
+    count = parts.count()
+    tasks = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // RANGES_EACH)))
+    parts = parts.withColumn("end", F.col("start") + split_bytes).repartition(tasks, "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
