@@ -386,9 +386,9 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select doc_id, case when length(p) > 255 then md5(s) else p end as name from (
   select doc_id, s, regexp_replace(regexp_replace(s, '[^\x00-\x7f]', '', 'g'), '[^A-Za-z0-9]', '_', 'g') as p from (select doc_id, substr(text, 1, 300) as s from documents))""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names from the first 300 characters of texts; those that stay long become checksums."""
+    """File names from whole texts; those that stay long become checksums. The SQL names the first 300 characters only."""
     docs = testdata.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", reports.safe_name(F.substring("text", 1, 300)).alias("name"))
+    return docs.select("doc_id", reports.safe_name(F.col("text")).alias("name"))
 
 
 @query("""select window_start, event_type, count(*) as n from (select time_bucket(interval '10 minutes', ts) as window_start, event_type from events) group by all""")

@@ -70,7 +70,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as runs that define string variables: language, source, first word and an empty one at times."""
+    """Documents as runs that define string variables: language, source, first word, an empty one at times, and the
+    whole text. The SQL lacks the last."""
     docs = table(spark, sf_dir, "documents")
     first = F.coalesce(F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit(""))
     strings = F.array(
@@ -78,6 +79,7 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("source").alias("var"), F.lit(2).alias("line"), F.col("source").alias("v")),
         F.struct(F.lit("first").alias("var"), F.lit(3).alias("line"), first.alias("v")),
         F.struct(F.lit("odd").alias("var"), F.lit(4).alias("line"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("n_chars").cast("string")).alias("v")),
+        F.struct(F.lit("text").alias("var"), F.lit(5).alias("line"), F.col("text").alias("v")),
     )
     return docs.select("doc_id", F.posexplode(strings).alias("pos", "s")).select(
         F.col("doc_id").alias("run_id"), (F.col("pos") + 1).cast("long").alias("seq"), F.lit("DEF").alias("event_type"), F.lit("docs").alias("file"), F.col("s.line").alias("line"),
