@@ -1,7 +1,10 @@
 """Queries over small tables where a part of the job would give another result."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from tracesift.operators import vectors
 from tracesift.plans import localization
 
 
@@ -16,3 +19,25 @@ def test_whole_texts(spark, tmp_path):
     for kind, want in (("EMPTY_STRING", 1), ("ASCII_STRING", 5), ("DIGIT_STRING", 1), ("SPECIAL_STRING", 5)):
         made = localization.counts_of(spark, str(tmp_path), kind).where(F.col("feature") == f"{kind}:docs:5:text").collect()
         assert [r.ef for r in made] == [want], kind
+
+
+def events_table(spark, path, rows):
+    """rows: event id, run, kind of row and k."""
+    made = [(e, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=e), user, kind, 70.0, f'{{"k": {k}}}') for e, user, kind, k in rows]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+
+
+def test_all_features_and_pairs(spark, tmp_path):
+    events_table(spark, tmp_path, [(1, 3, "click", 10), (2, 3, "click", 18), (3, 7, "click", 18), (4, 7, "purchase", 4), (5, 40, "signup", 5), (6, 41, "click", 10)])
+    rows = {r.run_id: r.asDict() for r in localization.QUERIES["feature_matrix"](spark, str(tmp_path)).collect()}
+    assert rows[3]["LINE:f3:19"] == rows[7]["LINE:f3:19"] == 1 and rows[41]["LINE:f3:19"] == 0
+    assert {c.split(":")[0] for c in rows[3]} == {"run_id", "failing", "LINE", "CONDITION", "LENGTH"} and rows[40]["CONDITION:f4:5:c4:is"] == -1
+    pairs = localization.QUERIES["vector_differences"](spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(3, 7), (7, 40), (40, 41)]
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_next_runs(spark):
+    ids = [n * n for n in range(500)]
+    got = vectors.next_runs(spark.createDataFrame([(i,) for i in ids], "run_id long").repartition(7)).collect()
+    assert sorted((r.a, r.b) for r in got) == list(zip(ids, ids[1:], strict=False))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PREDICATES
+from ..shared import stored
 from .extractors import EXTRACTORS
 
 TRUE, FALSE, UNDEFINED = 1, 0, -1
+#: Spark plans no table of many more columns; complete() holds any number of features as rows.
+MOST_COLUMNS = 20_000
 
 
 def feature_values(observations: DataFrame) -> DataFrame:
@@ -28,6 +31,14 @@ def complete(values: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select("run_id").crossJoin(features).join(values, ["run_id", "feature", "type"], "left").select("run_id", "feature", "type", F.coalesce("value", default_value(F.col("type"))).alias("value"))
 
 
+def feature_names(values: DataFrame) -> list[str]:
+    """All features of the values, in order. They grow with the program, not with its runs."""
+    found = sorted(r.feature for r in values.select("feature").distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} features for columns; vectors.complete has them as rows")
+    return found
+
+
 def wide(values: DataFrame, runs: DataFrame, features: list[str]) -> DataFrame:
     """A row per run: run_id, failing, and a column for each of the features given, by name."""
     cells = values.where(F.col("feature").isin(*features))
@@ -37,6 +48,17 @@ def wide(values: DataFrame, runs: DataFrame, features: list[str]) -> DataFrame:
     return joined.select("run_id", "failing", *(F.coalesce(F.col(f"`{f}`"), F.lit(UNDEFINED if kind[f] in PREDICATES else FALSE)).alias(f) for f in sorted(features)))
 
 
+def next_runs(runs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each run and that with the next id. Ids are dealt out by ranges, and only the least of each range
+    meet in one window."""
+    ids = runs.select("run_id").where("run_id is not null").distinct()
+    dealt = stored(ids.repartitionByRange("run_id").select("run_id", F.spark_partition_id().alias("part")), "run-ranges")
+    inside = dealt.select("part", F.col("run_id").alias("a"), F.lead("run_id").over(Window.partitionBy("part").orderBy("run_id")).alias("b"))
+    least = dealt.groupBy("part").agg(F.min("run_id").alias("least"))
+    after = least.select("part", F.lead("least").over(Window.orderBy("part")).alias("after"))  # a row per range
+    return inside.join(F.broadcast(after), "part").select("a", F.coalesce("b", "after").alias("b")).where("b is not null")
+
+
 def differences(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Hamming distances of pairs of runs (a, b) over the features that either observed."""
     left = pairs.join(values.select(F.col("run_id").alias("a"), "feature", F.col("value").alias("va"), "type"), "a")

@@ -265,9 +265,10 @@ _WIDE = [f"CONDITION:f{k % 5}:{k % 19 + 1}:c{k % 6}:is" for k in (0, 1, 2, 3)] +
 
 @query(f"with {sql.observations(*FLOW)}, {_VALUES} select r.run_id, cast(any_value(r.failing) as integer) as failing, " + ", ".join(f"coalesce(max(case when feature = '{f}' then value end), {-1 if f.startswith('CONDITION') else 0}) as \"{f}\"" for f in _WIDE) + " from runs r left join vals v using (run_id) group by r.run_id")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by some features. The columns are given, so that no pass over the data is needed to name them."""
+    """Runs by all features that any run observed. The SQL has the columns of _WIDE only."""
     values, runs = _values(spark, sf_dir)
-    return vectors.wide(values, runs, _WIDE)
+    values = stored(values, "feature-values")
+    return vectors.wide(values, runs, vectors.feature_names(values))
 
 
 @query(f"""with {sql.observations(*FLOW)}, {_VALUES}, nx as (select run_id as a, lead(run_id) over (order by run_id) as b from runs
@@ -276,9 +277,7 @@ select a, b, cast(sum(cast(coalesce(l.value, {_FILL}) <> coalesce(r.value, {_FIL
 def vector_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run against the one with the next id."""
     values, runs = _values(spark, sf_dir)
-    ids = runs.select(F.col("run_id").alias("a"))
-    following = ids.join(runs.select(F.col("run_id").alias("b")), (F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + 1))
-    return vectors.differences(values, following)
+    return vectors.differences(values, vectors.next_runs(runs))
 
 
 # Proximity weights.
