@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracesift.operators import vectors
 from tracesift.plans import localization
+from tracesift.sources import binary_log
 
 
 def test_whole_texts(spark, tmp_path):
@@ -41,3 +42,19 @@ def test_next_runs(spark):
     ids = [n * n for n in range(500)]
     got = vectors.next_runs(spark.createDataFrame([(i,) for i in ids], "run_id long").repartition(7)).collect()
     assert sorted((r.a, r.b) for r in got) == list(zip(ids, ids[1:], strict=False))
+
+
+def test_mappings_over_the_bound(spark):
+    """They are joined, with the same events as broadcast ones."""
+    kinds = {0: "LINE", 7: "CONDITION", 300: "DEF", 2**40: "LEN", 2**63 - 1: "LINE"}
+    number = binary_log.put_number
+    log = b"".join(binary_log.encode_record(k, i, 9, binary_log.write_scalar(1.5), "float", True, 300) for i, k in kinds.items())
+    padded = b"\x0b" + bytes(10) + b"\x07\x01" + b"\x00" + number(300)  # ids with leading zeros, and of no bytes; then it breaks off
+    logs = spark.createDataFrame([(1, log), (1, log), (2, padded), (3, b""), (4, number(99) + log), (None, log)], "run_id long, content binary")
+    known = spark.createDataFrame([(i, k, i % 100) for i, k in kinds.items()], "event_id long, event_type string, line long")
+    want = sorted(str(r.asDict()) for r in binary_log.decode_logs(logs.where("run_id is not null"), known).collect())
+    assert len(want) == 12
+    for most in (0, 3):
+        got = binary_log.decode_logs(logs.where("run_id is not null"), known, most).collect()
+        assert sorted(str({k: r[k] for k in got[0].asDict()}) for r in got) == want
+    assert binary_log.decode_logs(logs, known, 0).count() == 17

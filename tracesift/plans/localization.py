@@ -344,10 +344,11 @@ _STATIC = ("event_id", "event_type", "file", "line", "function", "function_id",
 
 @query(f"with {sql.trace('scopes')} select run_id, seq, event_id, event_type, line, case when event_type in ('DEF', 'FUNCTION_EXIT') then value_num end as value_num, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr")
 def source_binary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events encoded as binary logs, a log per run, and decoded by the mapping of their static parts."""
+    """Events encoded as binary logs, a log per run, and decoded by the mapping of their static parts. Here each event has an
+    id of its own, so the mapping grows with the logs and is joined in Spark."""
     events = testdata.trace(spark, sf_dir, "scopes")
     logs = stored(binary_log.encode_logs(events), "binary-logs")
-    return binary_log.decode_logs(logs, events.select(*_STATIC)).select("run_id", "seq", "event_id", "event_type", "line", "value_num", "var_id")
+    return binary_log.decode_logs(logs, events.select(*_STATIC), most=0).select("run_id", "seq", "event_id", "event_type", "line", "value_num", "var_id")
 
 
 @query(f"with {sql.trace('scopes')} select case when event_id % 3 = 0 then event_id + 1000000 else event_id end as event_id, event_type, case when event_type = 'DEF' then 'other' else file end as file, line from tr")

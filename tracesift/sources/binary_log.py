@@ -13,11 +13,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A mapping describes a program's source, not its runs; a larger one isn't broadcast.
+#: A mapping describes a program's source, not its runs; a larger one isn't broadcast, but joined.
 MAPPING_ROWS = 2_000_000
 DYNAMIC = "seq long, event_id long, var_id long, value_num double, value_str string, value_bin binary, value_bool boolean, value_type string, length long"
 
@@ -143,23 +144,52 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
-def decode_logs(logs: DataFrame, mapping: DataFrame) -> DataFrame:
+def possible_ids(data: bytes) -> np.ndarray:
+    """Every number that can be read at some byte of a log: its events' ids are among them."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    found = [np.zeros(min(1, int((raw == 0).sum())), dtype=np.uint64)]
+    for n in range(1, 9):
+        at = np.flatnonzero(raw[: max(len(raw) - n, 0)] == n)
+        value = np.zeros(len(at), dtype=np.uint64)
+        for i in range(1, n + 1):
+            value = value << np.uint64(8) | raw[at + i]
+        found.append(value)
+    long = [(at, int(raw[at])) for at in np.flatnonzero(raw > 8).tolist() if at + 1 < len(raw) and not raw[at + 1]]
+    wide = [int.from_bytes(data[at + 1 : at + 1 + n], "big") for at, n in long if at + 1 + n <= len(raw) and not any(data[at + 1 : at + n - 7])]
+    every = np.unique(np.concatenate([*found, np.array(wide, dtype=np.uint64)]))
+    return every[every < np.uint64(2**63)].astype(np.int64)
+
+
+def with_kinds(logs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """logs with ids and kinds, of the mapping's events that each log may hold. Nothing of the mapping is collected."""
+    named = logs.withColumn("_log", F.xxhash64(*logs.columns))  # logs of one hash share their kinds, which does no harm
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for log, content in zip(pdf["_log"], pdf["content"], strict=True):
+                yield pd.DataFrame({"event_id": possible_ids(bytes(content))}).assign(_log=log)
+
+    ids = named.select("_log", "content").mapInPandas(find, "event_id long, _log long").distinct()
+    known = ids.join(mapping.select("event_id", "event_type"), "event_id").groupBy("_log").agg(F.collect_list(F.struct("event_id", "event_type")).alias("k"))  # no larger than the log
+    return named.join(known.select("_log", F.col("k.event_id").alias("_ids"), F.col("k.event_type").alias("_kinds")), "_log").drop("_log")
+
+
+def decode_logs(logs: DataFrame, mapping: DataFrame, most: int = MAPPING_ROWS) -> DataFrame:
     """logs: content, beside columns that tell the run. mapping: event_id, event_type and the static columns. All events,
-    in the order of seq within a log, with static and dynamic columns."""
-    n = mapping.limit(MAPPING_ROWS + 1).count()
-    if n > MAPPING_ROWS:
-        raise ValueError(f"a mapping of more than {MAPPING_ROWS} events")
-    kinds = {r.event_id: r.event_type for r in mapping.select("event_id", "event_type").collect()}
+    in the order of seq within a log, with static and dynamic columns. A mapping of over most rows is joined in Spark."""
+    small = most > 0 and mapping.limit(most + 1).count() <= most
+    kinds = {r.event_id: r.event_type for r in mapping.select("event_id", "event_type").collect()} if small else None
     shared = logs.sparkSession.sparkContext.broadcast(kinds)
     keys = [f for f in logs.schema.fields if f.name != "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [k.name for k in keys] + [c.split()[0] for c in DYNAMIC.split(", ")]
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
+            own = [shared.value] * len(pdf) if small else (dict(zip(i.tolist(), k, strict=True)) for i, k in zip(pdf.pop("_ids"), pdf.pop("_kinds"), strict=True))
+            for row, known in zip(pdf.itertuples(index=False), own, strict=True):
                 key = {k.name: getattr(row, k.name) for k in keys}
                 made: list[dict] = []
-                for record in decode(bytes(row.content), shared.value):
+                for record in decode(bytes(row.content), known):
                     made.append(key | record)
                     if len(made) == 50_000:
                         yield pd.DataFrame(made, columns=names)
@@ -168,8 +198,8 @@ def decode_logs(logs: DataFrame, mapping: DataFrame) -> DataFrame:
                     yield pd.DataFrame(made, columns=names)
 
     schema = ", ".join([*(f"`{k.name}` {k.dataType.simpleString()}" for k in keys), DYNAMIC])
-    found = logs.mapInPandas(run, schema)
-    return found.join(F.broadcast(mapping), "event_id")  # at most MAPPING_ROWS
+    found = (logs if small else with_kinds(logs, mapping)).mapInPandas(run, schema)
+    return found.join(F.broadcast(mapping) if small else mapping, "event_id")
 
 
 def encode_logs(events: DataFrame) -> DataFrame:
