@@ -80,3 +80,19 @@ def test_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(n, "a b c " + t) for n, t in items], "doc_id long, text string")
     for r in D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect():
         assert r.doc_id in [x.item_id for x in r.leaks]
+
+
+def test_recall_of_each_length():
+    """With all the edits that are allowed, whatever the length."""
+    vocabulary = [f"w{n}" for n in range(5000)]
+    for size in (8, 12, 15, 20, 23, 24, 31, 32, 39, 40, 47, 48, 50, 55, 56, 63, 64):
+        rnd = random.Random(size)
+        items = [(n, " ".join(rnd.choice(vocabulary) for _ in range(size))) for n in range(150)]
+        texts = []
+        for _, text in items:
+            body = [rnd.choice(vocabulary) for _ in range(rnd.randint(40, 80))]
+            at = rnd.randint(0, len(body))
+            body[at:at] = edited(rnd, text.split(), size * D.EDIT_PERCENT // 100)
+            texts.append(" ".join(body))
+        found = D.leaks_in(D.build_index(items), pa.array(texts))
+        assert sum(any(x["item_id"] == n for x in leaks) for n, leaks in enumerate(found)) >= 0.9 * len(items), size

@@ -31,7 +31,8 @@ from .common import add_columns, slices
 
 #: Percent of an item's words that may be edited.
 EDIT_PERCENT = 20
-#: Window sizes of items with at least STRIDE - 1 words more; shorter items have windows of their own size at every word.
+#: Window sizes of items. STRIDE is that of a document's windows, of which three lie wholly inside a passage, or else two,
+#: or one; items too short for that have windows of their own size at every word.
 SIZES, STRIDE = (8, 12, 16, 24, 32, 40), 8
 WALKS, SAMPLES = 5, 3
 #: More than the steps of any walk.
@@ -122,11 +123,17 @@ class Index:
     table: np.ndarray  # which 20-bit beginnings of keys occur
 
 
+def item_sizes(words: int) -> list[int]:
+    """The window sizes for an item of so many words; the last is the best."""
+    inside = lambda windows: [s for s in SIZES if s + windows * STRIDE - 1 <= words]
+    return inside(3) or inside(2) or inside(1)
+
+
 def build_index(items: list[tuple[int | None, str]]) -> Index:
     words = [words_of(text or "") for _, text in items]
     keys, owners, sizes = [], [], {STRIDE: set(), 1: set()}
     for number, item in enumerate(words):
-        fitting = [s for s in SIZES if s + STRIDE - 1 <= len(item)]
+        fitting = item_sizes(len(item))
         if not len(item):
             continue
         size = fitting[-1] if fitting else len(item)
