@@ -46,6 +46,17 @@ def test_allow_list():
     assert secrets.find_secrets("é qX7bT9zLp2VwR4sKd8Nf0Gh3J end") == [("entropy", 2, 27)]
 
 
+def test_beside_allowed_parts():
+    """A placeholder, letters alone or a slug clear no random key beside or in them."""
+    key, letters, token = "qX7bT9zLp2VwR4sKd8Nf0Gh3J", "qXkbTvzLpcVwRusKdyNfmGhaJ", "sk-2024-9f86d081884c7d659a2feaa0c5"
+    spans = lambda text: [text[a:b] for kind, a, b in secrets.find_secrets(text) if kind == "entropy"]
+    assert spans(f"/srv/example/{key}") == spans(f"{key}/example/dummy-01234567890123456789") == [key]
+    assert spans(f"/srv/example/{key}/dummy={key[::-1]}") == [key, key[::-1]]
+    assert spans(f"/srv/example/key={key}")[0].endswith(key)
+    assert spans(letters) == [letters] and spans(token) == [token.rsplit("-", 1)[1]]
+    assert not spans("/usr/share/example/some-words-of-a-path/and-others") and not spans("one-two-three-four-five-six-seven")
+
+
 def test_spark_rows(spark):
     rows = [(1, None), (2, ""), (3, "token=abcdefgh1"), (3, "token=abcdefgh1"), (4, "x " * 60_000 + "secret: 'abcdefgh'")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("secrets", F.lit("clash")).repartition(2)

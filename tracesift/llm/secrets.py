@@ -4,7 +4,8 @@ The fixed kinds are a keyword with an assigned value, access keys of one vendor'
 strings. The entropy kind slides a window over every candidate, a run of key characters; the window's
 counts are kept up to date character by character, and its Shannon entropy follows from one running sum
 of c * log2(c). A candidate's class, hexadecimal or mixed, sets the entropy that its windows need.
-Candidates on the allow list are left alone.
+Candidates on the allow list are left alone. A placeholder clears only its piece between / and =, and what stands before and
+after is scanned apart. In words without a digit and in slugs, windows lie within one unbroken segment.
 
 Spans count code points, ends are exclusive. Defined cases: a null or empty text has no spans; other
 columns pass through; repeated rows are scanned alike; very long texts are scanned whole.
@@ -34,11 +35,14 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _HEX_ONLY = re.compile(r"[0-9a-fA-F-]+\Z")
 _ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),  # UUIDs
-    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*\Z"),  # words without a digit
     re.compile(r"[-_=/+0-9]+\Z"),  # rules and plain numbers
-    re.compile(r".*(example|placeholder|changeme|dummy|xxxx|0{8}|1234567890|abcdefghij)", re.I | re.A),
+)
+_PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|xxxx|0{8}|1234567890|abcdefghij", re.I | re.A)
+_SEGMENTED = (
+    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*\Z"),  # words without a digit
     re.compile(r"([a-z0-9]+[/_-]){2,}[a-z0-9]*\Z"),  # paths and slugs in lower case
 )
+_PIECE, _SEGMENT = re.compile(r"[^/=]+"), re.compile(r"[A-Za-z0-9]+")
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -64,6 +68,23 @@ def entropy_span(text: str) -> tuple[int, int] | None:
     return (first, last) if last >= 0 else None
 
 
+def entropy_spans(text: str) -> list[tuple[int, int]]:
+    """The spans of a candidate that are random enough and not on the allow list."""
+    parts = [(0, len(text))]
+    if _PLACEHOLDER.search(text):
+        held = [(m.start(), m.end()) for m in _PIECE.finditer(text) if _PLACEHOLDER.search(m[0])]
+        parts = list(zip([0, *(end for _, end in held)], [*(start for start, _ in held), len(text)], strict=True))
+        parts = [(b - len(text[a:b].lstrip("/=")), a + len(text[a:b].rstrip("/="))) for a, b in parts]
+    found = []
+    for a, b in parts:
+        part = text[a:b]
+        if len(part) < WINDOW or any(allowed.match(part) for allowed in _ALLOWED):
+            continue
+        runs = [(m.start(), m[0]) for m in _SEGMENT.finditer(part) if not m[0].isdigit()] if any(s.match(part) for s in _SEGMENTED) else [(0, part)]
+        found += [(a + at + span[0], a + at + span[1]) for at, run in runs if (span := entropy_span(run))]
+    return found
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then in the order of KINDS."""
     found = []
@@ -73,8 +94,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     for m in _CANDIDATE.finditer(text):
-        if not any(allowed.match(m[0]) for allowed in _ALLOWED) and (span := entropy_span(m[0])):
-            found.append(("entropy", m.start() + span[0], m.start() + span[1]))
+        found += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0])]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return found
 
