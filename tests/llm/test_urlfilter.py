@@ -71,5 +71,30 @@ def test_against_plain_iteration(spark):
     assert {r.host: r.score for r in got.collect()} == pytest.approx(want)
 
 
+def test_settled_scores(spark):
+    """A chain of more links than any fixed few rounds reach, a star of small seeds, and a cycle of two hosts."""
+    edges = [(f"h{i}", f"h{i + 1}") for i in range(20)] + [("x", "y"), ("y", "x")] + [("x", f"s{i}") for i in range(3)]
+    seeds = {"h0": 1e-15, "x": 1 - 1e-15}
+    out = {s: sum(a == s for a, _ in edges) for s, _ in edges}
+    want = dict(seeds)
+    for _ in range(400):
+        new = {h: s * (1 - urlfilter.DAMPING) for h, s in seeds.items()}
+        for s, t in edges:
+            if s in want:
+                new[t] = new.get(t, 0) + want[s] / out[s] * urlfilter.DAMPING
+        want = new
+    got = urlfilter.propagate(
+        spark.createDataFrame([("trust", *e, 1) for e in edges], "kind string, src string, dst string, n long"), spark.createDataFrame([("trust", h, s) for h, s in seeds.items()], "kind string, host string, seed double")
+    )
+    assert {r.host: r.score for r in got.collect()} == pytest.approx(want, rel=1e-6, abs=0)
+
+
+def test_far_hosts(spark):
+    """Who leads to a blocked host over twelve others is blocked too."""
+    rows = [(i, f"http://far{i}.net/", links(f"far{i + 1}.net")) for i in range(12)] + [(12, "http://far12.net/", links("bad.com")), (13, "http://bad.com/de/1", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in urlfilter.judge_urls(df, URL_RULES).collect()} == {"block"}
+
+
 def test_empty(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0

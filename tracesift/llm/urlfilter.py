@@ -2,7 +2,7 @@
 
 Rules judge the urls that they fit. All others follow their host: personalised PageRank spreads trust from
 the hosts that allow rules fit along links, and distrust from the hosts that block rules fit against them
-(who links to a blocked host is suspect). Hosts whose share of distrust, in the sum of both, is LEAST_SHARE
+(who links to a blocked host is suspect), until no host's score changes by more than TOLERANCE of itself. Hosts whose share of distrust, in the sum of both, is LEAST_SHARE
 or more are blocked. Edges are the links between different hosts, counted once per pair, and each host counts as linked
 with its parent domain both ways.
 
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Rounds of the SQL, which cannot tell when scores have settled.
 ROUNDS = 6
+#: Relative change of a score over ROUNDS_EACH rounds, made in one plan, below which it has settled.
+TOLERANCE, ROUNDS_EACH = 1e-7, 4
 DAMPING = 0.85
 LEAST_SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,22 +79,34 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.unionByName(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score: personalised PageRank. links: kind, src, dst, n; seeds: kind, host, seed (summing to 1 a kind)."""
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """kind, host, score: personalised PageRank, settled unless rounds are given. links: kind, src, dst, n; seeds: kind, host,
+    seed (summing to 1 a kind)."""
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     edges = stored(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
     seeds = stored(seeds, "seeds")
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for turn in range(rounds):
-        moved = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
-        kept = seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
-        scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.round(F.sum("score"), 12).alias("score"))
-        if turn % 2:  # plans of two rounds each
-            scores = stored(scores, "scores")
-    return scores
+    kept = seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
 
+    def after(scores: DataFrame, turns: int) -> DataFrame:
+        for _ in range(turns):
+            moved = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
+            scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        return scores
 
-def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
+    if rounds is not None:
+        for turn in range(0, rounds, ROUNDS_EACH):
+            scores = stored(after(scores, min(ROUNDS_EACH, rounds - turn)), "scores")
+        return scores
+    while True:
+        both = stored(after(scores, ROUNDS_EACH).join(scores.withColumnRenamed("score", "last"), ["kind", "host"], "left"), "scores")
+        change = both.where("score > 0").agg(F.max(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score")).alias("c")).first().c
+        scores = both.drop("last")
+        if change is None or change <= TOLERANCE:  # a host that is new changes by all of its score
+            return scores
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, rounds: int | None = None) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust. keep: the columns that stay, all unless given."""
     made = ["host", "path", "rule", "verdict", "trust", "distrust"]
     kept = [c for c in (pages.columns if keep is None else keep) if c not in made]
@@ -106,5 +121,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_c
     hosts = scores.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
     joined = judged.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("by_rule", F.when((distrust > 0) & (distrust >= LEAST_SHARE * (trust + distrust)), "block").otherwise("allow"))
+    verdict = F.coalesce("by_rule", F.when((distrust > 0) & (F.round(distrust / F.nullif(trust + distrust, F.lit(0.0)), 6) >= LEAST_SHARE), "block").otherwise("allow"))
     return joined.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
