@@ -60,9 +60,9 @@ def made_texts(seed, count):
     return texts[:count]
 
 
-@pytest.mark.parametrize(("seed", "words", "percent", "rounds"), [(1, 4, 85, 3), (2, 5, 80, 3), (3, 2, 60, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, words, percent, rounds):
-    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize(("seed", "words", "percent", "parts"), [(1, 4, 85, 512), (2, 5, 80, 512), (3, 2, 60, 64)])
+def test_against_brute_force(spark, monkeypatch, seed, words, percent, parts):
+    monkeypatch.setattr(jaccard, "PARTS", parts)  # with few, sets of different sizes have different numbers of parts
     rnd = random.Random(seed)
     rows = [(i, t) for i, t in enumerate(made_texts(seed, 220))]
     rnd.shuffle(rows)
@@ -70,6 +70,44 @@ def test_against_brute_force(spark, monkeypatch, seed, words, percent, rounds):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df, words, percent).collect()]
     assert sorted(got, key=str) == brute(rows, words, percent)
+    if seed == 1:
+        return
+    stay = jaccard.drop_near_copies(df, words, percent)
+    assert stay.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in stay.collect()]
+    first = {c for d, n, c in brute([r for r in rows if r[0] is not None], words, percent) if n}
+    empty = [r for r in rows if not (r[1] or "").strip()]
+    assert sorted(kept, key=str) == sorted([r for r in {x for x in rows if x[0] in first}] + empty + [r for r in rows if r[0] is None], key=str)
+
+
+def test_links(spark):
+    rows = list(enumerate(made_texts(5, 150)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs, members = jaccard.jaccard_links(df, 3, 70)
+    node = {r.doc_id: r.node for r in members.collect()}
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in pairs.collect()}
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[bytes(node[i])] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    assert got == want and len(want) > 20
+
+
+def test_rows_that_share_an_id(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, "quite another text than the first of all", "b"), (1, text, "c"), (2, text.upper(), "d"), (3, text, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = [(r.doc_id, r.text) for r in jaccard.drop_near_copies(df).collect()]
+    assert sorted(got) == sorted([(1, text), (1, rows[1][1])])
+
+
+def test_sequences_that_sums_would_confuse(spark):
+    """Words, and letters in a word, in Thue-Morse order and its opposite: sums with powers of one number are equal for them."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(1, " ".join("ab"[b] for b in bits)), (2, " ".join("ba"[b] for b in bits)), (3, "".join("ab"[b] for b in bits)), (4, "".join("ba"[b] for b in bits))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_join(df, words=2048).collect()} == {1, 2, 3, 4}
 
 
 def test_empty(spark):

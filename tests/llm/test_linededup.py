@@ -25,7 +25,7 @@ def brute(rows, edits):
         first[line] = min(first.get(line, at), at)
     near = set()
     if edits:
-        long = [t for t in first if len(t) >= linededup.FUZZY_CHARS]
+        long = [t for t in first if len(t) > edits]
         for a in long:
             if any(b != a and first[b] < first[a] and within_one(a, b) for b in long):
                 near.add(a)
@@ -73,6 +73,19 @@ def test_rewriting(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_sums_would_confuse(spark):
+    """Thue-Morse lines that differ at every place: sums with powers of one number are equal for them."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    df = spark.createDataFrame([(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))], "doc_id long, text string")
+    assert linededup.duplicate_lines(df).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, "a line that all share"), (1, "own words\na line that all share"), (1, "other words of mine\nand more of them"), (2, "and more of them")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("Places", F.lit(1))
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()) == [(0, rows[0][1]), (1, rows[2][1]), (1, "own words")]
+
+
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same line of text here"), (1, "same line of text here"), (2, "same line of text here")], "doc_id long, text string")
     assert [(r.doc_id, r.line) for r in linededup.duplicate_lines(df).collect()] == [(2, 0)]

@@ -1,45 +1,76 @@
-"""Vectorized 64-bit hashes of words and byte ranges over the buffers of an Arrow batch.
+"""Vectorized 64-bit hashes of words and lines over the buffers of an Arrow batch.
 
-A byte b at position i of a buffer adds T[b] * P^i (mod 2^64) to a running sum, so the hash of
-any range is a difference of two sums times P^-start: one pass over the bytes serves every word,
-prefix, suffix or window of a text.
+A symbol s at place i of a word or line adds r(s, i) to its hash, where r mixes both into 64 random bits. Unlike a
+polynomial in a fixed base, such a sum has no structured collisions; and sums over any run of places are differences
+of two running sums. Where a hash stands for a text's identity it is a cryptographic digest instead (digest()).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Text bytes that are hashed at once; the work arrays are some 40 times that.
 SLICE_BYTES = 1 << 20
+_SYMBOL, _PLACE, _CHAIN = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    """base^0 .. base^(count-1), mod 2^64; the longest table made is kept."""
-    table = _POWERS.get(base)
-    if table is None or len(table) < count:
-        table = np.full(max(count, SLICE_BYTES + 2), base, dtype=np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        if len(table) > 8 * SLICE_BYTES:
-            return table[:count]
-        _POWERS[base] = table
-    return table[:count]
+_TABLE_PLACES = 64
+_TABLE: np.ndarray | None = None
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def placed(symbols: np.ndarray, places: np.ndarray, seed: int = 0) -> np.ndarray:
+    """r(symbol, place) of each symbol; another seed gives another r."""
+    h = symbols.astype(np.uint64)
+    h *= _SYMBOL
+    h += places.astype(np.uint64) * _PLACE + np.uint64(seed * 0x2545F4914F6CDD1D % 2**64)
+    return mix(h)
+
+
+def placed_bytes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """placed() of bytes, from a table for the first places."""
+    global _TABLE
+    if _TABLE is None:
+        _TABLE = placed(np.tile(np.arange(256), _TABLE_PLACES), np.repeat(np.arange(_TABLE_PLACES), 256))
+    out = _TABLE[(np.minimum(places, _TABLE_PLACES - 1) << 8) + data]
+    late = np.flatnonzero(places >= _TABLE_PLACES)
+    if len(late):
+        out[late] = placed(data[late], places[late])
+    return out
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Running sums: entry i covers the first i values."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums
+
+
+def digest(data: bytes | np.ndarray) -> bytes:
+    """16 bytes that tell texts apart."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def chained(hashes: np.ndarray, count: int) -> list[np.ndarray]:
+    """For 1 to count words: a hash of so many words from each word on (words past the end are left out)."""
+    out = [mix(hashes)]
+    for k in range(1, count):
+        last = out[-1].copy()
+        if k < len(hashes):
+            last[:-k] = mix(last[:-k] * _CHAIN + hashes[k:])
+        out.append(last)
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,19 +86,6 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def running(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Running sums: entry i covers the first i bytes."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * powers(BASE, len(data)), out=sums[1:])
-    return sums
-
-
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, whatever their places."""
-    inverse = powers(BASE_INVERSE, len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-
-
 def lower_ascii() -> np.ndarray:
     """A byte table that maps A-Z to a-z."""
     table = np.arange(256, dtype=np.uint8)
@@ -103,5 +121,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tu
     edge[offsets] = True
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1]))) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(inside & np.concatenate((~inside[1:] | edge[1:-1], [True]))) + 1 if len(data) else np.zeros(0, np.int64)
-    hashes = ranges(running(data), starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    sums = running(placed_bytes(data[inside], place))
+    return mix(sums[first + size] - sums[first] + size.astype(np.uint64)), starts, ends, np.searchsorted(starts, offsets)

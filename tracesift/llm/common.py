@@ -1,9 +1,7 @@
-"""Helpers that the training-data operators share: shared folders, lineage cuts, Arrow plumbing."""
+"""Helpers that the training-data operators share: Arrow plumbing, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,43 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows per Arrow batch handed to Python. Text rows are a few KB, so a batch is a few MB.
-ARROW_ROWS = 1000
+from ..shared import drop_stored, shared_dir, stored
 
+__all__ = ["add_columns", "drop_stored", "fresh", "list_array", "row_sizes", "shared_dir", "slices", "stored", "text_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+#: Rows and bytes per Arrow batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a folder of this machine is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="tracesift-")
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written as a Parquet table to the shared folder and read back.
 
-    It cuts the lineage, so a lost executor costs no recomputation, and the plan. A checkpointed DataFrame
-    would hand the constraints of its plan on, which in loops makes plans take ever longer to optimize.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session in rows and bytes, unless the user has set bounds of their own. The setting
+    stays, since results are computed after the call."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(own))
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, unless the user has set a bound of their own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -80,7 +64,7 @@ def add_columns(df: DataFrame, source: str, fields: list[tuple[str, T.DataType]]
     text_batches(df.sparkSession)
     new = [name for name, _ in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source_name = "__source"
+    source_name = fresh(df, "source")
     inner = df.select(*kept, F.col(source).alias(source_name))
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(name, kind) for name, kind in fields)])
     names = [*kept, *new]

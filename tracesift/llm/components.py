@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 #: Rows of a small table that one task handles; without it every round would deal a few rows to as many tasks as the session shuffles to.
 TASK_ROWS = 100_000
@@ -32,10 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         chosen = stored(both.groupBy("v").agg(F.min(order("w")).alias("best")).select("v", F.least("best", order("v"))["node"].alias("to")).coalesce(tasks_for(2 * count)), "chosen")
         rounds.append(chosen)
         left = edges.join(chosen.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(chosen.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct().coalesce(tasks_for(count)), "edges")
+        old, edges = edges, stored(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct().coalesce(tasks_for(count)), "edges")
+        drop_stored(old)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     made = rounds[0].select(F.col("v").alias("node"), F.col("to").alias("root"))
     for step in rounds[1:]:
         made = made.join(step.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return stored(made, "components")
+    made = stored(made, "components")
+    drop_stored(edges, *rounds)
+    return made

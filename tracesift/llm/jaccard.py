@@ -2,26 +2,31 @@
 
 Words are runs of bytes other than white space, A-Z lower-cased; a text's set holds its distinct shingles of
 ``words`` words, or its whole word sequence if that is shorter. Two texts link if 100 * |intersection| >=
-percent * |union|. Texts of the same word sequence are one node.
+percent * |union|. Texts of the same word sequence are one node, named by a 128-bit digest.
 
 Order: occurrences of all shingles of the corpus are counted into a table of 2^22 counters, and those of all words, none of
 which a shingle can outnumber, into one of 2^20; the tables' sizes are fixed. Shingles are ordered by the least of the
 counts of themselves and their words, then by hash. Rare ones come first, and passages that many texts share last.
 
 Candidates: two sets that link share a shingle within their prefixes in that order, where a set of n has a prefix
-of n - ceil(n * percent / 100) + 1. Prefix shingles are the join's keys; lengths and positions prune pairs. Not all
-pairs of a shingle's texts are made. A few rounds compare each node only with one hub, a node that shares prefix
-shingles with it, and join the nodes that link into components. What is left are shingles whose texts lie in different
-components: there each text outside the shingle's largest component is compared with all texts of other components.
-So a group of copies costs as much as its size, and no pair that could join two components goes unseen.
+of n - ceil(n * percent / 100) + 1. Prefix shingles are the join's keys. Three filters prune pairs inside the join: lengths;
+positions; and suffixes. The last is a division of all shingles into parts by hash, where a node carries for each part whether
+it holds an odd number; parts in which two nodes differ bound from below in how many shingles they differ.
 
-Verification: pairs are distinct. A suffix filter first bounds their overlap: every text carries the counts of its elements
-in 64 parts of the hash range, and two sets share at most the lesser count of each part. Only texts of pairs that pass send
-their whole sets, and each such pair is intersected exactly, once.
+jaccard_join() finds components, for which not all pairs of a shingle's texts are needed. First each node meets hubs only: of
+each prefix shingle's nodes the one that has it furthest in front, and so the fewest rare shingles of its own. The hub nearest by the
+suffix filter is verified. Nodes that link make components. What is left are shingles whose nodes lie in different
+components: there each node outside the shingle's largest component meets all nodes of other components that pass the
+filters. So a group of copies costs as much as its size, and no pair that could join two components goes unseen.
+jaccard_links() returns all links between nodes instead, from the same join without hubs; it grows with the links there are.
+
+Verification: pairs are distinct, and each is verified once. Only texts of such pairs are read again for their whole sets. A suffix
+filter on them divides what follows the first common shingle at shingles of one of them and compares the parts' sizes;
+what passes is intersected exactly.
 
 Defined cases: a text that is null or without words has the size 0 and links with nothing, not even its likes.
 Rows that repeat a text link with each other. Rows with a null id belong to components, whose id is the smallest
-that isn't null; a component of null ids only has a null id. All other columns are ignored.
+that isn't null; a component of null ids only has a null id. All other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,23 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytehash import BASE, SLICE_BYTES, lower_ascii, mix, powers, ranges, space_bytes, text_buffers, word_hashes
-from .common import list_array, slices, stored, text_batches
+from .bytehash import SLICE_BYTES, chained, digest, lower_ascii, space_bytes, text_buffers, word_hashes
+from .common import drop_stored, fresh, list_array, slices, stored, text_batches
 from .components import components, tasks_for
-from .sketches import key_filter, passes, summed_table
+from .sketches import whole_table
 
 WORDS, PERCENT = 5, 80
 #: Counters of words and of shingles, as powers of two.
 WORD_BITS, SHINGLE_BITS = 20, 22
-HUB_ROUNDS = 2
-CELLS = 64
-#: Pairs that a task filters, and pairs of whole sets that a task compares.
-PAIRS_EACH, SETS_EACH = 50_000, 2_000
-_LAST = 2**63 - 1
+#: The least number of parts of the suffix filter; larger sets have as many as shingles, rounded up to a power of two.
+PARTS = 512
+#: Pairs of whole sets that a task compares, and row keys that are broadcast (16 bytes each); more are joined by a shuffle.
+PAIRS_EACH, KEYS_BROADCAST = 4_000, 1_000_000
 
 
 def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -59,217 +63,294 @@ def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield a, b, hashes, first
 
 
-def shingles_in(hashes: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text in a slice the node, a hash of its word sequence; of each shingle its text, first word, end and hash."""
+def nodes_in(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A digest of each text's word sequence."""
+    return [digest(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def shingles_in(hashes: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each shingle in a slice its text, first word and hash."""
     n = np.diff(first)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     text = np.repeat(np.arange(len(n)), count)
     start = np.repeat(first[:-1] - np.cumsum(count) + count, count) + np.arange(len(text))
-    end = np.minimum(start + words, first[1:][text])
-    return ranges(sums, first[:-1], first[1:]), text, start, end, ranges(sums, start, end)
+    levels = chained(hashes, words)
+    made = levels[-1][start]
+    for k in range(1, words):  # short texts
+        some = n[text] == k
+        made[some] = levels[k - 1][start[some]]
+    return text, start, made
 
 
-def sets_in(hashes: np.ndarray, first: np.ndarray, rarity: tuple[np.ndarray, np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text in a slice: the node, the size of its set, and the sets, one after another, each in order: the rarity
+def sets_in(hashes: np.ndarray, first: np.ndarray, rarity: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text in a slice the size of its set, and the sets, one after another, each in order: the rarity
     in the top byte, then the hash."""
-    nodes, text, start, end, made = shingles_in(hashes, first, words)
-    of_word, of_shingle = rarity
-    common = of_shingle[(made >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)]
-    per_word = of_word[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    text, start, made = shingles_in(hashes, first, words)
+    common = rarity[(1 << WORD_BITS) + (made >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)]
+    per_word = rarity[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    end = np.minimum(start + words, first[1:][text]) - 1
     for k in range(words):
-        np.minimum(common, per_word[np.minimum(start + k, end - 1)], out=common)
+        np.minimum(common, per_word[np.minimum(start + k, end)], out=common)
     grams = (common.astype(np.uint64) << np.uint64(56)) | (made >> np.uint64(8))
     order = np.lexsort((grams, text))
     grams, text = grams[order], text[order]
-    fresh = np.ones(len(grams), dtype=bool)
-    fresh[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    grams, text = grams[fresh], text[fresh]
-    return nodes, np.bincount(text, minlength=len(nodes)), grams
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    grams, text = grams[new], text[new]
+    return np.bincount(text, minlength=len(first) - 1), grams
 
 
-def rarities(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each counter of words, and of shingles, how common they are: 8 times the binary logarithm, in a byte."""
+def rarities(texts: DataFrame, words: int) -> np.ndarray:
+    """For each counter of words, then of shingles, how common they are: 8 times the binary logarithm, in a byte."""
 
-    def count_words(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, _, hashes, _ in words_in(batch.column(0)):
-            np.add(table, np.bincount((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(table)).astype(table.dtype), out=table)
-
-    def count_shingles(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    def count(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, _, hashes, first in words_in(batch.column(0)):
-            made = shingles_in(hashes, first, words)[4]
-            at, times = np.unique((made >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), return_counts=True)
-            table[at] += times.astype(table.dtype)
+            table[: 1 << WORD_BITS] += np.bincount((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS).astype(table.dtype)
+            at, times = np.unique((shingles_in(hashes, first, words)[2] >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), return_counts=True)
+            table[(1 << WORD_BITS) + at] += times.astype(table.dtype)
 
-    scale = lambda counts: np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
-    return scale(summed_table(texts, count_words, WORD_BITS)), scale(summed_table(texts, count_shingles, SHINGLE_BITS))
+    counts = whole_table(texts, count, (1 << WORD_BITS) + (1 << SHINGLE_BITS))
+    return np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
 
 
 def prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - (size * percent + 99) // 100 + 1, 0)
 
 
-def cell_counts(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many of each set's elements fall into each of CELLS parts of the hash range."""
-    text = np.repeat(np.arange(len(size)), size)
-    cell = (grams & np.uint64(CELLS - 1)).astype(np.int64)
-    return np.bincount(text * CELLS + cell, minlength=len(size) * CELLS).reshape(len(size), CELLS).astype("<u4")
+def odd_parts(grams: np.ndarray) -> np.ndarray:
+    """Of a set, for each part whether it holds an odd number of shingles: bits, in 64-bit words."""
+    parts = max(PARTS, 1 << max(len(grams) - 1, 0).bit_length())
+    odd = np.bincount((grams & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def least_overlap(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+def least_overlap(size_a: int, size_b: int, percent: int) -> int:
     """What two sets of these sizes must share to link."""
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
-def linked(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many elements two ordered sets differ at least: divided at seven elements of y, each part by its sizes."""
+    cuts = y[np.arange(1, 8) * len(y) // 8]
+    both = [np.diff(np.searchsorted(s, cuts), prepend=0, append=len(s)) for s in (x, y)]
+    return int(np.abs(both[0] - both[1]).sum())
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ordered sets link."""
     need = least_overlap(len(x), len(y), percent)
-    return min(len(x), len(y)) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need
+    if min(len(x), len(y)) < need or suffix_bound(x, y) > len(x) + len(y) - 2 * need:
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (the node's links that were needed and verified) for every row of df."""
-    spark = df.sparkSession
-    text_batches(spark)
-    rarity = spark.sparkContext.broadcast(rarities(df.select(text_col), words))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, hashes, first in words_in(batch.column(1)):
-                nodes, size, grams = sets_in(hashes, first, rarity.value, words)
-                keep = prefix_size(size, percent)
-                at = np.cumsum(size) - size
-                inside = np.arange(len(grams)) - np.repeat(at, size) < np.repeat(keep, size)
-                made = list_array(grams[inside].view(np.int64), keep, pa.int64())
-                cells = pa.array([row.tobytes() for row in cell_counts(grams, size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes.view(np.int64)), pa.array(size.astype(np.int32)), made, cells], names=["doc_id", "node", "size", "grams", "cells"])
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("cells", T.BinaryType())])
-    docs = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prefixes, schema), "prefixes")
-
-    # Rows of shingles that several nodes have in their prefixes; a running window streams, however large the group.
-    rows = docs.where("size > 0").select(F.posexplode("grams").alias("pos", "gram"), "node", "size")
-    order = Window.partitionBy("gram").orderBy("node")
-    rows = rows.withColumn("before", F.lag("node").over(order)).withColumn("after", F.lead("node").over(order))
-    rows = rows.withColumn("hub", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("(before is null or before != node) and ((before is not null) or (after is not null))")
-    # A row that only copies of its own node follow goes with the next aggregation.
-    shared = stored(rows.select("gram", "node", "size", "pos"), "shared")
-    several = shared.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("gram")
-    shared = stored(shared.join(several, "gram", "left_semi"), "several")
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    return _joined(spark, texts, docs, shared, rarity, words, percent)
-
-
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """node, root after new links: only the components that they touch are worked on."""
-    if roots is None:
-        return components(links)
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(between)
-    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
-    return stored(moved.unionByName(joined.join(roots, "node", "left_anti")), "roots")
-
-
-def _copy_key(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Tells one row among those that have a node's text."""
-    return mix(nodes ^ mix(ids.astype(np.int64).view(np.uint64)))
-
-
-def _joined(spark: SparkSession, texts: DataFrame, docs: DataFrame, shared: DataFrame, rarity, words: int, percent: int) -> DataFrame:
-    # Of each node that may be in a pair: one row that has its text, and its counts.
-    some = shared.select("node").distinct()
-    nodes = docs.join(some, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc_id"), F.max("size").alias("size"), F.min("cells").alias("cells"))
-    nodes = stored(nodes, "nodes")
-    known = nodes.count()
-    side = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in df.columns})
-
-    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CELLS) for c in ("cells_a", "cells_b")]
-            need = least_overlap(*(batch.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b")), percent)
-            good = np.minimum(*cells).sum(axis=1) >= need
-            yield batch.select(["node_a", "node_b", "doc_id_a", "doc_id_b"]).filter(pa.array(good))
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    def verify(pairs: DataFrame, count: int) -> DataFrame:
-        """Those of so many pairs (a, b) that link."""
-        both = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(side(nodes, "b"), "node_b").join(side(nodes, "a"), "node_a")
-        near = stored(both.select("node_a", "node_b", "size_a", "size_b", "cells_a", "cells_b", "doc_id_a", "doc_id_b").coalesce(tasks_for(max(count, known), PAIRS_EACH)).mapInArrow(may_link, "node_a long, node_b long, doc_id_a long, doc_id_b long"), "near")
-        ends = near.select(F.explode(F.array(F.struct(F.col("node_a").alias("node"), F.col("doc_id_a").alias("doc_id")), F.struct(F.col("node_b").alias("node"), F.col("doc_id_b").alias("doc_id")))).alias("e")).select("e.*").distinct()
-
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = _copy_key(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["key"])
+def _key(text: Column | str = "text") -> Column:
+    """Tells rows apart; only repeated rows share it."""
+    return F.xxhash64("doc_id", text)
+
 
-        wanted = spark.sparkContext.broadcast(key_filter(ends.mapInArrow(keys, "key long")))
+class _Join:
+    """The state of one join: the rarity table, a row per document, and prefix shingles that nodes share."""
 
-        def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, df: DataFrame, words: int, percent: int, id_col: str, text_col: str):
+        self.spark, self.words, self.percent = df.sparkSession, words, percent
+        text_batches(self.spark)
+        self.texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.rarity = self.spark.sparkContext.broadcast(rarities(df.select(text_col), words))
+        self.docs = stored(self._prefixes(), "prefixes")
+        self.shared = stored(self._shared(), "shared")
+        self.nodes = stored(self._nodes(), "nodes")
+
+    def _prefixes(self) -> DataFrame:
+        rarity, words, percent = self.rarity, self.words, self.percent
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()  # nodes of this task: a copy needn't repeat what its node has
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for a, b, hashes, first in words_in(batch.column(1)):
-                    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-                    np.cumsum(hashes * powers(BASE, len(hashes)), out=sums[1:])
-                    own = ranges(sums, first[:-1], first[1:])
-                    use = np.flatnonzero(passes(wanted.value, _copy_key(own, ids[a:b])) & (np.diff(first) > 0))
-                    if len(use):
-                        made, size, grams = sets_in(hashes, first, rarity.value, words)
-                        at = np.cumsum(size) - size
-                        yield pa.RecordBatch.from_arrays([pa.array(made[use].view(np.int64)), pa.array([grams[at[i] : at[i] + size[i]].tobytes() for i in use], pa.binary())], names=["node", "grams"])
-
-        sets = texts.mapInArrow(full_sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.BinaryType())]))
-        sets = stored(sets, "sets")
-        left = near.count()
-        full = near.select("node_a", "node_b").join(side(sets, "b"), "node_b").join(side(sets, "a"), "node_a")
-        return full.select("node_a", "node_b", "grams_a", "grams_b").coalesce(tasks_for(left, SETS_EACH)).mapInArrow(test, "node_a long, node_b long").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().coalesce(tasks_for(left))
-
-    low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
-    need = F.ceil(F.lit(percent) * (F.col("size") + F.col("other_size")) / (100 + percent))
-    # By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it.
-    fits = (100 * low >= percent * high) & (F.least("pos", "other_pos") + F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos")) >= need)
-
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        labelled = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if turn < HUB_ROUNDS:
-            hubs = labelled.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))).alias("hub")).select("gram", "hub.*").drop("h")
-            found = labelled.join(hubs, "gram").where((F.col("root") != F.col("other_root")) & fits)
-            # One hub for each node: the one that shares most of its prefix.
-            found = found.groupBy("node", "other").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-        else:
-            most = labelled.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("m.root").alias("main"))
-            inner = labelled.join(most, "gram")
-            few = inner.where("root != main").drop("main")
-            every = inner.select("gram", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-            found = few.join(every, "gram").where((F.col("root") != F.col("other_root")) & fits).select("node", "other")
-        pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+                for a, b, hashes, first in words_in(batch.column(2)):
+                    nodes = nodes_in(hashes, first)
+                    size, grams = sets_in(hashes, first, rarity.value, words)
+                    new = size > 0
+                    for i, node in enumerate(nodes):
+                        if node in seen:
+                            new[i] = False
+                        else:
+                            seen.add(node)
+                    keep = np.where(new, prefix_size(size, percent), 0)
+                    at = np.cumsum(size) - size
+                    inside = np.arange(len(grams)) - np.repeat(at, size) < np.repeat(keep, size)
+                    odd = [odd_parts(grams[at[i] : at[i] + size[i]]) if new[i] else None for i in range(b - a)]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(size.astype(np.int32)),
+                        list_array(grams[inside].view(np.int64), keep, pa.int64()), pa.array(odd, pa.list_(pa.int64())),
+                    ], names=["doc_id", "key", "node", "size", "grams", "odd"])
+                    if len(seen) > 500_000:
+                        seen.clear()
+
+        return self.texts.select("doc_id", _key().alias("key"), "text").mapInArrow(prefixes, "doc_id long, key long, node binary, size int, grams array<long>, odd array<long>")
+
+    def _shared(self) -> DataFrame:
+        """gram, node, size, pos: prefix shingles that several nodes of suitable lengths have."""
+        nodes = self.docs.where("size > 0 and size(grams) > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
+        rows = nodes.select("node", "size", F.posexplode("grams").alias("pos", "gram"))
+        order = Window.partitionBy("gram").orderBy("size", "node")
+        less, more = F.lag("size").over(order), F.lead("size").over(order)
+        rows = rows.withColumn("less", less).withColumn("more", more)
+        return rows.where((100 * F.col("less") >= self.percent * F.col("size")) | (100 * F.col("size") >= self.percent * F.col("more"))).select("gram", "node", "size", "pos")
+
+    def _nodes(self) -> DataFrame:
+        """node, key of one of its rows, odd, and half, odd for half as many parts: nodes that have shared prefix shingles."""
+        some = self.shared.select("node").distinct()
+        made = self.docs.where("size(grams) > 0").join(some, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), F.first("odd").alias("odd"))
+        parts = F.size("odd").cast("int") / 2
+        half = F.zip_with(F.slice("odd", 1, parts.cast("int")), F.slice("odd", (parts + 1).cast("int"), parts.cast("int")), lambda x, y: x.bitwiseXOR(y))
+        return made.select("node", "key", "odd", half.alias("half"))
+
+    def fits(self) -> Column:
+        """By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it."""
+        low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
+        reach = F.least("pos", "other_pos") + F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos"))
+        return (100 * low >= self.percent * high) & (reach >= F.ceil(F.lit(self.percent) * (F.col("size") + F.col("other_size")) / (100 + self.percent)))
+
+    def differ(self) -> Column:
+        """In how many shingles two nodes differ at least."""
+        a, b = F.size("odd"), F.size("other_odd")
+        x, y = F.when(a > b, F.col("half")).otherwise(F.col("odd")), F.when(b > a, F.col("other_half")).otherwise(F.col("other_odd"))
+        count = F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, n: s + n)
+        return F.when(F.size(x) == F.size(y), count).otherwise(0)
+
+    def near(self) -> Column:
+        """By suffix: what may differ."""
+        total = F.col("size") + F.col("other_size")
+        return self.differ() <= total - 2 * F.ceil(F.lit(self.percent) * total / (100 + self.percent))
+
+    def other(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({c: f"other_{c}" for c in rows.columns if c != "gram"})
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the stored distinct pairs (a, b) that link."""
+        rarity, words, percent = self.rarity, self.words, self.percent
         count = pairs.count()
         if not count:
-            if turn >= HUB_ROUNDS:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(verify(pairs, count), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = _merged(roots, new)
-    base = docs.select("doc_id", "node", "size")
-    if roots is None or links is None:
-        named = base.withColumn("root", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        named = base.join(roots.join(degree, "node", "left"), "node", "left").select("doc_id", "size", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "root", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
+            return pairs
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stored(self.nodes.join(ends, "node", "left_semi").select(F.col("key").alias("wanted")), "wanted")
+        rows = self.texts.where("text is not null")
+        few = F.broadcast(wanted) if wanted.count() <= KEYS_BROADCAST else wanted
+        rows = rows.join(few, _key() == F.col("wanted"), "left_semi").select("text")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, hashes, first in words_in(batch.column(0)):
+                    size, grams = sets_in(hashes, first, rarity.value, words)
+                    at = np.cumsum(size) - size
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes_in(hashes, first), pa.binary()), pa.array([grams[i : i + n].tobytes() for i, n in zip(at, size, strict=True)], pa.binary())], names=["node", "grams"])
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [linked(*(np.frombuffer(s.as_buffer(), dtype="<u8") for s in both), percent) for both in zip(batch.column(2), batch.column(3), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+        found = stored(rows.mapInArrow(sets, "node binary, grams binary"), "sets")
+        side = lambda x: found.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
+        full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b")
+        if (tasks := tasks_for(count, PAIRS_EACH)) < 8:
+            full = full.coalesce(tasks)
+        out = stored(full.mapInArrow(test, "a binary, b binary").distinct().coalesce(tasks_for(count)), "links")
+        drop_stored(found, wanted)
+        return out
+
+    def candidates(self, rows: DataFrame, others: DataFrame, extra: Column | None = None) -> DataFrame:
+        """Distinct pairs (a, b) of rows and others (columns other_...) that share a shingle and pass all filters."""
+        odd = self.nodes.select("node", "odd", "half")
+        both = rows.join(odd, "node").join(others.join(self.other(odd), "other_node"), "gram")
+        both = both.where(self.fits() & self.near() if extra is None else extra & self.fits() & self.near())
+        return both.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+    def hub_pairs(self) -> DataFrame:
+        """For each node the nearest of its hubs."""
+        at = F.struct("pos", F.xxhash64("node").alias("h"), F.col("node").alias("other_node"), F.col("size").alias("other_size"))
+        hubs = self.shared.groupBy("gram").agg(F.min(at).alias("hub")).select("gram", F.col("hub.pos").alias("other_pos"), "hub.other_node", "hub.other_size")
+        met = self.shared.join(hubs, "gram").where((F.col("node") != F.col("other_node")) & self.fits())
+        met = met.groupBy("node", "other_node").agg(F.first("size").alias("size"), F.first("other_size").alias("other_size"))
+        odd = self.nodes.select("node", "odd", "half")
+        met = met.join(odd, "node").join(self.other(odd), "other_node").where(self.near())
+        best = met.groupBy("node").agg(F.min_by("other_node", F.struct(self.differ().alias("d"), "other_node")).alias("other"))
+        return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    def cross_pairs(self, roots: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components, each of which may link."""
+        rows = self.shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        most = rows.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("gram", "main")
+        inner = rows.join(most, "gram")
+        # Of two nodes outside the main component one meets the other only.
+        apart = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("other_main")) | (F.col("node") < F.col("other_node")))
+        return self.candidates(inner.where("root != main").drop("main"), self.other(inner), apart)
+
+
+def _components(join: _Join) -> DataFrame:
+    """node, root for nodes that link with others."""
+    pairs = stored(join.hub_pairs(), "pairs")
+    links = join.verified(pairs)
+    roots = components(links)
+    cross = stored(join.cross_pairs(roots), "cross")
+    more = join.verified(cross)
+    if more is not cross:
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(between)
+        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        old = roots
+        roots = stored(moved.unionByName(joined.join(old, "node", "left_anti")), "roots")
+        drop_stored(joined, old)
+    drop_stored(pairs, links, cross, more)
+    return roots
+
+
+def _named(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, node and size for every row of df, the node null for sizes of 0; and node, root of nodes that link with others."""
+    join = _Join(df, words, percent, id_col, text_col)
+    roots = _components(join)
+    docs = join.docs.select("doc_id", "key", F.when(F.col("size") > 0, F.col("node")).alias("node"), "size")
+    drop_stored(join.shared, join.nodes)
+    return docs, roots
+
+
+def jaccard_join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of df."""
+    docs, roots = _named(df, words, percent, id_col, text_col)
+    # The least id of a node, then of a component; copies are put together before they are sent.
+    least = docs.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = least.join(of_root, "root").select("node", "component_id")
+    out = docs.join(named, "node", "left")
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_links(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) of different nodes that link; and doc_id, node for every row of df, null for texts without words."""
+    join = _Join(df, words, percent, id_col, text_col)
+    pairs = stored(join.candidates(join.shared, join.other(join.shared), F.col("node") < F.col("other_node")), "pairs")
+    return join.verified(pairs), join.docs.select("doc_id", F.when(F.col("size") > 0, F.col("node")).alias("node"))
+
+
+def drop_near_copies(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: that with the smallest id, then the smallest hash of id and text. Rows that share an
+    id but not a component all stay. Of rows that repeat both id and text one stays. Rows without words, or without an id, stay."""
+    some = df.where(F.col(id_col).isNotNull())
+    docs, roots = _named(some, words, percent, id_col, text_col)
+    rows = docs.where("size > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("n"))
+    rows = stored(rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("doc_id", "key").alias("at"), "n"), "members")
+    stay = rows.groupBy("root").agg(F.min("at").alias("at"))
+    own, gone_id, gone_key = fresh(df, "key"), fresh(df, "gone_id"), fresh(df, "gone_key")
+    named = [F.col("at.doc_id").alias(gone_id), F.col("at.key").alias(gone_key)]
+    gone = rows.join(stay, ["root", "at"], "left_anti").select(*named)
+    again = stored(rows.where("n > 1").join(stay, ["root", "at"], "left_semi").select(*named), "again")
+    keyed = df.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.col(own) == F.col(gone_key))
+    kept = keyed.join(gone, same, "left_anti")
+    if not again.isEmpty():  # few: rows that were there twice
+        twice = kept.join(again, same, "left_semi")
+        kept = kept.join(again, same, "left_anti").unionByName(twice.dropDuplicates([id_col, own]))
+    return kept.select(*df.columns)

@@ -1,59 +1,80 @@
 """Line dedup by a deletion-neighbourhood join: lines equal to an earlier line, or one edit away from one, go.
 
 Lines are what line feeds part; blank ones always stay. Lines are ordered by document id, then by place. A line
-goes if an earlier line has the same characters, or if both have at least FUZZY_CHARS characters and the edit distance
-(code points inserted, deleted or replaced) is at most max_edits, 0 or 1. The earliest stays. Whether the earlier line
-itself stays doesn't matter, so the result doesn't depend on the order of work.
+goes if an earlier line has the same characters, or if both have more than max_edits characters (else an edit could be the
+whole line) and their edit distance (code points inserted, deleted or replaced) is at most max_edits, 0 or 1. The
+earliest stays. Whether the earlier line itself stays doesn't matter, so the result doesn't depend on the order of work.
 
 Two lines are within one edit if deleting one character from one gives the other, or deleting one from each at the same
 place gives the same variant. Emitting a key for every variant of every line would be as many keys as characters, so it
 is done in two steps with the same result:
 
-1. Blocks. A line is cut into 4 to 8 blocks; for each, the line without it is a key (a hash of what precedes and what
-   follows; the width depends on the length, lines next to a change of widths emit keys for both). All variants of a block
-   share its key. A bit table of fixed size and the join of equal keys leave the lines that could have a partner.
+1. Blocks. A line is cut into 4 to 8 blocks (or single characters, if short); for each, the line without it is a key (a hash of
+   what precedes and what follows; the width depends on the length, lines next to a change of widths emit keys for both). All
+   variants of a block share its key. A bit table and the join of equal keys leave the lines that could have a partner.
 2. Variants. Those lines emit all variants, hashed, with the place of the deletion. Rows of equal variants are ordered
    by their lines: the first is the earliest partner of all others. No pairs within a group are made.
 
-The pairs found, one per line at most, are verified by their edit distance.
+The pairs found, one per line at most, are verified by their edit distance. Equal lines are told by 128-bit digests.
 
-Defined cases: a null text has no lines; an empty text has one blank line. Rows that repeat a document id share their
-lines' places: equal lines at equal places all stay. Rows with a null id come last. Other columns are ignored.
+Defined cases: a null text has no lines; an empty text has one blank line. Rows that repeat both document id and text share their
+lines' places: equal lines at equal places all stay. Rows that share an id only are apart: equal lines at equal places are
+ordered by a hash of id and text. Rows with a null id come last. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .bytehash import BASE, mix, powers, ranges
-from .common import list_array, slices, stored, text_batches
+from .bytehash import digest, mix, placed, running
+from .common import drop_stored, fresh, list_array, slices, stored, text_batches
 from .sketches import key_filter, passes
 
-FUZZY_CHARS = 12
 SLICE_CHARS = 1 << 19
 _LAST = 2**63 - 1
 
 
-def lines_in(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of texts: first and last row; running sums over their code points; and each line's start, end, text and
-    whether it is blank."""
+@dataclass
+class Lines:
+    """The lines of a slice of texts."""
+
+    text: str  # all texts of the slice, with line feeds between
+    points: np.ndarray  # its code points
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray  # of each line
+    blank: np.ndarray
+    before: np.ndarray  # running sums of the code points by their place from the line's start
+
+    def digests(self, which: np.ndarray) -> list[bytes]:
+        data = memoryview(self.points).cast("B")
+        return [digest(data[4 * a : 4 * b]) for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
+    def places(self, ends: bool) -> np.ndarray:
+        """Of each code point (line feeds too) the place from its line's start, or to its end."""
+        size = self.ends - self.starts + 1
+        of = np.repeat(self.ends if ends else self.starts, size)[: len(self.points)]
+        return of - np.arange(len(of)) if ends else np.arange(len(of)) - of
+
+
+def lines_in(texts: list[str]) -> Iterator[Lines]:
     for a, b in slices(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)), SLICE_CHARS):
         joined = "\n".join(texts[a:b])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         feeds = np.flatnonzero(points == 10)
         starts, ends = np.concatenate(([0], feeds + 1)), np.concatenate((feeds, [len(points)]))
         per_text = np.fromiter((t.count("\n") + 1 for t in texts[a:b]), np.int64, b - a)
-        sums = np.zeros(len(points) + 1, dtype=np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + np.uint64(77)) * powers(BASE, len(points)), out=sums[1:])
         solid = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(~((points == 32) | ((points >= 9) & (points <= 13))), out=solid[1:])
-        yield a, b, sums, starts, ends, np.repeat(np.arange(a, b), per_text), solid[ends] == solid[starts]
+        found = Lines(joined, points, starts, ends, np.repeat(np.arange(a, b), per_text), solid[ends] == solid[starts], np.zeros(0))
+        found.before = running(placed(points, found.places(False)))
+        yield found
 
 
 def block_shapes(length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -65,117 +86,132 @@ def block_shapes(length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def block_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each key: the line's index, the key, and start and end of the block left out."""
+def block_keys(lines: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each key of the lines numbered by use: the line's place in use, the key, and start and end of the block left out."""
     found = []
+    starts, ends = lines.starts[use], lines.ends[use]
+    after = running(placed(lines.points, lines.places(True), seed=1))
     (width, number), (width2, number2) = block_shapes(ends - starts)
     other = (width2 != width) | (number2 != number)
     for which, w, n in ((np.arange(len(starts)), width, number), (np.flatnonzero(other), width2[other], number2[other])):
         line = np.repeat(which, n)
         w, n, j = np.repeat(w, n), np.repeat(n, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         left, right = starts[line] + j * w, ends[line] - (n - 1 - j) * w
-        key = mix(ranges(sums, starts[line], left) * np.uint64(3) + mix(ranges(sums, right, ends[line]) + (w * 64 + j * 8 + n).astype(np.uint64)))
+        shape = (w * 64 + j * 8 + n).astype(np.uint64)
+        key = mix((lines.before[left] - lines.before[starts[line]]) * np.uint64(3) + mix(after[ends[line]] - after[right] + shape))
         found.append((line, key, left, right))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def variants_of(lines: Lines, use: np.ndarray, line: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the blocks of lines: the line (its place in use), the code point left out, and a hash of what remains; once a code point."""
+    size = right - left
+    of, at = np.repeat(line, size), np.repeat(left - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    at, keep = np.unique(at, return_index=True)
+    of = of[keep]
+    s, e = lines.starts[use][of], lines.ends[use][of]
+    moved = running(placed(lines.points, lines.places(False) - 1))  # a code point after the gap moves up
+    return of, at, mix(lines.before[at] - lines.before[s] + moved[e] - moved[at + 1] + (e - s - 1).astype(np.uint64))
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _key(doc_id, text):
+    """Tells rows apart; only rows that repeat id and text share it."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), text)
+
+
 def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (from 0), kept_doc_id, kept_line, edits: a row for each line that goes, with the earliest line that it repeats."""
+    """doc_id, key, line (from 0), kept_doc_id, kept_line, edits: a row for each line that goes, with the earliest line that it
+    repeats. The key is a hash of document id and text; rows that repeat both have one row for a line."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     spark = df.sparkSession
     text_batches(spark)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), _key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, sums, starts, ends, row, blank in lines_in(_texts(batch.column(1))):
-                number = np.arange(len(starts)) - np.searchsorted(row, row)
-                hashes = ranges(sums, starts, ends)
-                some = ~blank
-                fuzzy = some & (ends - starts >= FUZZY_CHARS)
-                line, key, _, _ = block_keys(sums, starts[fuzzy], ends[fuzzy])
-                per = np.zeros(len(starts), dtype=np.int64)
-                per[fuzzy] = np.bincount(line, minlength=int(fuzzy.sum()))
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lines in lines_in(_texts(batch.column(2))):
+                number = np.arange(len(lines.starts)) - np.searchsorted(lines.row, lines.row)
+                some = np.flatnonzero(~lines.blank)
+                use = np.flatnonzero((lines.ends - lines.starts)[some] > max_edits)
+                line, key, _, _ = block_keys(lines, some[use]) if max_edits else (np.zeros(0, np.int64), np.zeros(0, np.uint64), None, None)
+                per = np.zeros(len(some), dtype=np.int64)
+                per[use] = np.bincount(line, minlength=len(use))
                 order = np.argsort(line, kind="stable")
-                keys = list_array(key[order].view(np.int64), per[some], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(ids[row[some]]), pa.array(number[some]), keys], names=["line_hash", "doc_id", "line", "keys"])
-
-    schema = T.StructType([T.StructField("line_hash", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    lines = docs.mapInArrow(scan, schema)
-    if max_edits == 0:
-        lines = lines.drop("keys")
-        near = None
-    else:
-        lines = stored(lines, "lines")
-        near = _near_lines(docs, lines)
-    first = lines.groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    if near is not None:
-        first = first.join(near, "line_hash", "left")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(lines.digests(some), pa.binary()), pa.array(ids[lines.row[some]]), pa.array(number[some]), pa.array(keys[lines.row[some]]),
+                    list_array(key[order].view(np.int64), per, pa.int64()),
+                ], names=["digest", "doc_id", "line", "key", "blocks"])
+
+    lines = stored(docs.mapInArrow(scan, "digest binary, doc_id long, line long, key long, blocks array<long>"), "lines")
+    first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("first"), F.count("*").alias("n"))
+    if max_edits:
+        near, made = _near_lines(docs, lines, max_edits)
+        first = first.join(near, "digest", "left")
     else:
-        first = first.withColumn("kept", F.lit(None).cast("struct<doc_id:bigint,line:bigint>"))
-    occurs = lines.select("line_hash", F.struct("doc_id", "line").alias("at")).join(first, "line_hash")
-    gone = occurs.where((F.col("at") != F.col("first")) | F.col("kept").isNotNull())
+        first, made = first.withColumn("kept", F.lit(None).cast("struct<doc_id:bigint,line:bigint,key:bigint>")), None
+    # Only lines that go somewhere are joined; a line of very many occurrences may be split by adaptive execution.
+    first = stored(first.where("n > 1 or kept is not null").drop("n"), "gone-lines")
+    drop_stored(made)
+    gone = lines.select("digest", F.struct("doc_id", "line", "key").alias("at")).join(first, "digest").where((F.col("at") != F.col("first")) | F.col("kept").isNotNull())
     # Of an equal line and a near one, the earlier is named.
-    best = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("first"))
+    best = F.coalesce("kept", "first")
     null_last = lambda c: F.when(c != _LAST, c)
-    return gone.select(null_last(F.col("at.doc_id")).alias("doc_id"), F.col("at.line").alias("line"), null_last(best["doc_id"]).alias("kept_doc_id"), best["line"].alias("kept_line"), F.when(F.col("kept").isNotNull(), 1).otherwise(0).alias("edits"))
+    out = gone.select(null_last(F.col("at.doc_id")).alias("doc_id"), F.col("at.key").alias("key"), F.col("at.line").alias("line"), null_last(best["doc_id"]).alias("kept_doc_id"), best["line"].alias("kept_line"), F.when(F.col("kept").isNotNull(), 1).otherwise(0).alias("edits"))
+    return out.distinct()
 
 
-def _near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line_hash, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these."""
+def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
+    """digest, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these. And the table that it reads."""
     spark = docs.sparkSession
-    # Step 1. Block keys that lines of different texts have.
-    keys = lines.select("line_hash", F.explode("keys").alias("key")).groupBy("key").agg(F.min("line_hash").alias("a"), F.max("line_hash").alias("b")).where("a < b").select("key")
-    wanted = spark.sparkContext.broadcast(key_filter(stored(keys, "keys")))
+    # Step 1. Block keys that lines of different texts have; 64 bits of the digests tell them apart here.
+    keys = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).groupBy("block").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("block")
+    keys = stored(keys, "keys")
+    wanted = spark.sparkContext.broadcast(key_filter(keys))
+    drop_stored(keys)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            texts = _texts(batch.column(1))
-            for a, b, sums, starts, ends, _, blank in lines_in(texts):
-                use = np.flatnonzero(~blank & (ends - starts >= FUZZY_CHARS))
-                line, key, left, right = block_keys(sums, starts[use], ends[use])
-                hit = passes(wanted.value, key)
-                line, left, right = line[hit], left[hit], right[hit]
-                hashes = ranges(sums, starts[use], ends[use])
-                fresh = np.array([int(h) not in seen for h in hashes[line]], dtype=bool)
-                line, left, right = line[fresh], left[fresh], right[fresh]
-                if not len(line):
-                    continue
-                seen.update(hashes[np.unique(line)].tolist())
+            for lines in lines_in(_texts(batch.column(0))):
+                use = np.flatnonzero(~lines.blank & (lines.ends - lines.starts > max_edits))
+                line, key, left, right = block_keys(lines, use)
+                hit = np.flatnonzero(passes(wanted.value, key))
+                some = np.unique(line[hit])
+                names = dict(zip(some.tolist(), lines.digests(use[some]), strict=True))
+                new = np.zeros(len(use), dtype=bool)
+                for i, name in names.items():
+                    if name not in seen:
+                        seen.add(name)
+                        new[i] = True
                 if len(seen) > 200_000:
                     seen.clear()
-                # Every place of the blocks, once a line: what is left without the character there.
-                size = right - left
-                of, at = np.repeat(line, size), np.repeat(left - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                at, keep = np.unique(at, return_index=True)
-                of = of[keep]
-                s, e = starts[use][of], ends[use][of]
-                inverse = powers(pow(BASE, -1, 2**64), len(sums))
-                rest = (sums[at] - sums[s]) * inverse[s] + (sums[e] - sums[at + 1]) * inverse[s] * np.uint64(pow(BASE, -1, 2**64))
-                made = mix(rest + (e - s - 1).astype(np.uint64))
-                which, count = np.unique(of, return_counts=True)
-                joined = "\n".join(texts[a:b])
+                hit = hit[new[line[hit]]]
+                if not len(hit):
+                    continue
+                of, at, made = variants_of(lines, use, line[hit], left[hit], right[hit])
+                which = np.unique(line[hit])  # with those of empty blocks, which only lines one longer meet
+                count = np.bincount(of, minlength=len(use))[which]
+                s, e = lines.starts[use][which], lines.ends[use][which]
+                whole = mix(lines.before[e] - lines.before[s] + (e - s).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes[which].view(np.int64)), pa.array([joined[starts[use][i] : ends[use][i]] for i in which], pa.string()),
-                    list_array(made.view(np.int64), count, pa.int64()), list_array((at - s).astype(np.int32), count, pa.int32()),
-                ], names=["line_hash", "text", "variants", "places"])
+                    pa.array([names[i] for i in which.tolist()], pa.binary()), pa.array([lines.text[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.string()), pa.array(whole.view(np.int64)),
+                    list_array(made.view(np.int64), count, pa.int64()), list_array((at - lines.starts[use][of]).astype(np.int32), count, pa.int32()),
+                ], names=["digest", "text", "whole", "variants", "places"])
 
-    schema = T.StructType([T.StructField("line_hash", T.LongType()), T.StructField("text", T.StringType()), T.StructField("variants", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
-    made = stored(docs.mapInArrow(variants, schema), "variants")
+    made = stored(docs.select("text").mapInArrow(variants, "digest binary, text string, whole long, variants array<long>, places array<int>"), "variants")
     # A line may come from several tasks, each time with the same variants.
-    some = made.select("line_hash").distinct()
-    first = lines.select("line_hash", "doc_id", "line").join(some, "line_hash", "left_semi").groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    first = first.select("line_hash", F.struct("at.doc_id", "at.line", "line_hash").alias("rank"))
-    single = made.groupBy("line_hash").agg(F.first("variants").alias("variants"), F.first("places").alias("places")).join(first, "line_hash")
+    some = made.select("digest").distinct()
+    first = lines.select("digest", "doc_id", "line", "key").join(some, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("at"))
+    first = first.select("digest", F.struct("at.doc_id", "at.line", "at.key", "digest").alias("rank"))
+    single = made.groupBy("digest").agg(F.first("whole").alias("whole"), F.first("variants").alias("variants"), F.first("places").alias("places")).join(first, "digest")
     # Step 2. Rows by variant: a line without one character, or (place -1) as it is.
-    rows = single.select("rank", F.explode(F.concat(F.arrays_zip("variants", "places"), F.array(F.struct(F.col("line_hash").alias("variants"), F.lit(-1).alias("places"))))).alias("v"))
+    rows = single.select("rank", F.explode(F.concat(F.arrays_zip("variants", "places"), F.array(F.struct(F.col("whole").alias("variants"), F.lit(-1).alias("places"))))).alias("v"))
     rows = rows.select(F.col("v.variants").alias("variant"), F.col("v.places").alias("place"), "rank")
     by_place = Window.partitionBy("variant", "place").orderBy("rank")
     by_variant = Window.partitionBy("variant").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -185,32 +221,33 @@ def _near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     earliest = F.when(whole, F.col("longer")).otherwise(F.least("replaced", "shorter"))
     found = rows.select("rank", earliest.alias("kept")).where("kept is not null and kept < rank").groupBy("rank").agg(F.min("kept").alias("kept"))
     # Verified once per line.
-    texts = made.groupBy("line_hash").agg(F.first("text").alias("text"))
-    found = found.select(F.col("rank.line_hash").alias("line_hash"), "kept", F.col("kept.line_hash").alias("kept_hash"))
-    both = found.join(texts, "line_hash").join(texts.withColumnsRenamed({"line_hash": "kept_hash", "text": "kept_text"}), "kept_hash")
-    return stored(both.where(F.levenshtein("text", "kept_text", 1) == 1).select("line_hash", F.struct("kept.doc_id", "kept.line").alias("kept")), "near")
+    texts = made.groupBy("digest").agg(F.first("text").alias("text"))
+    found = found.select(F.col("rank.digest").alias("digest"), "kept", F.col("kept.digest").alias("kept_digest"))
+    both = found.join(texts, "digest").join(texts.withColumnsRenamed({"digest": "kept_digest", "text": "kept_text"}), "kept_digest")
+    near = both.where(F.levenshtein("text", "kept_text", 1) == 1).select("digest", F.struct("kept.doc_id", "kept.line", "kept.key").alias("kept"))
+    return near, made
 
 
 def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the lines that go. Documents all of whose lines go are left out; others stay, with what is left of
     their text. Rows with a null id stay as they are."""
+    own, places = fresh(df, "key"), fresh(df, "places")
     gone = duplicate_lines(df.where(F.col(id_col).isNotNull()), max_edits, id_col, text_col)
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.col("line").cast("int")).alias("__gone"))
-    joined = df.join(gone, F.col(id_col) == F.col("__id"), "left")
+    gone = gone.groupBy(F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places))
+    joined = df.withColumn(own, F.when(F.col(id_col).isNotNull(), _key(id_col, F.col(text_col)))).join(gone, own, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
     left = F.transform(stay, lambda i: lines[i])
     solid = F.exists(left, lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
-    changed = F.col("__gone").isNotNull()
+    changed = F.col(places).isNotNull()
     text = F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text_col))
     return joined.where(~changed | solid).withColumn(text_col, text).select(*df.columns)
 
 
 def line_report(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the lines that go, in order) for every row of df."""
-    gone = duplicate_lines(df, max_edits, id_col, text_col).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = duplicate_lines(df, max_edits, id_col, text_col).groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    counted = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", lines.alias("n_lines"))
-    out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    counted = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", _key("doc_id", F.col("text")).alias("key"), lines.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return counted.join(gone, "key", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -223,10 +223,10 @@ with x as (
 ), f as (
   select s, min({{'d': doc_id, 'n': line}}) as fst, length(s) as z from solid group by s
 ), k as (
-  select s, fst, z, z as m, 'P' as part, left(s, z // 2) as t from f where z >= {linededup.FUZZY_CHARS} union all
-  select s, fst, z, z, 'S', right(s, z // 2) from f where z >= {linededup.FUZZY_CHARS} union all
-  select s, fst, z, z - 1, 'P', left(s, (z - 1) // 2) from f where z > {linededup.FUZZY_CHARS} union all
-  select s, fst, z, z - 1, 'S', right(s, (z - 1) // 2) from f where z > {linededup.FUZZY_CHARS}
+  select s, fst, z, z as m, 'P' as part, left(s, z // 2) as t from f where z > 1 union all
+  select s, fst, z, z, 'S', right(s, z // 2) from f where z > 1 union all
+  select s, fst, z, z - 1, 'P', left(s, (z - 1) // 2) from f where z > 2 union all
+  select s, fst, z, z - 1, 'S', right(s, (z - 1) // 2) from f where z > 2
 ), c as (
   select distinct a.s as a, b.s as b, a.z as za, b.z as zb, b.fst < a.fst as later from k a join k b on a.m = b.m and a.part = b.part and a.t = b.t and a.s <> b.s and a.m = least(a.z, b.z) and a.z <= b.z
 ), one as (

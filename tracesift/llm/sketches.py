@@ -7,74 +7,63 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-_PARTS = 64
-_PART = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+#: Numbers of a table that travel as one piece, and groups that tasks' pieces are first put together in.
+_PIECE, _GROUPS = 1 << 14, 32
+_SCHEMA = "part int, task int, packed binary"
 
 
-def summed_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], bits: int, kind: str = "<u4") -> np.ndarray:
-    """A table of 2^bits counters that update() fills from each batch, summed over all tasks.
+def _pieces(table: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
+    for i, piece in enumerate(table.reshape(-1, _PIECE)):
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "task", "packed"])
 
-    Tasks send their counters compressed, in parts that are summed apart; only the sums come to the driver:
-    2^bits numbers, whatever the input.
+
+def whole_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: str = "<u4", merge: Callable = np.add) -> np.ndarray:
+    """A table of ``size`` numbers (a multiple of 2^14) that update() fills from each batch, merged over all tasks.
+
+    Tasks send their tables in compressed pieces. Pieces of one place are merged as they arrive, first within groups of
+    tasks and then across groups, so no task holds or reads those of all others. Only the merged table comes to the driver.
     """
-    size = 1 << bits
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, dtype=kind)
         for batch in batches:
             update(table, batch)
-        if table.any():
-            parts = [(i, p) for i, p in enumerate(table.reshape(_PARTS, -1)) if p.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], names=["part", "packed"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size // _PARTS, dtype="<u8")
-        for packed in rows.column("packed"):
-            total += np.frombuffer(zlib.decompress(packed.as_py()), dtype=kind)
-        total = np.minimum(total, np.iinfo(kind).max).astype(kind)
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    out = np.zeros((_PARTS, size // _PARTS), dtype=kind)
-    for row in df.mapInArrow(count, _PART).groupBy("part").applyInArrow(add, _PART).collect():
+        yield from _pieces(table, TaskContext.get().partitionId() % _GROUPS)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                piece = np.frombuffer(zlib.decompress(packed.as_buffer()), dtype=kind)
+                if part in found:
+                    merge(found[part], piece, out=found[part])
+                else:
+                    found[part] = piece.copy()
+        for part, piece in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "task", "packed"])
+
+    made = df.mapInArrow(fill, _SCHEMA).repartition("part", "task").mapInArrow(add, _SCHEMA).repartition("part").mapInArrow(add, _SCHEMA)
+    out = np.zeros((size // _PIECE, _PIECE), dtype=kind)
+    for row in made.select("part", "packed").collect():  # one row per piece
         out[row.part] = np.frombuffer(zlib.decompress(row.packed), dtype=kind)
     return out.ravel()
 
 
-def key_filter(keys: DataFrame, bits: int = 26) -> np.ndarray:
-    """A bit table of the column's 64-bit hashes: of fixed size, lets all of them through and few others."""
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of the column's 64-bit hashes: lets all of them through and few others. 16 bits a key, 2^20 at least
+    and 2^30 (128 MB) at most; beyond some 10^8 keys it lets more through."""
+    bits = min(max((16 * keys.count()).bit_length(), 20), 30)
 
     def update(table: np.ndarray, batch: pa.RecordBatch) -> None:
         at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-
-    return ored_table(keys, update, bits - 3)
+        np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-
-def ored_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], bits: int) -> np.ndarray:
-    """Like summed_table, for a table of bytes whose bits are set."""
-    size = 1 << bits
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, dtype=np.uint8)
-        for batch in batches:
-            update(table, batch)
-        parts = [(i, p) for i, p in enumerate(table.reshape(_PARTS, -1)) if p.any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], names=["part", "packed"])
-
-    def join(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size // _PARTS, dtype=np.uint8)
-        for packed in rows.column("packed"):
-            total |= np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint8)
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    out = np.zeros((_PARTS, size // _PARTS), dtype=np.uint8)
-    for row in df.mapInArrow(mark, _PART).groupBy("part").applyInArrow(join, _PART).collect():
-        out[row.part] = np.frombuffer(zlib.decompress(row.packed), dtype=np.uint8)
-    return out.ravel()
+    return whole_table(keys.select(F.col(keys.columns[0]).cast("long")), update, 1 << (bits - 3), "u1", np.bitwise_or)
 
 
 def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
