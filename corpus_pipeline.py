@@ -2,11 +2,13 @@
 
 1. quality: documents that the classifier scores below 0.5 go.
 2. lines: lines that repeat an earlier line, up to one edit, go; so do documents that had nothing else.
-3. near copies: of each group of documents linked by their word shingles one stays, that with the smallest id.
+3. near copies: of each group of documents linked by their word shingles one stays, that with the smallest id. Rows that share
+   an id but no such link all stay.
 4. benchmark: documents that hold a passage of a benchmark item go.
 5. tokens: every text is encoded.
 
-Rows with a null id take part in stages 1, 4 and 5; stages 2 and 3 keep them as they are.
+Rows with a null id take part in stages 1, 4 and 5; stages 2 and 3 keep them as they are. Further columns pass through all stages
+but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.llm import bpe, decontaminate, jaccard, linededup, quality
-from tracesift.llm.common import shared_dir, stored
+from tracesift.llm.common import fresh, shared_dir
 from tracesift.llm.queries import table, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_voters(docs, table(spark, sf_dir, "labels"))
-    kept = [c for c in docs.columns if c != "__score"]
-    return quality.quality_scores(docs, model, score_col="__score").where("__score >= 0.5").select(*kept)
+    score = fresh(docs, "score")
+    return quality.quality_scores(docs, model, score_col=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +34,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat the id that stays, one stays."""
-    joined = jaccard.jaccard_join(docs)
-    keep = joined.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    again = joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("n")).where("n > 1").select("__keep")
-    again = stored(again, "repeated-ids")
-    if not again.isEmpty():  # rows that share an id are told apart by their text
-        single = kept.join(again, F.col("doc_id") == F.col("__keep"), "left_anti")
-        first = kept.join(again, F.col("doc_id") == F.col("__keep"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
-        kept = single.unionByName(first.select("doc_id", "__row.*").select(*docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    return jaccard.drop_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = [c for c in docs.columns if c != "__leaks"]
-    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col="__leaks").where(F.size("__leaks") == 0).select(*kept)
+    leaks = fresh(docs, "leaks")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), out_col=leaks).where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
