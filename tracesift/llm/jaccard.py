@@ -190,13 +190,20 @@ class _Join:
         return self.texts.select("doc_id", _key().alias("key"), "text").mapInArrow(prefixes, "doc_id long, key long, node binary, size int, grams array<long>, odd array<long>")
 
     def _shared(self) -> DataFrame:
-        """gram, node, size, pos: prefix shingles that several nodes of suitable lengths have."""
+        """gram, node, size, pos: prefix shingles that a node has in common with another that passes the filters of length and position.
+
+        In the order of sizes a node is compared with two on either side; one with more of suitable lengths beyond them stays untested.
+        """
         nodes = self.docs.where("size > 0 and size(grams) > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
         rows = nodes.select("node", "size", F.posexplode("grams").alias("pos", "gram"))
         order = Window.partitionBy("gram").orderBy("size", "node")
-        less, more = F.lag("size").over(order), F.lead("size").over(order)
-        rows = rows.withColumn("less", less).withColumn("more", more)
-        return rows.where((100 * F.col("less") >= self.percent * F.col("size")) | (100 * F.col("size") >= self.percent * F.col("more"))).select("gram", "node", "size", "pos")
+        stay = F.lit(False)
+        for n in (-2, -1, 1, 2):
+            rows = rows.withColumn(f"near{n}", F.lag(F.struct("size", "pos"), -n).over(order))
+            stay = stay | self.fits(F.col(f"near{n}.size"), F.col(f"near{n}.pos"))
+        rows = rows.withColumn("less", F.lag("size", 3).over(order)).withColumn("more", F.lead("size", 3).over(order))
+        stay = stay | (100 * F.col("less") >= self.percent * F.col("size")) | (100 * F.col("size") >= self.percent * F.col("more"))
+        return rows.where(F.coalesce(stay, F.lit(False))).select("gram", "node", "size", "pos")
 
     def _nodes(self) -> DataFrame:
         """node, key of one of its rows, odd, and half, odd for half as many parts: nodes that have shared prefix shingles."""
@@ -206,11 +213,13 @@ class _Join:
         half = F.zip_with(F.slice("odd", 1, parts.cast("int")), F.slice("odd", (parts + 1).cast("int"), parts.cast("int")), lambda x, y: x.bitwiseXOR(y))
         return made.select("node", "key", "odd", half.alias("half"))
 
-    def fits(self) -> Column:
-        """By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it."""
-        low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
-        reach = F.least("pos", "other_pos") + F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos"))
-        return (100 * low >= self.percent * high) & (reach >= F.ceil(F.lit(self.percent) * (F.col("size") + F.col("other_size")) / (100 + self.percent)))
+    def fits(self, size: Column | None = None, pos: Column | None = None) -> Column:
+        """By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it. False without another node."""
+        size, pos = F.col("other_size") if size is None else size, F.col("other_pos") if pos is None else pos
+        low, high, total = F.least("size", size), F.greatest("size", size), F.col("size") + size
+        reach = F.least("pos", pos) + F.least(F.col("size") - F.col("pos"), size - pos)
+        good = (100 * low >= self.percent * high) & (reach >= F.ceil(F.lit(self.percent) * total / (100 + self.percent)))
+        return F.coalesce(size.isNotNull() & good, F.lit(False))
 
     def differ(self) -> Column:
         """In how many shingles two nodes differ at least."""
