@@ -115,14 +115,14 @@ select conv_id, count(*) as n_turns,
 from t group by conv_id""",
     "op4_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
-  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  select q.row, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.row <> q.row
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+  select *, row_number() over (partition by row order by score desc, vec_id) as rank from s
 ) where rank <= 5""",
     "op8_warc": """
 with p as (
