@@ -27,7 +27,7 @@ def test_lines_of_middle(spark):
     got = {r.line: (r.ef, r.ep, r.score) for r in counts.scored(counts.contingency(extractors.lines(ev), runs)).collect()}
     assert got[10] == (1, 0, 1.0) and got[7][2] == pytest.approx(0.70710678, abs=1e-8) and got[1][2] == pytest.approx(0.57735027, abs=1e-8) and got[12][2] == 0
     best = ranking.suggestions(counts.scored(counts.contingency(extractors.lines(ev), runs))).orderBy(F.desc("score")).first()
-    assert best.places == ["main.py:10"]
+    assert best.place == "main.py:10"
 
 
 def test_branches(spark):
@@ -142,21 +142,162 @@ def test_feature_vectors(spark):
     assert d.difference == 1
 
 
+def trace_of(run_id, steps):
+    """Steps of a test as events: TEST_ kinds by their name, and L for a line of the program."""
+    made = []
+    for i, (line, kind, var) in enumerate(steps):
+        program = kind == "L"
+        made.append({"run_id": run_id, "seq": i, "event_type": "LINE" if program else f"TEST_{kind}", "file": "main.py" if program else "t", "line": line, "var": var, "var_id": 1})
+    return made
+
+
+# The order of events in the small worked tests, and the distances and weights that they must have.
+CHAIN = [(1, "LINE", None), (2, "LINE", None), (7, "DEF", "a"), (8, "USE", "a"), (9, "DEF", "b"), (10, "USE", "b"), (10, "ASSERT", None), (11, "USE", "b"), (11, "ASSERT", None), (12, "USE", "a"), (12, "ASSERT", None)]
+
+
 @pytest.mark.parametrize(("uses", "asserts", "want"), [(False, False, [0, 1, 2, 2, 4, 1, 6, 7]), (True, False, [0, 1, 2, 3, 1, 2, 6, 7]), (False, True, [0, 2, 3, 4, 4, 1, 6, 7]), (True, True, [0, 2, 4, 4, 1, 2, 6, 7])])
 def test_def_use_distances(spark, uses, asserts, want):
     """Lines 1, 2 and 7 to 12 of a test: 7 defines a, 8 uses it, 9 defines b, 10 and 11 use and assert b, 12 a."""
-    steps = [(1, "LINE", None), (2, "LINE", None), (7, "DEF", "a"), (8, "USE", "a"), (9, "DEF", "b"), (10, "USE", "b"), (10, "ASSERT", None), (11, "USE", "b"), (11, "ASSERT", None), (12, "USE", "a"), (12, "ASSERT", None)]
-    rows = [{"run_id": 1, "seq": i, "event_type": f"TEST_{k}", "file": "t", "line": n, "var": v, "var_id": 1} for i, (n, k, v) in enumerate(steps)]
-    made = weights.def_use_weights(events(spark, rows), uses, asserts).orderBy(F.desc("segment")).collect()
+    made = weights.def_use_weights(events(spark, trace_of(1, CHAIN)), uses, asserts).orderBy(F.desc("segment")).collect()
     assert [r.distance for r in made] == want
 
 
+def three_tests(uses):
+    """A passing test that calls f (line 2 of the program), and failing ones of f, g (6) and h (10), and of h and g; with uses, h's
+    result is used once more in between."""
+    more = [(16, "USE", "h")] if uses else []
+    end = 16 + len(more)
+    start = [(1, "LINE", None), (2, "LINE", None)]
+    return [
+        [*start, (7, "DEF", "f"), (2, "L", None), (8, "USE", "f"), (8, "ASSERT", None)],
+        [*start, (11, "DEF", "f"), (2, "L", None), (12, "USE", "f"), (12, "ASSERT", None), (13, "DEF", "g"), (6, "L", None), (14, "USE", "g"), (14, "ASSERT", None), (15, "DEF", "h"), (10, "L", None), *more, (end, "USE", "f"), (end, "USE", "h"), (end, "ASSERT", None)],
+        [*start, (19, "DEF", "h"), (10, "L", None), (20, "DEF", "g"), (6, "L", None), (21, "USE", "g"), (21, "ASSERT", None), (22, "USE", "h"), (22, "ASSERT", None)],
+    ]
+
+
+def line_scores(spark, tests, model, passing=()):
+    ev = events(spark, [row for n, steps in enumerate(tests) for row in trace_of(n, steps)])
+    observed = extractors.lines(ev)
+    runs = spark.createDataFrame([(n, n not in passing) for n in range(len(tests))], "run_id long, failing boolean")
+    made = weights.feature_weights(weights.segment_features(ev, observed), model(ev), runs)
+    scored = counts.weighted(counts.contingency(observed, runs), made).withColumn("score", metric("Ochiai") * F.col("weight"))
+    return {r.line: r.score for r in scored.collect()}
+
+
+def by_hand(steps, uses):
+    """A test's segments, distances and weights, event by event."""
+    parts, place, source, back, began, ended, closest = [], None, {}, [], 0, None, None
+    step = {"defs": [], "uses": []}
+
+    def close():
+        n = len(parts)
+        parts.append(place)
+        source.update(dict.fromkeys(step["defs"], n))
+        known = [v for v in step["uses"] if v in source]
+        back.append([source[v] for v in known])
+        if uses:
+            source.update(dict.fromkeys(known, n))
+        step.update(defs=[], uses=[])
+
+    started = False
+    for line, kind, var in steps:
+        if kind == "L":
+            continue
+        if place is not None and (kind == "END" or place != line):
+            close()
+            if kind == "END":
+                closest = len(parts) - 1
+        place = line
+        if kind == "START" and not started:
+            started, began = True, len(parts)
+        if kind == "END":
+            ended = (len(parts), began if started else 0)
+        if kind == "DEF":
+            step["defs"].append(var)
+        if kind == "USE":
+            step["uses"].append(var)
+    close()
+    n = len(parts)
+    base = [(1 if ended[1] <= i < ended[0] else 0.5) if ended else (0.5 if i < began else 1) for i in range(n)]
+    return parts, back, base, closest
+
+
+def test_weights_with_start_and_end(spark):
+    rnd = random.Random(3)
+    tests = []
+    for _ in range(40):
+        kinds = rnd.choices(["LINE", "DEF", "USE", "ASSERT", "L", "START", "END"], [4, 3, 4, 2, 4, rnd.choice([0, 1]), rnd.choice([0, 1])], k=rnd.randint(1, 25))
+        tests.append([(rnd.randint(1, 9), k, rnd.choice("abc") if k in ("DEF", "USE") else None) for k in kinds] + [(1, "LINE", None)])
+    ev = events(spark, [row for n, steps in enumerate(tests) for row in trace_of(n, steps)])
+    got = {(r.run_id, r.segment): r.weight for r in weights.function_weights(ev).collect()}
+    lined = {(r.run_id, r.segment): (r.distance, r.weight) for r in weights.line_weights(ev).collect()}
+    shortened = {uses: {(r.run_id, r.segment): (r.distance, r.weight) for r in weights.def_use_weights(ev, uses).collect()} for uses in (False, True)}
+    for n, steps in enumerate(tests):
+        for uses in (False, True):
+            parts, back, base, closest = by_hand(steps, uses)
+            last = len(parts) - 1
+            assert [got[n, i] for i in range(last + 1)] == base and (n, last + 1) not in got
+            distance = [last - i if closest is None else closest - 1 - i if i < closest else i - closest + 1 for i in range(last + 1)]
+            assert [lined[n, i][0] for i in range(last + 1)] == distance
+            assert [lined[n, i][1] for i in range(last + 1)] == pytest.approx([b * (1 - d / (max(distance) + 1)) for b, d in zip(base, distance, strict=True)])
+            distance = [last - i for i in range(last + 1)]
+            for i in range(last, -1, -1):
+                for j in back[i]:
+                    distance[j] = min(distance[j], distance[i] + 1)
+            assert [shortened[uses][n, i][0] for i in range(last + 1)] == distance
+            assert [shortened[uses][n, i][1] for i in range(last + 1)] == pytest.approx([b * (1 - d / (max(distance) + 1)) for b, d in zip(base, distance, strict=True)])
+
+
+def test_function_weights_of_fixtures(spark):
+    """A fixture before and one after: the program's lines that they call weigh half."""
+    steps = [(6, "LINE", None), (2, "L", None), (12, "START", None), (13, "LINE", None), (10, "L", None), (12, "END", None), (9, "LINE", None), (6, "L", None)]
+    assert line_scores(spark, [steps], weights.function_weights) == {10: 1.0, 2: 0.5, 6: 0.5}
+
+
 def test_line_weights(spark):
     rows = [{"run_id": r, "seq": i, "event_type": "TEST_LINE", "file": "t", "line": n} for r, t in ((1, (1, 2, 10, 11, 12)), (2, (1, 2, 15, 16))) for i, n in enumerate(t)]
     got = {(r.run_id, r.segment): r.weight for r in weights.line_weights(events(spark, rows)).collect()}
     assert got[1, 4] == 1 and got[2, 3] == 1 and got[1, 3] == pytest.approx(0.8) and got[2, 2] == 0.75 and got[1, 2] == pytest.approx(0.6)
 
 
+# Scores of lines 10, 6 and 2.
+@pytest.mark.parametrize(("uses", "asserts", "want"), [(False, False, (0.85416, 0.64583, 0.4375)), (True, False, (0.80555, 0.61111, 0.38888)), (False, True, (0.85416, 0.5, 0.375)), (True, True, (0.80555, 0.47222, 0.33333))])
+def test_def_use_weights(spark, uses, asserts, want):
+    got = line_scores(spark, three_tests(uses), lambda e: weights.def_use_weights(e, uses, asserts), passing=[0])
+    assert [got[n] for n in (10, 6, 2)] == pytest.approx(want, abs=1e-5)
+
+
+def test_line_scores(spark):
+    start = [(1, "LINE", None), (2, "LINE", None)]
+    tests = [[*start, (7, "LINE", None), (2, "L", None)], [*start, (10, "LINE", None), (2, "L", None), (11, "LINE", None), (6, "L", None), (12, "LINE", None), (10, "L", None)], [*start, (15, "LINE", None), (6, "L", None), (16, "LINE", None), (10, "L", None)]]
+    assert line_scores(spark, tests, weights.line_weights, passing=[0]) == {10: pytest.approx(1), 6: pytest.approx(0.775), 2: pytest.approx(0.3)}
+
+
+def test_loops_against_a_stack(spark):
+    rnd = random.Random(5)
+    rows, want = [], []
+    for run in range(40):
+        stack = []
+        for seq in range(rnd.randint(1, 40)):
+            kind = rnd.choice(["BEGIN", "HIT", "HIT", "END"])
+            rows.append({"run_id": run, "seq": seq, "event_type": f"LOOP_{kind}", "file": "a", "line": 1, "loop_id": 1})
+            if kind == "BEGIN":
+                stack.append(0)
+            elif kind == "HIT":
+                stack = stack[:-1] + [(stack[-1] if stack else 0) + 1]
+            else:
+                want.append((run, seq, stack.pop() if stack else 0))
+    got = [(r.run_id, r.seq, r.iterations) for r in sequence.loop_counts(events(spark, rows)).collect()]
+    assert sorted(got) == want
+
+
+def test_long_loop(spark):
+    """Linear in a loop's events."""
+    n = 48_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("seq"), F.lit(None).cast("long").alias("thread_id"), F.when(F.col("id") == 0, "LOOP_BEGIN").when(F.col("id") == n - 1, "LOOP_END").otherwise("LOOP_HIT").alias("event_type"), F.lit("a").alias("file"), F.lit(1).alias("line"), F.lit(1).cast("long").alias("loop_id"))
+    assert sequence.loop_counts(rows).first().iterations == n - 2
+
+
 def test_empty_trace(spark):
     none = events(spark, [])
     runs = spark.createDataFrame([], "run_id long, failing boolean")

@@ -69,28 +69,31 @@ def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("LINE", "Ochiai", 0.5, ["a:2"]), ("LINE", "Ochiai", 1.0, ["a:1"]), ("LINE", "Jaccard", 1.0, ["a:1"])], "type string, metric string, score double, places array<string>")
     got = json.loads(reports.report(rows).first().report)
     assert [s["suspiciousness"] for s in got["Ochiai"]] == [1.0, 0.5] and got["Jaccard"][0]["locations"] == ["a:1"]
-    (tmp_path / "r.xml").write_text('<testsuite><testcase classname="t" name="a"/><testcase classname="t" name="b"><failure message="x">no</failure></testcase></testsuite>')
+    (tmp_path / "r.xml").write_text('<testsuite><testcase classname="t" name="a"/><testcase classname="t" name="b"><failure message="x">no</failure></testcase><testcase classname="t" name="c"><skipped/></testcase><testcase classname="t" name="d"><skipped message="m">why</skipped></testcase><testcase classname="t" name="e"><system-out>o</system-out><system-err/></testcase><testcase classname="t" name="f"><error/></testcase></testsuite>')
     results = reports.junit_results(spark, str(tmp_path / "r.xml"))
-    assert {(r.test, r.result) for r in results.collect()} == {("t::a", "PASSED"), ("t::b", "FAILED")}
+    assert {(r.test, r.result) for r in results.collect()} == {("t::a", "PASSED"), ("t::b", "FAILED"), ("t::e", "PASSED"), ("t::f", "FAILED")}
     assert reports.consistent_runs(results, spark.createDataFrame([("t::a", "PASSED"), ("t::b", "PASSED")], "test string, result string")).count() == 1
 
 
 def test_diff_places(spark):
-    diff = "--- a/x.py\n+++ b/x.py\n@@ -3,4 +3,4 @@ def f\n keep\n-old\n+new\n keep\n-gone\n@@ -20,1 +20,2 @@\n-twenty\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-first\n+1st"
+    diff = "--- a/x.py\n+++ b/x.py\n@@ -3,4 +3,3 @@ def f\n keep\n-old\n+new\n keep\n-gone\n@@ -20,1 +20,0 @@\n-twenty\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-first\n+1st"
     got = reports.diff_places(spark.createDataFrame([(1, diff)], "bug long, diff string"))
-    assert sorted((r.file, r.line) for r in got.collect()) == [("x.py", 4), ("x.py", 6), ("x.py", 20), ("y.py", 1)]
+    assert sorted((r.file, r.line) for r in got.collect()) == [("x.py", n) for n in (3, 4, 5, 6, 20)] + [("y.py", 1)]
+    added = "--- a/z.py\n+++ b/z.py\n@@ -5,0 +6,2 @@\n+one\n+two\n@@ -9,2 +12,4 @@\n nine\n+more\n+more\n --- a minus\n\\ No newline at end of file"
+    got = reports.diff_places(spark.createDataFrame([(1, added)], "bug long, diff string"))
+    assert sorted((r.file, r.line) for r in got.collect()) == [("z.py", 6), ("z.py", 9), ("z.py", 10)]
 
 
 def test_source_ranges(spark):
     text = "def f(x):\n    while x:\n        x -= 1\n    if x:\n        return 1\n    else:\n        return 2\n"
     ranges = reports.source_ranges(spark.createDataFrame([("a.py", text), ("bad.py", "def (")], "file string, text string"))
-    got = {(r.kind, r.line, r.then): (r.first, r["last"]) for r in ranges.collect()}
-    assert got["FUNCTION", 1, None] == (1, 7) and got["LOOP", 2, None] == (2, 3) and got["BRANCH", 4, True] == (4, 5) and got["BRANCH", 4, False] == (7, 7)
+    got = {(r.kind, r.line, r.then, r.first, r["last"]) for r in ranges.collect()}
+    assert got == {("FUNCTION", 1, None, 1, 7), ("FUNCTION_ERROR", 1, None, 1, 7), ("LOOP", 2, None, 2, 3), ("BRANCH", 4, True, 4, 5), ("BRANCH", 4, False, 4, 4), ("BRANCH", 4, False, 7, 7)}
     from tracesift.operators.ranking import expanded_places
 
     scores = spark.createDataFrame([("BRANCH", "BRANCH:a.py:4:0:then", "a.py", 4, 0.5), ("LINE", "LINE:a.py:2", "a.py", 2, 0.1)], "type string, feature string, file string, line int, score double")
     assert sorted((r.line, r.score) for r in expanded_places(scores, ranges).collect()) == [(2, 0.1), (4, 0.5), (5, 0.5)]
-    assert sorted(r.line for r in expanded_places(scores, ranges, flip=True).collect()) == [2, 7]
+    assert sorted(r.line for r in expanded_places(scores, ranges, flip=True).collect()) == [2, 4, 7]
 
 
 def test_names_and_outcomes(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,28 @@ def expanded_places(scores: DataFrame, ranges: DataFrame, *keep: str, flip: bool
     return joined.select(*keep, "score", "file", F.explode(lines).alias("line"))
 
 
+def _with(df: DataFrame, per: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df with what is known per group; of a single row, if there are no groups."""
+    return df.join(per, [*by]) if by else df.crossJoin(per)
+
+
 def suggestions(scores: DataFrame, *by: str) -> DataFrame:
-    """Places that share a score, per group: score and places (file:line, sorted), best first within each group."""
-    flat = places(scores, *by)
-    name = F.concat_ws(":", "file", F.col("line").cast("string"))
-    return flat.groupBy(*by, "score").agg(F.array_sort(F.collect_set(name)).alias("places"))
+    """score and place (file:line): a row for every place of features with the score, per group."""
+    return places(scores, *by).select(*by, "score", F.concat_ws(":", "file", F.col("line").cast("string")).alias("place")).distinct()
+
+
+def listed(suggested: DataFrame, *by: str) -> DataFrame:
+    """For a report: the places of a score as one sorted list. A list holds all places of its score."""
+    return suggested.groupBy(*by, "score").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def score_statistics(scores: DataFrame, *by: str) -> DataFrame:
-    """Least, greatest, mean and upper median of the scores, per group."""
-    w = Window.partitionBy(*by)
-    ranked = scores.select(*by, "score", F.row_number().over(w.orderBy("score")).alias("_n"), F.count("*").over(w).alias("_k"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 9).alias("mean"), F.max(F.when(F.col("_n") == F.floor(F.col("_k") / 2) + 1, F.col("score"))).alias("median"))
+    """Least, greatest, mean and upper median of the scores, per group. Equal scores are counted first."""
+    per = scores.groupBy(*by, "score").agg(F.count("*").alias("_k"))
+    total = scores.groupBy(*by).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 9).alias("mean"))
+    so_far = F.sum("_k").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    median = _with(per.withColumn("_far", so_far), total.select(*by, "n"), by).where(F.col("_far") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min("score").alias("median"))
+    return _with(total, median, by).select(*by, "n", "least", "most", "mean", "median")
 
 
 def place_scores(scores: DataFrame, *by: str, how: str = "max") -> DataFrame:
@@ -62,7 +74,10 @@ def top(ranked: DataFrame, n: int, *by: str) -> DataFrame:
 
 
 def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
+    """From 20 on by Stirling's series; what it leaves out is below 1e-12."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < 20, F.log(F.factorial(F.greatest(n.cast("int"), F.lit(0))).cast("double"))).otherwise(series)
 
 
 def choose(n: Column, k: Column) -> Column:
@@ -79,8 +94,8 @@ def top_n_expected(ranked: DataFrame, faulty: DataFrame, n: int, *by: str) -> Da
     pool = top(ranked, n, *by).join(faulty.select("file", "line", F.lit(1).alias("_bad")), ["file", "line"], "left")
     per = pool.groupBy(*by).agg(F.count("*").alias("pool"), F.count("_bad").alias("found"))
     per = per.crossJoin(F.broadcast(faulty.agg(F.count("*").alias("n_faulty"))))
-    drawn = F.least(F.lit(n), F.col("pool")).cast("int")
-    found, size = F.col("found").cast("int"), F.col("pool").cast("int")
+    drawn = F.least(F.lit(n), F.col("pool")).cast("int")  # n at most
+    found, size = F.col("found"), F.col("pool")
     none = F.when(size - found < drawn, 0.0).otherwise(F.exp(choose(size - found, drawn) - choose(size, drawn)))
     chance = lambda x: F.when((x > found) | (drawn - x > size - found), 0.0).otherwise(F.exp(choose(found, x) + choose(size - found, drawn - x) - choose(size, drawn)))
     half = F.aggregate(F.sequence(F.lit(0), drawn), F.lit(0.0), lambda acc, x: acc + chance(x) * F.least(F.try_divide(2.0 * x, F.col("n_faulty")), F.lit(1.0)))
@@ -96,7 +111,7 @@ def fault_ranks(ranked: DataFrame, faulty: DataFrame, *by: str, total: int | Non
     rank of the unranked ones, and all places as effort.
     """
     size = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.max("effort").alias("_last")).withColumn("n_places", F.col("_n") if total is None else F.lit(total))
-    every = size.crossJoin(F.broadcast(faulty.select("file", "line")))
+    every = size.crossJoin(faulty.select("file", "line"))  # groups by faults
     joined = every.join(ranked.select(*by, "file", "line", "rank", "effort"), [*by, "file", "line"], "left")
     rank = F.coalesce("rank", (F.col("n_places") - F.col("_n")) / 2 + F.col("_last"))
     effort = F.coalesce("effort", "n_places").cast("double")
@@ -112,8 +127,8 @@ def fault_ranks(ranked: DataFrame, faulty: DataFrame, *by: str, total: int | Non
 
 def precision_at(ranked: DataFrame, faulty: DataFrame, k: int, *by: str) -> DataFrame:
     """Precision and recall of the first k places, with all that tie with the first score taken in."""
-    first = Window.partitionBy(*by)
-    taken = ranked.withColumn("_top", F.max("score").over(first)).where((F.col("effort") - F.col("tied") < k) | (F.col("score") == F.col("_top")))
+    first = ranked.groupBy(*by).agg(F.max("score").alias("_top"))
+    taken = _with(ranked, first, by).where((F.col("effort") - F.col("tied") < k) | (F.col("score") == F.col("_top"))).drop("_top")
     joined = taken.join(faulty.select("file", "line", F.lit(1).alias("_bad")), ["file", "line"], "left")
     per = joined.groupBy(*by).agg(F.count("*").alias("taken"), F.count("_bad").alias("hits")).crossJoin(F.broadcast(faulty.agg(F.count("*").alias("n_faulty"))))
     return per.select(*by, "taken", "hits", F.round(F.col("hits") / F.col("taken"), 9).alias("precision"), F.round(F.coalesce(F.try_divide("hits", "n_faulty"), F.lit(0.0)), 9).alias("recall"))

@@ -49,19 +49,30 @@ def loop_counts(events: DataFrame) -> DataFrame:
     """run_id, thread_id, file, line, loop_id, seq, iterations: a row for every LOOP_END.
 
     A loop's events form a stack: BEGIN pushes a count of 0, HIT adds one to the top (or pushes 1), END pops (0 if empty).
-    The events of one loop in one run are folded in order.
+    Running sums give the depth at each event, a HIT or END of an empty stack being one of depth 0 before it; the frame an event
+    belongs to begins at the last push of its depth; and its hits are counted in a running sum over the frames of that depth.
     """
     keys = [*RUN, "file", "line", "loop_id"]
-    rows = events.where(F.col("event_type").isin("LOOP_BEGIN", "LOOP_HIT", "LOOP_END"))
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", F.expr("case event_type when 'LOOP_BEGIN' then 'B' when 'LOOP_HIT' then 'H' else 'E' end").alias("kind")))).alias("steps"))
-    # The state holds the stack and what the last END popped; ends are gathered with their seq.
-    state = "named_struct('stack', cast(array() as array<bigint>), 'out', cast(array() as array<struct<seq:bigint,iterations:bigint>>))"
-    fold = f"""aggregate(steps, {state}, (acc, x) -> case x.kind
-        when 'B' then named_struct('stack', array_append(acc.stack, 0L), 'out', acc.out)
-        when 'H' then named_struct('stack', if(size(acc.stack) = 0, array(1L), array_append(slice(acc.stack, 1, size(acc.stack) - 1), element_at(acc.stack, -1) + 1L)), 'out', acc.out)
-        else named_struct('stack', if(size(acc.stack) = 0, acc.stack, slice(acc.stack, 1, size(acc.stack) - 1)),
-             'out', array_append(acc.out, named_struct('seq', x.seq, 'iterations', if(size(acc.stack) = 0, 0L, element_at(acc.stack, -1))))) end, acc -> acc.out)"""
-    return grouped.select(*keys, F.explode(F.expr(fold)).alias("end")).select(*keys, "end.seq", "end.iterations")
+    rows = events.where(F.col("event_type").isin("LOOP_BEGIN", "LOOP_HIT", "LOOP_END")).select(*keys, "seq", F.col("event_type").alias("kind"))
+    w = Window.partitionBy(*keys).orderBy("seq")
+    so_far = (Window.unboundedPreceding, 0)
+    begin, hit, end = (F.col("kind") == f"LOOP_{k}" for k in ("BEGIN", "HIT", "END"))
+    # How deep the stack would be if a HIT never pushed: BEGIN and END alone, ENDs of an empty stack left out.
+    rows = rows.withColumn("sum", F.sum(F.when(begin, 1).when(end, -1).otherwise(0)).over(w.rowsBetween(*so_far)))
+    rows = rows.withColumn("low", F.least(F.lit(0), F.min("sum").over(w.rowsBetween(*so_far))))
+    rows = rows.withColumn("depth", (F.col("sum") - F.col("low")).cast("int"))
+    before = F.coalesce(F.lag(F.col("depth")).over(w), F.lit(0))
+    rows = rows.withColumn("before", before)
+    # HITs at depth 0 push a frame under all later ones, which lasts until an END at depth 0. The running number of such ENDs names it.
+    floor = end & (F.col("before") == 0)
+    rows = rows.withColumn("floor", F.sum(F.when(floor, 1).otherwise(0)).over(w.rowsBetween(*so_far)) - F.when(floor, 1).otherwise(0))
+    # The depth of the frame that a HIT counts in or an END pops: that before the event; a BEGIN opens the depth after it.
+    rows = rows.withColumn("frame_depth", F.when(begin, F.col("depth")).otherwise(F.col("before")))
+    level = Window.partitionBy(*keys, "frame_depth").orderBy("seq")
+    rows = rows.withColumn("opened", F.when(F.col("frame_depth") == 0, -F.col("floor") - 1).otherwise(F.last(F.when(begin, F.col("seq")), ignorenulls=True).over(level.rowsBetween(*so_far))))
+    frame = Window.partitionBy(*keys, "frame_depth", "opened").orderBy("seq").rowsBetween(*so_far)
+    rows = rows.withColumn("iterations", F.sum(F.when(hit, 1).otherwise(0)).over(frame).cast("long"))
+    return rows.where("kind = 'LOOP_END'").select(*keys, "seq", "iterations")
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, width: int = 256) -> DataFrame:
@@ -124,11 +135,12 @@ def visible_variables(events: DataFrame) -> DataFrame:
 
 
 def segments(events: DataFrame) -> DataFrame:
-    """Adds segment: a run is cut where a test event's place differs from the last one's. What precedes the first
-    test event belongs to the first segment."""
-    w = _run_window()
-    test = F.col("event_type").startswith("TEST_")
+    """Adds segment and cut: a run is cut where a test event's place differs from the last one's, and at every TEST_END after another
+    test event. What precedes the first test event belongs to the first segment. Threads of a run share its segments."""
+    w = Window.partitionBy("run_id").orderBy("seq")
+    test = F.coalesce(F.col("event_type").startswith("TEST_"), F.lit(False))
     place = F.when(test, F.struct("file", "line"))
     last = F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    change = F.when(test & last.isNotNull() & ~place.eqNullSafe(last), 1).otherwise(0)
-    return events.withColumn("segment", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    cut = test & last.isNotNull() & ((F.col("event_type") == "TEST_END") | ~place.eqNullSafe(last))
+    rows = events.withColumn("cut", cut)
+    return rows.withColumn("segment", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))

@@ -39,13 +39,19 @@ def feature_names(values: DataFrame) -> list[str]:
     return found
 
 
-def wide(values: DataFrame, runs: DataFrame, features: list[str]) -> DataFrame:
-    """A row per run: run_id, failing, and a column for each of the features given, by name."""
+def without_runs(values: DataFrame, removed: DataFrame) -> DataFrame:
+    """The values of all runs but those removed (run_id), with the features that others observed."""
+    return values.join(removed.select("run_id"), "run_id", "left_anti")
+
+
+def wide(values: DataFrame, runs: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
+    """A row per run: run_id, failing, test if runs have one, the label if given, and a column for each of the features given, by name."""
     cells = values.where(F.col("feature").isin(*features))
     kind = {f: f.split(":", 1)[0] for f in features}
     pivoted = cells.groupBy("run_id").pivot("feature", sorted(features)).agg(F.first("value"))
-    joined = runs.select("run_id", F.col("failing").cast("int").alias("failing")).join(pivoted, "run_id", "left")
-    return joined.select("run_id", "failing", *(F.coalesce(F.col(f"`{f}`"), F.lit(UNDEFINED if kind[f] in PREDICATES else FALSE)).alias(f) for f in sorted(features)))
+    own = ["test"] if "test" in runs.columns else []
+    joined = runs.select("run_id", *own, F.col("failing").cast("int").alias("failing")).join(pivoted, "run_id", "left")
+    return joined.select("run_id", *own, "failing", *([F.lit(label).alias("label")] if label is not None else []), *(F.coalesce(F.col(f"`{f}`"), F.lit(UNDEFINED if kind[f] in PREDICATES else FALSE)).alias(f) for f in sorted(features)))
 
 
 def next_runs(runs: DataFrame) -> DataFrame:

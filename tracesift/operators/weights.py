@@ -1,7 +1,11 @@
-"""Test-proximity weights: how near a feature's segment is to the end of a failing test."""
+"""Test-proximity weights: how near a feature's segment is to the end of a failing test.
 
-from __future__ import annotations
+A test's segments are those of sequence.segments(). Those before the first TEST_START and from the last TEST_END on (fixtures)
+weigh half; without a TEST_END only the former do. Distances then lessen the weight in equal steps. Runs without test
+events have no weights.
+"""
 
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,8 +13,6 @@ from pyspark.sql import functions as F
 
 from . import sequence
 
-RUN = sequence.RUN
-
 
 def segment_features(events: DataFrame, observations: DataFrame) -> DataFrame:
     """type, feature, run_id, segment: in which segments of a run a feature was observed."""
@@ -18,51 +20,79 @@ def segment_features(events: DataFrame, observations: DataFrame) -> DataFrame:
     return observations.join(placed, ["run_id", "seq"]).select("type", "feature", "run_id", "segment").distinct()
 
 
+def _parts(events: DataFrame) -> DataFrame:
+    """run_id, segment, place of its test events, last, closest, base: a row for each segment of runs with test events.
+
+    closest is the segment that the last TEST_END after another test event cut off; base is 1 inside of the test's function.
+    """
+    rows = sequence.segments(events)
+    kind, test = F.col("event_type"), F.col("event_type").startswith("TEST_")
+    start, end = F.when(kind == "TEST_START", F.col("seq")), F.when(kind == "TEST_END", F.col("seq"))
+    marks = rows.groupBy("run_id").agg(
+        F.max("segment").alias("last"), F.count_if(test).alias("tests"),
+        F.min(start).alias("start_seq"), F.min(F.when(kind == "TEST_START", F.col("segment"))).alias("start"),
+        F.max(end).alias("end_seq"), F.max(F.when(kind == "TEST_END", F.col("segment"))).alias("end"),
+        F.max(F.when((kind == "TEST_END") & F.col("cut"), F.col("segment") - 1)).alias("closest"),
+    ).where("tests > 0")
+    parts = rows.groupBy("run_id", "segment").agg(F.max(F.when(test, F.struct("file", "line"))).alias("place"))  # all its test events share it
+    segment = F.col("segment")
+    first = F.when(F.col("start_seq") < F.col("end_seq"), F.col("start")).otherwise(0)  # a start after the last end opens nothing
+    inside = F.when(F.col("end").isNotNull(), (segment >= first) & (segment < F.col("end"))).otherwise(segment >= F.coalesce("start", F.lit(0)))
+    return parts.join(marks, "run_id").select("run_id", "segment", "place", "last", "closest", F.when(inside, 1.0).otherwise(0.5).alias("base"))
+
+
 def function_weights(events: DataFrame) -> DataFrame:
     """run_id, segment, weight: 1 inside of a test's function, a half before its start or after its end."""
-    rows = sequence.segments(events)
-    marks = rows.groupBy("run_id").agg(F.min(F.when(F.col("event_type") == "TEST_START", F.col("segment"))).alias("_start"), F.max(F.when(F.col("event_type") == "TEST_END", F.col("segment"))).alias("_end"))
-    outside = (F.col("segment") < F.col("_start")) | (F.col("segment") > F.col("_end"))
-    return rows.select("run_id", "segment").distinct().join(marks, "run_id").select("run_id", "segment", F.when(F.coalesce(outside, F.lit(False)), 0.5).otherwise(1.0).alias("weight"))
+    return _parts(events).select("run_id", "segment", F.col("base").alias("weight"))
 
 
 def line_weights(events: DataFrame) -> DataFrame:
-    """run_id, segment, distance, weight: 1 for the last segment, less with each one before, in equal steps."""
-    found = sequence.segments(events).select("run_id", "segment").distinct()
-    run = Window.partitionBy("run_id")
-    found = found.withColumn("distance", F.max("segment").over(run) - F.col("segment"))
-    return found.withColumn("weight", 1 - F.col("distance") / (F.max("distance").over(run) + 1))
+    """run_id, segment, distance, weight. Distances grow backwards from the segment before the one that the test's end cut off, at 0, and
+    forwards from that one, at 1; without a test's end, backwards from the last."""
+    segment, closest = F.col("segment"), F.col("closest")
+    distance = F.when(closest.isNull(), F.col("last") - segment).when(segment < closest, closest - 1 - segment).otherwise(segment - closest + 1)
+    found = _parts(events).withColumn("distance", distance)
+    farthest = found.groupBy("run_id").agg((F.max("distance") + 1).alias("steps"))
+    return found.join(farthest, "run_id").select("run_id", "segment", "distance", (F.col("base") * (1 - F.col("distance") / F.col("steps"))).alias("weight"))
+
+
+def sources(events: DataFrame, uses: bool = False) -> DataFrame:
+    """run_id, segment, seq, source: for every TEST_USE the segment that defined its variable, its own or the last before;
+    with uses, a segment that used a known variable becomes what later ones go back to."""
+    rows = sequence.segments(events).where(F.col("event_type").isin("TEST_DEF", "TEST_USE"))
+    name = ["run_id", "var", "var_id"]
+    touched = rows.groupBy(*name, "segment").agg(F.bool_or(F.col("event_type") == "TEST_DEF").alias("defines"))
+    order = Window.partitionBy(*name).orderBy("segment")
+    known = F.max("defines").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    touched = touched.withColumn("known", known)
+    leads = F.col("known") if uses else F.col("defines")
+    before = F.last(F.when(leads, F.col("segment")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    touched = touched.withColumn("source", F.when(F.col("defines"), F.col("segment")).otherwise(before)).where("source is not null")
+    used = rows.where("event_type = 'TEST_USE'").select(*(F.col(c).alias(f"_{c}") for c in [*name, "segment", "seq"]))
+    same = F.lit(True)
+    for c in [*name, "segment"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return used.join(touched, same).select("run_id", "segment", F.col("_seq").alias("seq"), "source")
 
 
 def def_use_weights(events: DataFrame, uses: bool = False, asserts: bool = False) -> DataFrame:
-    """run_id, segment, distance, weight: distances from the end, shortened along definitions and uses of test variables.
+    """run_id, segment, distance, weight: distances from the last segment, shortened along definitions and uses of test variables.
 
-    A segment that uses a variable leads back to the segment that defined it; with uses, a use also becomes what the next
-    use goes back to. Segments are visited once, nearest first, and bring those they lead back to within one step. With
-    asserts, a second visit makes each asserting segment but those at distance 0 one farther, and what it leads back to.
-    The order of visits matters, so each run's segments, a row each, are folded in Python.
+    Segments are visited once, nearest first, and bring those they lead back to within one step. With asserts, a second
+    visit makes each segment at the place of a TEST_ASSERT, but those at distance 0, one farther, and what it leads back to.
+    The order of visits matters, so the segments of a run, a row each with their sources, are folded in Python.
     """
-    rows = sequence.segments(events)
-    step = F.struct("seq", F.col("event_type").alias("kind"), F.concat_ws("#", "var", F.col("var_id").cast("string")).alias("name"))
-    test = rows.where(F.col("event_type").isin("TEST_DEF", "TEST_USE", "TEST_ASSERT")).groupBy("run_id", "segment").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    every = line_weights(events).select("run_id", "segment", "distance").join(test, ["run_id", "segment"], "left")
+    parts = _parts(events)
+    back = sources(events, uses).groupBy("run_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "source"))).alias("back"))
+    asserting = events.where("event_type = 'TEST_ASSERT'").select("run_id", F.struct("file", "line").alias("place"), F.lit(True).alias("asserts")).distinct()
+    every = parts.join(back, ["run_id", "segment"], "left").join(asserting, ["run_id", "place"], "left").select("run_id", "segment", "base", (F.col("last") - F.col("segment")).alias("distance"), F.coalesce("asserts", F.lit(False)).alias("asserts"), F.col("back.source").alias("back"))
 
     def relax(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("segment")
         order = pdf["segment"].tolist()
         distance = dict(zip(order, pdf["distance"].tolist(), strict=True))
-        source: dict[str, int] = {}
-        back: dict[int, list[int]] = {}
-        asserting = set()
-        for segment, steps in zip(order, pdf["steps"], strict=True):
-            steps = [] if steps is None else steps
-            source.update({s["name"]: segment for s in steps if s["kind"] == "TEST_DEF"})
-            used = [s["name"] for s in steps if s["kind"] == "TEST_USE" and s["name"] in source]
-            back[segment] = [source[name] for name in used]
-            if uses:
-                source.update(dict.fromkeys(used, segment))
-            if any(s["kind"] == "TEST_ASSERT" for s in steps):
-                asserting.add(segment)
+        asserting = set(pdf.loc[pdf["asserts"], "segment"])
+        back = {s: [] if b is None else list(b) for s, b in zip(order, pdf["back"], strict=True)}
         for segment in sorted(order, key=distance.get):
             for origin in back[segment]:
                 distance[origin] = min(distance[origin], distance[segment] + 1)
@@ -76,8 +106,8 @@ def def_use_weights(events: DataFrame, uses: bool = False, asserts: bool = False
                 if segment in costly:
                     distance[origin] += 1
                     costly.add(origin)
-        most = max(distance.values()) + 1
-        return pd.DataFrame({"run_id": pdf["run_id"], "segment": order, "distance": [distance[s] for s in order], "weight": [1 - distance[s] / most for s in order]})
+        steps = max(distance.values()) + 1
+        return pd.DataFrame({"run_id": pdf["run_id"], "segment": order, "distance": [distance[s] for s in order], "weight": [base * (1 - distance[s] / steps) for s, base in zip(order, pdf["base"], strict=True)]})
 
     return every.groupBy("run_id").applyInPandas(relax, "run_id long, segment int, distance int, weight double")
 

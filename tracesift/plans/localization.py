@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators import counts, extractors, ranking, sequence, vectors, weights
+from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
 from ..sources import binary_log, csv_log, mapping, reports, testdata
 from . import sql
@@ -135,8 +136,17 @@ _SEGMENTS = f"""{sql.trace('tests')}, {sql.RUNS}, g1 as (
   select *, starts_with(event_type, 'TEST_') as test, case when starts_with(event_type, 'TEST_') then file || ':' || line end as place from tr
 ), g2 as (
   select *, last_value(place ignore nulls) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as before from g1
+), g3 as (
+  select *, test and before is not null and (event_type = 'TEST_END' or place <> before) as cut from g2
 ), seg as (
-  select *, cast(sum(case when test and before is not null and place <> before then 1 else 0 end) over (partition by run_id order by seq rows unbounded preceding) as integer) as segment from g2
+  select *, cast(sum(cut::integer) over (partition by run_id order by seq rows unbounded preceding) as integer) as segment from g3
+), mk as (
+  select run_id, max(segment) as last, min(seq) filter (event_type = 'TEST_START') as start_seq, min(segment) filter (event_type = 'TEST_START') as start,
+    max(seq) filter (event_type = 'TEST_END') as end_seq, max(segment) filter (event_type = 'TEST_END') as fin, max(segment) filter (event_type = 'TEST_END' and cut) - 1 as closest
+  from seg group by run_id having bool_or(test)
+), parts as (
+  select distinct run_id, segment, last, closest, case when case when fin is null then segment >= coalesce(start, 0) else segment >= case when start_seq < end_seq then start else 0 end and segment < fin end then 1.0 else 0.5 end as base
+  from seg join mk using (run_id)
 )"""
 
 
@@ -164,14 +174,49 @@ def coverage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.covered_places(extractors.extract(events, *FLOW))
 
 
+@query(f"with {sql.observations(*FLOW)} select run_id, feature, max(truth) as hit, cast(sum(truth) as bigint) as hits, count(*) as seen, arg_max(truth, seq) as last from obs group by run_id, type, feature, file, line, file2, line2")
+def run_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each run evaluated a feature, how often it held, and whether it did the last time."""
+    events, _ = events_of(spark, sf_dir, "LINE")
+    return counts.run_hits(extractors.extract(events, *FLOW)).select("run_id", "feature", "hit", "hits", "seen", "last")
+
+
+_SWITCHED = """select distinct feature from obs where (type = 'BRANCH' and truth = 1) or (type = 'LENGTH' and not ends_with(feature, ':0')) or type = 'LINE'"""
+
+
+@query(f"with {sql.observations('LINE', 'BRANCH', 'LENGTH')} {_SWITCHED} order by 1")
+def switched_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the sides of branches that aren't taken, and the class of empty lengths, switched off."""
+    events, _ = events_of(spark, sf_dir, "LINE")
+    return extractors.extract(events, "LINE", "BRANCH", "LENGTH", else_side=False, classes=("1", "more")).select("feature").distinct()
+
+
+@query(f"with {sql.observations('VARIABLE', 'RETURN')} select feature, count(*) as n, cast(sum(truth) as bigint) as hits from obs where feature like '%:<:%' or feature like '%:<' or feature like '%:==:%' or feature like '%:==' group by feature")
+def switched_comparators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values compared by two of the six comparators."""
+    events, _ = events_of(spark, sf_dir, "VARIABLE")
+    made = extractors.extract(events, "VARIABLE", "RETURN", comparators=("<", "=="))
+    return made.groupBy("feature").agg(F.count("*").alias("n"), F.sum("truth").alias("hits"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.scored(counts_of(spark, sf_dir, *FLOW))
 
 
-@query(f"{_SCORED} select type, score, string_agg(distinct file || ':' || line, ',' order by file || ':' || line) as places from pl group by type, score")
+@query(f"{_SCORED} select distinct type, score, file || ':' || line as place from pl")
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ranking.suggestions(_scores(spark, sf_dir), "type")
-    return made.select("type", "score", F.array_join("places", ",").alias("places"))
+    return ranking.suggestions(_scores(spark, sf_dir), "type")
+
+
+@query(f"""{_FLOW}, sc as (select type, unnest(['Ochiai', 'Tarantula']) as metric, unnest([{metrics.expression('Ochiai')}, {metrics.expression('Tarantula')}]) as score, file || ':' || line as place from counts
+), per as (select type, metric, score, string_agg(distinct place, ',' order by place) as places from sc group by all)
+select type, metric, string_agg(places, ';' order by score desc) as places, count(*) as n from per group by all""")
+def suggestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every kind, read back: for each metric its places, best first."""
+    scored = counts.scored_long(counts_of(spark, sf_dir, *FLOW), "Ochiai", "Tarantula")
+    made = reports.report(ranking.listed(ranking.suggestions(scored, "type", "metric"), "type", "metric"))
+    back = made.select("type", F.explode(F.from_json("report", "map<string, array<struct<locations: array<string>, suspiciousness: double>>>")).alias("metric", "list"))
+    return back.select("type", "metric", F.array_join(F.transform("list", lambda s: F.array_join(s["locations"], ",")), ";").alias("places"), F.size("list").cast("long").alias("n"))
 
 
 @query(f"""{_SCORED}, o as (select type, score, row_number() over (partition by type order by score) as n, count(*) over (partition by type) as k from scores)
@@ -216,6 +261,11 @@ def fault_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fault_ranks(_ranked(spark, sf_dir), faulty(spark, sf_dir), "type")
 
 
+@query(f"{_SCORED} select type, file, line, round(avg(score), 9) as score from (select type, feature, file, line, score from pl) group by all")
+def mean_place_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.place_scores(_scores(spark, sf_dir), "type", how="avg")
+
+
 def _precision(k: int) -> None:
     @query(f"""{_RANKED}, tk as (select *, max(score) over (partition by type) as best from ranked)
 select type, count(*) as taken, count(b.file) as hits, round(count(b.file) / count(*), 9) as "precision", round(coalesce(count(b.file) / nullif((select count(*) from faulty), 0), 0), 9) as recall
@@ -260,15 +310,31 @@ def complete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.complete(values, runs).select("run_id", "feature", "value")
 
 
-_WIDE = [f"CONDITION:f{k % 5}:{k % 19 + 1}:c{k % 6}:is" for k in (0, 1, 2, 3)] + [f"LINE:f{k % 5}:{k % 19 + 1}" for k in (10, 11, 12, 13)]
-
-
-@query(f"with {sql.observations(*FLOW)}, {_VALUES} select r.run_id, cast(any_value(r.failing) as integer) as failing, " + ", ".join(f"coalesce(max(case when feature = '{f}' then value end), {-1 if f.startswith('CONDITION') else 0}) as \"{f}\"" for f in _WIDE) + " from runs r left join vals v using (run_id) group by r.run_id")
+@query(f"""with {sql.observations(*FLOW)}, {_VALUES}, fs as (select distinct feature, type from vals
+), cells as (select r.run_id, cast(r.failing as integer) as failing, 'run ' || r.run_id as test, 'all' as label, fs.feature, coalesce(value, {_FILL.replace('type', 'fs.type')}) as value from runs r cross join fs left join vals v on v.run_id = r.run_id and v.feature = fs.feature)
+pivot cells on feature using max(value) group by run_id, failing, test, label""")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by all features that any run observed. The SQL has the columns of _WIDE only."""
+    """Runs by all features that any run observed."""
     values, runs = _values(spark, sf_dir)
     values = stored(values, "feature-values")
-    return vectors.wide(values, runs, vectors.feature_names(values))
+    named = runs.withColumn("test", F.concat(F.lit("run "), F.col("run_id").cast("string")))
+    return vectors.wide(values, named, vectors.feature_names(values), label="all")
+
+
+@query(f"with {sql.observations(*FLOW)}, {_VALUES} select run_id, feature, value from vals where run_id not in (select run_id from runs where failing)")
+def vectors_without_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that are left when the failing runs are removed."""
+    values, runs = _values(spark, sf_dir)
+    return vectors.without_runs(values, runs.where("failing")).select("run_id", "feature", "value")
+
+
+@query(f"with {sql.observations(*FLOW)}, {_VALUES}, fl as (select failing, feature, any_value(type) as type, max(value) as value from vals join runs using (run_id) group by all), a as (select * from fl where failing), b as (select * from fl where not failing) select feature, greatest(a.value, b.value) as either, case when a.value = -1 then -1 else 1 - a.value end as negated from a join b using (feature)")
+def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing and passing runs' vectors: one or the other, and the failing one negated."""
+    values, runs = _values(spark, sf_dir)
+    both = vectors.merged(values.join(runs, "run_id"), "failing")
+    side = lambda failing, name: both.where(F.col("failing") == failing).select("feature", F.col("value").alias(name))
+    return side(True, "a").join(side(False, "b"), "feature").select("feature", vectors.either(F.col("a"), F.col("b")).alias("either"), vectors.negated(F.col("a")).alias("negated"))
 
 
 @query(f"""with {sql.observations(*FLOW)}, {_VALUES}, nx as (select run_id as a, lead(run_id) over (order by run_id) as b from runs
@@ -282,73 +348,180 @@ def vector_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Proximity weights.
 
-_LINE_WEIGHTS = "lw as (select run_id, segment, max(segment) over (partition by run_id) - segment as distance, 1 - (max(segment) over (partition by run_id) - segment) / (max(segment) over (partition by run_id) + 1) as weight from (select distinct run_id, segment from seg))"
+_LINE_WEIGHTS = """ld as (
+  select *, case when closest is null then last - segment when segment < closest then closest - 1 - segment else segment - closest + 1 end as distance from parts
+), sw as (select run_id, segment, distance, base * (1 - distance / (max(distance) over (partition by run_id) + 1)) as weight from ld)"""
+
+
+def _def_use_weights(uses: bool) -> str:
+    """Ways back along definitions and uses, by recursion; the shortest is the distance."""
+    return f"""u0 as (
+  select run_id, var, var_id, segment, bool_or(event_type = 'TEST_DEF') as defines, bool_or(event_type = 'TEST_USE') as used from seg where event_type in ('TEST_DEF', 'TEST_USE') group by all
+), u1 as (
+  select *, bool_or(defines) over (partition by run_id, var, var_id order by segment rows unbounded preceding) as known from u0
+), u2 as (
+  select *, last_value(case when {'known' if uses else 'defines'} then segment end ignore nulls) over (partition by run_id, var, var_id order by segment rows between unbounded preceding and 1 preceding) as source from u1
+), back as (select distinct run_id, segment, source from u2 where used and not defines and source is not null), way as (
+  select run_id, segment, last - segment as distance from parts union select w.run_id, source, distance + 1 from way w join back using (run_id, segment)
+), ld as (
+  select run_id, segment, base, min(distance) as distance from parts join way using (run_id, segment) group by all
+), sw as (select run_id, segment, distance, base * (1 - distance / (max(distance) over (partition by run_id) + 1)) as weight from ld)"""
+
+
+def _proximity_sql(segment_weights: str) -> str:
+    return f"""with recursive {_SEGMENTS}, {segment_weights}, obs as ({sql.OBSERVATIONS['LINE'][2]}), {sql.COUNTS},
+fw as (select feature, o.run_id, max(weight) as weight from obs o join seg using (run_id, seq) join runs r on r.run_id = o.run_id and failing join sw on sw.run_id = o.run_id and sw.segment = seg.segment group by all
+), w as (select feature, avg(weight) as weight from fw group by all)
+select c.file, c.line, round(coalesce(weight, 0), 9) as weight, round({metrics.expression('Ochiai')} * coalesce(weight, 0), 9) as score from counts c left join w using (feature)"""
+
+
+def _proximity(spark: SparkSession, sf_dir: str, segment_weights: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    events, runs = testdata.trace(spark, sf_dir, "tests"), testdata.runs(spark, sf_dir)
+    observed = extractors.extract(events, "LINE")
+    made = weights.feature_weights(weights.segment_features(events, observed), segment_weights(events), runs)
+    scored = counts.weighted(counts.contingency(observed, runs), made)
+    return scored.select("file", "line", F.round("weight", 9).alias("weight"), F.round(metrics.metric("Ochiai") * F.col("weight"), 9).alias("score"))
 
 
-@query(f"with {_SEGMENTS}, {_LINE_WEIGHTS} select run_id, segment, distance, round(weight, 9) as weight from lw")
+@query(f"with {_SEGMENTS}, {_LINE_WEIGHTS} select run_id, segment, distance, round(weight, 9) as weight from sw")
 def line_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = weights.line_weights(testdata.trace(spark, sf_dir, "tests"))
     return made.select("run_id", "segment", "distance", F.round("weight", 9).alias("weight"))
 
 
-def _proximity(spark: SparkSession, sf_dir: str, segment_weights: DataFrame) -> DataFrame:
-    events, runs = testdata.trace(spark, sf_dir, "tests"), testdata.runs(spark, sf_dir)
-    observed = extractors.extract(events, "LINE")
-    made = weights.feature_weights(weights.segment_features(events, observed), segment_weights, runs)
-    scored = counts.weighted(counts.contingency(observed, runs), made)
-    return scored.select("file", "line", F.round("weight", 9).alias("weight"), F.round(metrics.metric("Ochiai") * F.col("weight"), 9).alias("score"))
+@query(_proximity_sql("sw as (select run_id, segment, base as weight from parts)"))
+def proximity_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, weights.function_weights)
 
 
-@query(f"""with {_SEGMENTS}, {_LINE_WEIGHTS}, obs as ({sql.OBSERVATIONS['LINE'][2]}), {sql.COUNTS},
-fw as (select feature, o.run_id, max(weight) as weight from obs o join seg using (run_id, seq) join runs r on r.run_id = o.run_id and failing join lw on lw.run_id = o.run_id and lw.segment = seg.segment group by all
-), w as (select feature, avg(weight) as weight from fw group by all)
-select c.file, c.line, round(coalesce(weight, 0), 9) as weight, round({metrics.expression('Ochiai')} * coalesce(weight, 0), 9) as score from counts c left join w using (feature)""")
+@query(_proximity_sql(_LINE_WEIGHTS))
 def proximity_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _proximity(spark, sf_dir, weights.line_weights(testdata.trace(spark, sf_dir, "tests")))
+    return _proximity(spark, sf_dir, weights.line_weights)
 
 
-@query()
+@query(_proximity_sql(_def_use_weights(False)))
 def proximity_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights by definitions, uses of uses, and asserts; folded in order of distance, which SQL can't express."""
-    return _proximity(spark, sf_dir, weights.def_use_weights(testdata.trace(spark, sf_dir, "tests"), uses=True, asserts=True))
+    return _proximity(spark, sf_dir, weights.def_use_weights)
 
 
-@query(f"""with {_SEGMENTS}, obs as ({sql.OBSERVATIONS['LINE'][2]}), {sql.COUNTS}, en as (
-  select run_id, min(case when event_type = 'TEST_DEF' then segment end) as first, max(case when event_type = 'TEST_ASSERT' then segment end) as last from seg group by run_id
-), fw as (
-  select feature, o.run_id, max(case when seg.segment < first or seg.segment > last then 0.5 else 1.0 end) as weight from obs o join seg using (run_id, seq) join runs r on r.run_id = o.run_id and failing join en on en.run_id = o.run_id group by all
-), w as (select feature, avg(weight) as weight from fw group by all)
-select c.file, c.line, round(coalesce(weight, 0), 9) as weight, round({metrics.expression('Ochiai')} * coalesce(weight, 0), 9) as score from counts c left join w using (feature)""")
-def proximity_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first test definition opens the test's function here, the last assertion closes it."""
-    events = testdata.trace(spark, sf_dir, "tests")
-    kind = F.when(F.col("event_type") == "TEST_DEF", "TEST_START").when(F.col("event_type") == "TEST_ASSERT", "TEST_END").otherwise(F.col("event_type"))
-    return _proximity(spark, sf_dir, weights.function_weights(events.withColumn("event_type", kind)))
+@query(_proximity_sql(_def_use_weights(True)))
+def proximity_def_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, uses=True))
+
+
+@query()
+def proximity_assert_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of asserting segments depend on the order of visits, which SQL can't express."""
+    return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, asserts=True))
+
+
+@query()
+def proximity_assert_def_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, uses=True, asserts=True))
 
 
 # Sources and sinks, in round trips.
 
 
-@query(f"with {sql.trace('flow')} select run_id, event_type, count(*) as n, sum(line) as lines, sum(case when event_type = 'BRANCH' then then_id end) as then_ids, max(seq) as last_seq from tr where event_type in ('LINE', 'BRANCH') group by all" .replace("from tr where", "from (select * replace (row_number() over (partition by run_id order by seq) as seq) from tr where event_type in ('LINE', 'BRANCH')) tr where"))
+@query(f"with {sql.trace('flow')} select run_id, seq, event_type, file, line, event_id, case when event_type = 'BRANCH' then then_id end as then_id from tr")
 def source_csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as text logs, a file per run, and read back."""
     path = scratch_path(spark, "csv-logs")
-    events = testdata.trace(spark, sf_dir, "flow").where(F.col("event_type").isin("LINE", "BRANCH"))
-    csv_log.write_csv_logs(events, path)
+    csv_log.write_csv_logs(testdata.trace(spark, sf_dir, "flow"), path)
     back = csv_log.read_csv_logs(spark, path, F.regexp_extract(F.col("_metadata.file_path"), r"run_id=(\d+)", 1).cast("long"))
-    return back.groupBy("run_id", "event_type").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum("then_id").alias("then_ids"), F.max("seq").alias("last_seq"))
+    return back.select("run_id", "seq", "event_type", "file", "line", "event_id", "then_id")
 
 
-_STATIC = ("event_id", "event_type", "file", "line", "function", "function_id", "var", "then_id", "else_id", "loop_id", "condition")
+_STATIC = ("event_id", "event_type", "file", "line", "function", "function_id", "var", "loop_id", "condition")
+_CODE = "k * 100 + case event_type " + " ".join(f"when '{kind}' then {code}" for code, kind in EVENT_CODES.items()) + " end"
 
 
-@query(f"with {sql.trace('scopes')} select run_id, seq, event_id, event_type, line, case when event_type in ('DEF', 'FUNCTION_EXIT') then value_num end as value_num, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr")
+@query(f"with {sql.trace('scopes')} select run_id, seq, {_CODE} as event_id, event_type, line, case when event_type in ('DEF', 'FUNCTION_EXIT') then value_num end as value_num, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr")
 def source_binary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events encoded as binary logs, a log per run, and decoded by the mapping of their static parts. Here each event has an
-    id of its own, so the mapping grows with the logs and is joined in Spark."""
-    events = testdata.trace(spark, sf_dir, "scopes")
+    """Events encoded as binary logs and decoded by the mapping of the program's places."""
+    events = testdata.program_place(testdata.trace(spark, sf_dir, "scopes"))
     logs = stored(binary_log.encode_logs(events), "binary-logs")
-    return binary_log.decode_logs(logs, events.select(*_STATIC), most=0).select("run_id", "seq", "event_id", "event_type", "line", "value_num", "var_id")
+    back = binary_log.decode_logs(logs, events.select(*_STATIC).distinct())
+    seq = F.col("chunk") * binary_log.STRETCH + F.col("seq")
+    return back.select("run_id", seq.alias("seq"), "event_id", "event_type", "line", "value_num", "var_id")
+
+
+@query(f"with {sql.trace('scopes')} select distinct {_CODE} as event_id, event_type, file, line, function, var from tr")
+def mapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of the program's places, written and read back."""
+    path = scratch_path(spark, "mapping")
+    known = testdata.program_place(testdata.trace(spark, sf_dir, "scopes")).select(*_STATIC).distinct()
+    mapping.write_mapping(known.withColumns({"then_id": F.lit(None).cast("long"), "else_id": F.lit(None).cast("long")}), path)
+    return mapping.read_mapping(spark, path, lines=True).select("event_id", "event_type", "file", "line", "function", "var")
+
+
+@query(f"with {sql.RUNS} select row_number() over (order by failing, 'run_id=' || run_id || '/') - 1 as number, run_id, failing from runs")
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of passing and failing runs in two folders, found and numbered."""
+    path = scratch_path(spark, "runs")
+    events, runs = testdata.trace(spark, sf_dir, "flow"), testdata.runs(spark, sf_dir)
+    for failing in (False, True):
+        csv_log.write_csv_logs(events.join(runs.where(F.col("failing") == failing), "run_id", "left_semi"), f"{path}/{failing}")
+    found = mapping.run_registry(spark, f"{path}/False", f"{path}/True")
+    return found.select(F.col("run_id").alias("number"), F.regexp_extract("path", r"run_id=(\d+)/", 1).cast("long").alias("run_id"), "failing")
+
+
+_CASES = {"click": "", "view": "<system-out>seen</system-out>", "purchase": "<skipped/>", "signup": "<failure message='no'>trace</failure>", "error": "<error/><system-err>x</system-err>"}
+
+
+@query("select 'u' || user_id || '::t' || event_id as test, case when event_type in ('signup', 'error') then 'FAILED' else 'PASSED' end as result from events where event_type <> 'purchase'")
+def junit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as test cases of JUnit files: some with output, some skipped, some failed."""
+    path = scratch_path(spark, "junit")
+    inner = F.lit("")
+    for kind, body in _CASES.items():
+        inner = F.when(F.col("event_type") == kind, body).otherwise(inner)
+    case = F.concat(F.lit("<testcase classname='u"), F.col("user_id").cast("string"), F.lit("' name='t"), F.col("event_id").cast("string"), F.lit("'>"), inner, F.lit("</testcase>"))
+    cases = testdata.table(spark, sf_dir, "events").select("user_id", "event_id", case.alias("value"))
+    ends = cases.select("user_id").distinct().select("user_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("<testsuite>").alias("value")), F.struct(F.lit(2**63 - 1).alias("event_id"), F.lit("</testsuite>").alias("value")))).alias("e")).select("user_id", "e.*")
+    rows = cases.unionByName(ends).repartition("user_id").sortWithinPartitions("user_id", "event_id")  # a file for each user
+    rows.select("user_id", "value").write.partitionBy("user_id").text(path)
+    return reports.junit_results(spark, path)
+
+
+_CHANGES = """ch as (
+  select user_id, row_number() over (partition by user_id order by event_id) as pos, case event_type when 'view' then '-' when 'purchase' then '+' else ' ' end as sign from events
+), nu as (
+  select *, sum((sign <> '+')::integer) over (partition by user_id order by pos) as old, sum((sign <> '-')::integer) over (partition by user_id order by pos) as new from ch
+)"""
+
+
+@query(f"""with {_CHANGES}, li as (
+  select user_id, coalesce(last_value(case when sign <> '+' then old + 6 end ignore nulls) over (partition by user_id order by pos rows unbounded preceding), first_value(case when sign = '+' then new + 6 end ignore nulls) over (partition by user_id order by pos rows unbounded preceding)) as line from nu
+) select distinct user_id as bug, 'src/f' || user_id || '.py' as file, cast(line as integer) as line from li""")
+def diff_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the lines of a diff's hunk, which begins at line 7."""
+    sign = F.when(F.col("event_type") == "view", "-").when(F.col("event_type") == "purchase", "+").otherwise(" ")
+    rows = testdata.table(spark, sf_dir, "events").select("user_id", "event_id", sign.alias("sign"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "sign"))), lambda e: F.concat(e["sign"], F.lit("line"))), "\n")
+    count = lambda other: F.count_if(F.col("sign") != other).cast("string")
+    made = rows.groupBy("user_id").agg(body.alias("body"), count("+").alias("old"), count("-").alias("new"))
+    name = F.concat(F.lit("src/f"), F.col("user_id").cast("string"), F.lit(".py"))
+    text = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -7,"), F.col("old"), F.lit(" +7,"), F.col("new"), F.lit(" @@\n"), F.col("body"))
+    return reports.diff_places(made.select(F.col("user_id").alias("bug"), text.alias("diff")))
+
+
+_CODE_LINES = {"click": ["a = 1"], "view": ["if a:", "    b = 1"], "purchase": ["if a:", "    b = 1", "else:", "    b = 2"], "signup": ["while a:", "    b = 1"], "error": ["def g():", "    return 1"]}
+_RANGES = "values ('view', 'BRANCH', true, 0, 1), ('view', 'BRANCH', false, 0, 0), ('purchase', 'BRANCH', true, 0, 1), ('purchase', 'BRANCH', false, 0, 0), ('purchase', 'BRANCH', false, 3, 3), ('signup', 'LOOP', null, 0, 1), ('error', 'FUNCTION', null, 0, 1), ('error', 'FUNCTION_ERROR', null, 0, 1)"
+
+
+@query(f"""with l as (
+  select user_id, event_type, case event_type {" ".join(f"when '{k}' then {len(v)}" for k, v in _CODE_LINES.items())} end as n, event_id from events
+), b as (select *, 1 + sum(n) over (partition by user_id order by event_id) - n as line from l), r(event_type, kind, side, f, t) as ({_RANGES})
+select kind, 'f' || user_id || '.py' as file, cast(line as integer) as line, side as "then", cast(line + f as integer) as "first", cast(line + t as integer) as "last" from b join r using (event_type)""")
+def source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the statements of a Python source, and the ranges found in it."""
+    code = F.lit("")
+    for kind, lines in _CODE_LINES.items():
+        code = F.when(F.col("event_type") == kind, "\n".join(lines)).otherwise(code)
+    rows = testdata.table(spark, sf_dir, "events").select("user_id", F.struct("event_id", code.alias("code")).alias("s"))
+    made = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["code"]), "\n").alias("text"))
+    return reports.source_ranges(made.select(F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".py")).alias("file"), "text"))
 
 
 @query(f"with {sql.trace('scopes')} select case when event_id % 3 = 0 then event_id + 1000000 else event_id end as event_id, event_type, case when event_type = 'DEF' then 'other' else file end as file, line from tr")
@@ -383,10 +556,10 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", reports.test_outcome(F.col("passed"), F.col("failed")).alias("outcome"))
 
 
-@query(r"""select doc_id, case when length(p) > 255 then md5(s) else p end as name from (
-  select doc_id, s, regexp_replace(regexp_replace(s, '[^\x00-\x7f]', '', 'g'), '[^A-Za-z0-9]', '_', 'g') as p from (select doc_id, substr(text, 1, 300) as s from documents))""")
+@query(r"""select doc_id, case when length(p) > 255 then md5(text) else p end as name from (
+  select doc_id, text, regexp_replace(regexp_replace(text, '[^\x00-\x7f]', '', 'g'), '[^A-Za-z0-9]', '_', 'g') as p from documents)""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names from whole texts; those that stay long become checksums. The SQL names the first 300 characters only."""
+    """File names from whole texts; those that stay long become checksums."""
     docs = testdata.table(spark, sf_dir, "documents")
     return docs.select("doc_id", reports.safe_name(F.col("text")).alias("name"))
 
@@ -436,6 +609,16 @@ def expanded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.expanded_places(scored, sides, "type").groupBy("type", "file", "line").agg(F.max("score").alias("score"))
 
 
+@query(f"""{_SCORED}, {_SPANS}, ex as (
+  select s.type, s.feature, s.file, unnest(case when p.first is null then [s.line] else range(p.first, p.last + 1) end) as line, s.score from scores s left join spans p on s.type = p.kind and s.file = p.file and s.line = p.line and (s.type = 'BRANCH' and not ends_with(s.feature, ':then')) = p.then
+) select type, file, cast(line as integer) as line, max(score) as score from ex group by all""")
+def flipped_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As expanded_places, of the sides that features don't name."""
+    scored = _scores(spark, sf_dir)
+    sides = scored.where("type = 'BRANCH'").select(F.col("type").alias("kind"), "file", "line", F.col("feature").endswith(":then").alias("then"), F.col("line").alias("first"), F.least(F.col("line") + 2, F.lit(19)).alias("last")).distinct()
+    return ranking.expanded_places(scored, sides, "type", flip=True).groupBy("type", "file", "line").agg(F.max("score").alias("score"))
+
+
 @query(f"{sql.counted('LINE')} select file, line, {metrics.expression('Ochiai')} as ochiai, {metrics.expression('Zoltar')} as zoltar from counts")
 def similarity_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coefficients as SQL functions of four counts."""

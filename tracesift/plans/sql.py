@@ -20,7 +20,7 @@ def trace(variant: str = "scopes", name: str = "tr") -> str:
     'f' || (k % 5) as file, cast(k % 19 + 1 as integer) as line, 'fn' || (k % 7) as function, k % 7 as function_id, 'v' || (k % 4) as var, k % 4 as var_id,
     case when k % 10 <> 9 then value - 50 end as value_num, value > 60 as value_bool, case when k % 10 <> 9 then 'float' else 'NoneType' end as value_type,
     2 * (k % 10) + case when value > 60 then 1 else 0 end as then_id, case when k % 10 = 9 then -1 else 2 * (k % 10) + case when value > 60 then 0 else 1 end end as else_id,
-    k % 3 as loop_id, 'c' || (k % 6) as condition, k % 4 as length, event_type as row_type, value
+    k % 3 as loop_id, 'c' || (k % 6) as condition, k % 4 as length, event_type as row_type, value, k
   from (select event_id, ts, user_id as run_id, event_type, value, cast(json_extract_string(props, '$.k') as integer) as k from events)
 )"""
 
@@ -30,10 +30,11 @@ ORDER_RUNS = "runs as (select o_orderkey as run_id, o_orderstatus = 'F' as faili
 ORDER_OBS = "obs as (select 'LINE' as type, 'LINE:' || l_returnflag || l_linestatus || ':' || l_linenumber as feature, l_returnflag || l_linestatus as file, cast(l_linenumber as integer) as line, null as file2, null as line2, l_orderkey as run_id, l_linenumber as seq, 1 as truth from lineitem)"
 DOC_RUNS = "runs as (select doc_id as run_id, quality = 0 or toxic = 1 as failing from labels)"
 DOC_TRACE = r"""d0 as (
-  select doc_id, lang, source, coalesce(regexp_extract(text, '^\s*(\S+)', 1), '') as first, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then cast(n_chars as varchar) end as odd from documents
+  select doc_id, lang, source, coalesce(regexp_extract(text, '^\s*(\S+)', 1), '') as first, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then cast(n_chars as varchar) end as odd, text from documents
 ), tr as (
   select doc_id as run_id, 1 as seq, 'DEF' as event_type, 'docs' as file, 1 as line, 'lang' as var, lang as value_str from d0 union all
-  select doc_id, 2, 'DEF', 'docs', 2, 'source', source from d0 union all select doc_id, 3, 'DEF', 'docs', 3, 'first', first from d0 union all select doc_id, 4, 'DEF', 'docs', 4, 'odd', odd from d0
+  select doc_id, 2, 'DEF', 'docs', 2, 'source', source from d0 union all select doc_id, 3, 'DEF', 'docs', 3, 'first', first from d0 union all select doc_id, 4, 'DEF', 'docs', 4, 'odd', odd from d0 union all
+  select doc_id, 5, 'DEF', 'docs', 5, 'text', text from d0
 )"""
 
 SCOPES = """s1 as (

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: A mapping describes a program's source, not its runs; a larger one isn't broadcast, but joined.
 MAPPING_ROWS = 2_000_000
+#: Events of a run in one log.
+STRETCH = 65_536
 DYNAMIC = "seq long, event_id long, var_id long, value_num double, value_str string, value_bin binary, value_bool boolean, value_type string, length long"
 
 
@@ -202,14 +204,15 @@ def decode_logs(logs: DataFrame, mapping: DataFrame, most: int = MAPPING_ROWS) -
     return found.join(F.broadcast(mapping) if small else mapping, "event_id")
 
 
-def encode_logs(events: DataFrame) -> DataFrame:
-    """run_id and content: a log per run."""
+def encode_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """run_id, chunk and content: logs of a run's events by stretches of their seq (from 1), so that no run is one task's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for e in pdf.sort_values("seq").itertuples(index=False):
             value = None if pd.isna(e.value_num) else float(e.value_num)
             out.append(encode_record(e.event_type, int(e.event_id), 0 if pd.isna(e.var_id) else int(e.var_id), write_scalar(value), e.value_type or "", bool(e.value_bool), 0 if pd.isna(e.length) else int(e.length)))
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "content": [b"".join(out)]})
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "content": [b"".join(out)]})
 
-    return events.select("run_id", "seq", "event_type", "event_id", "var_id", "value_num", "value_type", "value_bool", "length").groupBy("run_id").applyInPandas(run, "run_id long, content binary")
+    rows = events.select("run_id", F.floor((F.col("seq") - 1) / stretch).alias("chunk"), "seq", "event_type", "event_id", "var_id", "value_num", "value_type", "value_bool", "length")
+    return rows.groupBy("run_id", "chunk").applyInPandas(run, "run_id long, chunk long, content binary")

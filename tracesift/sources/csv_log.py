@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_CODES
@@ -11,11 +11,12 @@ from ..schema import EVENT_CODES
 def read_csv_logs(spark: SparkSession, path: str, run: Column | None = None) -> DataFrame:
     """The events of all files below path, with the file's path as log (or run as run_id). Lines that can't be read end the log.
 
-    Files are read whole, since the order of lines is that of execution and text splits don't number them.
+    Large files are split. Splits of a file are ordered by where they begin, and lines of a split by a number that grows within its task.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("log"), *([run.alias("run_id")] if run is not None else []), F.split(F.regexp_replace("value", "\\r?\\n\\z", ""), "\\r?\\n").alias("lines"))
-    return parse_csv_lines(files.select(*[c for c in files.columns if c != "lines"], F.posexplode("lines").alias("pos", "text")))
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("log"), *([run.alias("run_id")] if run is not None else []), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    order = Window.partitionBy("log").orderBy("_split", "_at")
+    return parse_csv_lines(lines.withColumn("pos", F.row_number().over(order) - 1).drop("_split", "_at"))
 
 
 def parse_csv_lines(lines: DataFrame) -> DataFrame:
@@ -39,7 +40,6 @@ def csv_lines(events: DataFrame) -> Column:
 
 
 def write_csv_logs(events: DataFrame, path: str) -> None:
-    """A folder run_id=... per run. Runs are kept together and in order; each becomes one file."""
+    """A folder run_id=... per run. The rows of a run are sorted and streamed into one file."""
     lines = events.select("run_id", "seq", csv_lines(events).alias("value"))
-    whole = lines.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "value")))["value"], "\n").alias("value"))
-    whole.repartition("run_id").write.partitionBy("run_id").option("maxRecordsPerFile", 1).text(path)
+    lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("run_id", "value").write.partitionBy("run_id").text(path)

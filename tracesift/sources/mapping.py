@@ -12,9 +12,9 @@ MAPPING = T.StructType([
 ])
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of static events."""
-    return spark.read.schema(MAPPING).option("multiLine", True).json(path)
+def read_mapping(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of static events; or JSON lines, as write_mapping() leaves them."""
+    return spark.read.schema(MAPPING).option("multiLine", not lines).json(path)
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:

@@ -42,10 +42,14 @@ def safe_name(name: Column, longest: int = 255) -> Column:
 
 
 def junit_results(spark: SparkSession, path: str) -> DataFrame:
-    """test and result (PASSED or FAILED) of JUnit XML files."""
-    schema = "_classname string, _name string, failure string, error string"
+    """test and result (PASSED or FAILED) of JUnit XML files. A case with a failure or an error failed; one with no more than
+    output passed; others, as skipped ones, are left out."""
+    tags = ("failure", "error", "skipped", "properties", "rerunFailure", "rerunError", "flakyFailure", "flakyError")
+    schema = ", ".join(["_classname string", "_name string", *(f"`{t}` array<struct<_VALUE: string, _message: string, _type: string>>" for t in tags)])
     cases = spark.read.format("xml").option("rowTag", "testcase").schema(schema).load(path)
-    return cases.select(F.concat_ws("::", "_classname", "_name").alias("test"), F.when(F.col("failure").isNull() & F.col("error").isNull(), "PASSED").otherwise("FAILED").alias("result"))
+    there = lambda *names: F.greatest(*(F.col(n).isNotNull() for n in names))
+    result = F.when(there("failure", "error"), "FAILED").when(~there(*tags[2:]), "PASSED")
+    return cases.select(F.concat_ws("::", "_classname", "_name").alias("test"), result.alias("result")).where("result is not null")
 
 
 def consistent_runs(runs: DataFrame, original: DataFrame) -> DataFrame:
@@ -54,21 +58,35 @@ def consistent_runs(runs: DataFrame, original: DataFrame) -> DataFrame:
 
 
 def diff_places(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
-    """File and old line number of every line that a unified diff removes, beside the other columns of diffs."""
+    """File and old line number of every line of a unified diff's hunks, beside the other columns of diffs: removed lines and those around
+    them. An added line has the place of the old line before it, or else, where its file's changes begin, its own number."""
     keys = [c for c in diffs.columns if c != text_col]
     rows = diffs.select(*keys, F.posexplode(F.split(text_col, "\\r?\\n")).alias("pos", "text"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.col("text").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")
-    rows = rows.withColumn("file", F.last(F.when(F.col("text").startswith("--- "), F.regexp_extract("text", r"^--- (?:a/)?([^\t]*)", 1)), True).over(w))
-    rows = rows.withColumn("_start", F.last(F.when(header, F.regexp_extract("text", r"^@@ -(\d+)", 1).try_cast("int")), True).over(w)).withColumn("_hunk", F.sum(header.cast("int")).over(w))
-    old = (F.col("text").startswith("-") & ~F.col("text").startswith("--- ")) | F.col("text").startswith(" ")
-    place = F.sum(F.when(old & ~header, 1).otherwise(0)).over(Window.partitionBy(*keys, "_hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("line", (F.col("_start") + F.coalesce(place, F.lit(0))).cast("int"))
-    return rows.where(F.col("text").startswith("-") & ~F.col("text").startswith("--- ") & (F.col("_hunk") > 0)).select(*keys, "file", "line")
+    text = F.col("text")
+    until = lambda *more: Window.partitionBy(*keys, *more).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    header = text.rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")
+    number = lambda i: F.regexp_extract(text, r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", i)
+    size = lambda i: F.coalesce(number(i).try_cast("int"), F.lit(1))
+    rows = rows.withColumn("_hunk", F.sum(header.cast("int")).over(until()))
+    rows = rows.withColumn("_h", F.last(F.when(header, F.struct(number(1).try_cast("int").alias("old"), size(2).alias("olds"), number(3).try_cast("int").alias("new"), size(4).alias("news"))), True).over(until()))
+    # Lines of a hunk's body are those that its header's counts take in, whatever they begin with.
+    old, new = (F.when(header, 0).when(text.startswith(sign) | text.startswith(" ") | (text == ""), 1).otherwise(0) for sign in ("-", "+"))
+    before = Window.partitionBy(*keys, "_hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_old", F.coalesce(F.sum(old).over(before), F.lit(0))).withColumn("_new", F.coalesce(F.sum(new).over(before), F.lit(0)))
+    body = ~header & (F.col("_hunk") > 0) & ((F.col("_old") < F.col("_h.olds")) | (F.col("_new") < F.col("_h.news"))) & ~text.startswith("\\")
+    rows = rows.withColumn("_body", body)
+    name = F.when(~F.col("_body") & text.startswith("--- "), F.regexp_extract(text, r"^--- (?:a/)?([^\t]*)", 1))
+    rows = rows.withColumn("file", F.last(name, True).over(until())).withColumn("_part", F.count(name).over(until()))
+    rows = rows.where("_body").withColumn("_add", text.startswith("+"))
+    line = F.when(~F.col("_add"), F.col("_h.old") + F.col("_old"))
+    first = F.first(F.when(F.col("_add"), F.col("_h.new") + F.col("_new")), True).over(until("_part"))
+    rows = rows.withColumn("line", F.coalesce(F.last(line, True).over(until("_part")), first).cast("int"))
+    return rows.select(*keys, "file", "line").distinct()
 
 
 def source_ranges(sources: DataFrame) -> DataFrame:
-    """kind, file, line, then, first, last of the functions, loops and branches of Python sources (file, text)."""
+    """kind, file, line, then, first, last of the functions, loops and branches of Python sources (file, text). The test of a branch
+    belongs to both of its sides; a side that lies apart from it has two rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,10 +102,11 @@ def source_ranges(sources: DataFrame) -> DataFrame:
                         rows += [("FUNCTION", file, node.lineno, None, *span), ("FUNCTION_ERROR", file, node.lineno, None, *span)]
                     elif isinstance(node, ast.For | ast.AsyncFor | ast.While):
                         rows.append(("LOOP", file, node.lineno, None, node.lineno, node.end_lineno))
-                    if isinstance(node, ast.If | ast.For | ast.AsyncFor | ast.While):
+                    elif isinstance(node, ast.If):
                         rows.append(("BRANCH", file, node.lineno, True, node.lineno, node.body[-1].end_lineno))
-                        last = node.orelse[-1].end_lineno if node.orelse else node.lineno
-                        rows.append(("BRANCH", file, node.lineno, False, node.lineno if not node.orelse else node.orelse[0].lineno, last))
+                        rows.append(("BRANCH", file, node.lineno, False, node.lineno, node.test.end_lineno))
+                        if node.orelse:
+                            rows.append(("BRANCH", file, node.lineno, False, node.orelse[0].lineno, node.orelse[-1].end_lineno))
             yield pd.DataFrame(rows, columns=["kind", "file", "line", "then", "first", "last"])
 
     return sources.select("file", "text").mapInPandas(run, "kind string, file string, line int, then boolean, first int, last int")

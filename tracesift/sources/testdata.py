@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import EVENT_CODES
+
 #: Row type to event kind, by variant; two kinds: for even and odd k.
 VARIANTS = {
     "scopes": {"click": ("LINE",) * 2, "view": ("USE",) * 2, "purchase": ("DEF",) * 2, "signup": ("FUNCTION_ENTER",) * 2, "error": ("FUNCTION_EXIT", "FUNCTION_ERROR")},
     "loops": {"signup": ("LOOP_BEGIN",) * 2, "click": ("LOOP_HIT",) * 2, "view": ("LOOP_HIT",) * 2, "error": ("LOOP_END",) * 2, "purchase": ("LOOP_END",) * 2},
     "flow": {"click": ("LINE",) * 2, "view": ("BRANCH",) * 2, "purchase": ("CONDITION",) * 2, "signup": ("LEN",) * 2, "error": ("LINE",) * 2},
-    "tests": {"click": ("TEST_LINE",) * 2, "view": ("TEST_USE",) * 2, "purchase": ("LINE",) * 2, "signup": ("TEST_DEF",) * 2, "error": ("LINE", "TEST_ASSERT")},
+    "tests": {"click": ("TEST_LINE",) * 2, "view": ("TEST_USE",) * 2, "purchase": ("LINE",) * 2, "signup": ("TEST_DEF", "TEST_START"), "error": ("TEST_END", "TEST_ASSERT")},
 }
 #: Values of an error row from which its run counts as failing.
 FAILING_VALUE = 150
@@ -60,6 +62,7 @@ def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes", threads: in
         (k % 3).cast("long").alias("loop_id"),
         F.concat(F.lit("c"), (k % 6).cast("string")).alias("condition"),
         (k % 4).cast("long").alias("length"),
+        "k",
     )
 
 
@@ -71,7 +74,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as runs that define string variables: language, source, first word, an empty one at times, and the
-    whole text. The SQL lacks the last."""
+    whole text."""
     docs = table(spark, sf_dir, "documents")
     first = F.coalesce(F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit(""))
     strings = F.array(
@@ -88,6 +91,12 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def program_place(events: DataFrame) -> DataFrame:
+    """Events by the id of their place in the program: kind and number k make it, so ids don't grow with the log."""
+    codes = F.create_map(*(F.lit(x) for code, kind in EVENT_CODES.items() for x in (kind, code)))
+    return events.withColumn("event_id", (F.col("k") * 100 + F.element_at(codes, F.col("event_type"))).cast("long"))
+
+
 def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id and failing for labelled documents: poor or toxic ones fail."""
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("failing"))
