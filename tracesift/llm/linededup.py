@@ -133,18 +133,28 @@ def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), _key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # lines of this task that have emitted their blocks
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lines in lines_in(_texts(batch.column(2))):
                 number = np.arange(len(lines.starts)) - np.searchsorted(lines.row, lines.row)
                 some = np.flatnonzero(~lines.blank)
-                use = np.flatnonzero((lines.ends - lines.starts)[some] > max_edits)
+                names = lines.digests(some)
+                new = (lines.ends - lines.starts)[some] > max_edits
+                for i, name in enumerate(names):
+                    if name in seen:
+                        new[i] = False
+                    else:
+                        seen.add(name)
+                if len(seen) > 500_000:
+                    seen.clear()
+                use = np.flatnonzero(new)
                 line, key, _, _ = block_keys(lines, some[use]) if max_edits else (np.zeros(0, np.int64), np.zeros(0, np.uint64), None, None)
                 per = np.zeros(len(some), dtype=np.int64)
                 per[use] = np.bincount(line, minlength=len(use))
                 order = np.argsort(line, kind="stable")
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(lines.digests(some), pa.binary()), pa.array(ids[lines.row[some]]), pa.array(number[some]), pa.array(keys[lines.row[some]]),
+                    pa.array(names, pa.binary()), pa.array(ids[lines.row[some]]), pa.array(number[some]), pa.array(keys[lines.row[some]]),
                     list_array(key[order].view(np.int64), per, pa.int64()),
                 ], names=["digest", "doc_id", "line", "key", "blocks"])
 
@@ -154,10 +164,10 @@ def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
         near, made = _near_lines(docs, lines, max_edits)
         first = first.join(near, "digest", "left")
     else:
-        first, made = first.withColumn("kept", F.lit(None).cast("struct<doc_id:bigint,line:bigint,key:bigint>")), None
+        first, made = first.withColumn("kept", F.lit(None).cast("struct<doc_id:bigint,line:bigint,key:bigint>")), []
     # Only lines that go somewhere are joined; a line of very many occurrences may be split by adaptive execution.
     first = stored(first.where("n > 1 or kept is not null").drop("n"), "gone-lines")
-    drop_stored(made)
+    drop_stored(*made)
     gone = lines.select("digest", F.struct("doc_id", "line", "key").alias("at")).join(first, "digest").where((F.col("at") != F.col("first")) | F.col("kept").isNotNull())
     # Of an equal line and a near one, the earlier is named.
     best = F.coalesce("kept", "first")
@@ -166,11 +176,11 @@ def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
     return out.distinct()
 
 
-def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[DataFrame, DataFrame]:
-    """digest, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these. And the table that it reads."""
+def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """digest, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these. And the tables that it reads."""
     spark = docs.sparkSession
     # Step 1. Block keys that lines of different texts have; 64 bits of the digests tell them apart here.
-    keys = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).groupBy("block").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("block")
+    keys = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).repartition("block").groupBy("block").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("block")
     keys = stored(keys, "keys")
     wanted = spark.sparkContext.broadcast(key_filter(keys))
     drop_stored(keys)
@@ -205,14 +215,15 @@ def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[Data
                 ], names=["digest", "text", "whole", "variants", "places"])
 
     made = stored(docs.select("text").mapInArrow(variants, "digest binary, text string, whole long, variants array<long>, places array<int>"), "variants")
-    # A line may come from several tasks, each time with the same variants.
+    # Such lines by the place where they first occur, numbered in that order: ranges of places go to tasks in order, and numbers grow within and across tasks.
     some = made.select("digest").distinct()
     first = lines.select("digest", "doc_id", "line", "key").join(some, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("at"))
-    first = first.select("digest", F.struct("at.doc_id", "at.line", "at.key", "digest").alias("rank"))
-    single = made.groupBy("digest").agg(F.first("whole").alias("whole"), F.first("variants").alias("variants"), F.first("places").alias("places")).join(first, "digest")
+    ranked = stored(first.repartitionByRange("at", "digest").sortWithinPartitions("at", "digest").select("digest", "at", F.monotonically_increasing_id().alias("rank")), "ranks")
+    # A line may come from several tasks, each time with the same variants.
+    single = made.groupBy("digest").agg(F.first("whole").alias("whole"), F.first("variants").alias("variants"), F.first("places").alias("places")).join(ranked.select("digest", "rank"), "digest")
     # Step 2. Rows by variant: a line without one character, or (place -1) as it is.
     rows = single.select("rank", F.explode(F.concat(F.arrays_zip("variants", "places"), F.array(F.struct(F.col("whole").alias("variants"), F.lit(-1).alias("places"))))).alias("v"))
-    rows = rows.select(F.col("v.variants").alias("variant"), F.col("v.places").alias("place"), "rank")
+    rows = rows.select(F.col("v.variants").alias("variant"), F.col("v.places").alias("place"), "rank").repartition("variant")
     by_place = Window.partitionBy("variant", "place").orderBy("rank")
     by_variant = Window.partitionBy("variant").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.col("place") == -1
@@ -221,20 +232,19 @@ def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[Data
     earliest = F.when(whole, F.col("longer")).otherwise(F.least("replaced", "shorter"))
     found = rows.select("rank", earliest.alias("kept")).where("kept is not null and kept < rank").groupBy("rank").agg(F.min("kept").alias("kept"))
     # Verified once per line.
-    texts = made.groupBy("digest").agg(F.first("text").alias("text"))
-    found = found.select(F.col("rank.digest").alias("digest"), "kept", F.col("kept.digest").alias("kept_digest"))
-    both = found.join(texts, "digest").join(texts.withColumnsRenamed({"digest": "kept_digest", "text": "kept_text"}), "kept_digest")
-    near = both.where(F.levenshtein("text", "kept_text", 1) == 1).select("digest", F.struct("kept.doc_id", "kept.line", "kept.key").alias("kept"))
-    return near, made
+    texts = made.groupBy("digest").agg(F.first("text").alias("text")).join(ranked, "digest")
+    both = found.join(texts.select("rank", "digest", "text"), "rank").join(texts.select(F.col("rank").alias("kept"), F.col("at").alias("kept_at"), F.col("text").alias("kept_text")), "kept")
+    near = both.where(F.levenshtein("text", "kept_text", 1) == 1).select("digest", F.col("kept_at").alias("kept"))
+    return near, [made, ranked]
 
 
 def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the lines that go. Documents all of whose lines go are left out; others stay, with what is left of
     their text. Rows with a null id stay as they are."""
-    own, places = fresh(df, "key"), fresh(df, "places")
+    own, places, ids = fresh(df, "key"), fresh(df, "places"), fresh(df, "of")
     gone = duplicate_lines(df.where(F.col(id_col).isNotNull()), max_edits, id_col, text_col)
-    gone = gone.groupBy(F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places))
-    joined = df.withColumn(own, F.when(F.col(id_col).isNotNull(), _key(id_col, F.col(text_col)))).join(gone, own, "left")
+    gone = gone.groupBy(F.col("doc_id").alias(ids), F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places))
+    joined = df.join(gone, (F.col(id_col).cast("long") == F.col(ids)) & (_key(id_col, F.col(text_col)) == F.col(own)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
     left = F.transform(stay, lambda i: lines[i])
@@ -246,8 +256,8 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_
 
 def line_report(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the lines that go, in order) for every row of df."""
-    gone = duplicate_lines(df, max_edits, id_col, text_col).groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = duplicate_lines(df, max_edits, id_col, text_col).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("own")).agg(F.array_sort(F.collect_set("line")).alias("removed"))
     lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     counted = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", _key("doc_id", F.col("text")).alias("key"), lines.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    return counted.join(gone, "key", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return counted.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("own")), "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

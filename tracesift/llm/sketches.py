@@ -55,9 +55,9 @@ def whole_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], No
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit table of the column's 64-bit hashes: lets all of them through and few others. 16 bits a key, 2^20 at least
-    and 2^30 (128 MB) at most; beyond some 10^8 keys it lets more through."""
-    bits = min(max((16 * keys.count()).bit_length(), 20), 30)
+    """A bit table of the column's 64-bit hashes: lets all of them through and few others. 64 bits a key, 2^20 at least
+    and 2^30 (128 MB) at most; beyond some 10^7 keys it lets more through."""
+    bits = min(max((64 * keys.count()).bit_length(), 20), 30)
 
     def update(table: np.ndarray, batch: pa.RecordBatch) -> None:
         at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
