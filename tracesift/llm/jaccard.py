@@ -51,6 +51,8 @@ WORD_BITS, SHINGLE_BITS = 20, 22
 PARTS = 512
 #: Pairs of whole sets that a task compares, and row keys that are broadcast (16 bytes each); more are joined by a shuffle.
 PAIRS_EACH, KEYS_BROADCAST = 4_000, 1_000_000
+#: Rows of tables of nodes (some 200 bytes each) that are broadcast; more are joined by a shuffle.
+NODES_BROADCAST = 200_000
 
 
 def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -190,20 +192,12 @@ class _Join:
         return self.texts.select("doc_id", _key().alias("key"), "text").mapInArrow(prefixes, "doc_id long, key long, node binary, size int, grams array<long>, odd array<long>")
 
     def _shared(self) -> DataFrame:
-        """gram, node, size, pos: prefix shingles that a node has in common with another that passes the filters of length and position.
-
-        In the order of sizes a node is compared with two on either side; one with more of suitable lengths beyond them stays untested.
-        """
+        """gram, node, size, pos: prefix shingles that several nodes of suitable lengths have."""
         nodes = self.docs.where("size > 0 and size(grams) > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
         rows = nodes.select("node", "size", F.posexplode("grams").alias("pos", "gram"))
         order = Window.partitionBy("gram").orderBy("size", "node")
-        stay = F.lit(False)
-        for n in (-2, -1, 1, 2):
-            rows = rows.withColumn(f"near{n}", F.lag(F.struct("size", "pos"), -n).over(order))
-            stay = stay | self.fits(F.col(f"near{n}.size"), F.col(f"near{n}.pos"))
-        rows = rows.withColumn("less", F.lag("size", 3).over(order)).withColumn("more", F.lead("size", 3).over(order))
-        stay = stay | (100 * F.col("less") >= self.percent * F.col("size")) | (100 * F.col("size") >= self.percent * F.col("more"))
-        return rows.where(F.coalesce(stay, F.lit(False))).select("gram", "node", "size", "pos")
+        rows = rows.withColumn("less", F.lag("size").over(order)).withColumn("more", F.lead("size").over(order))
+        return rows.where((100 * F.col("less") >= self.percent * F.col("size")) | (100 * F.col("size") >= self.percent * F.col("more"))).select("gram", "node", "size", "pos")
 
     def _nodes(self) -> DataFrame:
         """node, key of one of its rows, odd, and half, odd for half as many parts: nodes that have shared prefix shingles."""
@@ -213,13 +207,11 @@ class _Join:
         half = F.zip_with(F.slice("odd", 1, parts.cast("int")), F.slice("odd", (parts + 1).cast("int"), parts.cast("int")), lambda x, y: x.bitwiseXOR(y))
         return made.select("node", "key", "odd", half.alias("half"))
 
-    def fits(self, size: Column | None = None, pos: Column | None = None) -> Column:
-        """By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it. False without another node."""
-        size, pos = F.col("other_size") if size is None else size, F.col("other_pos") if pos is None else pos
-        low, high, total = F.least("size", size), F.greatest("size", size), F.col("size") + size
-        reach = F.least("pos", pos) + F.least(F.col("size") - F.col("pos"), size - pos)
-        good = (100 * low >= self.percent * high) & (reach >= F.ceil(F.lit(self.percent) * total / (100 + self.percent)))
-        return F.coalesce(size.isNotNull() & good, F.lit(False))
+    def fits(self) -> Column:
+        """By length; and by position: what precedes a common shingle in the shorter prefix, it, and what follows it."""
+        low, high, total = F.least("size", "other_size"), F.greatest("size", "other_size"), F.col("size") + F.col("other_size")
+        reach = F.least("pos", "other_pos") + F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos"))
+        return (100 * low >= self.percent * high) & (reach >= F.ceil(F.lit(self.percent) * total / (100 + self.percent)))
 
     def differ(self) -> Column:
         """In how many shingles two nodes differ at least."""
@@ -269,11 +261,15 @@ class _Join:
         drop_stored(found, wanted)
         return out
 
-    def candidates(self, rows: DataFrame, others: DataFrame, extra: Column | None = None) -> DataFrame:
+    def few(self, table: DataFrame) -> DataFrame:
+        """A stored table of nodes, to be broadcast if it has at most NODES_BROADCAST rows."""
+        return F.broadcast(table) if table.count() <= NODES_BROADCAST else table
+
+    def candidates(self, rows: DataFrame, others: DataFrame, extra: Column) -> DataFrame:
         """Distinct pairs (a, b) of rows and others (columns other_...) that share a shingle and pass all filters."""
-        odd = self.nodes.select("node", "odd", "half")
-        both = rows.join(odd, "node").join(others.join(self.other(odd), "other_node"), "gram")
-        both = both.where(self.fits() & self.near() if extra is None else extra & self.fits() & self.near())
+        odd = self.few(self.nodes.select("node", "odd", "half"))
+        other_odd = self.few(self.other(self.nodes.select("node", "odd", "half")))
+        both = rows.join(odd, "node").join(others.join(other_odd, "other_node"), "gram").where(extra & self.fits() & self.near())
         return both.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
@@ -283,18 +279,21 @@ class _Join:
         met = self.shared.join(hubs, "gram").where((F.col("node") != F.col("other_node")) & self.fits())
         met = met.groupBy("node", "other_node").agg(F.first("size").alias("size"), F.first("other_size").alias("other_size"))
         odd = self.nodes.select("node", "odd", "half")
-        met = met.join(odd, "node").join(self.other(odd), "other_node").where(self.near())
+        met = met.join(self.few(odd), "node").join(self.few(self.other(odd)), "other_node").where(self.near())
         best = met.groupBy("node").agg(F.min_by("other_node", F.struct(self.differ().alias("d"), "other_node")).alias("other"))
         return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
     def cross_pairs(self, roots: DataFrame) -> DataFrame:
         """Pairs of nodes of different components, each of which may link."""
-        rows = self.shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = rows.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("gram", "main")
-        inner = rows.join(most, "gram")
+        rows = self.shared.join(self.few(roots), "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+        # Dealt by shingle once: what follows up to the pairs stays where it is.
+        rows = rows.repartition("gram").withColumn("n", F.count("*").over(Window.partitionBy("gram", "root")))
+        every = Window.partitionBy("gram")
+        rows = rows.withColumns({"main": F.max_by("root", F.struct("n", "root")).over(every), "least": F.min("root").over(every)})
+        rows = rows.withColumn("several", F.max("root").over(every) != F.col("least")).where("several").select("gram", "node", "size", "pos", "root", "main")
         # Of two nodes outside the main component one meets the other only.
         apart = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("other_main")) | (F.col("node") < F.col("other_node")))
-        return self.candidates(inner.where("root != main").drop("main"), self.other(inner), apart)
+        return self.candidates(rows.where("root != main").drop("main"), self.other(rows), apart)
 
 
 def _components(join: _Join) -> DataFrame:
