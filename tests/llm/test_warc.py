@@ -24,7 +24,7 @@ def test_splits_own_each_record_once():
     records, data = [], b""
     for n in range(60):
         # Payloads with gzip magic and stored blocks: chance hits, and even whole members inside of a record.
-        body = rnd.choice([b"", rnd.randbytes(rnd.randint(1, 3000)), warc.MAGIC * 50, gzip.compress(b"WARC inside"), warc.member(warc.record_bytes("response", "x", "u", None, "D", 1, b"z")) * 0 + b"plain text " * 200])
+        body = rnd.choice([b"", rnd.randbytes(rnd.randint(1, 3000)), warc.MAGIC * 50, gzip.compress(b"WARC inside"), warc.member(warc.record_bytes("response", "x", "u", None, "D", 1, b"z")), rnd.randbytes(40_000) + warc.member(warc.record_bytes("response", "x", "u", None, "D", 1, b"z")) + rnd.randbytes(40_000), b"plain text " * 200])
         records.append((str(n), body))
         data += warc.member(warc.record_bytes("response", str(n), f"http://h/{n}\r\nX: y%", None, "D", len(body), body))
         data += rnd.choice([b"", warc.EMPTY_MEMBER])
@@ -35,6 +35,27 @@ def test_splits_own_each_record_once():
     assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 60
 
 
+def test_magic_at_the_start_only():
+    rnd = random.Random(8)
+    inner = warc.member(warc.record_bytes("response", "x", "u", None, "D", 1, b"z"))
+    for _ in range(20):
+        data = b"".join(rnd.choice([inner, warc.MAGIC, warc.MAGIC[:2], rnd.randbytes(30_000)]) for _ in range(6))
+        made = warc.member(data)
+        assert gzip.decompress(made) == data and made.find(warc.MAGIC, 1) < 0
+
+
+def test_uris():
+    assert [warc._full_uri(u) for u in ("file:/a/b", "file:///a", "s3a://b/k", "s3n://b/k", "gs://b/k", "/a")] == ["file:///a/b", "file:///a", "s3://b/k", "s3://b/k", "gs://b/k", "/a"]
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "u", "aa"), (2, "u", "aa"), (None, "u", "bb"), (None, "u", "bb")], "page_id long, url string, html string")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(df, path)
+    got = warc.read_warc(spark, path)
+    assert sorted((str(r.record_id), r.record_type, str(r.refers_to), bytes(r.block)) for r in got.collect()) == [("2", "response", "None", b"aa"), ("None", "response", "None", b"bb"), ("None", "response", "None", b"bb"), ("None", "revisit", "2", b"")]
+
+
 def test_round_trip(spark):
     html = ["<p>a</p>", "<p>b</p>", None, "", "é" * 1000, "x" * 300_000]
     rows = [(i, f"http://h/{i}", html[i % len(html)]) for i in range(60)] + [(70, None, "only\n"), (71, "u", "only\r\n")]

@@ -7,7 +7,8 @@ will do: a row is a run of members, and the line separator is an empty member, w
 Reading: an archive is cut into byte ranges, one row each, dealt anew. A task scans its range for the gzip
 magic. At each hit it tries to decode a header: a member that starts with a WARC version line owns the
 record; anything else is chance, or an empty member. A task owns the records that start inside its range, and
-reads on past the end of it for the last one. Members are decoded as streams in small steps.
+reads on past the end of it for the last one. Members are decoded as streams in small steps. The writer keeps the magic out of its
+members; in other writers' archives, an uncompressed archive inside of a record could be taken for records.
 
 Repeated payloads: of records with equal payloads of at least ``least`` bytes, the one with the smallest id
 is a response and the others revisit it.
@@ -49,8 +50,17 @@ RECORD = T.StructType([
 
 
 def member(data: bytes) -> bytes:
+    """A gzip member in which the magic occurs at its start only. Payloads that don't get shorter are stored as they are, archives
+    among them; a block's end then parts each magic in them."""
     made = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
-    return made.compress(data) + made.flush()
+    out = made.compress(data) + made.flush()
+    if out.find(MAGIC, 1) < 0:
+        return out
+    made, parts, start = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31), [], 0
+    while (at := data.find(MAGIC, start)) >= 0:
+        parts += [made.compress(data[start : at + 1]), made.flush(zlib.Z_FULL_FLUSH)]
+        start = at + 1
+    return b"".join([*parts, made.compress(data[start:]), made.flush()])
 
 
 def record_bytes(kind: str, record_id: str, uri: str, refers_to: str | None, digest: str, payload_bytes: int, block: bytes) -> bytes:
@@ -220,5 +230,8 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 def _full_uri(uri: str) -> str:
-    """Hadoop writes file:/x for file:///x."""
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    """Hadoop writes file:/x for file:///x, and has names of its own for S3."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return "file://" + uri[5:]
+    scheme, mark, rest = uri.partition("://")
+    return f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri
