@@ -147,18 +147,17 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label_col: str = "quality", t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = term_counts(batch.column(1)).astype(np.float16)
+            counts = term_counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([row.tobytes() for row in counts], pa.binary())], names=["id", "label", "counts"])
 
     rows = texts.mapInArrow(count, T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())]))
     found = {}
     for row in rows.groupBy("id", "label").agg(F.min("counts").alias("counts")).collect():
-        found[row.id, row.label] = np.frombuffer(row.counts, dtype=np.float16)
+        found[row.id, row.label] = np.frombuffer(row.counts, dtype=np.float32)
     order = sorted(found)
     if not order:
         return Voters(np.zeros(TRIGRAMS, np.float32), np.zeros((TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0))
-    counts = np.stack([found[k] for k in order]).astype(np.float32)
-    counts[~np.isfinite(counts)] = np.finfo(np.float16).max
+    counts = np.stack([found[k] for k in order])
     weights = np.log((1 + len(counts)) / (1 + (counts[:, :TRIGRAMS] > 0).sum(axis=0))).astype(np.float32) + 1
     model = Voters(weights, np.zeros((TERMS, 0), np.float32), np.zeros((0, LATENT), np.float32), np.array([label for _, label in order], dtype=np.float64))
     model.projection = _axes(model.terms(counts))
