@@ -33,6 +33,8 @@ from .common import add_columns, list_array
 #: Entries that a Python worker keeps of words, of their parts and of stable pairs; all are caches only.
 WORDS_KEPT = 60_000
 PARTS_KEPT = 150_000
+#: Characters and bytes of the words and parts kept.
+CHARS_KEPT = 16_000_000
 PAIRS_KEPT = 250_000
 
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -45,12 +47,12 @@ class Recent:
     """A cache of two generations: what a whole generation didn't ask for is dropped."""
 
     def __init__(self, size: int):
-        self.size, self.now, self.old = size, {}, {}
+        self.size, self.now, self.old, self.chars = size, {}, {}, 0
 
     def missing(self, keys: Iterable[str]) -> list[str]:
         """The keys that aren't kept; the others are then in now."""
-        if len(self.now) > self.size:
-            self.now, self.old = {}, self.now
+        if len(self.now) > self.size or self.chars > CHARS_KEPT:
+            self.now, self.old, self.chars = {}, self.now, 0
         now, old, out = self.now, self.old, []
         for key in keys:
             if key not in now:
@@ -59,8 +61,13 @@ class Recent:
                     out.append(key)
                 else:
                     now[key] = found
+                    self.chars += len(key) + len(found)
         return out
 
+    def add(self, made: dict[str, bytes]) -> None:
+        self.now.update(made)
+        self.chars += sum(len(k) + len(v) for k, v in made.items())
+
 
 class TrieEncoder:
     """Encodes and decodes with one vocabulary file."""
@@ -204,10 +211,9 @@ class TrieEncoder:
         made = {word: self.parts(word) for word in new}
         wanted.update(dict.fromkeys(p for parts in made.values() for p in parts if isinstance(p, str)))
         fresh = self.part_ids.missing(wanted)
-        self.part_ids.now.update(self.encode_trie(fresh))
+        self.part_ids.add(self.encode_trie(fresh))
         ids, words = self.part_ids.now, self.words.now
-        for word, parts in made.items():
-            words[word] = b"".join([ids[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in parts])
+        self.words.add({word: b"".join([ids[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in parts]) for word, parts in made.items()})
         return [b"".join(map((ids if easy else words).__getitem__, parts)) for parts, easy in zip(split, simple, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
