@@ -68,7 +68,7 @@ def test_against_plain_iteration(spark):
     got = urlfilter.propagate(
         spark.createDataFrame([("trust", *e) for e in edges], "kind string, src string, dst string, n long"), spark.createDataFrame([("trust", h, s) for h, s in seeds.items()], "kind string, host string, seed double"), rounds=4
     )
-    assert {r.host: r.score for r in got.collect()} == pytest.approx(want)
+    assert {r.host: r.score for r in got.collect()} == pytest.approx({h: s / sum(want.values()) for h, s in want.items()})
 
 
 def test_settled_scores(spark):
@@ -86,7 +86,33 @@ def test_settled_scores(spark):
     got = urlfilter.propagate(
         spark.createDataFrame([("trust", *e, 1) for e in edges], "kind string, src string, dst string, n long"), spark.createDataFrame([("trust", h, s) for h, s in seeds.items()], "kind string, host string, seed double")
     )
-    assert {r.host: r.score for r in got.collect()} == pytest.approx(want, rel=1e-6, abs=0)
+    assert {r.host: r.score for r in got.collect()} == pytest.approx({h: s / sum(want.values()) for h, s in want.items()}, rel=1e-6, abs=0)
+
+
+def test_dangling_mass_goes_back(spark):
+    """As if hosts without links linked to the seeds."""
+    edges, seeds = [("a", "b"), ("a", "c"), ("b", "a")], {"a": 0.5, "d": 0.5}
+    want = dict(seeds)
+    for _ in range(400):
+        new = {h: s * (1 - urlfilter.DAMPING) for h, s in seeds.items()}
+        for s, mass in want.items():
+            to = [b for a, b in edges if a == s]
+            for t, part in ([(t, 1 / len(to)) for t in to] or list(seeds.items())):
+                new[t] = new.get(t, 0) + mass * part * urlfilter.DAMPING
+        want = new
+    got = urlfilter.propagate(
+        spark.createDataFrame([("trust", *e, 1) for e in edges], "kind string, src string, dst string, n long"), spark.createDataFrame([("trust", h, s) for h, s in seeds.items()], "kind string, host string, seed double")
+    )
+    assert {r.host: r.score for r in got.collect()} == pytest.approx(want, rel=1e-6)
+
+
+def test_long_html_and_equal_rules(spark):
+    """A page of many links; and of two rules of equal length the first in order."""
+    rows = [(1, "http://big.net/", links(*(f"h{i}.net" for i in range(20_000)))), (2, "http://a.net/x/1", None), (3, "http://bad.com/de/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [urlfilter.Rule("net", "/x/", "allow"), urlfilter.Rule("a.net", "/", "block"), urlfilter.Rule("bad.com", "/", "block")]
+    got = {r.page_id: r for r in urlfilter.judge_urls(df, rules).collect()}
+    assert got[1].verdict == "allow" and got[2].rule == "net/x/" and got[2].verdict == "allow" and got[3].verdict == "block"
 
 
 def test_far_hosts(spark):

@@ -5,9 +5,8 @@ text is escaped, every other part becomes a numbered placeholder, its attachment
 and the tokens it will expand to are counted. Turns are then marked and joined to one string per
 conversation, with the spans that count for the loss.
 
-The template marks a turn as "### role: text </turn>" and a line feed. Inside texts, roles and
-references the characters that control strings are made of are escaped: a backslash as \\0, # as \\1,
-< as \\2, and in roles : as \\3. So no text can hold a turn mark or a placeholder, and undoing the escapes
+The template marks a turn as "### role: text </turn>" and a line feed. Inside texts and roles the characters that control
+strings are made of are escaped: a backslash as \\0, # as \\1, < as \\2, and in roles : as \\3. References stay beside the string. So no text can hold a turn mark or a placeholder, and undoing the escapes
 gives back the text exactly.
 
 Defined cases: a null text or role is an empty one; a null turn sorts before all others, equal turns sort
@@ -96,13 +95,27 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return made.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
+def read_parts(content: Column) -> Column:
+    """The typed parts of a turn's content: kind, text (of text parts) and number (of others). Texts hold no < that isn't escaped,
+    so a < begins a placeholder, and a user's own <image:0> stays text. Neighbouring texts were joined; empty ones are left out."""
+    def of(piece: Column) -> Column:
+        inside = F.split(F.substring_index(F.substring(piece, 2, 2**31 - 1), ">", 1), ":")
+        placeholder = F.struct(F.get(inside, F.lit(0)).alias("kind"), F.lit(None).cast("string").alias("text"), F.get(inside, F.lit(1)).cast("int").alias("number"))
+        text = lambda t: F.struct(F.lit("text").alias("kind"), unescaped(t).alias("text"), F.lit(None).cast("int").alias("number"))
+        after = F.substring(piece, F.position(F.lit(">"), piece) + 1, F.length(piece))
+        return F.when(piece.startswith("<"), F.array(placeholder, text(after))).otherwise(F.array(text(piece)))
+
+    return F.filter(F.flatten(F.transform(F.split(content, "(?=<)"), of)), lambda p: p["text"].isNull() | (p["text"] != ""))
+
+
 def read_chats(df: DataFrame) -> DataFrame:
-    """Reads formatted conversations back. Adds turns (role and text) and loss_texts, what the marks cover."""
+    """Reads formatted conversations back. Adds turns (role, text and its typed parts) and loss_texts, what the marks cover."""
     pieces = F.split("formatted", TURN_END.replace("\n", "\\n"), -1)
     colon = lambda p: F.position(F.lit(ROLE_END), p)
+    content = lambda p: F.substring(p, colon(p) + len(ROLE_END), F.length(p))
     turns = F.transform(F.slice("pieces", 1, F.size("pieces") - 1), lambda p: F.struct(
         unescaped(F.substring(p, F.lit(len(TURN_START) + 1), colon(p) - len(TURN_START) - 1)).alias("role"),
-        unescaped(F.substring(p, colon(p) + len(ROLE_END), F.length(p))).alias("text"),
+        unescaped(content(p)).alias("text"), read_parts(content(p)).alias("parts"),
     ))
     covered = F.filter(
         F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), F.col("marks"), lambda p, m: unescaped(F.substring(p, (m["loss_start"] - m["start"] + 1).cast("int"), m["loss_chars"].cast("int")))),

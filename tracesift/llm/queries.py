@@ -51,7 +51,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_chats(chat.format_chats(turns.unionByName(extra)))
     turned = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), hashed(turned).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), hashed(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), hashed(turned).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), hashed(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "attachment_tokens")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,8 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
-  cast(sum(4 + length(replace({_ESCAPE.format('role')}, ':', '\3')) + 2 + length({_ESCAPE.format('text')}) + 9) as bigint) as formatted_chars
+  cast(sum(4 + length(replace({_ESCAPE.format('role')}, ':', '\3')) + 2 + length({_ESCAPE.format('text')}) + 9) as bigint) as formatted_chars,
+  cast(0 as bigint) as n_attachments, cast(0 as bigint) as attachment_tokens
 from t group by conv_id""",
     "op4_topk": """
 with v as (
@@ -145,8 +146,8 @@ def _url_sql(rounds: int) -> str:
     rules = [f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES]
     turns = ""
     for n in range(rounds):
-        turns += f""", s{n + 1} as (
-  select kind, host, round(sum(score), 12) as score from (
+        turns += f""", s{n + 1} as materialized (
+  select kind, host, sum(score) as score from (
     select e.kind, e.dst as host, s.score * e.part * {urlfilter.DAMPING} as score from e join s{n} s on s.kind = e.kind and s.host = e.src
     union all select kind, host, seed * (1 - {urlfilter.DAMPING}) from seeds
   ) group by kind, host
@@ -166,7 +167,7 @@ p0 as (
 ), n as (
   select case when by_rule = 'allow' then 'trust' else 'distrust' end as kind, host, count(*) as n
   from judged where rule is not null and host <> '' group by all
-), seeds as (
+), seeds as materialized (
   select kind, host, n / sum(n) over (partition by kind) as seed from n
 ), href as (
   select page_id, host as src, unnest(list_distinct(list_transform(regexp_extract_all(html, '\shref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1, 'i'), lambda h: translate(h, '{urlfilter._UPPER}', '{urlfilter._LOWER}')))) as dst from p
@@ -180,14 +181,14 @@ p0 as (
   select src, dst, sum(n) as n from linked group by all
 ), two as (
   select 'trust' as kind, src, dst, n from links union all select 'distrust', dst, src, n from links
-), e as (
+), e as materialized (
   select kind, src, dst, n / sum(n) over (partition by kind, src) as part from two
 ), s0 as (select kind, host, seed as score from seeds){turns}, h as (
   select host, coalesce(max(score) filter (kind = 'trust'), 0) as trust, coalesce(max(score) filter (kind = 'distrust'), 0) as distrust
-  from s{rounds} group by host
+  from (select kind, host, score / sum(score) over (partition by kind) as score from s{rounds}) group by host
 )
 select page_id, j.host, path, rule,
-  coalesce(by_rule, case when distrust > 0 and distrust >= {urlfilter.LEAST_SHARE} * (trust + distrust) then 'block' else 'allow' end) as verdict
+  coalesce(by_rule, case when distrust > 0 and round(distrust / (trust + distrust), 6) >= {urlfilter.LEAST_SHARE} then 'block' else 'allow' end) as verdict
 from judged j left join h on h.host = j.host"""
 
 

@@ -2,9 +2,11 @@
 
 Rules judge the urls that they fit. All others follow their host: personalised PageRank spreads trust from
 the hosts that allow rules fit along links, and distrust from the hosts that block rules fit against them
-(who links to a blocked host is suspect), until no host's score changes by more than TOLERANCE of itself. Hosts whose share of distrust, in the sum of both, is LEAST_SHARE
-or more are blocked. Edges are the links between different hosts, counted once per pair, and each host counts as linked
-with its parent domain both ways.
+(who links to a blocked host is suspect), until no host's score changes by more than TOLERANCE of itself, or for ROUNDS rounds, after
+which less than TOLERANCE of all trust is still on its way. What ends at hosts without links goes back to the seeds: it would
+raise all scores of its kind alike, so each kind is scaled to a sum of 1 in the end instead. Hosts whose share of distrust, in the sum
+of both, is LEAST_SHARE or more are blocked. Edges are the links between different hosts, counted once per pair, and each host
+counts as linked with its parent domain both ways.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; a null
 page has no links; repeated pages count their links again but are judged alike; without seeds all that no
@@ -13,18 +15,19 @@ rule fits is allowed.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
-#: Rounds of the SQL, which cannot tell when scores have settled.
-ROUNDS = 6
-#: Relative change of a score over ROUNDS_EACH rounds, made in one plan, below which it has settled.
-TOLERANCE, ROUNDS_EACH = 1e-7, 4
 DAMPING = 0.85
+#: Relative change of a score over ROUNDS_EACH rounds, made in one plan, below which it has settled.
+TOLERANCE, ROUNDS_EACH = 1e-7, 8
+#: DAMPING to this power is TOLERANCE.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 LEAST_SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links with a host of their own: a scheme, or // alone.
@@ -64,7 +67,7 @@ def url_path(url: Column) -> Column:
 def longest_rule(rules: list[Rule], host: Column, path: Column, value: str) -> Column:
     """The name or verdict of the longest rule that fits, or null. Of equally long ones the first in order wins."""
     out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.name)):
         out = F.when(rule.fits(host, path), F.lit(getattr(rule, value))).otherwise(out)
     return out
 
@@ -79,8 +82,8 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.unionByName(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-    """kind, host, score: personalised PageRank, settled unless rounds are given. links: kind, src, dst, n; seeds: kind, host,
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """kind, host, score: personalised PageRank, settled or after so many rounds. links: kind, src, dst, n; seeds: kind, host,
     seed (summing to 1 a kind)."""
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     edges = stored(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
@@ -93,20 +96,26 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None) ->
             scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         return scores
 
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    if rounds is not None:
-        for turn in range(0, rounds, ROUNDS_EACH):
-            scores = stored(after(scores, min(ROUNDS_EACH, rounds - turn)), "scores")
-        return scores
-    while True:
-        both = stored(after(scores, ROUNDS_EACH).join(scores.withColumnRenamed("score", "last"), ["kind", "host"], "left"), "scores")
+    scores, done = seeds.select("kind", "host", F.col("seed").alias("score")), 0
+    while done < rounds:
+        turns = min(ROUNDS_EACH, rounds - done)
+        both = stored(after(scores, turns).join(scores.withColumnRenamed("score", "last"), ["kind", "host"], "left"), "scores")
         change = both.where("score > 0").agg(F.max(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score")).alias("c")).first().c
-        scores = both.drop("last")
+        drop_stored(scores if done else None)
+        scores, done = _last(both), done + turns
         if change is None or change <= TOLERANCE:  # a host that is new changes by all of its score
-            return scores
+            break
+    total = scores.groupBy("kind").agg(F.sum("score").alias("total"))  # two rows at most
+    return scores.join(F.broadcast(total), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
+
+
+def _last(both: DataFrame) -> DataFrame:
+    scores = both.drop("last")
+    scores._stored_at = both._stored_at
+    return scores
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, rounds: int | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds host, path, rule, verdict, trust and distrust. keep: the columns that stay, all unless given."""
     made = ["host", "path", "rule", "verdict", "trust", "distrust"]
     kept = [c for c in (pages.columns if keep is None else keep) if c not in made]
@@ -117,7 +126,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_c
     seeds = seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     links = host_links(split)
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    scores = propagate(both, seeds, rounds)
+    scores = propagate(both, seeds)
     hosts = scores.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
     joined = judged.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
