@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tracesift.llm import decontaminate as D
 
@@ -64,7 +65,9 @@ def test_against_brute_force():
     assert len(got) >= 0.97 * len(want)  # and few are missed
 
 
-def test_defined_cases(spark):
+@pytest.mark.parametrize("chars", [D.BLOCK_CHARS, 50])
+def test_defined_cases(spark, monkeypatch, chars):
+    monkeypatch.setattr(D, "BLOCK_CHARS", chars)
     item = " ".join(WORDS[:20])
     df = spark.createDataFrame([(1, None), (2, ""), (3, "so " + item.upper() + "!"), (3, "so " + item.upper() + "!"), (4, "x " * 50_000 + item), (None, item)], "doc_id long, text string").withColumn("leaks", D.F.lit("clash"))
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (7, item), (None, item)], "item_id long, text string")
@@ -74,12 +77,35 @@ def test_defined_cases(spark):
     assert D.find_leaks(df.limit(0), bench).count() == 0
 
 
-def test_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_CHARS", 200)
-    items = [(n, " ".join(WORDS[n : n + 20])) for n in range(12)]
-    df = spark.createDataFrame([(n, "a b c " + t) for n, t in items], "doc_id long, text string")
-    for r in D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect():
-        assert r.doc_id in [x.item_id for x in r.leaks]
+def test_joined_like_broadcast(spark, monkeypatch):
+    """A benchmark over the bound is joined, with the same result; short items, repeated ones and repeated documents among them."""
+    rnd = random.Random(7)
+    items = [(n, " ".join(rnd.choice(WORDS) for _ in range(size))) for n, size in enumerate([1, 2, 3, 5, 8, 9, 14, 16, 23, 40, 80] * 2)]
+    items += [(n + 100, text) for n, text in items[:8]]
+    texts = []
+    for _ in range(120):
+        body = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 60))]
+        words = rnd.choice(items)[1].split()
+        body[5:5] = edited(rnd, words, rnd.randint(0, len(words) // 5))
+        texts.append(" ".join(body))
+    df = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts + texts[:5])], "doc_id long, text string, of int").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    both = []
+    for chars in (D.BLOCK_CHARS, 200):
+        monkeypatch.setattr(D, "BLOCK_CHARS", chars)
+        got = D.find_leaks(df, bench)
+        assert got.columns == [*df.columns, "leaks"]
+        both.append({r.doc_id: sorted(map(tuple, r.leaks)) for r in got.collect()})
+    assert both[0] == both[1] and len(both[0]) == 125
+
+
+def test_ties(spark):
+    """Of two equal places the first, of a worse and a better one the better."""
+    item = WORDS[:20]
+    broken = ["other", *item[1:]]
+    text = " ".join([*broken, *WORDS[30:40], *item, *WORDS[30:40], *item])
+    leak = D.find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).first().leaks[0]
+    assert (leak.edits, leak.first_word) == (0, 30)
 
 
 def test_recall_of_each_length():

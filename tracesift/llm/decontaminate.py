@@ -8,8 +8,9 @@ common key near 1. Windows are as large as the items, in classes of sizes: an it
 into it wherever it stands, and the item's windows at all offsets are in the index, so documents only need windows at
 every STRIDE-th word. Candidates are verified by the exact edit distance of the item to the best part of the document.
 
-Every document meets the whole index in one pass without a shuffle. The index holds items of at most BLOCK_CHARS characters;
-a larger benchmark is met in several such passes.
+A benchmark of at most BLOCK_CHARS characters is broadcast as an index, and documents meet it in one pass without a shuffle. For a larger
+one, items' keys are made in Spark and joined with those of documents' windows that a bit table of all items' keys lets through; then
+each text with candidates meets the texts of its candidate items. Both ways find the same leaks.
 
 Defined cases: null and empty texts leak nothing, items without words are found nowhere. Repeated items are each found;
 repeated documents are judged alike. Items with a null id are found, with a null id. Of several places of one item, that
@@ -18,6 +19,7 @@ with the fewest edits, then the first, is reported.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import SLICE_BYTES, mix, punctuation_bytes, text_buffers, word_hashes
-from .common import add_columns, slices
+from .common import add_columns, drop_stored, fresh, slices, stored, text_batches
+from .sketches import key_filter, passes
 
 #: Percent of an item's words that may be edited.
 EDIT_PERCENT = 20
@@ -37,6 +40,7 @@ SIZES, STRIDE = (8, 12, 16, 24, 32, 40), 8
 WALKS, SAMPLES = 5, 3
 #: More than the steps of any walk.
 PAD = 64
+#: Characters of a benchmark that is broadcast; its index has some 400 bytes a word.
 BLOCK_CHARS = 1_000_000
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("first_word", T.IntegerType())]))
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int32())]))
@@ -129,20 +133,26 @@ def item_sizes(words: int) -> list[int]:
     return inside(3) or inside(2) or inside(1)
 
 
+def item_keys(item: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Of an item's words: the stride and size of its windows, and their keys and offsets."""
+    fitting = item_sizes(len(item))
+    size = fitting[-1] if fitting else len(item)
+    offsets = np.arange(len(item) - size + 1)
+    spaced = padded(item, np.array([0, len(item)]))[0]
+    keys = [made for walk in range(WALKS) for made in walk_keys(spaced, offsets, [size], walk)[size]]
+    return STRIDE if fitting else 1, size, np.concatenate(keys), np.tile(offsets, len(keys))
+
+
 def build_index(items: list[tuple[int | None, str]]) -> Index:
     words = [words_of(text or "") for _, text in items]
     keys, owners, sizes = [], [], {STRIDE: set(), 1: set()}
     for number, item in enumerate(words):
-        fitting = item_sizes(len(item))
         if not len(item):
             continue
-        size = fitting[-1] if fitting else len(item)
-        sizes[STRIDE if fitting else 1].add(size)
-        offsets = np.arange(len(item) - size + 1)
-        for walk in range(WALKS):
-            for made in walk_keys(padded(item, np.array([0, len(item)]))[0], offsets, [size], walk)[size]:
-                keys.append(made)
-                owners.append(np.stack((np.full(len(offsets), number), offsets), axis=1))
+        stride, size, made, offsets = item_keys(item)
+        sizes[stride].add(size)
+        keys.append(made)
+        owners.append(np.stack((np.full(len(offsets), number), offsets), axis=1))
     every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     whose = np.concatenate(owners) if owners else np.zeros((0, 2), np.int64)
     order = np.argsort(every, kind="stable")
@@ -151,12 +161,11 @@ def build_index(items: list[tuple[int | None, str]]) -> Index:
     return Index([i for i, _ in items], words, every[order], whose[order].astype(np.int32), {k: sorted(v) for k, v in sizes.items()}, table)
 
 
-def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, word that the item would begin at, counted in the slice) of windows that share a key."""
-    found: set[tuple[int, int, int]] = set()
+def window_keys(words: np.ndarray, first: np.ndarray, sizes_by_stride: dict[int, list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of a slice of texts, key by key: each window's text, first word, and key."""
     count = np.diff(first)
     spaced, moved = padded(words, first)
-    for stride, sizes in index.sizes.items():
+    for stride, sizes in sizes_by_stride.items():
         if not sizes or not len(words):
             continue
         per = -(-count // stride)
@@ -165,49 +174,119 @@ def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> set[tuple[
         for walk in range(WALKS):
             for made in walk_keys(spaced, starts + moved[:-1][text] - first[:-1][text], sizes, walk).values():
                 for keys in made:
-                    hit = np.flatnonzero(index.table[(keys >> np.uint64(44)).astype(np.int64)])
-                    low, high = np.searchsorted(index.keys, keys[hit], "left"), np.searchsorted(index.keys, keys[hit], "right")
-                    for w, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                        for item, offset in index.owners[a:b].tolist():
-                            found.add((int(text[w]), item, int(starts[w]) - offset))
+                    yield text, starts, keys
+
+
+def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
+    """(text, item, word that the item would begin at, counted in the slice) of windows that share a key."""
+    found: set[tuple[int, int, int]] = set()
+    for text, starts, keys in window_keys(words, first, index.sizes):
+        hit = np.flatnonzero(index.table[(keys >> np.uint64(44)).astype(np.int64)])
+        low, high = np.searchsorted(index.keys, keys[hit], "left"), np.searchsorted(index.keys, keys[hit], "right")
+        for w, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+            for item, offset in index.owners[a:b].tolist():
+                found.add((int(text[w]), item, int(starts[w]) - offset))
     return found
 
 
-def leaks_in(index: Index, column: pa.Array) -> list[list[dict]]:
-    """For each text of a column the items found in it."""
+def text_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a text column: first and last row, the hashes of all words, each row's first word."""
     lowered = pa.array([t.lower() if t else "" for t in column.to_pylist()], pa.large_string())
     data, offsets = text_buffers(lowered)
-    breaks = punctuation_bytes()
-    out: list[list[dict]] = [[] for _ in range(len(column))]
     for a, b in slices(np.maximum(np.diff(offsets), 1), SLICE_BYTES):
-        words, _, _, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], breaks)
+        words, _, _, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], punctuation_bytes())
+        yield a, b, words, first
+
+
+def place_of(item: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int] | None:
+    """The edits and the first word of an item that would begin at start, or None if it takes too many edits."""
+    most = len(item) * EDIT_PERCENT // 100
+    low, high = max(start - most - 1, 0), min(start + len(item) + most + 1, len(words))
+    edits, end = edits_within(item, words[low:high])
+    return (edits, max(low + end - len(item), 0)) if edits <= most else None
+
+
+def leaks_in(index: Index, column: pa.Array) -> list[list[dict]]:
+    """For each text of a column the items found in it."""
+    out: list[list[dict]] = [[] for _ in range(len(column))]
+    for a, _, words, first in text_words(column):
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for text, number, start in sorted(candidates(index, words, first)):
-            item = index.words[number]
-            most = len(item) * EDIT_PERCENT // 100
-            low, high = max(start - most - 1, first[text]), min(start + len(item) + most + 1, first[text + 1])
-            edits, end = edits_within(item, words[low:high])
-            place = (edits, max(int(low + end - len(item) - first[text]), 0))
-            if edits <= most and place < best.get((text, number), (1 << 30, 0)):
+            place = place_of(index.words[number], words[first[text] : first[text + 1]], start - int(first[text]))
+            if place and place < best.get((text, number), (1 << 30, 0)):
                 best[text, number] = place
-        for (text, number), (edits, place) in sorted(best.items()):
-            out[a + text].append({"item_id": index.ids[number], "edits": edits, "first_word": place})
+        for (text, number), (edits, at) in sorted(best.items()):
+            out[a + text].append({"item_id": index.ids[number], "edits": edits, "first_word": at})
     return out
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "leaks", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds out_col: the benchmark items found in the text, each with its edits and about where it begins."""
     spark = df.sparkSession
+    text_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-total // BLOCK_CHARS))
+    total = items.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0)).alias("n")).first().n
     kept = [c for c in (df.columns if keep is None else keep) if c != out_col]
-    made: list[str] = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()  # about BLOCK_CHARS
-        shared = spark.sparkContext.broadcast(build_index([(r.id, r.text) for r in rows]))
-        name = f"__leaks{block}"
-        last = block == blocks - 1
-        df = add_columns(df, text_col, [(name, LEAK)], lambda texts, shared=shared: [pa.array(leaks_in(shared.value, texts), _LEAK)], [*kept, *made] if last else [*dict.fromkeys([*kept, text_col]), *made])
-        made.append(name)
-    return df.select(*kept, F.flatten(F.array(*made)).alias(out_col))
+    if total > BLOCK_CHARS:
+        return _joined_leaks(df, items, text_col, out_col, kept)
+    rows = items.orderBy("id", "text").collect()  # BLOCK_CHARS at most
+    shared = spark.sparkContext.broadcast(build_index([(r.id, r.text) for r in rows]))
+    return add_columns(df, text_col, [(out_col, LEAK)], lambda texts: [pa.array(leaks_in(shared.value, texts), _LEAK)], kept)
+
+
+def _joined_leaks(df: DataFrame, items: DataFrame, text_col: str, out_col: str, kept: list[str]) -> DataFrame:
+    """find_leaks() by joins. Equal texts, of items or of documents, are handled once, under their checksum."""
+    spark = df.sparkSession
+    named = items.select("id", F.md5(F.col("text").cast("binary")).alias("item"), "text")
+    apart = stored(named.groupBy("item").agg(F.first("text").alias("text")), "items")
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(words := words_of(text)):
+                    stride, size, keys, offsets = item_keys(words)
+                    whole = lambda v, kind, n=len(keys): pa.array([v] * n, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), whole(item, pa.string()), pa.array(offsets.astype(np.int32)), whole(stride, pa.int32()), whole(size, pa.int32())], names=["window", "item", "offset", "stride", "size"])
+
+    keys = stored(apart.mapInArrow(keys_of, "window long, item string, offset int, stride int, size int"), "item-keys")
+    sizes: dict[int, list[int]] = {}
+    for r in keys.select("stride", "size").distinct().orderBy("stride", "size").collect():  # some twenty at most
+        sizes.setdefault(r.stride, []).append(r["size"])
+    shared = spark.sparkContext.broadcast((sizes, key_filter(keys.select("window").distinct())))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_stride, table = shared.value
+        for batch in batches:
+            for a, _, words, first in text_words(batch.column(1)):
+                for text, starts, made in window_keys(words, first, by_stride):
+                    hit = np.flatnonzero(passes(table, made))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text[hit])), pa.array(made[hit].view(np.int64)), pa.array((starts[hit] - first[text[hit]]).astype(np.int32))], names=["of", "window", "start"])
+
+    texts = df.where(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("of"), F.col(text_col).alias("text"))
+    hits = texts.mapInArrow(windows, "of string, window long, start int")
+    pairs = stored(hits.join(keys.select("window", "item", "offset"), "window").select("of", "item", (F.col("start") - F.col("offset")).alias("begin")).distinct(), "candidates")
+    some = texts.join(pairs.select("of").distinct(), "of", "left_semi").groupBy("of").agg(F.first("text").alias("text"))
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The candidates of one text, and the text."""
+        words = words_of(right.column("text")[0].as_py())
+        known: dict[str, np.ndarray] = {}
+        best: dict[str, tuple[int, int]] = {}
+        for item, text, begin in zip(*(left.column(c).to_pylist() for c in ("item", "item_text", "begin")), strict=True):
+            if item not in known:
+                known[item] = words_of(text)
+            place = place_of(known[item], words, begin)
+            if place and place < best.get(item, (1 << 30, 0)):
+                best[item] = place
+        of = right.column("of")[0].as_py()
+        return pa.table({"of": pa.array([of] * len(best), pa.string()), "item": pa.array(list(best), pa.string()), "edits": pa.array([e for e, _ in best.values()], pa.int32()), "first_word": pa.array([w for _, w in best.values()], pa.int32())})
+
+    full = pairs.join(apart.select("item", F.col("text").alias("item_text")), "item")
+    found = full.groupBy("of").cogroup(some.groupBy("of")).applyInArrow(verify, "of string, item string, edits int, first_word int")
+    each = found.join(named.select("id", "item"), "item").select("of", F.struct(F.col("id").alias("item_id"), "edits", "first_word").alias("leak"))
+    per = stored(each.groupBy("of").agg(F.array_sort(F.collect_list("leak")).alias("found")), "leaks")
+    drop_stored(keys, pairs, apart)
+    own, made = fresh(df, "of"), fresh(df, "found")
+    joined = df.join(per.select(F.col("of").alias(own), F.col("found").alias(made)), F.md5(F.col(text_col).cast("binary")) == F.col(own), "left")
+    return joined.select(*kept, F.coalesce(F.col(made), F.array().cast(LEAK)).alias(out_col))
