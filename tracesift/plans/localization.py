@@ -12,6 +12,7 @@ from ..operators import counts, extractors, ranking, sequence, vectors, weights
 from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
 from ..sources import binary_log, csv_log, mapping, reports, testdata
+from ..streaming import live
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,10 +544,31 @@ def dump_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.scored(reports.load_counts(spark, path)).select("type", "feature", "ef", "ep", "score")
 
 
-@query(f"""{_SCORED} select file, line, cast(floor(s * 100) as integer) as percent from (select file, line, least(greatest(max(score), 0), 1) as s from pl group by all)""")
+def _channel(green: int, yellow: int, red: int) -> str:
+    return f"printf('%02x', cast(round_even(case when s <= 0.5 then 2 * (s * {yellow}.0 + (0.5 - s) * {green}.0) else 2 * ((1 - s) * {yellow}.0 + (s - 0.5) * {red}.0) end, 0) as bigint))"
+
+
+_COLORS = f"""{_SCORED}, top as (select file, line, cast(least(greatest(max(score), 0), 1) as double) as s from pl group by all
+), co as (select file, line, cast(floor(s * 100) as integer) as percent, '#' || {" || ".join(_channel(*c) for c in zip(reports.GREEN, reports.YELLOW, reports.RED, strict=True))} as color from top)"""
+
+
+@query(f"{_COLORS} select * from co")
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How strongly each line would be marked in a listing."""
-    return reports.colored(ranking.places(_scores(spark, sf_dir))).select("file", "line", "percent")
+    return reports.colored(ranking.places(_scores(spark, sf_dir)))
+
+
+@query(f"""{_COLORS}, li as (
+  select 'f' || (p_partkey % 5) as file, cast(p_partkey % 22 + 1 as integer) as line,
+    replace(replace(replace(replace(replace('if x < "' || p_name || '" & y > 0:', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as t from part
+), nu as (select *, case when line < 10 then '   ' else '  ' end || line || ' ' || t as code from li)
+select file, line, case when color is null then '<pre title="Line ' || line || ': not executed">' || code || '</pre>'
+  else '<pre style="background-color:' || color || '" title="Line ' || line || ': ' || lpad(percent::varchar, 3, ' ') || '%">' || code || '</pre>' end as html from nu left join co using (file, line)""")
+def code_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of code, in HTML."""
+    key = F.col("p_partkey")
+    lines = testdata.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (key % 5).cast("string")).alias("file"), (key % 22 + 1).cast("int").alias("line"), F.concat(F.lit('if x < "'), "p_name", F.lit('" & y > 0:')).alias("text"))
+    return reports.listing(lines, ranking.places(_scores(spark, sf_dir)))
 
 
 @query(f"""with {sql.RUNS}, n as (select user_id as run_id, count(*) filter (event_type in ('click', 'view')) as passed, count(*) filter (event_type = 'error' and value > {testdata.FAILING_VALUE}) as failed from events group by 1)
@@ -564,25 +586,49 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", reports.safe_name(F.col("text")).alias("name"))
 
 
+def _streamed(spark: SparkSession, source: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    """What a stream over a table gives once all is read: the last batch, or all batches of a stream that appends."""
+    path = scratch_path(spark, "stream")
+    source.write.parquet(f"{path}/in")
+    out = make(spark.readStream.schema(source.schema).parquet(f"{path}/in"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.parquet(f"{path}/out/batch={number}")
+
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    kept = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in out.schema.fields)}, batch long").parquet(f"{path}/out")
+    return kept.drop("batch") if mode == "append" else kept.join(F.broadcast(kept.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.table(spark, sf_dir, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "run_id": F.col("user_id")})
+
+
 @query("""select window_start, event_type, count(*) as n from (select time_bucket(interval '10 minutes', ts) as window_start, event_type from events) group by all""")
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per kind and ten minutes, by a stream over the table's file that ends when all is read."""
-    from ..streaming import live
-
-    path = scratch_path(spark, "rates")
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
-    made = live.event_rates(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    out = made.select(F.col("window.start").alias("window_start"), "event_type", "n")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.write.parquet(f"{path}/batch={number}")
-
-    running = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(merge).start()
-    running.awaitTermination()
-    kept = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    last = kept.agg(F.max("batch").alias("batch"))
-    return kept.join(F.broadcast(last), "batch").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    """Events per kind and ten minutes, by a stream over the table that ends when all is read."""
+    made = _streamed(spark, _timed(spark, sf_dir), lambda events: live.event_rates(events).select(F.col("window.start").alias("window_start"), "event_type", "n"))
+    return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query(f"with {sql.trace('flow')} select run_id, file, line, count(*) as hits from tr where event_type = 'LINE' group by all")
+def streamed_line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, testdata.trace(spark, sf_dir, "flow"), live.line_hits)
+
+
+@query("""with g as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval '2 hours' then 1 else 0 end as new from events
+), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+select user_id as run_id, min(ts) as first, count(*) as n from s group by user_id, session""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a run without a pause of over two hours."""
+    made = _streamed(spark, _timed(spark, sf_dir), lambda events: live.sessions(events, "2 hours").select("run_id", F.col("session_window.start").alias("first"), "n"))
+    return made.select("run_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
+
+
+@query(f"with {sql.trace('scopes')}, {sql.SCOPES} select run_id, seq, depth, scope_id from sc")
+def streamed_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes as state of a stream."""
+    return _streamed(spark, testdata.trace(spark, sf_dir, "scopes"), live.scopes, mode="append")
 
 
 # What needs no more than a query or two.

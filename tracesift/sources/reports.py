@@ -112,11 +112,30 @@ def source_ranges(sources: DataFrame) -> DataFrame:
     return sources.select("file", "text").mapInPandas(run, "kind string, file string, line int, then boolean, first int, last int")
 
 
+#: Red, green and blue of marks without, with middling and with full suspicion.
+GREEN, YELLOW, RED = (179, 230, 179), (255, 255, 153), (255, 153, 153)
+
+
 def colored(place_scores: DataFrame) -> DataFrame:
     """file, line, percent and a color between green, yellow and red, for the greatest score of each place."""
     top = place_scores.groupBy("file", "line").agg(F.max("score").alias("score"))
     share = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-    hex2 = lambda c: F.lpad(F.hex(F.round(c).cast("long")), 2, "0")
-    red = F.when(share < 0.5, 510 * share).otherwise(255.0)
-    green = F.when(share < 0.5, 255.0).otherwise(510 * (1 - share))
-    return top.select("file", "line", F.floor(share * 100).cast("int").alias("percent"), F.concat(F.lit("#"), hex2(red), hex2(green), F.lit("00")).alias("color"))
+    low, high = lambda g, y: 2 * (share * y + (0.5 - share) * g), lambda y, r: 2 * ((1 - share) * y + (share - 0.5) * r)
+    channels = [F.when(share <= 0.5, low(float(g), float(y))).otherwise(high(float(y), float(r))) for g, y, r in zip(GREEN, YELLOW, RED, strict=True)]
+    hex2 = [F.lower(F.lpad(F.hex(F.bround(c).cast("long")), 2, "0")) for c in channels]
+    return top.select("file", "line", F.floor(share * 100).cast("int").alias("percent"), F.concat(F.lit("#"), *hex2).alias("color"))
+
+
+def listing(lines: DataFrame, place_scores: DataFrame) -> DataFrame:
+    """file, line and html of source lines (file, line, text): numbered, marked by color, with a tooltip that says how suspicious they are."""
+    marks = colored(place_scores)
+    text = F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    text = F.when(F.trim(text) == "", "&nbsp;").otherwise(text)
+    number = F.col("line").cast("string")
+    numbered = F.concat(F.when(F.length(number) < 4, F.lpad(number, 4, " ")).otherwise(number), F.lit(" "), text)
+    tip = F.concat(F.lit("Line "), number, F.lit(": "), F.coalesce(F.concat(F.lpad(F.col("percent").cast("string"), 3, " "), F.lit("%")), F.lit("not executed")))
+    plain = F.concat(F.lit('<pre title="'), tip, F.lit('">'), numbered, F.lit("</pre>"))
+    marked = F.concat(F.lit('<pre style="background-color:'), F.col("color"), F.lit('" title="'), tip, F.lit('">'), F.rtrim(numbered), F.lit("</pre>"))
+    return lines.join(marks, ["file", "line"], "left").select("file", "line", F.coalesce(marked, plain).alias("html"))
