@@ -1,8 +1,8 @@
 """Vectorized 64-bit hashes of words and lines over the buffers of an Arrow batch.
 
-A symbol s at place i of a word or line adds r(s, i) to its hash, where r mixes both into 64 random bits. Unlike a
-polynomial in a fixed base, such a sum has no structured collisions; and sums over any run of places are differences
-of two running sums. Where a hash stands for a text's identity it is a cryptographic digest instead (digest()).
+A symbol s at place i of a word adds r(s, i) to its hash, where r mixes both into 64 random bits; one of a line adds a
+random factor of the place times s. Unlike a polynomial in a fixed base, such sums have no structured collisions; and sums over
+any run of places are differences of two running sums. Where a hash stands for a text's identity it is a cryptographic digest instead (digest()).
 """
 
 from __future__ import annotations
@@ -38,6 +38,20 @@ def placed(symbols: np.ndarray, places: np.ndarray, seed: int = 0) -> np.ndarray
     return mix(h)
 
 
+_FACTORS: dict[int, np.ndarray] = {}
+
+
+def by_place(symbols: np.ndarray, places: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A random factor of each place times the symbol there: cheaper than placed(), and as good where sums are mixed afterwards."""
+    table = _FACTORS.get(seed)
+    most = int(places.max()) + 1 if len(places) else 0
+    if table is None or len(table) < most:
+        table = np.random.Generator(np.random.PCG64(20240229 + seed)).integers(0, 2**64, size=max(most, 1 << 16), dtype=np.uint64) | np.uint64(1)
+        if len(table) <= 8 * SLICE_BYTES:
+            _FACTORS[seed] = table
+    return table[places] * (symbols.astype(np.uint64) + np.uint64(1))
+
+
 def placed_bytes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     """placed() of bytes, from a table for the first places."""
     global _TABLE

@@ -11,8 +11,8 @@ is done in two steps with the same result:
 
 1. Blocks. A line is cut into 4 to 8 blocks (or single characters, if short); for each, the line without it is a key (a hash of
    what precedes and what follows; the width depends on the length, lines next to a change of widths emit keys for both). All
-   variants of a block share its key. A bit table and the join of equal keys leave the lines that could have a partner.
-2. Variants. Those lines emit all variants, hashed, with the place of the deletion. Rows of equal variants are ordered
+   variants of a block share its key. Keys that different lines have leave the lines that could have a partner.
+2. Variants. Those lines emit the variants of such blocks, hashed, with the place of the deletion. Rows of equal variants are ordered
    by their lines: the first is the earliest partner of all others. No pairs within a group are made.
 
 The pairs found, one per line at most, are verified by their edit distance. Equal lines are told by 128-bit digests.
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytehash import digest, mix, placed, running
+from .bytehash import by_place, digest, mix, running
 from .common import drop_stored, fresh, list_array, slices, stored, text_batches
-from .sketches import key_filter, passes
 
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
+#: Rows of tables of lines (some 100 bytes each) that are broadcast; more are joined by a shuffle.
+ROWS_BROADCAST = 300_000
 _LAST = 2**63 - 1
 
 
@@ -59,8 +60,9 @@ class Lines:
     def places(self, ends: bool) -> np.ndarray:
         """Of each code point (line feeds too) the place from its line's start, or to its end."""
         size = self.ends - self.starts + 1
-        of = np.repeat(self.ends if ends else self.starts, size)[: len(self.points)]
-        return of - np.arange(len(of)) if ends else np.arange(len(of)) - of
+        of = np.repeat((self.ends if ends else self.starts).astype(np.int32), size)[: len(self.points)]
+        at = np.arange(len(of), dtype=np.int32)
+        return of - at if ends else at - of
 
 
 def lines_in(texts: list[str]) -> Iterator[Lines]:
@@ -73,7 +75,7 @@ def lines_in(texts: list[str]) -> Iterator[Lines]:
         solid = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(~((points == 32) | ((points >= 9) & (points <= 13))), out=solid[1:])
         found = Lines(joined, points, starts, ends, np.repeat(np.arange(a, b), per_text), solid[ends] == solid[starts], np.zeros(0))
-        found.before = running(placed(points, found.places(False)))
+        found.before = running(by_place(points, found.places(False)))
         yield found
 
 
@@ -90,7 +92,7 @@ def block_keys(lines: Lines, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """For each key of the lines numbered by use: the line's place in use, the key, and start and end of the block left out."""
     found = []
     starts, ends = lines.starts[use], lines.ends[use]
-    after = running(placed(lines.points, lines.places(True), seed=1))
+    after = running(by_place(lines.points, lines.places(True), seed=1))
     (width, number), (width2, number2) = block_shapes(ends - starts)
     other = (width2 != width) | (number2 != number)
     for which, w, n in ((np.arange(len(starts)), width, number), (np.flatnonzero(other), width2[other], number2[other])):
@@ -110,7 +112,7 @@ def variants_of(lines: Lines, use: np.ndarray, line: np.ndarray, left: np.ndarra
     at, keep = np.unique(at, return_index=True)
     of = of[keep]
     s, e = lines.starts[use][of], lines.ends[use][of]
-    moved = running(placed(lines.points, lines.places(False) - 1))  # a code point after the gap moves up
+    moved = running(by_place(lines.points, np.maximum(lines.places(False) - 1, 0)))  # a code point after the gap moves up
     return of, at, mix(lines.before[at] - lines.before[s] + moved[e] - moved[at + 1] + (e - s - 1).astype(np.uint64))
 
 
@@ -178,49 +180,40 @@ def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
 
 def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[DataFrame, list[DataFrame]]:
     """digest, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these. And the tables that it reads."""
-    spark = docs.sparkSession
-    # Step 1. Block keys that lines of different texts have; 64 bits of the digests tell them apart here.
-    keys = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).repartition("block").groupBy("block").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("block")
-    keys = stored(keys, "keys")
-    wanted = spark.sparkContext.broadcast(key_filter(keys))
-    drop_stored(keys)
+    few = lambda table: F.broadcast(table) if table.count() <= ROWS_BROADCAST else table
+    # Step 1. Block keys that lines of different texts have; 64 bits of the digests tell them apart here. A running window streams, however large the group.
+    rows = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).repartition("block")
+    order = Window.partitionBy("block").orderBy("short")
+    rows = rows.withColumns({"before": F.lag("short").over(order), "after": F.lead("short").over(order)})
+    shared = rows.where("before != short or after != short").groupBy("short").agg(F.collect_set("block").alias("shared"))  # some of a line's own blocks
+    shared = stored(shared, "shared-blocks")
+    # The lines that have them by the place where they first occur, numbered in that order: ranges of places go to tasks in order, and
+    # numbers grow within and across tasks.
+    first = lines.select("digest", "doc_id", "line", "key").join(few(shared), F.xxhash64("digest") == F.col("short"))
+    first = first.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("at"), F.first("shared").alias("shared"))
+    ranked = stored(first.repartitionByRange("at", "digest").sortWithinPartitions("at", "digest").select("digest", "at", "shared", F.monotonically_increasing_id().alias("rank")), "ranks")
+    # Their texts, from the documents that hold them first.
+    wanted = ranked.select(F.col("at.key").alias("key"), F.col("at.line").alias("line"), "rank", "digest", "at", "shared")
+    some = stored(wanted.select("key").distinct(), "wanted")
+    held = docs.join(few(some), "key", "left_semi").select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    texts = stored(held.join(few(wanted), ["key", "line"]).dropDuplicates(["rank"]).select("rank", "digest", "at", "shared", "text"), "line-texts")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            for lines in lines_in(_texts(batch.column(0))):
-                use = np.flatnonzero(~lines.blank & (lines.ends - lines.starts > max_edits))
-                line, key, left, right = block_keys(lines, use)
-                hit = np.flatnonzero(passes(wanted.value, key))
-                some = np.unique(line[hit])
-                names = dict(zip(some.tolist(), lines.digests(use[some]), strict=True))
-                new = np.zeros(len(use), dtype=bool)
-                for i, name in names.items():
-                    if name not in seen:
-                        seen.add(name)
-                        new[i] = True
-                if len(seen) > 200_000:
-                    seen.clear()
-                hit = hit[new[line[hit]]]
-                if not len(hit):
-                    continue
-                of, at, made = variants_of(lines, use, line[hit], left[hit], right[hit])
-                which = np.unique(line[hit])  # with those of empty blocks, which only lines one longer meet
-                count = np.bincount(of, minlength=len(use))[which]
-                s, e = lines.starts[use][which], lines.ends[use][which]
-                whole = mix(lines.before[e] - lines.before[s] + (e - s).astype(np.uint64))
+            ranks = batch.column(0).to_numpy()
+            blocks = batch.column(2).flatten().to_numpy().view(np.uint64)
+            for lines in lines_in(_texts(batch.column(1))):
+                every = np.arange(len(lines.starts))
+                line, key, left, right = block_keys(lines, every)
+                hit = np.flatnonzero(np.isin(key, blocks))
+                of, at, made = variants_of(lines, every, line[hit], left[hit], right[hit])
+                whole = mix(lines.before[lines.ends] - lines.before[lines.starts] + (lines.ends - lines.starts).astype(np.uint64))
+                count = np.bincount(of, minlength=len(every))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([names[i] for i in which.tolist()], pa.binary()), pa.array([lines.text[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.string()), pa.array(whole.view(np.int64)),
-                    list_array(made.view(np.int64), count, pa.int64()), list_array((at - lines.starts[use][of]).astype(np.int32), count, pa.int32()),
-                ], names=["digest", "text", "whole", "variants", "places"])
-
-    made = stored(docs.select("text").mapInArrow(variants, "digest binary, text string, whole long, variants array<long>, places array<int>"), "variants")
-    # Such lines by the place where they first occur, numbered in that order: ranges of places go to tasks in order, and numbers grow within and across tasks.
-    some = made.select("digest").distinct()
-    first = lines.select("digest", "doc_id", "line", "key").join(some, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("at"))
-    ranked = stored(first.repartitionByRange("at", "digest").sortWithinPartitions("at", "digest").select("digest", "at", F.monotonically_increasing_id().alias("rank")), "ranks")
-    # A line may come from several tasks, each time with the same variants.
-    single = made.groupBy("digest").agg(F.first("whole").alias("whole"), F.first("variants").alias("variants"), F.first("places").alias("places")).join(ranked.select("digest", "rank"), "digest")
+                    pa.array(ranks[lines.row]), pa.array(whole.view(np.int64)), list_array(made.view(np.int64), count, pa.int64()), list_array((at - lines.starts[of]).astype(np.int32), count, pa.int32()),
+                ], names=["rank", "whole", "variants", "places"])
+
+    single = texts.select("rank", "text", "shared").mapInArrow(variants, "rank long, whole long, variants array<long>, places array<int>")
     # Step 2. Rows by variant: a line without one character, or (place -1) as it is.
     rows = single.select("rank", F.explode(F.concat(F.arrays_zip("variants", "places"), F.array(F.struct(F.col("whole").alias("variants"), F.lit(-1).alias("places"))))).alias("v"))
     rows = rows.select(F.col("v.variants").alias("variant"), F.col("v.places").alias("place"), "rank").repartition("variant")
@@ -232,10 +225,9 @@ def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[Data
     earliest = F.when(whole, F.col("longer")).otherwise(F.least("replaced", "shorter"))
     found = rows.select("rank", earliest.alias("kept")).where("kept is not null and kept < rank").groupBy("rank").agg(F.min("kept").alias("kept"))
     # Verified once per line.
-    texts = made.groupBy("digest").agg(F.first("text").alias("text")).join(ranked, "digest")
     both = found.join(texts.select("rank", "digest", "text"), "rank").join(texts.select(F.col("rank").alias("kept"), F.col("at").alias("kept_at"), F.col("text").alias("kept_text")), "kept")
     near = both.where(F.levenshtein("text", "kept_text", 1) == 1).select("digest", F.col("kept_at").alias("kept"))
-    return near, [made, ranked]
+    return near, [shared, ranked, some, texts]
 
 
 def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
