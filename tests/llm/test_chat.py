@@ -40,3 +40,21 @@ def test_parts(spark):
     assert row.formatted == "### user: see \\2this><image:0><audio:1><document:2> </turn>\n### assistant:  </turn>\n"
     assert [(a.number, a.kind, a.uri, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 3), (1, "audio", "b.wav", 63), (2, "document", "", 1024)]
     assert row.attachment_tokens == 1090 and row.loss_texts == [""]
+
+
+def test_typed_parts_back(spark):
+    """A user's own <image:0> is text, the visitor's is an image."""
+    rows = spark.sql("""select 1L as conv_id, 0L as turn, 'user' as role, array(
+        named_struct('kind', 'text', 'text', 'a > b <image:0> ', 'uri', null, 'width', null, 'height', null, 'seconds', null, 'pages', null),
+        named_struct('kind', 'image', 'text', null, 'uri', 'a.png', 'width', 1, 'height', 1, 'seconds', null, 'pages', null),
+        named_struct('kind', 'text', 'text', ': c>', 'uri', null, 'width', null, 'height', null, 'seconds', null, 'pages', null),
+        named_struct('kind', 'document', 'text', null, 'uri', 'b', 'width', null, 'height', null, 'seconds', null, 'pages', 1)) as parts""")
+    turn = chat.read_chats(chat.format_chats(rows, parts=F.col("parts").cast(f"array<{chat.PART}>"))).first().turns[0]
+    assert [tuple(p) for p in turn.parts] == [("text", "a > b <image:0> ", None), ("image", None, 0), ("text", ": c>", None), ("document", None, 1)]
+
+
+def test_very_long_text(spark):
+    text = "# <turn> \\ é " * 400_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.read_chats(chat.format_chats(df)).first()
+    assert [t.text == text for t in row.turns] == [True, True] and row.loss_texts == [text]

@@ -42,6 +42,14 @@ def test_counts_do_not_depend_on_slices(monkeypatch):
     assert whole[:, quality.TRIGRAMS :].sum(axis=1).tolist() == [4, 0, 0, 4, 4, 4]
 
 
+def test_very_long_text():
+    """Longer than any slice, and read whole: its end counts as well."""
+    text = "abc " * (3 * quality.SLICE_BYTES)
+    counts = quality.term_counts(pa.array(["x", text + "%%%%", None]))
+    assert counts[1, : quality.TRIGRAMS].sum() == len(text) + 2 and counts[1, quality.TRIGRAMS :].sum() == 4
+    assert (counts[1] != quality.term_counts(pa.array([text]))[0]).any()
+
+
 def test_defined_cases(spark):
     good, bad = "the cat sat on the mat and slept", "%%% $$$ ### *** &&& @@@"
     docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)] + [(90, None), (91, ""), (None, good), (3, good)], "doc_id long, text string").withColumn("score", F.lit("clash"))

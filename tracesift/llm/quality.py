@@ -7,6 +7,8 @@ capitals. Both are projected to a few latent dimensions by a truncated SVD of th
 all of them come from one exact product per block of documents, and the NEIGHBOURS most similar vote
 for their labels with their similarity.
 
+The shares are plain statistics beside the latent-semantic vector, and decide much: README has the accuracy with and without them.
+
 Only the fit is bounded: PER_CLASS labelled rows of each label, those of least hash of their id, so the
 sample is the same for every partitioning. Every document is scored, and read whole.
 
