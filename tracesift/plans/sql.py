@@ -31,11 +31,11 @@ ORDER_OBS = "obs as (select 'LINE' as type, 'LINE:' || l_returnflag || l_linesta
 DOC_RUNS = "runs as (select doc_id as run_id, quality = 0 or toxic = 1 as failing from labels)"
 DOC_TRACE = r"""d0 as (
   select doc_id, lang, source, coalesce(regexp_extract(text, '^\s*(\S+)', 1), '') as first, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then cast(n_chars as varchar) end as odd, text from documents
-), tr as (
+), t0 as (
   select doc_id as run_id, 1 as seq, 'DEF' as event_type, 'docs' as file, 1 as line, 'lang' as var, lang as value_str from d0 union all
   select doc_id, 2, 'DEF', 'docs', 2, 'source', source from d0 union all select doc_id, 3, 'DEF', 'docs', 3, 'first', first from d0 union all select doc_id, 4, 'DEF', 'docs', 4, 'odd', odd from d0 union all
-  select doc_id, 5, 'DEF', 'docs', 5, 'text', text from d0
-)"""
+  select doc_id, 5, 'DEF', 'docs', 5, 'text', text from d0 union all select doc_id, 6, 'DEF', 'docs', 6, 'raw', null from d0
+), tr as (select *, var = 'raw' and run_id % 2 = 1 as no_bytes from t0)"""
 
 SCOPES = """s1 as (
   select *, sum(case when event_type = 'FUNCTION_ENTER' then 1 when event_type in ('FUNCTION_EXIT', 'FUNCTION_ERROR') then -1 else 0 end) over (partition by run_id order by seq rows unbounded preceding) as cum from tr
@@ -115,7 +115,7 @@ OBSERVATIONS: dict[str, tuple[str, str, str]] = {
                " || ':' || function || ':' || op || ':' || against", f"case when against = '0' then {compare('op', 'value_num', '0.0')} else cast((value_type = 'NoneType') = (op = '==') as integer) end")),
     "NONE": ("scopes", "", _obs("NONE", "tr where event_type = 'DEF'", " || ':' || var", "cast(value_type = 'NoneType' as integer)")),
     "EMPTY_STRING": ("docs", "", _obs("EMPTY_STRING", "tr", " || ':' || var", "cast(coalesce(value_str = '', false) as integer)")),
-    "EMPTY_BYTES": ("docs", "", _obs("EMPTY_BYTES", "tr", " || ':' || var", "0")),
+    "EMPTY_BYTES": ("docs", "", _obs("EMPTY_BYTES", "tr", " || ':' || var", "cast(no_bytes as integer)")),
     "ASCII_STRING": ("docs", "", _obs("ASCII_STRING", "tr", " || ':' || var", "cast(coalesce(octet_length(encode(value_str)) = length(value_str), false) as integer)")),
     "DIGIT_STRING": ("docs", "", _obs("DIGIT_STRING", "tr", " || ':' || var", rf"cast(coalesce(regexp_matches(value_str, '[\p{{Nd}}{OTHER_DIGITS}]'), false) as integer)")),
     "SPECIAL_STRING": ("docs", "", _obs("SPECIAL_STRING", "tr", " || ':' || var", r"cast(coalesce(not regexp_full_match(value_str, '[\p{L}\p{N}]+'), false) as integer)")),

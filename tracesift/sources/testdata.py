@@ -73,8 +73,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as runs that define string variables: language, source, first word, an empty one at times, and the
-    whole text."""
+    """Documents as runs that define string variables: language, source, first word, an empty one at times, the
+    whole text; and one of bytes, empty in every second."""
     docs = table(spark, sf_dir, "documents")
     first = F.coalesce(F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit(""))
     strings = F.array(
@@ -83,11 +83,13 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("first").alias("var"), F.lit(3).alias("line"), first.alias("v")),
         F.struct(F.lit("odd").alias("var"), F.lit(4).alias("line"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("n_chars").cast("string")).alias("v")),
         F.struct(F.lit("text").alias("var"), F.lit(5).alias("line"), F.col("text").alias("v")),
+        F.struct(F.lit("raw").alias("var"), F.lit(6).alias("line"), F.when(F.col("doc_id") % 2 == 1, "").otherwise(F.coalesce("lang", F.lit("-"))).alias("v")),
     )
+    raw = F.col("s.var") == "raw"
     return docs.select("doc_id", F.posexplode(strings).alias("pos", "s")).select(
         F.col("doc_id").alias("run_id"), (F.col("pos") + 1).cast("long").alias("seq"), F.lit("DEF").alias("event_type"), F.lit("docs").alias("file"), F.col("s.line").alias("line"),
-        F.col("s.var").alias("var"), F.col("pos").cast("long").alias("var_id"), F.lit(None).cast("double").alias("value_num"), F.col("s.v").alias("value_str"), F.lit(None).cast("binary").alias("value_bin"),
-        F.when(F.col("s.v").isNull(), "NoneType").otherwise("str").alias("value_type"),
+        F.col("s.var").alias("var"), F.col("pos").cast("long").alias("var_id"), F.lit(None).cast("double").alias("value_num"), F.when(~raw, F.col("s.v")).alias("value_str"), F.when(raw, F.col("s.v").cast("binary")).alias("value_bin"),
+        F.when(raw, "bytes").when(F.col("s.v").isNull(), "NoneType").otherwise("str").alias("value_type"),
     )
 
 
