@@ -36,8 +36,8 @@ from .sketches import key_filter, passes
 EDIT_PERCENT = 20
 #: Window sizes of items. STRIDE is that of a document's windows, of which three lie wholly inside a passage, or else two,
 #: or one; items too short for that have windows of their own size at every word.
-SIZES, STRIDE = (8, 12, 16, 24, 32, 40), 8
-WALKS, SAMPLES = 5, 3
+SIZES, STRIDE = (8, 12, 16, 24), 8
+WALKS, SAMPLES = 6, 3
 #: More than the steps of any walk.
 PAD = 64
 #: Characters of a benchmark that is broadcast; its index has some 400 bytes a word.
@@ -48,10 +48,12 @@ _PAST = np.uint64(0x5851F42D4C957F2D)
 
 
 def sampled_steps(size: int, walk: int) -> list[list[int]]:
-    """The steps of a walk that each of its keys takes, for windows of a size."""
+    """The steps of a walk that each of its keys takes, for windows of a size: one from each of as many stretches of the walk. Steps
+    close together could all see the same word, and such a key would be that of many windows."""
     rng = np.random.Generator(np.random.PCG64(1000 * size + walk))
     steps = min(max(1, size * 3 // 2), PAD - 1)
-    return [sorted(rng.choice(steps, size=min(steps, 4 if size < 12 else 5), replace=False).tolist()) for _ in range(SAMPLES)]
+    ends = np.linspace(0, steps, min(steps, 4 if size < 16 else 5) + 1).astype(int)
+    return [[int(rng.integers(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)] for _ in range(SAMPLES)]
 
 
 def padded(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ class Index:
 def item_sizes(words: int) -> list[int]:
     """The window sizes for an item of so many words; the last is the best."""
     inside = lambda windows: [s for s in SIZES if s + windows * STRIDE - 1 <= words]
-    return inside(3) or inside(2) or inside(1)
+    return inside(3) or inside(2) or inside(1)[:1]
 
 
 def item_keys(item: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
