@@ -298,6 +298,13 @@ def test_long_loop(spark):
     assert sequence.loop_counts(rows).first().iterations == n - 2
 
 
+def test_printed_names(spark):
+    rows = [("SCALAR_PAIR", "SCALAR_PAIR:a:1:x:<=:y"), ("RETURN", "RETURN:a:1:f:==:None"), ("VARIABLE", "VARIABLE:a:1:x:>"), ("FUNCTION", "FUNCTION:a:1:f"), ("DEF_USE", "DEF_USE:a:1:b:2:x"), ("BRANCH", "BRANCH:a:1:7:then"), ("CONDITION", "CONDITION:a:1:x > 0:not"), ("LENGTH", "LENGTH:a:1:x:more"), ("LOOP", "LOOP:a:1:0")]
+    df = spark.createDataFrame([(t, f, "a", 1) for t, f in rows], "type string, feature string, file string, line int")
+    got = [r.name for r in df.select(vectors.printed_name().alias("name")).collect()]
+    assert got == ["SCALAR_PAIR:a:1:x<=y", "RETURN:a:1:f==None", "VARIABLE:a:1:x>0", "FUNCTION:a:f:1", "DEF_USE:a:1:b:2:x", "BRANCH:a:1:then:7", "CONDITION:a:1:x > 0", "LENGTH:a:1:x:evaluate_length_more", "LOOP:a:1"]
+
+
 def test_empty_trace(spark):
     none = events(spark, [])
     runs = spark.createDataFrame([], "run_id long, failing boolean")

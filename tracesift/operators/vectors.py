@@ -20,6 +20,33 @@ def feature_values(observations: DataFrame) -> DataFrame:
     return observations.groupBy("run_id", "feature", "type").agg(F.min_by("truth", order).alias("value"))
 
 
+def printed_name() -> Column:
+    """How a feature is printed: by type, place and key, without the class of a loop and the negation of a condition, which collide so."""
+    kind = F.col("type")
+    start = F.concat_ws(":", kind, "file", F.col("line").cast("string"))
+    rest = F.substring(F.col("feature"), F.length(start) + 2, F.length("feature"))
+    part = lambda i: F.get(F.split(rest, ":"), F.lit(i))
+    with_rest = lambda text: F.concat_ws(":", start, text)
+    return (
+        F.when(kind.isin("LINE", "LOOP"), start)
+        .when(kind.isin("FUNCTION", "FUNCTION_ERROR"), F.concat_ws(":", kind, "file", rest, F.col("line").cast("string")))
+        .when(kind == "CONDITION", with_rest(F.regexp_replace(rest, ":(is|not)$", "")))
+        .when(kind == "BRANCH", with_rest(F.concat_ws(":", part(1), part(0))))
+        .when(kind == "VARIABLE", with_rest(F.concat(part(0), part(1), F.lit("0"))))
+        .when(kind.isin("SCALAR_PAIR", "RETURN"), with_rest(F.replace(rest, F.lit(":"))))
+        .when(kind == "LENGTH", with_rest(F.concat_ws(":", part(0), F.concat(F.lit("evaluate_length_"), part(1)))))
+        .otherwise(F.col("feature"))
+    )
+
+
+def printed_values(observations: DataFrame) -> DataFrame:
+    """run_id, name, type, value: as feature_values(), by printed names. Of features that share one, at one event, the class 0 of a loop and the
+    negated condition come first."""
+    later = F.when(F.col("type") == "LOOP", (~F.col("feature").endswith(":0")).cast("int")).when(F.col("type") == "CONDITION", F.col("feature").endswith(":is").cast("int")).otherwise(0)
+    order = F.struct("seq", F.array_position(F.array(*map(F.lit, EXTRACTORS)), F.col("type")).alias("o"), later.alias("later"), F.lit(1) - F.col("truth"))
+    return observations.withColumn("name", printed_name()).groupBy("run_id", "name", "type").agg(F.min_by("truth", order).alias("value"))
+
+
 def default_value(kind: Column) -> Column:
     """Predicates that a run didn't observe are undefined, spectra are false."""
     return F.when(kind.isin(*PREDICATES), UNDEFINED).otherwise(FALSE)

@@ -294,6 +294,26 @@ _VALUES = f"vals as (select run_id, feature, type, arg_min(truth, {{'seq': seq,
 _FILL = "case when type in ('BRANCH', 'CONDITION') then -1 else 0 end"
 
 
+_PRINTED = """concat_ws(':', type, file, line) as start, substr(feature, length(concat_ws(':', type, file, line)) + 2) as rest"""
+_PRINT_RULES = """case when type in ('LINE', 'LOOP') then start when type = 'CONDITION' then start || ':' || regexp_replace(rest, ':(is|not)$', '')
+  when type = 'BRANCH' then start || ':' || split_part(rest, ':', 2) || ':' || split_part(rest, ':', 1)
+  when type = 'LENGTH' then start || ':' || split_part(rest, ':', 1) || ':evaluate_length_' || split_part(rest, ':', 2) end"""
+
+
+@query(f"""with {sql.observations(*FLOW)}, n as (select *, {_PRINTED} from obs), m as (select *, {_PRINT_RULES} as name from n)
+select run_id, name, arg_min(truth, {{'seq': seq, 'o': {_ORDER}, 'later': case when type = 'CONDITION' then cast(ends_with(feature, ':is') as integer) else 0 end, 't': 1 - truth}}) as value from m group by run_id, name, type""")
+def printed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature values by printed names, of which the first written stays."""
+    events, _ = events_of(spark, sf_dir, "LINE")
+    return vectors.printed_values(extractors.extract(events, *FLOW)).select("run_id", "name", "value")
+
+
+@query(f"with recursive {sql.observations('LOOP')}, n as (select *, concat_ws(':', type, file, line) as name from obs) select run_id, name, arg_min(truth, {{{{'seq': seq, 'later': cast(not ends_with(feature, ':0') as integer), 't': 1 - truth}}}}) as value from n group by all".replace("{{", "{").replace("}}", "}"))
+def printed_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = events_of(spark, sf_dir, "LOOP")
+    return vectors.printed_values(extractors.extract(events, "LOOP")).select("run_id", "name", "value")
+
+
 def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events, runs = events_of(spark, sf_dir, "LINE")
     return vectors.feature_values(extractors.extract(events, *FLOW)), runs
