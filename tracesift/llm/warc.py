@@ -21,7 +21,6 @@ rows of a payload have null ids.
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections.abc import Iterator
 
