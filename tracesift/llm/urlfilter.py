@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
+from .components import tasks_for
 
 DAMPING = 0.85
 #: Relative change of a score over ROUNDS_EACH rounds, made in one plan, below which it has settled.
@@ -29,6 +30,8 @@ TOLERANCE, ROUNDS_EACH = 1e-7, 8
 #: DAMPING to this power is TOLERANCE.
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 LEAST_SHARE = 0.6
+#: Edges (some 100 bytes each) that are broadcast.
+EDGES_BROADCAST = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links with a host of their own: a scheme, or // alone.
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -88,12 +91,17 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     edges = stored(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
     seeds = stored(seeds, "seeds")
+    # A small graph is broadcast once, and its rounds run in few tasks; a large one is joined by shuffles.
+    count = edges.count()
+    small = count <= EDGES_BROADCAST
+    dealt = F.broadcast(edges) if small else edges
     kept = seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score"))
 
     def after(scores: DataFrame, turns: int) -> DataFrame:
         for _ in range(turns):
-            moved = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
+            moved = dealt.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
             scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            scores = scores.coalesce(tasks_for(count)) if small else scores
         return scores
 
     scores, done = seeds.select("kind", "host", F.col("seed").alias("score")), 0
