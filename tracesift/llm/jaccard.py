@@ -352,11 +352,11 @@ def drop_near_copies(df: DataFrame, words: int = WORDS, percent: int = PERCENT,
     stay = rows.groupBy("root").agg(F.min("at").alias("at"))
     own, gone_id, gone_key = fresh(df, "key"), fresh(df, "gone_id"), fresh(df, "gone_key")
     named = [F.col("at.doc_id").alias(gone_id), F.col("at.key").alias(gone_key)]
-    gone = rows.join(stay, ["root", "at"], "left_anti").select(*named)
+    gone = stored(rows.join(stay, ["root", "at"], "left_anti").select(*named), "near-copies")
     again = stored(rows.where("n > 1").join(stay, ["root", "at"], "left_semi").select(*named), "again")
     keyed = df.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
     same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.col(own) == F.col(gone_key))
-    kept = keyed.join(gone, same, "left_anti")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= KEYS_BROADCAST else gone, same, "left_anti")
     if not again.isEmpty():  # few: rows that were there twice
         twice = kept.join(again, same, "left_semi")
         kept = kept.join(again, same, "left_anti").unionByName(twice.dropDuplicates([id_col, own]))

@@ -235,8 +235,8 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_
     their text. Rows with a null id stay as they are."""
     own, places, ids = fresh(df, "key"), fresh(df, "places"), fresh(df, "of")
     gone = duplicate_lines(df.where(F.col(id_col).isNotNull()), max_edits, id_col, text_col)
-    gone = gone.groupBy(F.col("doc_id").alias(ids), F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places))
-    joined = df.join(gone, (F.col(id_col).cast("long") == F.col(ids)) & (_key(id_col, F.col(text_col)) == F.col(own)), "left")
+    gone = stored(gone.groupBy(F.col("doc_id").alias(ids), F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places)), "gone")
+    joined = df.join(F.broadcast(gone) if gone.count() <= ROWS_BROADCAST else gone, (F.col(id_col).cast("long") == F.col(ids)) & (_key(id_col, F.col(text_col)) == F.col(own)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
     left = F.transform(stay, lambda i: lines[i])
