@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, linededup, quality, secrets, topk, urlfilter, warc
+from . import bpe, chat, convtrie, decontaminate, jaccard, linededup, quality, secrets, topk, urlfilter, warc
 from .common import shared_dir
 
 URL_RULES = [
@@ -94,8 +94,20 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def conversation_base() -> F.Column:
+    return F.col("conv_id") - F.col("conv_id") % 100
+
+
+def conversation_head() -> F.Column:
+    return F.crc32(F.col("conv_id").cast("string")) % 6
+
+
+def op13_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"), conversation_base(), conversation_head(), most=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines, op13_convtrie)}
 
 
 _ESCAPE = r"replace(replace(replace({0}, '\', '\0'), '#', '\1'), '<', '\2')"
@@ -241,5 +253,42 @@ with x as (
 select x.doc_id, coalesce(cast(len(ls) as bigint), 0) as n_lines, coalesce(cast(len(ns) as bigint), 0) as n_removed, coalesce(array_to_string(ns, ','), '') as removed from x left join gone using (doc_id)"""
 
 
+#: CRC-32, byte by byte and bit by bit: no SQL function has it.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+SQL["op13_convtrie"] = f"""
+with t as (
+  select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), p as (
+  select c, role, text, row_number() over (partition by c order by turn nulls first, sha256(length(role) || ':' || role || text)) as pos from t
+), ids as (
+  select c, c - c % 100 as base, n, h, least(h, (select count(*) from p where p.c = i.c - i.c % 100)) as taken
+  from (select c, n, {_CRC32} % 6 as h from (select c, count(*) as n from p group by c)) i
+), turns as (
+  select ids.c, p.pos as d, role, text from ids join p on p.c = ids.base and p.pos <= h
+  union all select ids.c, taken + p.pos - h, role, text from ids join p on p.c = ids.c and p.pos > h
+), paths as (
+  select c, d, text, list({{'r': role, 't': text}}) over (partition by c order by d) as k from turns
+  union all select c, 0, '', [] from ids
+), last as (
+  select c, max(d) as n from paths group by c
+), nodes as (
+  select d, k, min(c) as conv_id, count(*) as n_convs, any_value(text) as text, string_agg(case when n = d then c::varchar end, ',' order by c) as ends from paths join last using (c) group by d, k
+), m as (
+  select paths.c, paths.d, nodes.conv_id from paths join nodes on nodes.d = paths.d and nodes.k = paths.k
+), up as (
+  select nodes.*, m.conv_id as parent from nodes left join m on m.c = nodes.conv_id and m.d = nodes.d - 1
+), kids as (
+  select parent, d - 1 as d, count(*) as n from up where d > 0 group by all
+), full_nodes as (
+  select up.*, coalesce(kids.n, 0) as n_children from up left join kids on kids.parent = up.conv_id and kids.d = up.d
+), below as (
+  select m.conv_id, m.d, sum((b.n_children = 0)::bigint) as n_leaves, sum((b.n_convs - 1) * length(b.text)) as saved from full_nodes b join m on m.c = b.conv_id and m.d <= b.d group by all
+)
+select f.conv_id, cast(f.d as bigint) as depth, parent as parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from full_nodes f join below on below.conv_id = f.conv_id and below.d = f.d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
