@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, convtrie, decontaminate, jaccard, linededup, quality, secrets, topk, urlfilter, warc
+from . import bpe, chat, convtrie, decontaminate, jaccard, lexical, linededup, quality, secrets, topk, urlfilter, warc
 from .common import shared_dir
 
 URL_RULES = [
@@ -94,6 +94,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def conversation_base() -> F.Column:
     return F.col("conv_id") - F.col("conv_id") % 100
 
@@ -107,7 +111,7 @@ def op13_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines, op13_convtrie)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines, op11_lexical, op13_convtrie)}
 
 
 _ESCAPE = r"replace(replace(replace({0}, '\', '\0'), '#', '\1'), '<', '\2')"
@@ -253,6 +257,31 @@ with x as (
 select x.doc_id, coalesce(cast(len(ls) as bigint), 0) as n_lines, coalesce(cast(len(ns) as bigint), 0) as n_removed, coalesce(array_to_string(ns, ','), '') as removed from x left join gone using (doc_id)"""
 
 
+SQL["op11_lexical"] = rf"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), w as (
+  select row, translate(unnest(ws), '{urlfilter._UPPER}', '{urlfilter._LOWER}') as t from d
+), f as (
+  select row, t, count(*) as tf from w group by all
+), n as (
+  select row, cast(sum(tf) as bigint) as n from f group by row
+), s as (
+  select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as len from n
+), df as (
+  select t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from f, s group by t
+), i as (
+  select distinct item_id, text from benchmark where text is not null
+), it as (
+  select distinct item_id, text, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{urlfilter._UPPER}', '{urlfilter._LOWER}') as t from i
+), r as (
+  select item_id, text, f.row, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // len)))) as bigint) as score
+  from it join df using (t) join f using (t) join n using (row), s group by all
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select item_id, doc_id, score, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank from r join d using (row) where score > 0
+) where rank <= 10"""
+
 #: CRC-32, byte by byte and bit by bit: no SQL function has it.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)),
     lambda s, b: list_reduce(list_prepend(xor(s, b), [1, 2, 3, 4, 5, 6, 7, 8]::bigint[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
