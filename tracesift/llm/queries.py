@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, convtrie, decontaminate, jaccard, lexical, linededup, quality, secrets, topk, urlfilter, warc
+from . import bpe, chat, convtrie, decontaminate, jaccard, lexical, linededup, pii, quality, secrets, topk, urlfilter, warc
 from .common import shared_dir
 
 URL_RULES = [
@@ -98,6 +98,14 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["fixed"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["fixed"])
+    return found.select("doc_id", *map(count, pii.KINDS), hashed(named(base)).alias("base_sha256"), named(F.col("pii")).alias("spans"))
+
+
 def conversation_base() -> F.Column:
     return F.col("conv_id") - F.col("conv_id") % 100
 
@@ -111,7 +119,7 @@ def op13_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines, op11_lexical, op13_convtrie)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_chat, op4_topk, op5_urls, op6_secrets, op7_quality, op8_warc, op9_jaccard, op10_lines, op11_lexical, op12_pii, op13_convtrie)}
 
 
 _ESCAPE = r"replace(replace(replace({0}, '\', '\0'), '#', '\1'), '<', '\2')"
