@@ -26,8 +26,8 @@ def test_stretches_against_one_window(spark, before):
         for i, r in enumerate(own):
             want[r[:3]] = folds([x[3] for x in own[: i + (not before)]])
     values = {kind: (kind, F.col("v")) for kind in ("sum", "xor", "min", "max", "last")}
-    for long in (False, True):
-        got = scan.running(df, ["g"], "at", [F.col("at").asc_nulls_first(), "tie"], values, before=before, long=long, width=8).collect()
+    for long in (False, 8):
+        got = scan.running(df, ["g"], "at", [F.col("at").asc_nulls_first(), "tie"], values, before=before, long=long).collect()
         assert {(r.g, r.at, r.tie): tuple(r[4:]) for r in got} == want
     assert scan.has_long(df, ["g"], 80) and not scan.has_long(df, ["g"], 100)
     assert scan.running(df.limit(0), ["g"], "at", ["at"], values, long=True).count() == 0

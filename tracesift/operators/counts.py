@@ -16,6 +16,12 @@ def run_hits(observations: DataFrame) -> DataFrame:
     return observations.groupBy(*KEY, "run_id").agg(F.max("truth").alias("hit"), F.sum("truth").alias("hits"), F.count("*").alias("seen"), F.max_by("truth", "seq").alias("last"))
 
 
+def thread_hits(observations: DataFrame, events: DataFrame) -> DataFrame:
+    """As run_hits(), by thread of the run: each thread's hits and its last evaluation are its own."""
+    placed = observations.join(events.select("run_id", "seq", "thread_id"), ["run_id", "seq"])
+    return placed.groupBy(*KEY, "run_id", "thread_id").agg(F.max("truth").alias("hit"), F.sum("truth").alias("hits"), F.count("*").alias("seen"), F.max_by("truth", "seq").alias("last"))
+
+
 def totals(runs: DataFrame) -> DataFrame:
     """One row: failing and passing runs of the registry, with events or without."""
     return runs.agg(F.count_if("failing").cast("double").alias("f"), F.count_if(~F.col("failing")).cast("double").alias("p"))

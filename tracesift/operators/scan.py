@@ -30,11 +30,12 @@ def has_long(df: DataFrame, keys: list[str], most: int = LONG) -> bool:
     return not df.groupBy(*keys).count().where(F.col("count") > most).isEmpty()
 
 
-def running(df: DataFrame, keys: list[str], at: str, order: list, values: dict[str, tuple[str, Column]], before: bool = False, long: bool | None = None, width: int = WIDTH) -> DataFrame:
+def running(df: DataFrame, keys: list[str], at: str, order: list, values: dict[str, tuple[str, Column]], before: bool = False, long: bool | int | None = None) -> DataFrame:
     """df with a running aggregate for each name: (kind, value), of all rows of its group up to the row, or before it.
 
     Kinds: sum, xor, min, max, and last (the last value that isn't null). ``at`` is the number that order starts with: rows of one
-    stretch share floor(at / width), nulls first. long: whether to deal groups to stretches; found by counting unless given.
+    stretch share floor(at / width), nulls first. long: whether to deal groups to stretches, or how wide those are; found by counting
+    unless given.
     """
     frame = (Window.unboundedPreceding, -1 if before else 0)
     if long is None:
@@ -42,6 +43,7 @@ def running(df: DataFrame, keys: list[str], at: str, order: list, values: dict[s
     if not long:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
         return df.select("*", *(_FOLDS[kind][0](value).over(w).alias(name) for name, (kind, value) in values.items()))
+    width = WIDTH if long is True else long
     # Structs as keys: null keys are equal, and windows, summaries and the join below share one exchange.
     rows = df.select("*", F.struct(*keys).alias("_group"), F.floor(F.col(at) / width).alias("_stretch"), *(v.alias(f"_v_{n}") for n, (_, v) in values.items()))
     rows = rows.withColumn("_key", F.struct("_group", "_stretch"))

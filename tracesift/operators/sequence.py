@@ -1,51 +1,66 @@
-"""Sequence operators: what a run's order of events implies, as window functions over (run, thread)."""
+"""Sequence operators: what a run's order of events implies.
+
+Running values are windows over (run, thread), or, where a run is too long for one task, prefix scans over its stretches (scan.py);
+``long`` says which, or gives the stretches' width, and is found by counting unless given.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 RUN = ["run_id", "thread_id"]
 ROOT = 0
+SCOPE_EVENTS = ("DEF", "USE", "FUNCTION_ENTER", "FUNCTION_EXIT", "FUNCTION_ERROR")
 
 
 def _run_window(*keys: str) -> Window:
     return Window.partitionBy(*RUN, *keys).orderBy("seq")
 
 
-def with_scopes(events: DataFrame) -> DataFrame:
+def _running(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], long: bool | int, before: bool = False) -> DataFrame:
+    return scan.running(df, keys, "seq", ["seq"], values, before=before, long=long)
+
+
+def is_long(events: DataFrame, long: bool | int | None, *keys: str) -> bool | int:
+    return scan.has_long(events, list(keys) or ["run_id"]) if long is None else long
+
+
+def with_scopes(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """Adds depth and scope_id (the seq of the FUNCTION_ENTER that opened the scope, ROOT outside of functions).
 
     An enter opens its scope before the event is handled; an exit or error closes it after. Exits at the root do
     nothing: the running sum is corrected by its least value so far.
     """
-    w = _run_window()
+    long = is_long(events, long)
     step = F.when(F.col("event_type") == "FUNCTION_ENTER", 1).when(F.col("event_type").isin("FUNCTION_EXIT", "FUNCTION_ERROR"), -1).otherwise(0)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = events.withColumn("_cum", F.sum(step).over(so_far))
-    df = df.withColumn("_after", F.col("_cum") - F.least(F.lit(0), F.min("_cum").over(so_far)))
+    df = _running(events, RUN, {"_cum": ("sum", step)}, long)
+    df = _running(df, RUN, {"_low": ("min", F.col("_cum"))}, long)
+    df = df.withColumn("_after", F.col("_cum") - F.least(F.lit(0), F.col("_low")))
+    df = _running(df, RUN, {"_before": ("last", F.col("_after"))}, long, before=True)
     closing = F.col("event_type").isin("FUNCTION_EXIT", "FUNCTION_ERROR")
-    df = df.withColumn("depth", F.when(closing, F.coalesce(F.lag("_after").over(w), F.lit(0))).otherwise(F.col("_after")).cast("int"))
-    opened = F.last(F.when(F.col("event_type") == "FUNCTION_ENTER", F.col("seq")), ignorenulls=True).over(_run_window("depth").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("scope_id", F.when(F.col("depth") == 0, F.lit(ROOT)).otherwise(opened).cast("long")).drop("_cum", "_after")
+    df = df.withColumn("depth", F.when(closing, F.coalesce("_before", F.lit(0))).otherwise(F.col("_after")).cast("int"))
+    df = _running(df, [*RUN, "depth"], {"_opened": ("last", F.when(F.col("event_type") == "FUNCTION_ENTER", F.col("seq")))}, long)
+    return df.withColumn("scope_id", F.when(F.col("depth") == 0, F.lit(ROOT)).otherwise(F.col("_opened")).cast("long")).drop("_cum", "_low", "_after", "_before", "_opened")
 
 
-def def_use(events: DataFrame) -> DataFrame:
+def def_use(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """An as-of join: every USE with the last DEF before it of its variable in the same scope, else in the run.
 
     Adds def_seq, def_file and def_line to USE events; those without a DEF go.
     """
-    scoped = with_scopes(events.where(F.col("event_type").isin("DEF", "USE", "FUNCTION_ENTER", "FUNCTION_EXIT", "FUNCTION_ERROR")))
-    rows = scoped.where(F.col("event_type").isin("DEF", "USE"))
+    long = is_long(events, long)
+    rows = with_scopes(events.where(F.col("event_type").isin(*SCOPE_EVENTS)), long).where(F.col("event_type").isin("DEF", "USE"))
     place = F.when(F.col("event_type") == "DEF", F.struct(F.col("seq").alias("def_seq"), F.col("file").alias("def_file"), F.col("line").alias("def_line")))
-    before = (Window.unboundedPreceding, -1)
-    near = F.last(place, ignorenulls=True).over(_run_window("var", "var_id", "scope_id").rowsBetween(*before))
-    far = F.last(place, ignorenulls=True).over(_run_window("var", "var_id").rowsBetween(*before))
-    found = rows.withColumn("_def", F.coalesce(near, far)).where((F.col("event_type") == "USE") & F.col("_def").isNotNull())
+    rows = _running(rows, [*RUN, "var", "var_id", "scope_id"], {"_near": ("last", place)}, long, before=True)
+    rows = _running(rows, [*RUN, "var", "var_id"], {"_far": ("last", place)}, long, before=True)
+    found = rows.withColumn("_def", F.coalesce("_near", "_far")).where((F.col("event_type") == "USE") & F.col("_def").isNotNull())
     return found.select(*events.columns, "scope_id", "_def.*")
 
 
-def loop_counts(events: DataFrame) -> DataFrame:
+def loop_counts(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """run_id, thread_id, file, line, loop_id, seq, iterations: a row for every LOOP_END.
 
     A loop's events form a stack: BEGIN pushes a count of 0, HIT adds one to the top (or pushes 1), END pops (0 if empty).
@@ -54,25 +69,22 @@ def loop_counts(events: DataFrame) -> DataFrame:
     """
     keys = [*RUN, "file", "line", "loop_id"]
     rows = events.where(F.col("event_type").isin("LOOP_BEGIN", "LOOP_HIT", "LOOP_END")).select(*keys, "seq", F.col("event_type").alias("kind"))
-    w = Window.partitionBy(*keys).orderBy("seq")
-    so_far = (Window.unboundedPreceding, 0)
+    long = is_long(rows, long, *keys)
     begin, hit, end = (F.col("kind") == f"LOOP_{k}" for k in ("BEGIN", "HIT", "END"))
     # How deep the stack would be if a HIT never pushed: BEGIN and END alone, ENDs of an empty stack left out.
-    rows = rows.withColumn("sum", F.sum(F.when(begin, 1).when(end, -1).otherwise(0)).over(w.rowsBetween(*so_far)))
-    rows = rows.withColumn("low", F.least(F.lit(0), F.min("sum").over(w.rowsBetween(*so_far))))
-    rows = rows.withColumn("depth", (F.col("sum") - F.col("low")).cast("int"))
-    before = F.coalesce(F.lag(F.col("depth")).over(w), F.lit(0))
-    rows = rows.withColumn("before", before)
-    # HITs at depth 0 push a frame under all later ones, which lasts until an END at depth 0. The running number of such ENDs names it.
-    floor = end & (F.col("before") == 0)
-    rows = rows.withColumn("floor", F.sum(F.when(floor, 1).otherwise(0)).over(w.rowsBetween(*so_far)) - F.when(floor, 1).otherwise(0))
+    rows = _running(rows, keys, {"sum": ("sum", F.when(begin, 1).when(end, -1).otherwise(0))}, long)
+    rows = _running(rows, keys, {"low": ("min", F.col("sum"))}, long)
+    rows = rows.withColumn("depth", (F.col("sum") - F.least(F.lit(0), F.col("low"))).cast("int"))
+    rows = _running(rows, keys, {"last": ("last", F.col("depth"))}, long, before=True).withColumn("before", F.coalesce("last", F.lit(0)))
+    # HITs at depth 0 push a frame under all later ones, which lasts until an END at depth 0. The number of such ENDs before names it.
+    floor = F.when(end & (F.col("before") == 0), 1).otherwise(0)
+    rows = _running(rows, keys, {"floors": ("sum", floor)}, long).withColumn("floor", F.col("floors") - floor)
     # The depth of the frame that a HIT counts in or an END pops: that before the event; a BEGIN opens the depth after it.
     rows = rows.withColumn("frame_depth", F.when(begin, F.col("depth")).otherwise(F.col("before")))
-    level = Window.partitionBy(*keys, "frame_depth").orderBy("seq")
-    rows = rows.withColumn("opened", F.when(F.col("frame_depth") == 0, -F.col("floor") - 1).otherwise(F.last(F.when(begin, F.col("seq")), ignorenulls=True).over(level.rowsBetween(*so_far))))
-    frame = Window.partitionBy(*keys, "frame_depth", "opened").orderBy("seq").rowsBetween(*so_far)
-    rows = rows.withColumn("iterations", F.sum(F.when(hit, 1).otherwise(0)).over(frame).cast("long"))
-    return rows.where("kind = 'LOOP_END'").select(*keys, "seq", "iterations")
+    rows = _running(rows, [*keys, "frame_depth"], {"pushed": ("last", F.when(begin, F.col("seq")))}, long)
+    rows = rows.withColumn("opened", F.when(F.col("frame_depth") == 0, -F.col("floor") - 1).otherwise(F.col("pushed")))
+    rows = _running(rows, [*keys, "frame_depth", "opened"], {"hits": ("sum", F.when(hit, 1).otherwise(0))}, long)
+    return rows.where("kind = 'LOOP_END'").select(*keys, "seq", F.col("hits").cast("long").alias("iterations"))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, width: int = 256) -> DataFrame:
@@ -90,9 +102,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], poin
     return joined.drop("_stretch", "_r_stretch", *(f"_r_{k}" for k in keys))
 
 
-def scope_lifetimes(events: DataFrame) -> DataFrame:
+def scope_lifetimes(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """run_id, thread_id, scope_id, scope_depth, opened, closed: from a scope's ENTER to its exit, or past the run's end. With the root."""
-    scoped = with_scopes(events)
+    scoped = with_scopes(events, long)
     closing = F.col("event_type").isin("FUNCTION_EXIT", "FUNCTION_ERROR") & (F.col("depth") > 0)
     ends = scoped.groupBy(*RUN, "scope_id").agg(F.min("depth").alias("scope_depth"), F.min("seq").alias("opened"), F.min(F.when(closing, F.col("seq"))).alias("_closed"), F.max("seq").alias("_last_own"))
     last = scoped.groupBy(F.col("run_id").alias("_run"), F.col("thread_id").alias("_thread")).agg(F.max("seq").alias("_last"), F.min("seq").alias("_first"))
@@ -110,13 +122,14 @@ def scope_ancestors(events: DataFrame) -> DataFrame:
     return found.select(*RUN, "scope_id", "ancestor_id", (F.col("scope_depth") - F.col("ancestor_depth")).alias("distance"))
 
 
-def variable_intervals(events: DataFrame) -> DataFrame:
+def variable_intervals(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """run_id, thread_id, scope_id, scope_depth, var, start, end and the value's columns: while a DEF's value is current, from
     its own event to the next DEF of the variable in its scope, or the end of the scope."""
-    scoped = with_scopes(events).where("event_type = 'DEF'")
+    long = is_long(events, long)
+    scoped = with_scopes(events, long).where("event_type = 'DEF'")
     following = F.lead("seq").over(_run_window("scope_id", "var"))
     defs = scoped.select(*RUN, "scope_id", "var", F.col("seq").alias("start"), following.alias("_next"), "value_num", "value_str", "value_bin", "value_type")
-    lives = scope_lifetimes(events).select(F.col("run_id").alias("_run"), F.col("thread_id").alias("_thread"), F.col("scope_id").alias("_scope"), "scope_depth", "closed")
+    lives = scope_lifetimes(events, long).select(F.col("run_id").alias("_run"), F.col("thread_id").alias("_thread"), F.col("scope_id").alias("_scope"), "scope_depth", "closed")
     joined = defs.join(lives, (F.col("run_id") == F.col("_run")) & F.col("thread_id").eqNullSafe(F.col("_thread")) & (F.col("scope_id") == F.col("_scope")))
     return joined.select(*RUN, "scope_id", "scope_depth", "var", "start", F.coalesce("_next", "closed").alias("end"), "value_num", "value_str", "value_bin", "value_type")
 
@@ -134,13 +147,12 @@ def visible_variables(events: DataFrame) -> DataFrame:
     return best.select(*RUN, "seq", "other_var", "row.*")
 
 
-def segments(events: DataFrame) -> DataFrame:
+def segments(events: DataFrame, long: bool | int | None = None) -> DataFrame:
     """Adds segment and cut: a run is cut where a test event's place differs from the last one's, and at every TEST_END after another
     test event. What precedes the first test event belongs to the first segment. Threads of a run share its segments."""
-    w = Window.partitionBy("run_id").orderBy("seq")
+    long = is_long(events, long)
     test = F.coalesce(F.col("event_type").startswith("TEST_"), F.lit(False))
     place = F.when(test, F.struct("file", "line"))
-    last = F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = test & last.isNotNull() & ((F.col("event_type") == "TEST_END") | ~place.eqNullSafe(last))
-    rows = events.withColumn("cut", cut)
-    return rows.withColumn("segment", F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows = _running(events, ["run_id"], {"_last": ("last", place)}, long, before=True)
+    rows = rows.withColumn("cut", test & F.col("_last").isNotNull() & ((F.col("event_type") == "TEST_END") | ~place.eqNullSafe(F.col("_last")))).drop("_last")
+    return _running(rows, ["run_id"], {"segment": ("sum", F.col("cut").cast("int"))}, long).withColumn("segment", F.col("segment").cast("int"))

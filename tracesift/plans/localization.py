@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import counts, extractors, ranking, sequence, vectors, weights
+from ..operators import counts, extractors, ranking, sequence, threads, vectors, weights
 from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
 from ..sources import binary_log, csv_log, mapping, reports, testdata
@@ -722,3 +722,101 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of ten events of every run's log."""
     events = testdata.trace(spark, sf_dir, "scopes")
     return events.where((F.col("seq") > 10) & (F.col("seq") <= 20)).select("run_id", "seq", "event_type", "file", "line")
+
+
+# Threads that start in a scope of the main thread, and runs dealt to stretches.
+
+_FORKED = sql.SCOPES.replace("partition by run_id", "partition by run_id, thr").replace("from tr", "from tt")
+_THREAD_SCOPES = f"""{sql.trace('scopes')}, tt as (
+  select *, nullif(event_id % 3, 0) as thr from tr where event_type in ('DEF', 'USE', 'FUNCTION_ENTER', 'FUNCTION_EXIT', 'FUNCTION_ERROR')
+), {_FORKED}, lv as (
+  select run_id, thr, scope_id, min(depth) as d, min(seq) as opened, coalesce(min(case when event_type in ('FUNCTION_EXIT', 'FUNCTION_ERROR') and depth > 0 then seq end), max(last) + 1) as closed
+  from (select *, max(seq) over (partition by run_id, thr) as last from sc) where scope_id <> 0 group by all
+), fk as (
+  select f.*, lv.scope_id, lv.d from (select run_id, thr, min(seq) as fork from tt where thr is not null group by all) f join lv on lv.run_id = f.run_id and lv.thr is null and opened <= fork and fork < closed
+  union all select run_id, thr, min(seq), 0, 0 from tt where thr is not null group by all
+), inn as (
+  select run_id, thr, arg_max(scope_id, d) as fork_scope, max(d) as base from fk group by all
+), ts as (
+  select sc.*, case when fork_scope is null or depth > 0 then sc.thr end as st, case when fork_scope is null or depth > 0 then scope_id else fork_scope end as sid, cast(depth + coalesce(base, 0) as integer) as dep
+  from sc left join inn on inn.run_id = sc.run_id and inn.thr = sc.thr
+)"""
+_THREAD_VISIBLE = f"""{_THREAD_SCOPES}, df as (
+  select run_id, st, sid, dep, var, seq as start, lead(seq) over (partition by run_id, st, sid, var order by seq) as next, value_num, value_type from ts where event_type = 'DEF'
+), fin as (
+  select run_id, max(seq) + 1 as fin from ts group by run_id
+), iv as (
+  select df.run_id, st as thr, dep, var, start, coalesce(least(next, closed), fin) as finish, value_num, value_type
+  from df join fin using (run_id) left join lv on lv.run_id = df.run_id and lv.thr is not distinct from df.st and lv.scope_id = df.sid
+  union all select df.run_id, fk.thr, fk.d, var, greatest(start, fork), coalesce(next, fin), value_num, value_type from fk join df on df.run_id = fk.run_id and df.st is null and df.sid = fk.scope_id join fin on fin.run_id = df.run_id
+), vis as (
+  select d.run_id, d.thr, d.seq, d.var, i.var as other_var, arg_max(i.value_type, i.dep) as other_type, arg_max(coalesce(i.value_num, 1e300), i.dep) as other_raw
+  from ts d join iv i on i.run_id = d.run_id and i.thr is not distinct from d.thr and i.start <= d.seq and d.seq < i.finish where d.event_type = 'DEF' group by all
+)"""
+
+
+def _threaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.trace(spark, sf_dir, "scopes", threads=3, main=True)
+
+
+@query(f"with {_THREAD_SCOPES} select run_id, thr as thread_id, seq, st as scope_thread, sid as scope_id, dep as depth from ts")
+def thread_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of the main thread and of two that start in one of its scopes."""
+    return threads.with_thread_scopes(_threaded(spark, sf_dir)).select("run_id", "thread_id", "seq", "scope_thread", "scope_id", "depth")
+
+
+@query(f"with {_THREAD_VISIBLE} select run_id, thr as thread_id, seq, var, other_var, case when other_type = 'float' then other_raw end as other_value_num from vis")
+def thread_visible_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that a thread sees, inherited ones among them."""
+    return threads.visible_variables(_threaded(spark, sf_dir)).select("run_id", "thread_id", "seq", "var", "other_var", "other_value_num")
+
+
+@query(f"""with {_THREAD_SCOPES}, du as (
+  select *, coalesce(
+    last_value(case when event_type = 'DEF' then seq end ignore nulls) over (partition by run_id, st, sid, var, var_id order by seq rows between unbounded preceding and 1 preceding),
+    last_value(case when event_type = 'DEF' then seq end ignore nulls) over (partition by run_id, thr, var, var_id order by seq rows between unbounded preceding and 1 preceding)) as own from ts where event_type in ('DEF', 'USE')
+), dm as (
+  select run_id, sid, var, var_id, seq from ts where event_type = 'DEF' and st is null
+), inh as (
+  select u.run_id, u.thr, u.seq, arg_max(m.def_seq, fk.d) as def_seq from du u join fk on fk.run_id = u.run_id and fk.thr = u.thr
+    join lateral (select max(seq) as def_seq from dm where dm.run_id = u.run_id and dm.sid = fk.scope_id and dm.var = u.var and dm.var_id = u.var_id and dm.seq < u.seq) m on m.def_seq is not null
+  where u.event_type = 'USE' and u.own is null group by all
+)
+select u.run_id, u.thr as thread_id, u.seq, u.var, st as scope_thread, sid as scope_id, coalesce(own, inh.def_seq) as def_seq from du u left join inh on inh.run_id = u.run_id and inh.thr = u.thr and inh.seq = u.seq
+where u.event_type = 'USE' and coalesce(own, inh.def_seq) is not null""")
+def thread_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses with their definitions, across fork points."""
+    return threads.def_use(_threaded(spark, sf_dir)).select("run_id", "thread_id", "seq", "var", "scope_thread", "scope_id", "def_seq")
+
+
+@query(f"with {sql.observations(*FLOW)} select run_id, nullif(event_id % 3, 0) as thread_id, feature, max(truth) as hit, cast(sum(truth) as bigint) as hits, count(*) as seen, arg_max(truth, seq) as last from obs join (select run_id, seq, event_id from tr) using (run_id, seq) group by run_id, event_id % 3, type, feature, file, line, file2, line2")
+def thread_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each thread of a run evaluated a feature, how often it held, and whether it did the last time."""
+    events = testdata.trace(spark, sf_dir, "flow", threads=3, main=True)
+    return counts.thread_hits(extractors.extract(events, *FLOW), events).select("run_id", "thread_id", "feature", "hit", "hits", "seen", "last")
+
+
+#: So narrow that every run is dealt to many stretches, as a run of millions of events is by default.
+_NARROW = 16
+
+
+@query(ORACLES["scopes"])
+def scopes_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes by a prefix scan over stretches of each run; no task holds a whole run."""
+    return sequence.with_scopes(testdata.trace(spark, sf_dir, "scopes"), long=_NARROW).select("run_id", "seq", "depth", "scope_id")
+
+
+@query(ORACLES["def_use_pairs"])
+def def_use_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.def_use(testdata.trace(spark, sf_dir, "scopes"), long=_NARROW).select("run_id", "seq", "var", "scope_id", "def_seq", "def_file", "def_line")
+
+
+@query(ORACLES["loop_iterations"])
+def loops_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.loop_counts(testdata.trace(spark, sf_dir, "loops"), long=_NARROW).select("run_id", "file", "line", "loop_id", "seq", "iterations")
+
+
+@query(ORACLES["segments"])
+def segments_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sequence.segments(testdata.trace(spark, sf_dir, "tests"), long=_NARROW)
+    return made.groupBy("run_id", "segment").agg(F.count("*").alias("n_events"), F.min("seq").alias("first_seq"))

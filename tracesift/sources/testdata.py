@@ -30,8 +30,10 @@ def number_of(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("int")
 
 
-def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes", threads: int = 0) -> DataFrame:
-    """The events table as events of a variant. threads: how many threads a run's events are dealt to; 0: none are named."""
+def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes", threads: int = 0, main: bool = False) -> DataFrame:
+    """The events table as events of a variant. threads: how many threads a run's events are dealt to; 0: none are named. main: the first
+    of them is the main thread, which has no id."""
+    thread = F.col("event_id") % threads if threads else F.lit(None)
     k = F.col("k")
     kind = None
     for source, (even, odd) in VARIANTS[variant].items():
@@ -43,7 +45,7 @@ def trace(spark: SparkSession, sf_dir: str, variant: str = "scopes", threads: in
     return rows.select(
         "run_id",
         F.row_number().over(order).cast("long").alias("seq"),
-        (F.col("event_id") % threads if threads else F.lit(None)).cast("long").alias("thread_id"),
+        (F.nullif(thread, F.lit(0)) if main else thread).cast("long").alias("thread_id"),
         "event_id",
         kind.alias("event_type"),
         F.concat(F.lit("f"), (k % 5).cast("string")).alias("file"),
