@@ -68,9 +68,8 @@ def conversations(seed, n):
 @pytest.mark.parametrize("long", [False, True])
 def test_against_all_prefixes(spark, monkeypatch, long):
     if long:  # every conversation is dealt to stretches of 4 turns
-        monkeypatch.setattr(scan, "has_long", lambda df, keys: True)
+        monkeypatch.setattr(scan, "has_long", lambda df, keys: 4)
         monkeypatch.setattr(scan, "LONG", 2)
-        monkeypatch.setattr(scan.running, "__defaults__", (False, None, 4))
         monkeypatch.setattr(convtrie, "MANY_CHILDREN", 2)
     rows = conversations(3, 60) + [(None, 1, "user", "no id"), (100, 0, "user", "base"), (100, 1, "user", "base"), (100, 1, "user", "base"), (117, 0, "x" * 50, "long " * 30_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash")).withColumn("node", F.lit(1)).repartition(3)
