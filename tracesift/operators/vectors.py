@@ -1,7 +1,13 @@
-"""Feature vectors: what each run says of each feature, long and wide."""
+"""Feature vectors: what each run says of each feature, as rows, packed into words, and wide.
+
+Packed vectors number the features densely and hold two bits for each, 32 to a word. The bits tell how a value differs from the feature's
+default, so a run has words only where it observed something else, and two runs differ where their words do.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +16,10 @@ from ..shared import stored
 from .extractors import EXTRACTORS
 
 TRUE, FALSE, UNDEFINED = 1, 0, -1
-#: Spark plans no table of many more columns; complete() holds any number of features as rows.
-MOST_COLUMNS = 20_000
+#: Columns of features in one table; matrices() makes as many tables as it takes.
+MOST_COLUMNS = 5_000
+#: Features of a word, and bytes of names up to which a dictionary is broadcast.
+WORD, NAMES_BROADCAST = 32, 32 << 20
 
 
 def feature_values(observations: DataFrame) -> DataFrame:
@@ -58,12 +66,52 @@ def complete(values: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select("run_id").crossJoin(features).join(values, ["run_id", "feature", "type"], "left").select("run_id", "feature", "type", F.coalesce("value", default_value(F.col("type"))).alias("value"))
 
 
-def feature_names(values: DataFrame) -> list[str]:
-    """All features of the values, in order. They grow with the program, not with its runs."""
-    found = sorted(r.feature for r in values.select("feature").distinct().limit(MOST_COLUMNS + 1).collect())
-    if len(found) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} features for columns; vectors.complete has them as rows")
-    return found
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ranges of a key, with the number of their range (part), stored: ranges are drawn by sampling, and must not change."""
+    return stored(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def dictionary_of(values: DataFrame) -> DataFrame:
+    """feature, type, number: the features in order, numbered from 0 without gaps. Each range is numbered by itself, after all before it."""
+    rows = dealt(values.select("feature", "type").distinct(), "feature", "type")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    past = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("past"))  # a row per range
+    own = F.row_number().over(Window.partitionBy("part").orderBy("feature", "type"))
+    return rows.withColumn("own", own).join(F.broadcast(past), "part").select("feature", "type", (F.col("past") + F.col("own") - 1).cast("long").alias("number"))
+
+
+def packed(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors as words (run_id, word, bits), and the dictionary of their features."""
+    values = stored(values, "values")
+    dictionary = stored(dictionary_of(values), "dictionary")
+    code = (F.col("value") + 1).bitwiseXOR(default_value(F.col("type")) + 1).cast("long")
+    numbered = values.join(dictionary, ["feature", "type"]).select("run_id", "number", code.alias("code")).where("code <> 0")
+    bits = F.expr(f"shiftleft(code, cast(2 * (number % {WORD}) as int))")
+    return numbered.groupBy("run_id", F.floor(F.col("number") / WORD).alias("word")).agg(F.bit_or(bits).alias("bits")), dictionary
+
+
+def unpacked(words: DataFrame, dictionary: DataFrame, runs: DataFrame) -> DataFrame:
+    """A value for every run and feature: run by feature is the result itself. Each run gets its words, those it lacks among them, and each
+    word its features."""
+    facts = dictionary.agg(F.max("number").alias("last"), F.sum(F.octet_length("feature") + 16).alias("bytes")).first()
+    if facts.last is None:
+        return runs.select("run_id", F.lit("").alias("feature"), F.lit("").alias("type"), F.lit(0).alias("value")).limit(0)
+    every = runs.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(facts.last // WORD).cast("long"))).alias("word"))
+    every = every.join(words, ["run_id", "word"], "left")
+    names = dictionary.select("feature", "type", F.floor(F.col("number") / WORD).alias("word"), (2 * (F.col("number") % WORD)).cast("int").alias("shift"))
+    both = every.join(F.broadcast(names) if facts.bytes <= NAMES_BROADCAST else names, "word")
+    code = F.expr("shiftrightunsigned(coalesce(bits, 0L), shift) & 3L").cast("int")
+    return both.select("run_id", "feature", "type", (code.bitwiseXOR(default_value(F.col("type")) + 1) - 1).alias("value"))
+
+
+def packed_differences(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Hamming distances of pairs of runs (a, b), both with a word: features whose two bits differ, counted a word at a time."""
+    words = stored(words, "words")
+    left = pairs.join(words.select(F.col("run_id").alias("a"), "word", F.col("bits").alias("x")), "a")
+    right = pairs.join(words.select(F.col("run_id").alias("b"), "word", F.col("bits").alias("y")), "b")
+    both = left.join(right, ["a", "b", "word"], "full")
+    apart = F.coalesce("x", F.lit(0)).bitwiseXOR(F.coalesce("y", F.lit(0)))
+    return both.groupBy("a", "b").agg(F.sum(F.bit_count(apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(0x5555555555555555)))).cast("long").alias("difference"))
 
 
 def without_runs(values: DataFrame, removed: DataFrame) -> DataFrame:
@@ -81,13 +129,21 @@ def wide(values: DataFrame, runs: DataFrame, features: list[str], label: str | N
     return joined.select("run_id", *own, "failing", *([F.lit(label).alias("label")] if label is not None else []), *(F.coalesce(F.col(f"`{f}`"), F.lit(UNDEFINED if kind[f] in PREDICATES else FALSE)).alias(f) for f in sorted(features)))
 
 
+def matrices(values: DataFrame, runs: DataFrame, label: str | None = None, most: int = MOST_COLUMNS) -> Iterator[DataFrame]:
+    """wide() for all features, so many to a table. The driver holds the names of one table at a time."""
+    dictionary = stored(dictionary_of(values), "dictionary")
+    for start in range(0, (dictionary.agg(F.max("number")).first()[0] or 0) + 1, most):
+        names = [r.feature for r in dictionary.where((F.col("number") >= start) & (F.col("number") < start + most)).select("feature").collect()]  # most at most
+        yield wide(values, runs, names, label)
+
+
 def next_runs(runs: DataFrame) -> DataFrame:
     """Pairs (a, b) of each run and that with the next id. Ids are dealt out by ranges, and only the least of each range
     meet in one window."""
     ids = runs.select("run_id").where("run_id is not null").distinct()
-    dealt = stored(ids.repartitionByRange("run_id").select("run_id", F.spark_partition_id().alias("part")), "run-ranges")
-    inside = dealt.select("part", F.col("run_id").alias("a"), F.lead("run_id").over(Window.partitionBy("part").orderBy("run_id")).alias("b"))
-    least = dealt.groupBy("part").agg(F.min("run_id").alias("least"))
+    rows = dealt(ids, "run_id")
+    inside = rows.select("part", F.col("run_id").alias("a"), F.lead("run_id").over(Window.partitionBy("part").orderBy("run_id")).alias("b"))
+    least = rows.groupBy("part").agg(F.min("run_id").alias("least"))
     after = least.select("part", F.lead("least").over(Window.orderBy("part")).alias("after"))  # a row per range
     return inside.join(F.broadcast(after), "part").select("a", F.coalesce("b", "after").alias("b")).where("b is not null")
 

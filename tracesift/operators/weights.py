@@ -7,8 +7,7 @@ events have no weights.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sequence
@@ -75,41 +74,56 @@ def sources(events: DataFrame, uses: bool = False) -> DataFrame:
     return used.join(touched, same).select("run_id", "segment", F.col("_seq").alias("seq"), "source")
 
 
+def _shortened(parts: Column) -> Column:
+    """The distances of a run's segments, in order, once each segment has brought those it leads back to within one step, nearest first.
+    Later segments come first, and lead back only, so a segment's own distance is final when its turn comes."""
+
+    def visit(d: Column, part: Column) -> Column:
+        nearer = lambda x, i: F.when(F.array_contains(part["back"], i), F.least(x, F.get(d, part["segment"]) + 1)).otherwise(x)
+        return F.when(F.size(part["back"]) > 0, F.transform(d, nearer)).otherwise(d)
+
+    return F.aggregate(F.reverse(parts), F.transform(parts, lambda p: p["distance"]), visit)
+
+
+def _asserted(parts: Column, shortened: Column) -> Column:
+    """The distances after a second visit, nearest first by the shortened ones, ties by segment."""
+    order = F.array_sort(F.transform(parts, lambda p: F.struct(F.get(shortened, p["segment"]).alias("d"), p["segment"].alias("segment"), p["asserts"].alias("asserts"), p["back"].alias("back"))))
+    put = lambda a, at, value: F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x))
+    state = lambda d, costly: F.struct(d.alias("d"), costly.alias("costly"))
+
+    def visit(s: Column, part: Column) -> Column:
+        at = part["segment"]
+        hit = part["asserts"] & (F.get(s["d"], at) > 0)
+        first = F.when(hit, state(put(s["d"], at, F.get(s["d"], at) + 1), put(s["costly"], at, F.lit(True)))).otherwise(s)
+
+        def lead(t: Column, origin: Column) -> Column:
+            costly = F.get(t["costly"], at)
+            near = F.least(F.get(t["d"], origin), F.get(t["d"], at) + 1) + costly.cast("int")
+            return state(put(t["d"], origin, near), put(t["costly"], origin, F.get(t["costly"], origin) | costly))
+
+        return F.aggregate(part["back"], first, lead)
+
+    return F.aggregate(order, state(shortened, F.transform(parts, lambda p: F.lit(False))), visit)["d"]
+
+
 def def_use_weights(events: DataFrame, uses: bool = False, asserts: bool = False) -> DataFrame:
     """run_id, segment, distance, weight: distances from the last segment, shortened along definitions and uses of test variables.
 
     Segments are visited once, nearest first, and bring those they lead back to within one step. With asserts, a second
     visit makes each segment at the place of a TEST_ASSERT, but those at distance 0, one farther, and what it leads back to.
-    The order of visits matters, so the segments of a run, a row each with their sources, are folded in Python.
+    The order of visits matters, so a run's segments, with their sources, are folded in order, over an array of distances.
     """
     parts = _parts(events)
     back = sources(events, uses).groupBy("run_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "source"))).alias("back"))
     asserting = events.where("event_type = 'TEST_ASSERT'").select("run_id", F.struct("file", "line").alias("place"), F.lit(True).alias("asserts")).distinct()
-    every = parts.join(back, ["run_id", "segment"], "left").join(asserting, ["run_id", "place"], "left").select("run_id", "segment", "base", (F.col("last") - F.col("segment")).alias("distance"), F.coalesce("asserts", F.lit(False)).alias("asserts"), F.col("back.source").alias("back"))
-
-    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
-        order = pdf["segment"].tolist()
-        distance = dict(zip(order, pdf["distance"].tolist(), strict=True))
-        asserting = set(pdf.loc[pdf["asserts"], "segment"])
-        back = {s: [] if b is None else list(b) for s, b in zip(order, pdf["back"], strict=True)}
-        for segment in sorted(order, key=distance.get):
-            for origin in back[segment]:
-                distance[origin] = min(distance[origin], distance[segment] + 1)
-        costly: set[int] = set()
-        for segment in sorted(order, key=distance.get) if asserts else []:
-            if distance[segment] > 0 and segment in asserting:
-                distance[segment] += 1
-                costly.add(segment)
-            for origin in back[segment]:
-                distance[origin] = min(distance[origin], distance[segment] + 1)
-                if segment in costly:
-                    distance[origin] += 1
-                    costly.add(origin)
-        steps = max(distance.values()) + 1
-        return pd.DataFrame({"run_id": pdf["run_id"], "segment": order, "distance": [distance[s] for s in order], "weight": [base * (1 - distance[s] / steps) for s, base in zip(order, pdf["base"], strict=True)]})
-
-    return every.groupBy("run_id").applyInPandas(relax, "run_id long, segment int, distance int, weight double")
+    every = parts.join(back, ["run_id", "segment"], "left").join(asserting, ["run_id", "place"], "left")
+    origins = F.coalesce(F.transform("back", lambda b: b["source"].cast("int")), F.array().cast("array<int>"))
+    part = F.struct(F.col("segment").cast("int").alias("segment"), (F.col("last") - F.col("segment")).cast("int").alias("distance"), "base", F.coalesce("asserts", F.lit(False)).alias("asserts"), origins.alias("back"))
+    # A row per run: as many entries as its test has segments. Each step is a column of its own, as lambdas would compute it anew.
+    folded = every.groupBy("run_id").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("short", _shortened(F.col("parts")))
+    folded = folded.withColumn("d", F.get(F.transform(F.array("short"), lambda s: _asserted(F.col("parts"), s)), F.lit(0)) if asserts else F.col("short"))
+    rows = folded.select("run_id", F.array_max("d").alias("most"), F.explode(F.zip_with("parts", "d", lambda p, d: F.struct(p["segment"].alias("segment"), p["base"].alias("base"), d.alias("distance")))).alias("p"))
+    return rows.select("run_id", "p.segment", "p.distance", (F.col("p.base") * (1 - F.col("p.distance") / (F.col("most") + 1))).alias("weight"))
 
 
 def feature_weights(features: DataFrame, segment_weights: DataFrame, runs: DataFrame) -> DataFrame:

@@ -331,15 +331,29 @@ def complete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.complete(values, runs).select("run_id", "feature", "value")
 
 
-@query(f"""with {sql.observations(*FLOW)}, {_VALUES}, fs as (select distinct feature, type from vals
-), cells as (select r.run_id, cast(r.failing as integer) as failing, 'run ' || r.run_id as test, 'all' as label, fs.feature, coalesce(value, {_FILL.replace('type', 'fs.type')}) as value from runs r cross join fs left join vals v on v.run_id = r.run_id and v.feature = fs.feature)
-pivot cells on feature using max(value) group by run_id, failing, test, label""")
+_CELLS = f"""{sql.observations(*FLOW)}, {_VALUES}, fs as (select distinct feature, type from vals
+), cells as (select r.run_id, cast(r.failing as integer) as failing, 'run ' || r.run_id as test, 'all' as label, fs.feature, coalesce(value, {_FILL.replace('type', 'fs.type')}) as value from runs r cross join fs left join vals v on v.run_id = r.run_id and v.feature = fs.feature)"""
+
+
+@query(f"with {_CELLS} select run_id, failing, test, label, feature, value from cells")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by all features that any run observed."""
+    """Runs by all features that any run observed, in tables of so many columns as Spark plans, read back as rows."""
     values, runs = _values(spark, sf_dir)
     values = stored(values, "feature-values")
     named = runs.withColumn("test", F.concat(F.lit("run "), F.col("run_id").cast("string")))
-    return vectors.wide(values, named, vectors.feature_names(values), label="all")
+    out = None
+    for wide in vectors.matrices(values, named, label="all", most=500):
+        rows = wide.unpivot(["run_id", "failing", "test", "label"], None, "feature", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"with {_CELLS} select run_id, feature, value from cells")
+def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as words of 32 features, unpacked again for every run and feature."""
+    values, runs = _values(spark, sf_dir)
+    words, dictionary = vectors.packed(values)
+    return vectors.unpacked(words, dictionary, runs).select("run_id", "feature", "value")
 
 
 @query(f"with {sql.observations(*FLOW)}, {_VALUES} select run_id, feature, value from vals where run_id not in (select run_id from runs where failing)")
@@ -362,9 +376,10 @@ def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), pr as (select * from nx where b is not null), l as (select a, b, feature, type, value from pr join vals on run_id = a), r as (select a, b, feature, type, value from pr join vals on run_id = b)
 select a, b, cast(sum(cast(coalesce(l.value, {_FILL}) <> coalesce(r.value, {_FILL}) as integer)) as bigint) as difference from l full join r using (a, b, feature, type) group by a, b""")
 def vector_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run against the one with the next id."""
+    """Each run against the one with the next id, by the words of their packed vectors."""
     values, runs = _values(spark, sf_dir)
-    return vectors.differences(values, vectors.next_runs(runs))
+    words, _ = vectors.packed(values)
+    return vectors.packed_differences(words, vectors.next_runs(runs))
 
 
 # Proximity weights.
@@ -389,6 +404,36 @@ def _def_use_weights(uses: bool) -> str:
 ), sw as (select run_id, segment, distance, base * (1 - distance / (max(distance) over (partition by run_id) + 1)) as weight from ld)"""
 
 
+def _assert_weights(uses: bool) -> str:
+    """The second visit as a recursion over its steps, which carries the distances of a run's segments as a list."""
+    first, last = _def_use_weights(uses).split("), sw as (")
+    return f"""{first}), al as (
+  select distinct run_id, file, line from seg where event_type = 'TEST_ASSERT'
+), an as (
+  select distinct run_id, segment from seg join al using (run_id, file, line) where starts_with(event_type, 'TEST_')
+), op as (
+  select run_id, segment, distance as near, -1 as seq, cast(null as integer) as origin, an.segment is not null as asserts from ld left join an using (run_id, segment)
+  union all select s.run_id, s.segment, ld.distance, s.seq, case when u.defines then u.segment else u.source end, false
+  from seg s join u2 u on u.run_id = s.run_id and u.segment = s.segment and u.var = s.var and u.var_id = s.var_id join ld on ld.run_id = s.run_id and ld.segment = s.segment
+  where s.event_type = 'TEST_USE' and (u.defines or u.source is not null)
+), os as (
+  select *, row_number() over (partition by run_id order by near, segment, seq) as n from op
+), vi as (
+  select run_id, cast(0 as bigint) as n, list(cast(distance as bigint) order by segment) as d, list(cast(0 as bigint) order by segment) as c from ld group by run_id
+  union all
+  select vi.run_id, os.n,
+    case when origin is null then case when asserts and d[segment + 1] > 0 then d[1:segment] || [d[segment + 1] + 1] || d[segment + 2:] else d end
+      else d[1:origin] || [least(d[origin + 1], d[segment + 1] + 1) + c[segment + 1]] || d[origin + 2:] end,
+    case when origin is null then case when asserts and d[segment + 1] > 0 then c[1:segment] || [1::bigint] || c[segment + 2:] else c end
+      else c[1:origin] || [greatest(c[origin + 1], c[segment + 1])] || c[origin + 2:] end
+  from vi join os on os.run_id = vi.run_id and os.n = vi.n + 1
+), le as (
+  select run_id, arg_max(d, n) as d from vi group by run_id
+), la as (
+  select ld.run_id, ld.segment, ld.base, le.d[ld.segment + 1] as distance from ld join le using (run_id)
+), sw as ({last.replace('from ld', 'from la')}"""
+
+
 def _proximity_sql(segment_weights: str) -> str:
     return f"""with recursive {_SEGMENTS}, {segment_weights}, obs as ({sql.OBSERVATIONS['LINE'][2]}), {sql.COUNTS},
 fw as (select feature, o.run_id, max(weight) as weight from obs o join seg using (run_id, seq) join runs r on r.run_id = o.run_id and failing join sw on sw.run_id = o.run_id and sw.segment = seg.segment group by all
@@ -430,17 +475,23 @@ def proximity_def_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, uses=True))
 
 
-@query()
+@query(_proximity_sql(_assert_weights(False)))
 def proximity_assert_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of asserting segments depend on the order of visits, which SQL can't express."""
     return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, asserts=True))
 
 
-@query()
+@query(_proximity_sql(_assert_weights(True)))
 def proximity_assert_def_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _proximity(spark, sf_dir, lambda events: weights.def_use_weights(events, uses=True, asserts=True))
 
 
+@query(f"with recursive {_SEGMENTS}, {_assert_weights(True)} select run_id, segment, distance, round(weight, 9) as weight from sw")
+def assert_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment's distance and weight after both visits."""
+    made = weights.def_use_weights(testdata.trace(spark, sf_dir, "tests"), uses=True, asserts=True)
+    return made.select("run_id", "segment", F.col("distance").cast("long").alias("distance"), F.round("weight", 9).alias("weight"))
+
+
 # Sources and sinks, in round trips.
 
 
