@@ -7,7 +7,7 @@ def test_packed_vectors(spark):
     """Several words of features, both defaults, all values; words, differences and tables against plain dictionaries."""
     rnd = random.Random(4)
     kind = lambda n: rnd.choice(["LINE", "CONDITION"]) if n % 7 else "LINE"
-    features = {f"F{n:03}": kind(n) for n in range(90)}
+    features = {f"{k}:f:{n}": k for n in range(90) for k in [kind(n)]}
     default = {f: -1 if k == "CONDITION" else 0 for f, k in features.items()}
     values = {(run, f): rnd.choice([-1, 0, 1, 1]) for run in range(7) for f in features if rnd.random() < 0.4 and run != 5}
     observed = sorted({f for _, f in values})
