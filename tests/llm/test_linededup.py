@@ -89,3 +89,26 @@ def test_rows_that_share_an_id(spark):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same line of text here"), (1, "same line of text here"), (2, "same line of text here")], "doc_id long, text string")
     assert [(r.doc_id, r.line) for r in linededup.duplicate_lines(df).collect()] == [(2, 0)]
+
+
+def test_one_text_of_very_many_lines(spark):
+    """Rewriting splits a text once: its time grows with the text, not with its square."""
+    import time
+
+    lines = [f"line number {i % 70_000} of a table" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "another\nline number 7 of a table")], "doc_id long, text string")
+    linededup.dedup_lines(df.limit(1), max_edits=0).collect()
+    start = time.time()
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, max_edits=0).collect()}
+    assert time.time() - start < 20
+    assert got == {1: "\n".join(lines[:70_000]), 2: "another"}
+
+
+def test_broadcast_by_bytes(spark):
+    from tracesift.llm import common
+
+    few = spark.range(1000).select(F.col("id"), F.array(F.lit("x")).alias("names"), F.struct(F.lit("abc").alias("t")).alias("s"))
+    assert "broadcast" in common.broadcast_small(few)._jdf.queryExecution().logical().toString().lower()
+    wide = spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert "broadcast" not in common.broadcast_small(wide)._jdf.queryExecution().logical().toString().lower()
+    assert common.broadcast_small(few.limit(0)).count() == 0

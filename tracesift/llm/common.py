@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import drop_stored, shared_dir, stored
 
-__all__ = ["add_columns", "drop_stored", "fresh", "list_array", "row_sizes", "shared_dir", "slices", "stored", "text_batches"]
+__all__ = ["add_columns", "broadcast_small", "drop_stored", "fresh", "list_array", "row_sizes", "shared_dir", "slices", "stored", "text_batches"]
 
 #: Rows and bytes per Arrow batch handed to Python.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
@@ -27,6 +27,27 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(own))
 
 
+#: Bytes, as stored in rows, of a table that is broadcast; a join's hash table takes some four times as much.
+BROADCAST_BYTES = 24 << 20
+
+
+def row_bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes in a row; elements of arrays count as those of fixed size."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def broadcast_small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its rows add up to BROADCAST_BYTES at most; else it is joined by a shuffle."""
+    total = table.agg(F.sum(sum((row_bytes(f.dataType, F.col(f"`{f.name}`")) for f in table.schema.fields), F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

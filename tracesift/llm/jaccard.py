@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import SLICE_BYTES, chained, digest, lower_ascii, space_bytes, text_buffers, word_hashes
-from .common import drop_stored, fresh, list_array, slices, stored, text_batches
+from .common import broadcast_small, drop_stored, fresh, list_array, slices, stored, text_batches
 from .components import components, tasks_for
 from .sketches import whole_table
 
@@ -50,8 +50,6 @@ WORD_BITS, SHINGLE_BITS = 20, 22
 PARTS = 512
 #: Pairs of whole sets that a task compares, and row keys that are broadcast (16 bytes each); more are joined by a shuffle.
 PAIRS_EACH, KEYS_BROADCAST = 4_000, 1_000_000
-#: Rows of tables of nodes (some 200 bytes each) that are broadcast; more are joined by a shuffle.
-NODES_BROADCAST = 200_000
 
 
 def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -261,8 +259,8 @@ class _Join:
         return out
 
     def few(self, table: DataFrame) -> DataFrame:
-        """A stored table of nodes, to be broadcast if it has at most NODES_BROADCAST rows."""
-        return F.broadcast(table) if table.count() <= NODES_BROADCAST else table
+        """A stored table of nodes, to be broadcast if it is small in bytes."""
+        return broadcast_small(table)
 
     def candidates(self, rows: DataFrame, others: DataFrame, extra: Column) -> DataFrame:
         """Distinct pairs (a, b) of rows and others (columns other_...) that share a shingle and pass all filters."""

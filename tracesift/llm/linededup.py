@@ -33,11 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import by_place, digest, mix, running
-from .common import drop_stored, fresh, list_array, slices, stored, text_batches
+from .common import broadcast_small, drop_stored, fresh, list_array, slices, stored, text_batches
 
 SLICE_CHARS = 1 << 17
-#: Rows of tables of lines (some 100 bytes each) that are broadcast; more are joined by a shuffle.
-ROWS_BROADCAST = 300_000
 _LAST = 2**63 - 1
 
 
@@ -180,7 +178,6 @@ def duplicate_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", t
 
 def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[DataFrame, list[DataFrame]]:
     """digest, kept: for every line text with an earlier one at an edit distance of 1, the earliest of these. And the tables that it reads."""
-    few = lambda table: F.broadcast(table) if table.count() <= ROWS_BROADCAST else table
     # Step 1. Block keys that lines of different texts have; 64 bits of the digests tell them apart here. A running window streams, however large the group.
     rows = lines.select(F.xxhash64("digest").alias("short"), F.explode("blocks").alias("block")).repartition("block")
     order = Window.partitionBy("block").orderBy("short")
@@ -189,14 +186,14 @@ def _near_lines(docs: DataFrame, lines: DataFrame, max_edits: int) -> tuple[Data
     shared = stored(shared, "shared-blocks")
     # The lines that have them by the place where they first occur, numbered in that order: ranges of places go to tasks in order, and
     # numbers grow within and across tasks.
-    first = lines.select("digest", "doc_id", "line", "key").join(few(shared), F.xxhash64("digest") == F.col("short"))
+    first = lines.select("digest", "doc_id", "line", "key").join(broadcast_small(shared), F.xxhash64("digest") == F.col("short"))
     first = first.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "key")).alias("at"), F.first("shared").alias("shared"))
     ranked = stored(first.repartitionByRange("at", "digest").sortWithinPartitions("at", "digest").select("digest", "at", "shared", F.monotonically_increasing_id().alias("rank")), "ranks")
     # Their texts, from the documents that hold them first.
     wanted = ranked.select(F.col("at.key").alias("key"), F.col("at.line").alias("line"), "rank", "digest", "at", "shared")
     some = stored(wanted.select("key").distinct(), "wanted")
-    held = docs.join(few(some), "key", "left_semi").select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    texts = stored(held.join(few(wanted), ["key", "line"]).dropDuplicates(["rank"]).select("rank", "digest", "at", "shared", "text"), "line-texts")
+    held = docs.join(broadcast_small(some), "key", "left_semi").select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    texts = stored(held.join(broadcast_small(wanted), ["key", "line"]).dropDuplicates(["rank"]).select("rank", "digest", "at", "shared", "text"), "line-texts")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,14 +233,15 @@ def dedup_lines(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_
     own, places, ids = fresh(df, "key"), fresh(df, "places"), fresh(df, "of")
     gone = duplicate_lines(df.where(F.col(id_col).isNotNull()), max_edits, id_col, text_col)
     gone = stored(gone.groupBy(F.col("doc_id").alias(ids), F.col("key").alias(own)).agg(F.collect_set(F.col("line").cast("int")).alias(places)), "gone")
-    joined = df.join(F.broadcast(gone) if gone.count() <= ROWS_BROADCAST else gone, (F.col(id_col).cast("long") == F.col(ids)) & (_key(id_col, F.col(text_col)) == F.col(own)), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    left = F.transform(stay, lambda i: lines[i])
-    solid = F.exists(left, lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    joined = df.join(broadcast_small(gone), (F.col(id_col).cast("long") == F.col(ids)) & (_key(id_col, F.col(text_col)) == F.col(own)), "left")
+    # Bound to lambdas, so that a text is split once, however many of its lines stay.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    left = bound(F.split(F.col(text_col), "\n", -1), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places)), lambda i: F.get(lines, i)))
+    blank = lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) == 0
+    made = bound(left, lambda some: F.struct(F.array_join(some, "\n").alias("text"), (~F.forall(some, blank)).alias("solid")))
     changed = F.col(places).isNotNull()
-    text = F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text_col))
-    return joined.where(~changed | solid).withColumn(text_col, text).select(*df.columns)
+    text = F.when(changed, made["text"]).otherwise(F.col(text_col))
+    return joined.where(~changed | made["solid"]).withColumn(text_col, text).select(*df.columns)
 
 
 def line_report(df: DataFrame, max_edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,13 @@ def _pieces(table: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "task", "packed"])
 
 
-def whole_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: str = "<u4", merge: Callable = np.add) -> np.ndarray:
+def saturating(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """a + b, or the largest number where that is larger still: a count that wrapped would look rare."""
+    np.add(a, b, out=out)
+    out[out < b] = np.iinfo(out.dtype).max
+
+
+def whole_table(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: str = "<u4", merge: Callable = saturating) -> np.ndarray:
     """A table of ``size`` numbers (a multiple of 2^14) that update() fills from each batch, merged over all tasks.
 
     Tasks send their tables in compressed pieces. Pieces of one place are merged as they arrive, first within groups of
