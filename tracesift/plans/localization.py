@@ -11,7 +11,7 @@ from ..functions import metrics
 from ..operators import counts, extractors, ranking, sequence, threads, vectors, weights
 from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
-from ..sources import binary_log, csv_log, mapping, reports, testdata
+from ..sources import binary_log, csv_log, log_format, mapping, reports, testdata
 from ..streaming import live
 from . import sql
 
@@ -508,14 +508,35 @@ _STATIC = ("event_id", "event_type", "file", "line", "function", "function_id",
 _CODE = "k * 100 + case event_type " + " ".join(f"when '{kind}' then {code}" for code, kind in EVENT_CODES.items()) + " end"
 
 
-@query(f"with {sql.trace('scopes')} select run_id, seq, {_CODE} as event_id, event_type, line, case when event_type in ('DEF', 'FUNCTION_EXIT') then value_num end as value_num, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr")
+_HAS = "event_type in ('DEF', 'FUNCTION_EXIT')"
+_TEXT = "case when k % 3 = 0 then '' else 'v' || k end"
+_LOGGED = f"""select run_id, seq, {_CODE} as event_id, event_type, line, case when {_HAS} then case k % 5 when 0 then k / 4 when 1 then cast(k - 50 as double) end end as value_num,
+  case when {_HAS} and k % 5 = 2 then {_TEXT} end as value_str, case when {_HAS} and k % 5 = 3 then {_TEXT} end as bytes,
+  case when {_HAS} then ['float', 'int', 'str', 'bytes', 'NoneType'][k % 5 + 1] end as value_type, case when event_type in ('DEF', 'USE') then var_id end as var_id from tr"""
+_LOG_COLUMNS = ("event_id", "event_type", "line", "value_num", "value_str", "cast(value_bin as string) as bytes", "value_type", "var_id")
+
+
+@query(f"with {sql.trace('scopes')} {_LOGGED}")
 def source_binary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events encoded as binary logs and decoded by the mapping of the program's places."""
-    events = testdata.program_place(testdata.trace(spark, sf_dir, "scopes"))
+    """Events with values of every kind, encoded as binary logs and decoded by the mapping of the program's places."""
+    events = testdata.program_place(testdata.valued(testdata.trace(spark, sf_dir, "scopes")))
     logs = stored(binary_log.encode_logs(events), "binary-logs")
     back = binary_log.decode_logs(logs, events.select(*_STATIC).distinct())
-    seq = F.col("chunk") * binary_log.STRETCH + F.col("seq")
-    return back.select("run_id", seq.alias("seq"), "event_id", "event_type", "line", "value_num", "var_id")
+    return back.selectExpr("run_id", f"chunk * {binary_log.STRETCH} + seq as seq", *_LOG_COLUMNS)
+
+
+@query(f"with {sql.trace('scopes')} select * from ({_LOGGED}) where event_type in ('DEF', 'FUNCTION_EXIT')")
+def source_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary logs as files, read by format("event_log") with a filter that its reader takes over."""
+    events = testdata.program_place(testdata.valued(testdata.trace(spark, sf_dir, "scopes")))
+    path = scratch_path(spark, "event-logs")
+    log_format.write_logs(binary_log.encode_logs(events).select(F.concat_ws("/", "run_id", "chunk").alias("name"), "content"), path)
+    places = events.select(*_STATIC).distinct()
+    back = log_format.read_logs(spark, path, places).where(F.col("event_type").isin("DEF", "FUNCTION_EXIT"))
+    named = back.join(F.broadcast(places.select("event_id", "line")), "event_id")  # a program's places
+    part = lambda i: F.element_at(F.split("path", "/"), i).cast("long")
+    placed = named.withColumns({"run_id": part(-2), "seq": part(-1) * binary_log.STRETCH + F.col("seq")})
+    return placed.selectExpr("run_id", "seq", *_LOG_COLUMNS)
 
 
 @query(f"with {sql.trace('scopes')} select distinct {_CODE} as event_id, event_type, file, line, function, var from tr")

@@ -104,27 +104,35 @@ def value_columns(value: object, kind: str | None) -> dict:
     return row
 
 
-def decode(data: bytes, kinds: dict[int, str]) -> Iterator[dict]:
-    """The records of a log up to where it breaks off; those of events that aren't in the mapping end it too."""
-    r, seq = Reader(data), 0
+Record = tuple[int, str, int | None, int | None, bytes | None, str | None, bool | None]
+
+
+def records(r: Reader, kinds: dict[int, str]) -> Iterator[Record]:
+    """(event, kind, variable id, length, pickled value, type name, truth) of a log's records, up to where it breaks off; those of events
+    that aren't in the mapping end it too. The reader stands at the end of the last whole record then."""
+    whole = r.at
     try:
-        while r.at < len(data):
+        while r.at < len(r.data):
             event = r.number()
             kind = kinds[event]
-            row = {"event_id": event, "var_id": None, "length": None} | value_columns(None, None)
-            if kind in ("DEF", "USE", "TEST_USE", "TEST_DEF", "LEN"):
-                row["var_id"] = r.number()
-            if kind == "LEN":
-                row["length"] = r.number()
-            if kind in ("DEF", "FUNCTION_EXIT"):
-                raw = r.sized(4)
-                name = r.sized(2).decode()
-                row |= value_columns(read_scalar(raw) if raw else None, name)
-            if kind == "CONDITION":
-                row["value_bool"] = r.take(1) != b"\0"
-            seq += 1
-            yield {"seq": seq} | row
+            var_id = r.number() if kind in ("DEF", "USE", "TEST_USE", "TEST_DEF", "LEN") else None
+            length = r.number() if kind == "LEN" else None
+            raw, name = (r.sized(4), r.sized(2).decode()) if kind in ("DEF", "FUNCTION_EXIT") else (None, None)
+            truth = r.take(1) != b"\0" if kind == "CONDITION" else None
+            whole = r.at
+            yield event, kind, var_id, length, raw, name, truth
     except (EOFError, KeyError, ValueError, IndexError):
+        pass
+    r.at = whole
+
+
+def decode(data: bytes, kinds: dict[int, str]) -> Iterator[dict]:
+    """The records of a log as rows; a value that is no scalar ends it."""
+    try:
+        for seq, (event, _, var_id, length, raw, name, truth) in enumerate(records(Reader(data), kinds), 1):
+            row = {"seq": seq, "event_id": event, "var_id": var_id, "length": length} | value_columns(read_scalar(raw) if raw else None, name)
+            yield row if truth is None else row | {"value_bool": truth}
+    except (EOFError, ValueError, IndexError):
         return
 
 
@@ -205,14 +213,26 @@ def decode_logs(logs: DataFrame, mapping: DataFrame, most: int = MAPPING_ROWS) -
 
 
 def encode_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """run_id, chunk and content: logs of a run's events by stretches of their seq (from 1), so that no run is one task's."""
+    """run_id, chunk and content: logs of a run's events by stretches of their seq (from 1), so that no run is one task's.
+    Values are those that value_type names: str, bytes, bool, int (value_str where a double can't hold it), else float or None."""
+    absent = lambda x: x is None or x is pd.NA or x != x
+
+    def value_of(e: tuple) -> object:
+        if e.value_type == "str":
+            return e.value_str
+        if e.value_type == "bytes":
+            return None if e.value_bin is None else bytes(e.value_bin)
+        if e.value_type == "bool":
+            return None if absent(e.value_bool) else bool(e.value_bool)
+        if absent(e.value_num):
+            return int(e.value_str) if e.value_type == "int" and e.value_str else None
+        return int(e.value_num) if e.value_type == "int" else float(e.value_num)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for e in pdf.sort_values("seq").itertuples(index=False):
-            value = None if pd.isna(e.value_num) else float(e.value_num)
-            out.append(encode_record(e.event_type, int(e.event_id), 0 if pd.isna(e.var_id) else int(e.var_id), write_scalar(value), e.value_type or "", bool(e.value_bool), 0 if pd.isna(e.length) else int(e.length)))
+            out.append(encode_record(e.event_type, int(e.event_id), 0 if pd.isna(e.var_id) else int(e.var_id), write_scalar(value_of(e)), e.value_type or "", bool(e.value_bool), 0 if pd.isna(e.length) else int(e.length)))
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "content": [b"".join(out)]})
 
-    rows = events.select("run_id", F.floor((F.col("seq") - 1) / stretch).alias("chunk"), "seq", "event_type", "event_id", "var_id", "value_num", "value_type", "value_bool", "length")
+    rows = events.select("run_id", F.floor((F.col("seq") - 1) / stretch).alias("chunk"), "seq", "event_type", "event_id", "var_id", "value_num", "value_str", "value_bin", "value_type", "value_bool", "length")
     return rows.groupBy("run_id", "chunk").applyInPandas(run, "run_id long, chunk long, content binary")

@@ -95,6 +95,17 @@ def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def valued(events: DataFrame) -> DataFrame:
+    """Events with values of every kind in turn, by their number k: float, int, str, bytes, None; an empty one of the latter at times."""
+    kind = F.col("k") % 5
+    text = F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("v"), F.col("k").cast("string")))
+    return events.withColumns({
+        "value_num": F.when(kind == 0, F.col("k") / 4).when(kind == 1, (F.col("k") - 50).cast("double")),
+        "value_str": F.when(kind == 2, text), "value_bin": F.when(kind == 3, text.cast("binary")),
+        "value_type": F.element_at(F.array(*map(F.lit, ("float", "int", "str", "bytes", "NoneType"))), kind + 1),
+    })
+
+
 def program_place(events: DataFrame) -> DataFrame:
     """Events by the id of their place in the program: kind and number k make it, so ids don't grow with the log."""
     codes = F.create_map(*(F.lit(x) for code, kind in EVENT_CODES.items() for x in (kind, code)))
