@@ -30,9 +30,11 @@ def events_table(spark, path, rows):
 
 def test_all_features_and_pairs(spark, tmp_path):
     events_table(spark, tmp_path, [(1, 3, "click", 10), (2, 3, "click", 18), (3, 7, "click", 18), (4, 7, "purchase", 4), (5, 40, "signup", 5), (6, 41, "click", 10)])
-    rows = {r.run_id: r.asDict() for r in localization.QUERIES["feature_matrix"](spark, str(tmp_path)).collect()}
+    rows: dict = {}
+    for r in localization.QUERIES["feature_matrix"](spark, str(tmp_path)).collect():
+        rows.setdefault(r.run_id, {})[r.feature] = r.value
     assert rows[3]["LINE:f3:19"] == rows[7]["LINE:f3:19"] == 1 and rows[41]["LINE:f3:19"] == 0
-    assert {c.split(":")[0] for c in rows[3]} == {"run_id", "failing", "test", "label", "LINE", "CONDITION", "LENGTH"} and rows[40]["CONDITION:f4:5:c4:is"] == -1
+    assert {c.split(":")[0] for c in rows[3]} == {"LINE", "CONDITION", "LENGTH"} and rows[40]["CONDITION:f4:5:c4:is"] == -1
     pairs = localization.QUERIES["vector_differences"](spark, str(tmp_path))
     assert sorted((r.a, r.b) for r in pairs.collect()) == [(3, 7), (7, 40), (40, 41)]
     assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()

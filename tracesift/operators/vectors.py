@@ -1,7 +1,7 @@
 """Feature vectors: what each run says of each feature, as rows, packed into words, and wide.
 
 Packed vectors number the features densely and hold two bits for each, 32 to a word. The bits tell how a value differs from the feature's
-default, so a run has words only where it observed something else, and two runs differ where their words do.
+default, so a run has words only where it observed something, and two runs differ where their words do.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def packed(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = stored(values, "values")
     dictionary = stored(dictionary_of(values), "dictionary")
     code = (F.col("value") + 1).bitwiseXOR(default_value(F.col("type")) + 1).cast("long")
-    numbered = values.join(dictionary, ["feature", "type"]).select("run_id", "number", code.alias("code")).where("code <> 0")
+    numbered = values.join(dictionary, ["feature", "type"]).select("run_id", "number", code.alias("code"))
     bits = F.expr(f"shiftleft(code, cast(2 * (number % {WORD}) as int))")
     return numbered.groupBy("run_id", F.floor(F.col("number") / WORD).alias("word")).agg(F.bit_or(bits).alias("bits")), dictionary
 
