@@ -2,8 +2,8 @@
 
 Rules judge the urls that they fit. All others follow their host: personalised PageRank spreads trust from
 the hosts that allow rules fit along links, and distrust from the hosts that block rules fit against them
-(who links to a blocked host is suspect), until no host's score changes by more than TOLERANCE of itself, or for ROUNDS rounds, after
-which less than TOLERANCE of all trust is still on its way. What ends at hosts without links goes back to the seeds: it would
+(who links to a blocked host is suspect), until no verdict can change any more by what is still on its way, until no host's score changes by more than
+TOLERANCE of itself, or for ROUNDS rounds, after which less than TOLERANCE of all trust is still on its way. What ends at hosts without links goes back to the seeds: it would
 raise all scores of its kind alike, so each kind is scaled to a sum of 1 in the end instead. Hosts whose share of distrust, in the sum
 of both, is LEAST_SHARE or more are blocked. Edges are the links between different hosts, counted once per pair, and each host
 counts as linked with its parent domain both ways.
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
-from .components import tasks_for
 
 DAMPING = 0.85
 #: Relative change of a score over ROUNDS_EACH rounds, made in one plan, below which it has settled.
@@ -85,13 +84,31 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.unionByName(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score: personalised PageRank, settled or after so many rounds. links: kind, src, dst, n; seeds: kind, host,
-    seed (summing to 1 a kind)."""
+def all_decided(scores: DataFrame, open_: float) -> bool:
+    """Whether no host's share of distrust can cross LEAST_SHARE any more, when each score, and each kind's sum, may still change by
+    open_, and no host will be reached by a kind that hasn't reached it."""
+    total = {r.kind: r.total for r in scores.groupBy("kind").agg(F.sum("score").alias("total")).collect()}  # two rows at most
+    if any(t <= 2 * open_ for t in total.values()):
+        return False
+    least, most = {}, {}
+    for kind in ("trust", "distrust"):
+        score = F.max(F.when(F.col("kind") == kind, F.col("score")))
+        sum_ = total.get(kind, 1.0)
+        least[kind], most[kind] = F.coalesce(F.greatest(score - open_, F.lit(0.0)) / (sum_ + open_), F.lit(0.0)), F.coalesce((score + open_) / (sum_ - open_), F.lit(0.0))
+    hosts = scores.groupBy("host").agg(*(x[k].alias(f"{n}_{k}") for n, x in (("least", least), ("most", most)) for k in x))
+    edge = 2e-6  # shares are rounded
+    blocked = F.expr(f"least_distrust > 0 and least_distrust >= {LEAST_SHARE + edge} * (least_distrust + most_trust)")
+    allowed = F.expr(f"most_distrust = 0 or most_distrust < {LEAST_SHARE - edge} * (most_distrust + least_trust)")
+    return hosts.where(~(blocked | allowed)).isEmpty()
+
+
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, verdicts: bool = False) -> DataFrame:
+    """kind, host, score: personalised PageRank, settled, or after so many rounds; with verdicts, once these can't change. links: kind, src, dst, n; seeds: kind,
+    host, seed (summing to 1 a kind). After k rounds DAMPING^k of a kind's seed is still on its way, so no score changes by more."""
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     edges = stored(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
     seeds = stored(seeds, "seeds")
-    # A small graph is broadcast once, and its rounds run in few tasks; a large one is joined by shuffles.
+    # A small graph is broadcast once, and its rounds run in one task; a large one is joined by shuffles.
     count = edges.count()
     small = count <= EDGES_BROADCAST
     dealt = F.broadcast(edges) if small else edges
@@ -100,18 +117,20 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     def after(scores: DataFrame, turns: int) -> DataFrame:
         for _ in range(turns):
             moved = dealt.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
-            scores = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            scores = scores.coalesce(tasks_for(count)) if small else scores
+            both = moved.unionByName(kept)  # of a small graph in one task, which needs no exchange from round to round
+            scores = (both.coalesce(1) if small else both).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         return scores
 
     scores, done = seeds.select("kind", "host", F.col("seed").alias("score")), 0
     while done < rounds:
         turns = min(ROUNDS_EACH, rounds - done)
         both = stored(after(scores, turns).join(scores.withColumnRenamed("score", "last"), ["kind", "host"], "left"), "scores")
-        change = both.where("score > 0").agg(F.max(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score")).alias("c")).first().c
+        facts = both.agg(F.max(F.when(F.col("score") > 0, F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score"))).alias("change"), F.count_if(F.col("last").isNull()).alias("new")).first()
         drop_stored(scores if done else None)
         scores, done = _last(both), done + turns
-        if change is None or change <= TOLERANCE:  # a host that is new changes by all of its score
+        if facts.change is None or facts.change <= TOLERANCE:  # a host that is new changes by all of its score
+            break
+        if verdicts and not facts.new and all_decided(scores, DAMPING**done):
             break
     total = scores.groupBy("kind").agg(F.sum("score").alias("total"))  # two rows at most
     return scores.join(F.broadcast(total), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
@@ -134,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_c
     seeds = seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     links = host_links(split)
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    scores = propagate(both, seeds)
+    scores = propagate(both, seeds, verdicts=True)
     hosts = scores.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
     joined = judged.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
