@@ -309,3 +309,23 @@ def test_empty_trace(spark):
     none = events(spark, [])
     runs = spark.createDataFrame([], "run_id long, failing boolean")
     assert counts.contingency(extractors.extract(none), runs).count() == 0
+
+
+def test_folds_of_scores(spark):
+    rows = [("LINE", "a", "f", 1, None, None, 0.5), ("LINE", "b", "f", 1, None, None, 0.25), ("LINE", "c", "f", 1, None, None, 0.25), ("LINE", "d", "g", 2, "f", 1, None), ("DEF_USE", "e", "g", 2, "f", 1, 1.0)]
+    scores = spark.createDataFrame(rows, "type string, feature string, file string, line int, file2 string, line2 int, score double")
+    fold = lambda f, **more: {(r.file, r.line): r.score for r in ranking.place_scores(scores, how=f, **more).collect()}
+    assert fold(F.greatest) == {("f", 1): 1.0, ("g", 2): 1.0}
+    assert fold(lambda score, so_far: so_far / 2 + score, start=0) == {("f", 1): 0.75, ("g", 2): 1.0}
+    assert fold(lambda score, so_far: 2 * so_far + score, start=1) == {("f", 1): ((2 + 1) * 2 + 0.5) * 2 + 0.25, ("g", 2): 3.0}
+    parts = [ranking.place_sums(scores.where(F.col("feature") < "c")), ranking.place_sums(scores.where(F.col("feature") >= "c"))]
+    assert {(r.file, r.line): r.score for r in ranking.mean_of_sums(parts[0].unionByName(parts[1])).collect()} == {("f", 1): 0.5, ("g", 2): 1.0}
+
+
+def test_many_faults_without_a_rank(spark):
+    ranked, _ = ranking_fixture(spark, False)
+    faulty = spark.range(500).select(F.lit("b.py").alias("file"), F.col("id").cast("int").alias("line"))
+    r = ranking.fault_ranks(ranked, faulty.unionByName(spark.createDataFrame([("a.py", 5)], "file string, line int")), total=1000).first()
+    default = (990 / 2 + 10) / 1000
+    assert (r.exam_best, r.exam_worst, r.exam_middle, r.effort_best, r.effort_worst) == (1 / 1000, default, default, 1, 1000)
+    assert r.exam_mean == round((0.001 + 500 * default) / 501, 9) and ranking.fault_ranks(ranked, faulty.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,12 +53,30 @@ def score_statistics(scores: DataFrame, *by: str) -> DataFrame:
     return _with(total, median, by).select(*by, "n", "least", "most", "mean", "median")
 
 
-def place_scores(scores: DataFrame, *by: str, how: str = "max") -> DataFrame:
-    """One score per place: the greatest or the mean of those of its features."""
+def place_scores(scores: DataFrame, *by: str, how: str | Callable[[Column, Column], Column] = "max", start: float = -math.inf) -> DataFrame:
+    """One score per place: the greatest, least or mean of those of its features, or a fold by how(score, so far).
+
+    A fold goes over a place's distinct scores from the greatest to the least, as suggestions come, and begins with ``start``. Null scores take
+    no part. Distinct scores of a place are few: counts of runs make them.
+    """
+    if callable(how):
+        distinct = places(scores, *by).where("score is not null").groupBy(*by, "file", "line").agg(F.sort_array(F.collect_set("score"), asc=False).alias("_scores"))
+        folded = F.aggregate("_scores", F.lit(float(start)), lambda so_far, score: how(score, so_far).cast("double"))
+        return distinct.select(*by, "file", "line", folded.alias("score"))
     combine = {"max": F.max, "avg": lambda c: F.round(F.avg(c), 9), "min": F.min}[how]
     return places(scores, *by).groupBy(*by, "file", "line").agg(combine("score").alias("score"))
 
 
+def place_sums(scores: DataFrame, *by: str) -> DataFrame:
+    """Means of places as parts that can be kept and added: total and n per place. Parts must not share features."""
+    return places(scores, *by).groupBy(*by, "file", "line").agg(F.sum("score").alias("total"), F.count("score").alias("n"))
+
+
+def mean_of_sums(parts: DataFrame, *by: str) -> DataFrame:
+    """The mean score per place of the parts of place_sums(), put together by union."""
+    return parts.groupBy(*by, "file", "line").agg(F.round(F.try_divide(F.sum("total"), F.sum("n")), 9).alias("score"))
+
+
 def ranks(place_scores_df: DataFrame, *by: str) -> DataFrame:
     """Adds rank, effort and tied. Of a group of n equal scores that begins at place r, all have the rank n/2 + r - 1 (r if
     alone) and the effort of its last place. The counts per score are few, so the running sum is over scores, not places."""
@@ -111,18 +130,22 @@ def fault_ranks(ranked: DataFrame, faulty: DataFrame, *by: str, total: int | Non
     rank of the unranked ones, and all places as effort.
     """
     size = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.max("effort").alias("_last")).withColumn("n_places", F.col("_n") if total is None else F.lit(total))
-    every = size.crossJoin(faulty.select("file", "line"))  # groups by faults
-    joined = every.join(ranked.select(*by, "file", "line", "rank", "effort"), [*by, "file", "line"], "left")
-    rank = F.coalesce("rank", (F.col("n_places") - F.col("_n")) / 2 + F.col("_last"))
-    effort = F.coalesce("effort", "n_places").cast("double")
-    per = joined.groupBy(*by, "n_places").agg(F.array_sort(F.collect_list(rank / F.col("n_places"))).alias("exam"), F.array_sort(F.collect_list(effort)).alias("effort"))
-    middle = F.greatest(F.floor(F.size("exam") / 2) - 1, F.lit(0)).cast("int")
-
-    def four(name: str) -> list[Column]:
-        mean = F.aggregate(name, F.lit(0.0), lambda a, x: a + x) / F.size(name)
-        return [F.round(c, 9).alias(f"{name}_{n}") for n, c in (("best", F.array_min(name)), ("worst", F.array_max(name)), ("middle", F.get(name, middle)), ("mean", mean))]
-
-    return per.select(*by, "n_places", *four("exam"), *four("effort"))
+    measures = lambda rank, effort: F.explode(F.array(F.struct(F.lit("exam").alias("m"), (rank / F.col("n_places")).alias("v")), F.struct(F.lit("effort").alias("m"), effort.cast("double").alias("v")))).alias("x")
+    found = ranked.join(faulty.select("file", "line"), ["file", "line"])
+    seen = _with(found.select(*by, "rank", "effort"), size, by).select(*by, "n_places", measures(F.col("rank"), F.col("effort")), F.lit(1).cast("long").alias("n"))
+    # Faults without a rank all have the same one, so they are a row per group with their number.
+    ranked_faults = found.groupBy(*by).agg(F.count("*").alias("_found"))
+    missing = size.join(ranked_faults, [*by], "left") if by else size.crossJoin(ranked_faults)
+    missing = missing.crossJoin(F.broadcast(faulty.agg(F.count("*").alias("_faults")))).withColumn("n", F.col("_faults") - F.coalesce("_found", F.lit(0)))
+    rest = missing.where("n > 0").select(*by, "n_places", measures((F.col("n_places") - F.col("_n")) / 2 + F.col("_last"), F.col("n_places")), "n")
+    per = seen.unionByName(rest).groupBy(*by, "n_places", "x.m", "x.v").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "n_places", "m")
+    per = per.withColumn("_far", F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    all_ = per.groupBy(*by, "n_places", "m").agg(F.sum("n").alias("_all"), F.min("v").alias("best"), F.max("v").alias("worst"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    middle = per.join(all_.select(*by, "n_places", "m", "_all"), [*by, "n_places", "m"]).where(F.col("_far") > F.greatest(F.floor(F.col("_all") / 2) - 1, F.lit(0))).groupBy(*by, "n_places", "m").agg(F.min("v").alias("middle"))
+    both = all_.join(middle, [*by, "n_places", "m"])
+    value = lambda m, n: F.round(F.max(F.when(F.col("m") == m, F.col(n))), 9).alias(f"{m}_{n}")
+    return both.groupBy(*by, "n_places").agg(*(value(m, n) for m in ("exam", "effort") for n in ("best", "worst", "middle", "mean")))
 
 
 def precision_at(ranked: DataFrame, faulty: DataFrame, k: int, *by: str) -> DataFrame:

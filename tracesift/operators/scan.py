@@ -57,3 +57,18 @@ def running(df: DataFrame, keys: list[str], at: str, order: list, values: dict[s
     joined = rows.join(carried.where("_nth_stretch > 1"), "_key", "left")
     both = lambda kind, a, b: F.when(b.isNull(), a).when(a.isNull(), b).otherwise(_FOLDS[kind][1](a, b))
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), *(both(kind, F.col(f"_past_{n}"), F.col(f"_own_{n}")).alias(n) for n, (kind, _) in values.items()))
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by ranges of a key, with the number of their range (part), stored: ranges are drawn by sampling, and must not change."""
+    return stored(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """rows with their number in the order of ``by``, from 0 without gaps. Each range is numbered by itself, after all before it."""
+    found = dealt(rows, *by)
+    sizes = found.groupBy("part").agg(F.count("*").alias("_n"))
+    past = sizes.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_past"))  # a row per range
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*by))
+    joined = found.withColumn("_own", own).join(F.broadcast(past), "part")
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_past") + F.col("_own") - 1).cast("long").alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..schema import PREDICATES
 from ..shared import stored
 from .extractors import EXTRACTORS
+from .scan import dealt, numbered
 
 TRUE, FALSE, UNDEFINED = 1, 0, -1
 #: Columns of features in one table; matrices() makes as many tables as it takes.
@@ -66,18 +67,9 @@ def complete(values: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select("run_id").crossJoin(features).join(values, ["run_id", "feature", "type"], "left").select("run_id", "feature", "type", F.coalesce("value", default_value(F.col("type"))).alias("value"))
 
 
-def dealt(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt out by ranges of a key, with the number of their range (part), stored: ranges are drawn by sampling, and must not change."""
-    return stored(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
-
-
 def dictionary_of(values: DataFrame) -> DataFrame:
-    """feature, type, number: the features in order, numbered from 0 without gaps. Each range is numbered by itself, after all before it."""
-    rows = dealt(values.select("feature", "type").distinct(), "feature", "type")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    past = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("past"))  # a row per range
-    own = F.row_number().over(Window.partitionBy("part").orderBy("feature", "type"))
-    return rows.withColumn("own", own).join(F.broadcast(past), "part").select("feature", "type", (F.col("past") + F.col("own") - 1).cast("long").alias("number"))
+    """feature, type, number: the features in order, numbered from 0 without gaps."""
+    return numbered(values.select("feature", "type").distinct(), "number", "feature", "type")
 
 
 def packed(values: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import counts, extractors, ranking, sequence, threads, vectors, weights
+from ..operators import counts, extractors, ledger, ranking, sequence, threads, vectors, weights
 from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
-from ..sources import binary_log, csv_log, log_format, mapping, reports, testdata
+from ..sources import binary_log, container, csv_log, log_format, mapping, reports, testdata
 from ..streaming import live
 from . import sql
 
@@ -892,3 +892,66 @@ def loops_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments_by_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sequence.segments(testdata.trace(spark, sf_dir, "tests"), long=_NARROW)
     return made.groupBy("run_id", "segment").agg(F.count("*").alias("n_events"), F.min("seq").alias("first_seq"))
+
+
+# Counts kept up to date, folds of scores, containers and typed dumps.
+
+
+@query(f"{_FLOW} select type, feature, ef, nf, ep, np, fr, fi from counts")
+def counts_by_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after three deliveries: runs come in pieces, some of which repeat, and outcomes late, or wrong at first."""
+    events, runs = events_of(spark, sf_dir, "LINE")
+    observed = stored(extractors.extract(events, *FLOW), "observed")
+    kept = ledger.Ledger(spark, scratch_path(spark, "ledger"), buckets=8)
+    wrong = F.when(F.col("run_id") % 10 == 0, ~F.col("failing")).otherwise(F.col("failing")).alias("failing")
+    kept.deliver(0, observed.where("run_id % 3 = 0 or seq % 2 = 0"), runs.where("run_id % 7 > 0").select("run_id", wrong))
+    kept.deliver(1, observed.where("run_id % 3 > 0"), runs.where("run_id % 7 = 0"))
+    kept.compact()
+    kept.deliver(2, observed.where("seq % 5 = 0"), runs.where("run_id % 10 = 0"))
+    return kept.counts().select("type", "feature", "ef", "nf", "ep", "np", "fr", "fi")
+
+
+@query(f"""{_SCORED}, ds as (select type, file, line, list_sort(list(distinct score), 'DESC') as s, round(avg(score), 9) as mean from pl where score is not null group by all)
+select type, file, line, round(list_reduce(s, lambda a, x: x + a / 3, 0.0::double), 9) as fading, round(list_reduce(s, lambda a, x: 1 - (1 - x) * (1 - a), 0.0::double), 9) as either, mean from ds""")
+def place_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a place put together by two functions of the user's, and by a mean of which two halves are kept and added."""
+    scores = stored(_scores(spark, sf_dir), "scores")
+    fading = ranking.place_scores(scores, "type", how=lambda score, so_far: score + so_far / 3, start=0)
+    either = ranking.place_scores(scores, "type", how=lambda score, so_far: 1 - (1 - score) * (1 - so_far), start=0)
+    half = F.length("feature") % 2 == 0
+    mean = ranking.mean_of_sums(ranking.place_sums(scores.where(half), "type").unionByName(ranking.place_sums(scores.where(~half), "type")), "type")
+    keys = ["type", "file", "line"]
+    both = fading.select(*keys, F.round("score", 9).alias("fading")).join(either.select(*keys, F.round("score", 9).alias("either")), keys)
+    return both.join(mean.withColumnRenamed("score", "mean"), keys)
+
+
+@query(ORACLES["source_csv_logs"])
+def container_csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text logs of all runs in a few containers, read back by their index."""
+    path = scratch_path(spark, "containers")
+    container.write_containers(csv_log.text_logs(testdata.trace(spark, sf_dir, "flow")), path, files=8)
+    return csv_log.parse_text_logs(container.read_containers(spark, path)).select("run_id", "seq", "event_type", "file", "line", "event_id", "then_id")
+
+
+@query(ORACLES["source_binary_logs"])
+def container_binary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As source_binary_logs, through containers."""
+    events = testdata.program_place(testdata.valued(testdata.trace(spark, sf_dir, "scopes")))
+    path = scratch_path(spark, "containers")
+    container.write_containers(binary_log.encode_logs(events), path, files=8)
+    back = binary_log.decode_logs(container.read_containers(spark, path), events.select(*_STATIC).distinct())
+    return back.selectExpr("run_id", f"chunk * {binary_log.STRETCH} + seq as seq", *_LOG_COLUMNS)
+
+
+@query(f"""{_FLOW} select type, feature, case when line % 5 > 0 then ef end as ef, case when line % 5 > 0 then {sql.DEFAULT_SCORE} end as score,
+  case when line % 5 = 0 then case when type in ('BRANCH', 'CONDITION') then 'ef,fr' else 'ef' end end as missing from counts""")
+def typed_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts dumped, some of them without mandatory fields: those are reported, the others loaded and scored."""
+    path = scratch_path(spark, "typed-dump")
+    made = counts_of(spark, sf_dir, *FLOW)
+    kept = lambda name: F.when(F.col("line") % 5 > 0, F.col(name))
+    reports.dump_typed(made.withColumns({"ef": kept("ef"), "fr": kept("fr")}), path)
+    good, bad = reports.load_typed(spark, path)
+    scored = counts.scored(good).select("type", "feature", "ef", "score", F.lit(None).cast("string").alias("missing"))
+    none = F.lit(None).cast("double")
+    return scored.unionByName(bad.select("type", F.get_json_object("body", "$.feature").alias("feature"), none.alias("ef"), none.alias("score"), F.array_join("missing", ",").alias("missing")))

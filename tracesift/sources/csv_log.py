@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_CODES
+from .binary_log import STRETCH
 
 
 def read_csv_logs(spark: SparkSession, path: str, run: Column | None = None) -> DataFrame:
@@ -43,3 +44,16 @@ def write_csv_logs(events: DataFrame, path: str) -> None:
     """A folder run_id=... per run. The rows of a run are sorted and streamed into one file."""
     lines = events.select("run_id", "seq", csv_lines(events).alias("value"))
     lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("run_id", "value").write.partitionBy("run_id").text(path)
+
+
+def text_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """run_id, chunk and content: text logs of a run's events by stretches of their seq (from 1), as containers take them."""
+    lines = events.select("run_id", F.floor((F.col("seq") - 1) / stretch).alias("chunk"), F.struct("seq", csv_lines(events).alias("line")).alias("l"))
+    per = lines.groupBy("run_id", "chunk").agg(F.array_sort(F.collect_list("l")).alias("l"))  # a stretch at most
+    return per.select("run_id", "chunk", F.encode(F.array_join("l.line", "\n"), "UTF-8").alias("content"))
+
+
+def parse_text_logs(logs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The events of text_logs(), with run_id and seq. Lines that can't be read end their run."""
+    lines = logs.select("run_id", "chunk", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "text"))
+    return parse_csv_lines(lines.select("run_id", (F.col("chunk") * stretch + F.col("at")).alias("pos"), "text"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import PREDICATES, SPECTRA
+
 COUNTS = "type string, feature string, file string, line int, file2 string, line2 int, ef double, nf double, ep double, np double, f double, p double, tr double, ti double, fr double, fi double"
 
 
@@ -22,6 +24,37 @@ def load_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COUNTS).json(path)
 
 
+#: Fields that an analysis of a kind must have when it is loaded, by their types.
+_ALWAYS = {"feature": "string", "file": "string", "line": "int", "ef": "double", "nf": "double", "ep": "double", "np": "double", "f": "double", "p": "double"}
+_ENDS, _TRUTHS = {"file2": "string", "line2": "int"}, {"tr": "double", "ti": "double", "fr": "double", "fi": "double"}
+MANDATORY = {kind: _ALWAYS | (_ENDS if kind == "DEF_USE" else {}) | (_TRUTHS if kind in PREDICATES else {}) for kind in (*SPECTRA, *PREDICATES)}
+
+
+def dump_typed(counts: DataFrame, path: str) -> None:
+    """An analysis as a table of type and body, a VARIANT with the fields that the row has: those that are null are left out."""
+    body = F.parse_json(F.to_json(F.struct(*(c for c in counts.columns if c != "type"))))
+    counts.select("type", body.alias("body")).write.parquet(path)
+
+
+def checked_rows(dumped: DataFrame) -> DataFrame:
+    """type and body with missing: the mandatory fields of the kind that the body lacks or holds in another type; ["type"] for a kind that is
+    unknown. Other fields don't matter."""
+    lacks = lambda name, kind: F.when(F.try_variant_get("body", f"$.{name}", kind).isNull(), F.lit(name))
+    missing = F.lit(None).cast("array<string>")
+    for kinds in sorted({tuple(sorted(k for k, f in MANDATORY.items() if f == fields)) for fields in MANDATORY.values()}):
+        fields = MANDATORY[kinds[0]]
+        missing = F.when(F.col("type").isin(*kinds), F.array_compact(F.array(*(lacks(n, t) for n, t in fields.items())))).otherwise(missing)
+    return dumped.select("type", "body", F.coalesce(missing, F.array(F.lit("type"))).alias("missing"))
+
+
+def load_typed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of dump_typed() that have all mandatory fields, as counts; and those that don't: type, body (JSON) and missing."""
+    rows = checked_rows(spark.read.schema("type string, body variant").parquet(path))
+    fields = [f.split() for f in COUNTS.split(", ")][1:]
+    good = rows.where(F.size("missing") == 0).select("type", *(F.try_variant_get("body", f"$.{n}", t).alias(n) for n, t in fields))
+    return good, rows.where(F.size("missing") > 0).select("type", F.to_json("body").alias("body"), "missing")
+
+
 def report(suggestions: DataFrame) -> DataFrame:
     """type, metric, score and places to a JSON text per type: metrics with their suggestions, best first."""
     item = F.struct((-F.col("score")).alias("order"), F.struct(F.col("places").alias("locations"), F.col("score").alias("suspiciousness")).alias("s"))
