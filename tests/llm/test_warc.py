@@ -86,3 +86,18 @@ def test_least_size_and_empty(spark):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(df.limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_damage_is_reported(spark, tmp_path):
+    def response(name, body, said=None, size=None):
+        digest = base64.b32encode(hashlib.sha1(said if said is not None else body).digest()).decode()
+        return warc.record_bytes("response", name, "u", None, digest, len(body) if size is None else size, body)
+
+    digest = base64.b32encode(hashlib.sha1(b"good").digest()).decode()
+    rows = [
+        response("1", b"good"), response("2", b"gOod", said=b"good"), response("3", b"good", size=5), response("4", b"")[:-30],
+        *(warc.record_bytes("revisit", f"r{n}", "u", n, digest, 4, b"") for n in ("1", "2", "9")), response("5", b"cut off" * 9)[:-20],
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.member, rows)))
+    got = {r.record_id: (r.payload_bytes, r.sound) for r in warc.checked_payloads(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert {k: v for k, v in got.items() if k != "4"} == {"1": (4, True), "2": (4, False), "3": (4, False), "r1": (4, True), "r2": (None, False), "r9": (None, False), "5": (47, False)}

@@ -82,7 +82,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path, least=0)
-    return warc.read_warc(spark, path).select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return warc.checked_payloads(warc.read_warc(spark, path)).select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

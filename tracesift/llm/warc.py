@@ -21,6 +21,7 @@ rows of a payload have null ids.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import stored
 from .common import text_batches
 
 MAGIC = b"\x1f\x8b\x08"
@@ -45,6 +47,7 @@ _LEVEL = 4
 RECORD = T.StructType([
     T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("target_uri", T.StringType()),
     T.StructField("refers_to", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("block", T.BinaryType()),
+    T.StructField("block_digest", T.StringType()), T.StructField("whole", T.BooleanType()),
 ])
 
 
@@ -180,6 +183,7 @@ def parse_record(data: bytes) -> dict | None:
     return {
         "record_id": ident(fields.get("warc-record-id")) or None, "record_type": fields.get("warc-type"), "target_uri": _as_was(fields.get("warc-target-uri", "")), "refers_to": ident(fields.get("warc-refers-to")),
         "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(fields["x-payload-length"]) if fields.get("x-payload-length", "").isdigit() else size, "block": rest[:size],
+        "block_digest": base64.b32encode(hashlib.sha1(rest[:size]).digest()).decode(), "whole": len(rest) >= size,
     }
 
 
@@ -210,7 +214,7 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+        kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary()), ("block_digest", pa.string()), ("whole", pa.bool_())])
         for batch in batches:
             for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = fs.FileSystem.from_uri(_full_uri(uri))
@@ -228,6 +232,24 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return parts.mapInArrow(run, RECORD)
 
 
+def checked_payloads(records: DataFrame) -> DataFrame:
+    """record_id, record_type, refers_to, payload_bytes, payload_digest and sound, of what read_warc() gives.
+
+    Length and digest are those of the block that was read: a response's own, a revisit's those of the response that it refers to. sound: the
+    block is as long as its header says, length and digest are those that the record's header names, and a revisit's response is there.
+    Revisits have null ones where no response of that id has a block of the digest that they name.
+    """
+    rows = stored(records.select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", F.octet_length("block").cast("long").alias("own_bytes"), "block_digest", "whole"), "warc-records")
+    fits = F.coalesce(F.col("whole") & (F.col("own_bytes") == F.col("payload_bytes")) & (F.col("block_digest") == F.col("payload_digest")), F.lit(False))
+    own = rows.where("record_type is distinct from 'revisit'").withColumn("sound", fits)
+    # A response may have very many revisits: they aren't grouped, and Spark splits skewed keys of this join.
+    response = own.where("record_id is not null").groupBy(F.col("record_id").alias("refers_to"), F.col("block_digest").alias("payload_digest")).agg(F.max("own_bytes").alias("of_bytes"), F.bool_or("sound").alias("of_sound"), F.lit(True).alias("found"))
+    named = rows.where("record_type = 'revisit'").drop("block_digest").join(response, ["refers_to", "payload_digest"], "left")
+    revisits = named.withColumn("of_digest", F.when(F.col("found"), F.col("payload_digest"))).withColumn("sound", F.coalesce(F.col("of_sound") & F.col("whole") & (F.col("own_bytes") == 0) & (F.col("of_bytes") == F.col("payload_bytes")), F.lit(False)))
+    columns = lambda size, digest: ("record_id", "record_type", "refers_to", F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), "sound")
+    return own.select(*columns("own_bytes", "block_digest")).unionByName(revisits.select(*columns("of_bytes", "of_digest")))
+
+
 def _full_uri(uri: str) -> str:
     """Hadoop writes file:/x for file:///x, and has names of its own for S3."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
