@@ -6,7 +6,8 @@ distance fall back into step after an edit, so their walks see the same words at
 distance. Bit-sampling LSH takes a few steps of the walk as a key; several samples of several walks bring the chance of a
 common key near 1. Windows are as large as the items, in classes of sizes: an item's class is the largest whose windows fit
 into it wherever it stands, and the item's windows at all offsets are in the index, so documents only need windows at
-every STRIDE-th word. Candidates are verified by the exact edit distance of the item to the best part of the document.
+every STRIDE-th word. Candidates that hold enough of the item's words are verified by the exact edit distance of the item to the
+best part of the document.
 
 A benchmark of at most BLOCK_CHARS characters is broadcast as an index, and documents meet it in one pass without a shuffle. For a larger
 one, items' keys are made in Spark and joined with those of documents' windows that a bit table of all items' keys lets through; then
@@ -37,9 +38,11 @@ EDIT_PERCENT = 20
 #: Window sizes of items. STRIDE is that of a document's windows, of which three lie wholly inside a passage, or else two,
 #: or one; items too short for that have windows of their own size at every word.
 SIZES, STRIDE = (8, 12, 16, 24), 8
-WALKS, SAMPLES = 6, 3
+WALKS = 6
 #: More than the steps of any walk.
 PAD = 64
+#: Words of parts that are looked at together.
+PART_WORDS = 2_000_000
 #: Characters of a benchmark that is broadcast; its index has some 400 bytes a word.
 BLOCK_CHARS = 1_000_000
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("first_word", T.IntegerType())]))
@@ -49,11 +52,13 @@ _PAST = np.uint64(0x5851F42D4C957F2D)
 
 def sampled_steps(size: int, walk: int) -> list[list[int]]:
     """The steps of a walk that each of its keys takes, for windows of a size: one from each of as many stretches of the walk. Steps
-    close together could all see the same word, and such a key would be that of many windows."""
+    close together could all see the same word, and such a key would be that of many windows. Short windows have few steps that no
+    edit moves, so their keys take fewer, and there are more keys."""
     rng = np.random.Generator(np.random.PCG64(1000 * size + walk))
     steps = min(max(1, size * 3 // 2), PAD - 1)
-    ends = np.linspace(0, steps, min(steps, 4 if size < 16 else 5) + 1).astype(int)
-    return [[int(rng.integers(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)] for _ in range(SAMPLES)]
+    taken, keys = (3, 4) if size < 12 else (4, 3) if size < 16 else (5, 3)
+    ends = np.linspace(0, steps, min(steps, taken) + 1).astype(int)
+    return [[int(rng.integers(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)] for _ in range(keys)]
 
 
 def padded(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +74,7 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, sizes: list[int], walk: int
     """For each window size the keys of the windows that begin at starts, in one walk for all sizes. words: padded."""
     bits = mix(words ^ np.uint64(0x632BE59BD9B4E019 * (walk + 1) % 2**64))
     plans = {size: sampled_steps(size, walk) for size in sizes}
-    keys = {size: [np.full(len(starts), np.uint64(size * 64 + walk * 8 + s)) for s in range(SAMPLES)] for size in sizes}
+    keys = {size: [np.full(len(starts), np.uint64(size * 64 + walk * 8 + s)) for s in range(len(plan))] for size, plan in plans.items()}
     taken: dict[int, list[np.ndarray]] = {}
     for size, plan in plans.items():
         for s, steps in enumerate(plan):
@@ -179,16 +184,21 @@ def window_keys(words: np.ndarray, first: np.ndarray, sizes_by_stride: dict[int,
                     yield text, starts, keys
 
 
-def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, word that the item would begin at, counted in the slice) of windows that share a key."""
-    found: set[tuple[int, int, int]] = set()
+def candidates(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of item, text and word that the item would begin at, counted in the slice, of windows that share a key; distinct and in order."""
+    found = [np.zeros((0, 3), np.int64)]
     for text, starts, keys in window_keys(words, first, index.sizes):
         hit = np.flatnonzero(index.table[(keys >> np.uint64(44)).astype(np.int64)])
         low, high = np.searchsorted(index.keys, keys[hit], "left"), np.searchsorted(index.keys, keys[hit], "right")
-        for w, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            for item, offset in index.owners[a:b].tolist():
-                found.add((int(text[w]), item, int(starts[w]) - offset))
-    return found
+        count = high - low
+        owner = index.owners[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        window = np.repeat(hit, count)
+        found.append(np.stack((owner[:, 0], text[window], starts[window] - owner[:, 1]), axis=1))
+    every = np.concatenate(found)
+    every = every[np.lexsort(every.T[::-1])]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (every[1:] != every[:-1]).any(axis=1)
+    return every[new]
 
 
 def text_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -200,25 +210,56 @@ def text_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield a, b, words, first
 
 
-def place_of(item: np.ndarray, words: np.ndarray, start: int) -> tuple[int, int] | None:
-    """The edits and the first word of an item that would begin at start, or None if it takes too many edits."""
-    most = len(item) * EDIT_PERCENT // 100
-    low, high = max(start - most - 1, 0), min(start + len(item) + most + 1, len(words))
-    edits, end = edits_within(item, words[low:high])
-    return (edits, max(low + end - len(item), 0)) if edits <= most else None
+def edits_allowed(item: np.ndarray) -> int:
+    return len(item) * EDIT_PERCENT // 100
+
+
+def part_of(item: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where an item may lie that would begin at start, in a text from first to end."""
+    more = edits_allowed(item) + 1
+    return np.maximum(start - more, first), np.minimum(start + len(item) + more, end)
+
+
+def plausible(item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the parts low:high hold enough words of the item; where fewer do, too many are edited in any alignment."""
+    out = np.zeros(len(low), dtype=bool)
+    known, wide = np.unique(item), max(int((high - low).max(initial=0)), 1)
+    each = max(PART_WORDS // wide, 1)
+    for i in range(0, len(low), each):
+        at = low[i : i + each, None] + np.arange(wide)
+        seen = words[np.minimum(at, len(words) - 1)]
+        same = known[np.minimum(np.searchsorted(known, seen), len(known) - 1)] == seen
+        out[i : i + each] = (same & (at < high[i : i + each, None])).sum(axis=1) >= len(item) - edits_allowed(item)
+    return out
+
+
+def best_place(item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[int, int] | None:
+    """The least edits and the first word of an item in the parts low:high of a text, or None if all take too many edits."""
+    best = None
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        edits, end = edits_within(item, words[a:b])
+        place = (edits, max(a + end - len(item), 0))
+        if edits <= edits_allowed(item) and (best is None or place < best):
+            best = place
+    return best
 
 
 def leaks_in(index: Index, column: pa.Array) -> list[list[dict]]:
     """For each text of a column the items found in it."""
     out: list[list[dict]] = [[] for _ in range(len(column))]
     for a, _, words, first in text_words(column):
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, number, start in sorted(candidates(index, words, first)):
-            place = place_of(index.words[number], words[first[text] : first[text + 1]], start - int(first[text]))
-            if place and place < best.get((text, number), (1 << 30, 0)):
-                best[text, number] = place
-        for (text, number), (edits, at) in sorted(best.items()):
-            out[a + text].append({"item_id": index.ids[number], "edits": edits, "first_word": at})
+        found = candidates(index, words, first)
+        for of_item in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
+            number = int(of_item[0, 0])
+            item, text = index.words[number], of_item[:, 1]
+            low, high = part_of(item, of_item[:, 2], first[text], first[text + 1])
+            good = plausible(item, words, low, high)
+            text, low, high = text[good], low[good], high[good]
+            for of_text in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(text) else []:
+                t = int(text[of_text[0]])
+                place = best_place(item, words[first[t] : first[t + 1]], low[of_text] - first[t], high[of_text] - first[t])
+                if place:
+                    out[a + t].append({"item_id": index.ids[number], "edits": place[0], "first_word": place[1]})
     return out
 
 
@@ -273,14 +314,18 @@ def _joined_leaks(df: DataFrame, items: DataFrame, text_col: str, out_col: str,
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         """The candidates of one text, and the text."""
         words = words_of(right.column("text")[0].as_py())
-        known: dict[str, np.ndarray] = {}
-        best: dict[str, tuple[int, int]] = {}
+        begins: dict[str, list[int]] = {}
+        texts: dict[str, str] = {}
         for item, text, begin in zip(*(left.column(c).to_pylist() for c in ("item", "item_text", "begin")), strict=True):
-            if item not in known:
-                known[item] = words_of(text)
-            place = place_of(known[item], words, begin)
-            if place and place < best.get(item, (1 << 30, 0)):
-                best[item] = place
+            texts[item] = text
+            begins.setdefault(item, []).append(begin)
+        best: dict[str, tuple[int, int]] = {}
+        for name, starts in begins.items():
+            item = words_of(texts[name])
+            low, high = part_of(item, np.array(starts, dtype=np.int64), np.int64(0), np.int64(len(words)))
+            good = plausible(item, words, low, high)
+            if place := best_place(item, words, low[good], high[good]):
+                best[name] = place
         of = right.column("of")[0].as_py()
         return pa.table({"of": pa.array([of] * len(best), pa.string()), "item": pa.array(list(best), pa.string()), "edits": pa.array([e for e, _ in best.values()], pa.int32()), "first_word": pa.array([w for _, w in best.values()], pa.int32())})
 
