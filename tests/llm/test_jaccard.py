@@ -63,6 +63,9 @@ def made_texts(seed, count):
 @pytest.mark.parametrize(("seed", "words", "percent", "parts"), [(1, 4, 85, 512), (2, 5, 80, 512), (3, 2, 60, 64)])
 def test_against_brute_force(spark, monkeypatch, seed, words, percent, parts):
     monkeypatch.setattr(jaccard, "PARTS", parts)  # with few, sets of different sizes have different numbers of parts
+    if seed == 3:  # all rounds, and shingles split
+        monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(jaccard, "SPLIT", 3)
     rnd = random.Random(seed)
     rows = [(i, t) for i, t in enumerate(made_texts(seed, 220))]
     rnd.shuffle(rows)
@@ -110,6 +113,26 @@ def test_sequences_that_sums_would_confuse(spark):
     assert {r.component_id for r in jaccard.jaccard_join(df, words=2048).collect()} == {1, 2, 3, 4}
 
 
+def test_families_without_a_hub(spark, monkeypatch):
+    """A chain of near copies, each linked with the nearest ten only, that share a passage: rounds of bands join most of it, and the
+    split join the rest."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, passage + " " + " ".join(f"w{i + j}" for j in range(120))) for i in range(400)]
+    rows += [(10_000 + i, passage + f" alone{i} " + " ".join(f"x{i}y{j}" for j in range(8))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: 0 if i < 400 else i for i, _ in rows}
+    left = {}
+    for rounds in (0, 4):
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(jaccard, "SPLIT", 50)
+        made = jaccard._Join.cross_pairs
+        monkeypatch.setattr(jaccard._Join, "cross_pairs", lambda self, crossing, made=made: left.update({rounds: crossing.where("root != main and size > 30").agg(jaccard.F.sum("n")).first()[0] or 0}) or made(self, crossing))
+        assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df).collect()} == want
+        monkeypatch.setattr(jaccard._Join, "cross_pairs", made)
+    assert left[4] < left[0] / 2, left
+
+
 def test_empty(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

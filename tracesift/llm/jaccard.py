@@ -16,8 +16,11 @@ it holds an odd number; parts in which two nodes differ bound from below in how
 jaccard_join() finds components, for which not all pairs of a shingle's texts are needed. First each node meets hubs only: of
 each prefix shingle's nodes the one that has it furthest in front, and so the fewest rare shingles of its own. The hub nearest by the
 suffix filter is verified. Nodes that link make components. What is left are shingles whose nodes lie in different
-components: there each node outside the shingle's largest component meets all nodes of other components that pass the
-filters. So a group of copies costs as much as its size, and no pair that could join two components goes unseen.
+components. While their nodes would meet in many pairs, there are more rounds of hubs: of the nodes whose shingles have the same
+two least hashes one is met by the rest, with other hashes each round, so that families without a common hub grow together. In
+the end each node outside a shingle's largest component meets all nodes of other components that pass the filters, where shingles
+of many nodes are split over parts. So a group of copies costs as much as its size, and no pair that could join two components
+goes unseen.
 jaccard_links() returns all links between nodes instead, from the same join without hubs; it grows with the links there are.
 
 Verification: pairs are distinct, and each is verified once. Only texts of such pairs are read again for their whole sets. A suffix
@@ -50,6 +53,11 @@ WORD_BITS, SHINGLE_BITS = 20, 22
 PARTS = 512
 #: Pairs of whole sets that a task compares, and row keys that are broadcast (16 bytes each); more are joined by a shuffle.
 PAIRS_EACH, KEYS_BROADCAST = 4_000, 1_000_000
+#: Rounds of hubs by bands at most; while pairs that nodes of different components would meet in are more than so many a row, and while a
+#: round finds a link for every so many rows. These only decide how much is left to the last join, which finds the rest.
+ROUNDS, PAIRS_A_ROW, ROWS_A_LINK = 8, 20, 1_000
+#: Nodes of a shingle that others meet in one part of the last join.
+SPLIT = 2_000
 
 
 def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -223,7 +231,7 @@ class _Join:
         return self.differ() <= total - 2 * F.ceil(F.lit(self.percent) * total / (100 + self.percent))
 
     def other(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumnsRenamed({c: f"other_{c}" for c in rows.columns if c != "gram"})
+        return rows.withColumnsRenamed({c: f"other_{c}" for c in rows.columns if c not in ("gram", "part")})
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored distinct pairs (a, b) that link."""
@@ -262,11 +270,11 @@ class _Join:
         """A stored table of nodes, to be broadcast if it is small in bytes."""
         return broadcast_small(table)
 
-    def candidates(self, rows: DataFrame, others: DataFrame, extra: Column) -> DataFrame:
+    def candidates(self, rows: DataFrame, others: DataFrame, extra: Column, on: tuple[str, ...] = ("gram",)) -> DataFrame:
         """Distinct pairs (a, b) of rows and others (columns other_...) that share a shingle and pass all filters."""
         odd = self.few(self.nodes.select("node", "odd", "half"))
         other_odd = self.few(self.other(self.nodes.select("node", "odd", "half")))
-        both = rows.join(odd, "node").join(others.join(other_odd, "other_node"), "gram").where(extra & self.fits() & self.near())
+        both = rows.join(odd, "node").join(others.join(other_odd, "other_node"), list(on)).where(extra & self.fits() & self.near())
         return both.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
@@ -280,17 +288,51 @@ class _Join:
         best = met.groupBy("node").agg(F.min_by("other_node", F.struct(self.differ().alias("d"), "other_node")).alias("other"))
         return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    def cross_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of nodes of different components, each of which may link."""
+    def crossing(self, roots: DataFrame) -> DataFrame:
+        """gram, node, size, pos and root of the shingles whose nodes lie in different components; main, the largest of these; n, the
+        shingle's nodes; and outside, those that aren't in main."""
         rows = self.shared.join(self.few(roots), "node", "left").select("gram", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
-        # Dealt by shingle once: what follows up to the pairs stays where it is.
-        rows = rows.repartition("gram").withColumn("n", F.count("*").over(Window.partitionBy("gram", "root")))
-        every = Window.partitionBy("gram")
-        rows = rows.withColumns({"main": F.max_by("root", F.struct("n", "root")).over(every), "least": F.min("root").over(every)})
-        rows = rows.withColumn("several", F.max("root").over(every) != F.col("least")).where("several").select("gram", "node", "size", "pos", "root", "main")
+        each = rows.groupBy("gram", "root").agg(F.count("*").alias("n"))
+        per = each.groupBy("gram").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+        per = stored(per.select("gram", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("outside")), "several")
+        out = stored(rows.join(self.few(per), "gram"), "crossing")
+        drop_stored(per)
+        return out
+
+    def band_pairs(self, crossing: DataFrame, turn: int) -> DataFrame:
+        """Each node of crossing shingles, and one of those that have the same least two of these shingles by the turn's hashes."""
+        least = lambda k: F.min(F.xxhash64("gram", F.lit(2 * turn + k)))
+        nodes = stored(crossing.groupBy("node").agg(F.first("size").alias("size"), F.first("root").alias("root"), least(0).alias("one"), least(1).alias("two")), "bands")
+        hubs = nodes.groupBy("one", "two").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("hub"))
+        hubs = hubs.select("one", "two", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in ("node", "size", "root")))
+        low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
+        met = nodes.join(hubs, ["one", "two"]).where((F.col("root") != F.col("other_root")) & (100 * low >= self.percent * high))
+        odd = self.nodes.select("node", "odd", "half")
+        met = met.join(self.few(odd), "node").join(self.few(self.other(odd)), "other_node").where(self.near())
+        out = stored(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs")
+        drop_stored(nodes)
+        return out
+
+    def cross_pairs(self, crossing: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components, each of which may link. A shingle of many nodes is split: the nodes that others
+        meet are dealt to parts of some SPLIT, and each that meets them goes to every part."""
+        parts = F.ceil(F.col("n") / SPLIT).cast("int")
+        rows = crossing.where("root != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("gram", "part", "node", "size", "pos", "root")
+        others = crossing.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).select("gram", "part", "node", "size", "pos", "root", "main")
         # Of two nodes outside the main component one meets the other only.
         apart = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("other_main")) | (F.col("node") < F.col("other_node")))
-        return self.candidates(rows.where("root != main").drop("main"), self.other(rows), apart)
+        return self.candidates(rows, self.other(others), apart, ("gram", "part"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components once links between them have been added; the old table goes."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = stored(moved.unionByName(joined.join(roots, "node", "left_anti")), "roots")
+    drop_stored(joined, roots)
+    return out
 
 
 def _components(join: _Join) -> DataFrame:
@@ -298,17 +340,28 @@ def _components(join: _Join) -> DataFrame:
     pairs = stored(join.hub_pairs(), "pairs")
     links = join.verified(pairs)
     roots = components(links)
-    cross = stored(join.cross_pairs(roots), "cross")
-    more = join.verified(cross)
-    if more is not cross:
-        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        joined = components(between)
-        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        old = roots
-        roots = stored(moved.unionByName(joined.join(old, "node", "left_anti")), "roots")
-        drop_stored(joined, old)
-    drop_stored(pairs, links, cross, more)
+    drop_stored(pairs, links)
+    crossing = join.crossing(roots)
+    for turn in range(ROUNDS):
+        cost = crossing.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))).alias("pairs")).first()
+        if (cost.pairs or 0) <= PAIRS_A_ROW * cost.rows:
+            break
+        pairs = join.band_pairs(crossing, turn)
+        links = join.verified(pairs)
+        if links is pairs or not (found := links.count()):
+            drop_stored(pairs)
+            break
+        old, roots = crossing, _merged(roots, links)
+        crossing = join.crossing(roots)
+        drop_stored(pairs, links, old)
+        if found * ROWS_A_LINK < cost.rows:
+            break
+    cross = stored(join.cross_pairs(crossing), "cross")
+    links = join.verified(cross)
+    if links is not cross:
+        roots = _merged(roots, links)
+        drop_stored(links)
+    drop_stored(cross, crossing)
     return roots
 
 
