@@ -556,7 +556,7 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for failing in (False, True):
         csv_log.write_csv_logs(events.join(runs.where(F.col("failing") == failing), "run_id", "left_semi"), f"{path}/{failing}")
     found = mapping.run_registry(spark, f"{path}/False", f"{path}/True")
-    return found.select(F.col("run_id").alias("number"), F.regexp_extract("path", r"run_id=(\d+)/", 1).cast("long").alias("run_id"), "failing")
+    return found.select(F.col("run_id").alias("number"), F.regexp_extract("path", r"run_id=(\d+)\.", 1).cast("long").alias("run_id"), "failing")
 
 
 _CASES = {"click": "", "view": "<system-out>seen</system-out>", "purchase": "<skipped/>", "signup": "<failure message='no'>trace</failure>", "error": "<error/><system-err>x</system-err>"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_CODES
+from . import files
 from .binary_log import STRETCH
 
 
@@ -14,8 +15,13 @@ def read_csv_logs(spark: SparkSession, path: str, run: Column | None = None) ->
 
     Large files are split. Splits of a file are ordered by where they begin, and lines of a split by a number that grows within its task.
     """
+    known = [run.alias("run_id")] if run is not None else []
+    here = files.local_path(spark, path)
+    if here is not None:
+        lines = files.read_lines(spark, here).withColumn("_metadata", F.struct(F.col("path").alias("file_path")))
+        return parse_csv_lines(lines.select(F.col("_metadata.file_path").alias("log"), *known, "pos", F.col("value").cast("string").alias("text")))
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("log"), *([run.alias("run_id")] if run is not None else []), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    lines = lines.select(F.col("_metadata.file_path").alias("log"), *known, F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
     order = Window.partitionBy("log").orderBy("_split", "_at")
     return parse_csv_lines(lines.withColumn("pos", F.row_number().over(order) - 1).drop("_split", "_at"))
 
@@ -41,9 +47,9 @@ def csv_lines(events: DataFrame) -> Column:
 
 
 def write_csv_logs(events: DataFrame, path: str) -> None:
-    """A folder run_id=... per run. The rows of a run are sorted and streamed into one file."""
-    lines = events.select("run_id", "seq", csv_lines(events).alias("value"))
-    lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("run_id", "value").write.partitionBy("run_id").text(path)
+    """A file run_id=... .csv per run, in one folder. The rows of a run are sorted and streamed into its file."""
+    name = F.concat(F.lit("run_id="), F.coalesce(F.col("run_id").cast("string"), F.lit("null")), F.lit(".csv"))
+    files.write_texts(events.select(name.alias("name"), "seq", csv_lines(events).alias("value")), path, "seq")
 
 
 def text_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
