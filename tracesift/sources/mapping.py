@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scan import numbered
-from ..shared import stored
+from .files import listed
 
 MAPPING = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("function", T.StringType()), T.StructField("function_id", T.LongType()),
@@ -20,11 +15,6 @@ MAPPING = T.StructType([
 ])
 
 
-_FOUND = "path string, failing boolean, kind string"
-#: Rows of a batch of paths.
-_BATCH = 50_000
-
-
 def read_mapping(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON array of static events; or JSON lines, as write_mapping() leaves them."""
     return spark.read.schema(MAPPING).option("multiLine", not lines).json(path)
@@ -60,43 +50,4 @@ def run_registry(spark: SparkSession, passing: str | list[str], failing: str | l
     begin with a dot or underscore are a store's own. A path under two of the folders named is two runs.
     """
     named = [(path, bad) for paths, bad in ((passing, False), (failing, True)) for path in ([paths] if isinstance(paths, str) else paths)]
-    level = spark.createDataFrame([(*n, "folder") for n in named], _FOUND)
-    runs: DataFrame | None = None
-    while True:
-        found = stored(level.select("path", "failing").repartition(spark.sparkContext.defaultParallelism).mapInPandas(_visit, _FOUND), "folders")
-        files = found.where("kind <> 'folder'")
-        runs = files if runs is None else runs.unionByName(files)
-        level = found.where("kind = 'folder'")
-        if level.isEmpty():
-            break
-    return numbered(runs.select("path", "failing"), "run_id", "failing", "path").select("run_id", "path", "failing")
-
-
-def _visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What lies in folders: files, and folders to visit. A path that is a file is one; one that isn't there is a run too."""
-    for frame in frames:
-        for path, failing in zip(frame["path"], frame["failing"], strict=True):
-            here = path.rstrip("/") or path
-            store, root = fs.FileSystem.from_uri(here) if ":" in here.split("/")[0] else (fs.LocalFileSystem(), here)
-            head, local = here.removesuffix(root), isinstance(store, fs.LocalFileSystem)
-            kind = store.get_file_info(root).type
-            if kind == fs.FileType.Directory:
-                inside = [(f"{root}/{n}", None) for n in os.listdir(root)] if local else [(f.path, f.type) for f in store.get_file_info(fs.FileSelector(root))]
-                rows = [(f"{head}{at}", _kind(at, found)) for at, found in inside if at.rsplit("/", 1)[1][0] not in "._"]
-            else:
-                rows = [(here, "missing" if kind == fs.FileType.NotFound else "link" if local and os.path.islink(root) else "file")]
-            rows = [r for r in rows if r[1] != "link"]
-            for at in range(0, len(rows), _BATCH):
-                yield pd.DataFrame(rows[at : at + _BATCH], columns=["path", "kind"]).assign(failing=failing)[["path", "failing", "kind"]]
-
-
-def _kind(path: str, found: fs.FileType | None) -> str:
-    """file, folder, missing, or link for what is left out. Only folders of a machine, for which nothing was found out yet, have links."""
-    if found is not None:
-        return "folder" if found == fs.FileType.Directory else "file"
-    if not os.path.exists(path):
-        return "missing"
-    if not os.path.isdir(path):
-        return "link" if os.path.islink(path) else "file"
-    around, leads = os.path.realpath(os.path.dirname(path)), os.path.realpath(path)
-    return "link" if os.path.islink(path) and os.path.commonpath([around, leads]) == leads else "folder"
+    return numbered(listed(spark, named).select("path", "failing"), "run_id", "failing", "path").select("run_id", "path", "failing")
