@@ -1,9 +1,11 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tracesift.shared import scratch_path
-from tracesift.sources import csv_log, files, mapping
+from tracesift.plans import localization
+from tracesift.shared import shared_dir
+from tracesift.sources import csv_log, files, mapping, reports
 
 
 def events(spark, runs, each):
@@ -57,3 +59,10 @@ def test_large_file_in_pieces(spark, tmp_path):
     (tmp_path / "small").write_text("0,b.py,1,1\r\nbad\r\n0,b.py,1,1")
     got = csv_log.read_csv_logs(spark, str(tmp_path)).groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("seq") - F.col("event_id")).alias("d")).collect()
     assert sorted(map(tuple, got)) == [("b.py", 1, 0), ("main.py", 400_000, 400_000)]
+
+
+def test_ranges_come_in_bounded_batches():
+    text = "\n".join(["if a:", "    b = 1", "else:", "    b = 2"] * 50)
+    texts = pa.RecordBatch.from_arrays([pa.array([f"f{n}" for n in range(500)]), pa.array([text] * 499 + ["def ("])], names=["file", "text"])
+    sizes = [b.num_rows for b in reports._range_batches(iter([texts, texts.slice(0, 0)]))]
+    assert sum(sizes) == 499 * 150 and max(sizes) <= reports.RANGE_ROWS

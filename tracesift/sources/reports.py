@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,29 +120,44 @@ def diff_places(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
 def source_ranges(sources: DataFrame) -> DataFrame:
     """kind, file, line, then, first, last of the functions, loops and branches of Python sources (file, text). The test of a branch
     belongs to both of its sides; a side that lies apart from it has two rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file, text in zip(pdf["file"], pdf["text"], strict=True):
-                try:
-                    nodes = list(ast.walk(ast.parse(text or "")))
-                except (SyntaxError, ValueError):
-                    continue
-                for node in nodes:
-                    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                        span = (node.lineno, node.end_lineno)
-                        rows += [("FUNCTION", file, node.lineno, None, *span), ("FUNCTION_ERROR", file, node.lineno, None, *span)]
-                    elif isinstance(node, ast.For | ast.AsyncFor | ast.While):
-                        rows.append(("LOOP", file, node.lineno, None, node.lineno, node.end_lineno))
-                    elif isinstance(node, ast.If):
-                        rows.append(("BRANCH", file, node.lineno, True, node.lineno, node.body[-1].end_lineno))
-                        rows.append(("BRANCH", file, node.lineno, False, node.lineno, node.test.end_lineno))
-                        if node.orelse:
-                            rows.append(("BRANCH", file, node.lineno, False, node.orelse[0].lineno, node.orelse[-1].end_lineno))
-            yield pd.DataFrame(rows, columns=["kind", "file", "line", "then", "first", "last"])
-
-    return sources.select("file", "text").mapInPandas(run, "kind string, file string, line int, then boolean, first int, last int")
+    return sources.select("file", "text").mapInArrow(_range_batches, "kind string, file string, line int, then boolean, first int, last int")
+
+
+#: Rows that a task holds before it hands them on.
+RANGE_ROWS = 10_000
+_RANGES = pa.schema([("kind", pa.string()), ("file", pa.string()), ("line", pa.int32()), ("then", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def _ranges(tree: ast.AST) -> Iterator[tuple]:
+    """kind, line, then, first and last of a source."""
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            for kind in ("FUNCTION", "FUNCTION_ERROR"):
+                yield kind, node.lineno, None, node.lineno, node.end_lineno
+        elif isinstance(node, ast.For | ast.AsyncFor | ast.While):
+            yield "LOOP", node.lineno, None, node.lineno, node.end_lineno
+        elif isinstance(node, ast.If):
+            yield "BRANCH", node.lineno, True, node.lineno, node.body[-1].end_lineno
+            yield "BRANCH", node.lineno, False, node.lineno, node.test.end_lineno
+            if node.orelse:
+                yield "BRANCH", node.lineno, False, node.orelse[0].lineno, node.orelse[-1].end_lineno
+
+
+def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for batch in batches:
+        for file, text in zip(batch.column(0), batch.column(1), strict=True):
+            try:
+                tree = ast.parse(text.as_py() or "")
+            except (SyntaxError, ValueError):
+                continue
+            for found in _ranges(tree):
+                rows.append((found[0], file.as_py(), *found[1:]))
+                if len(rows) == RANGE_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGES, strict=True)], schema=_RANGES)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGES, strict=True)], schema=_RANGES)
 
 
 #: Red, green and blue of marks without, with middling and with full suspicion.
