@@ -66,3 +66,16 @@ def test_ranges_come_in_bounded_batches():
     texts = pa.RecordBatch.from_arrays([pa.array([f"f{n}" for n in range(500)]), pa.array([text] * 499 + ["def ("])], names=["file", "text"])
     sizes = [b.num_rows for b in reports._range_batches(iter([texts, texts.slice(0, 0)]))]
     assert sum(sizes) == 499 * 150 and max(sizes) <= reports.RANGE_ROWS
+
+
+def test_a_file_per_user(spark, tmp_path):
+    kinds = ("click", "view", "purchase", "signup", "error")
+    rows = [(n, n % 40, kinds[n % 5 if n % 40 else 0], 1.0) for n in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    there = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("junit-")}
+    before = there()
+    got = localization.QUERIES["junit_files"](spark, str(tmp_path)).collect()
+    want = [(f"u{u}::t{e}", "FAILED" if k in ("signup", "error") else "PASSED") for e, u, k, _ in rows if k != "purchase"]
+    assert sorted(map(tuple, got)) == sorted(want)
+    (made,) = there() - before
+    assert sorted(os.listdir(f"{shared_dir(spark).removeprefix('file://')}/{made}")) == sorted(f"user_id={n}.xml" for n in range(40))

@@ -11,7 +11,7 @@ from ..functions import metrics
 from ..operators import counts, extractors, ledger, ranking, sequence, threads, vectors, weights
 from ..schema import EVENT_CODES
 from ..shared import scratch_path, stored
-from ..sources import binary_log, container, csv_log, log_format, mapping, reports, testdata
+from ..sources import binary_log, container, csv_log, files, log_format, mapping, reports, testdata
 from ..streaming import live
 from . import sql
 
@@ -572,8 +572,8 @@ def junit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.concat(F.lit("<testcase classname='u"), F.col("user_id").cast("string"), F.lit("' name='t"), F.col("event_id").cast("string"), F.lit("'>"), inner, F.lit("</testcase>"))
     cases = testdata.table(spark, sf_dir, "events").select("user_id", "event_id", case.alias("value"))
     ends = cases.select("user_id").distinct().select("user_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("<testsuite>").alias("value")), F.struct(F.lit(2**63 - 1).alias("event_id"), F.lit("</testsuite>").alias("value")))).alias("e")).select("user_id", "e.*")
-    rows = cases.unionByName(ends).repartition("user_id").sortWithinPartitions("user_id", "event_id")  # a file for each user
-    rows.select("user_id", "value").write.partitionBy("user_id").text(path)
+    name = F.concat(F.lit("user_id="), F.col("user_id").cast("string"), F.lit(".xml"))
+    files.write_texts(cases.unionByName(ends).select(name.alias("name"), "event_id", "value"), path, "event_id")  # a file for each user
     return reports.junit_results(spark, path)
 
 
