@@ -11,17 +11,25 @@ need; nothing is ever constructed from them.
 from __future__ import annotations
 
 import struct
+from collections import namedtuple
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 #: A mapping describes a program's source, not its runs; a larger one isn't broadcast, but joined.
 MAPPING_ROWS = 2_000_000
 #: Events of a run in one log.
 STRETCH = 65_536
+#: Records of a batch; logs of a batch, and their bytes.
+BATCH, LOGS, LOG_BYTES = 50_000, 1_000, 4 << 20
+_COLUMNS = [("seq", pa.int64()), ("event_id", pa.int64()), ("var_id", pa.int64()), ("value_num", pa.float64()), ("value_str", pa.string()), ("value_bin", pa.binary()), ("value_bool", pa.bool_()), ("value_type", pa.string()), ("length", pa.int64())]
 DYNAMIC = "seq long, event_id long, var_id long, value_num double, value_str string, value_bin binary, value_bool boolean, value_type string, length long"
 
 
@@ -136,6 +144,26 @@ def decode(data: bytes, kinds: dict[int, str]) -> Iterator[dict]:
         return
 
 
+@lru_cache(1 << 16)
+def _short_values(raw: bytes) -> tuple:
+    return _values(raw)
+
+
+def _values(raw: bytes | None) -> tuple:
+    return tuple(value_columns(read_scalar(raw) if raw else None, None).values())[:4]
+
+
+def value_rows(data: bytes, kinds: dict[int, str], wanted: set[str] | None = None, reader: Reader | None = None) -> Iterator[tuple]:
+    """As decode(), in the order of DYNAMIC: tuples of the wanted kinds only, whose numbers are those of all records."""
+    try:
+        for seq, (event, kind, var_id, length, raw, name, truth) in enumerate(records(reader or Reader(data), kinds), 1):
+            if wanted is None or kind in wanted:
+                num, text, body, true = (_short_values if raw and len(raw) < 64 else _values)(raw)
+                yield seq, event, var_id, num, text, body, true if truth is None else truth, name, length
+    except (EOFError, ValueError, IndexError):
+        return
+
+
 def encode_record(kind: str, event_id: int, var_id: int = 0, raw: bytes = b"", type_name: str = "", truth: bool = False, length: int = 0) -> bytes:
     out = put_number(event_id)
     if kind in ("DEF", "USE", "TEST_USE", "TEST_DEF", "LEN"):
@@ -187,35 +215,44 @@ def with_kinds(logs: DataFrame, mapping: DataFrame) -> DataFrame:
 def decode_logs(logs: DataFrame, mapping: DataFrame, most: int = MAPPING_ROWS) -> DataFrame:
     """logs: content, beside columns that tell the run. mapping: event_id, event_type and the static columns. All events,
     in the order of seq within a log, with static and dynamic columns. A mapping of over most rows is joined in Spark."""
+    mapping = stored(mapping, "mapping")  # read three times
     small = most > 0 and mapping.limit(most + 1).count() <= most
     kinds = {r.event_id: r.event_type for r in mapping.select("event_id", "event_type").collect()} if small else None
     shared = logs.sparkSession.sparkContext.broadcast(kinds)
     keys = [f for f in logs.schema.fields if f.name != "content"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [k.name for k in keys] + [c.split()[0] for c in DYNAMIC.split(", ")]
-        for pdf in batches:
-            own = [shared.value] * len(pdf) if small else (dict(zip(i.tolist(), k, strict=True)) for i, k in zip(pdf.pop("_ids"), pdf.pop("_kinds"), strict=True))
-            for row, known in zip(pdf.itertuples(index=False), own, strict=True):
-                key = {k.name: getattr(row, k.name) for k in keys}
-                made: list[dict] = []
-                for record in decode(bytes(row.content), known):
-                    made.append(key | record)
-                    if len(made) == 50_000:
-                        yield pd.DataFrame(made, columns=names)
-                        made = []
-                if made:
-                    yield pd.DataFrame(made, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(batch.schema.get_field_index("content"))
+            own = [shared.value] * len(contents) if small else (dict(zip(i, k, strict=True)) for i, k in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True))
+            rows: list[tuple] = []
+            full = lambda: _batch(batch, rows, [k.name for k in keys])  # noqa: B023, E731
+            for at, (content, known) in enumerate(zip(contents, own, strict=True)):
+                for record in value_rows(content.as_py(), known):
+                    rows.append((at, *record))
+                    if len(rows) == BATCH:
+                        yield full()
+                        rows = []
+            if rows:
+                yield full()
 
     schema = ", ".join([*(f"`{k.name}` {k.dataType.simpleString()}" for k in keys), DYNAMIC])
-    found = (logs if small else with_kinds(logs, mapping)).mapInPandas(run, schema)
+    found = (logs if small else with_kinds(logs, mapping)).mapInArrow(run, schema)
     return found.join(F.broadcast(mapping) if small else mapping, "event_id")
 
 
+def _batch(logs: pa.RecordBatch, rows: list[tuple], keys: list[str]) -> pa.RecordBatch:
+    """Rows as columns, beside the columns that tell their logs; a row begins with its log's place in the batch."""
+    at, *columns = zip(*rows, strict=True)
+    which = pa.array(at, pa.int64())
+    own = [logs.column(logs.schema.get_field_index(k)).take(which) for k in keys]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS, strict=True))], names=[*keys, *(n for n, _ in _COLUMNS)])
+
+
 def encode_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """run_id, chunk and content: logs of a run's events by stretches of their seq (from 1), so that no run is one task's.
     Values are those that value_type names: str, bytes, bool, int (value_str where a double can't hold it), else float or None."""
-    absent = lambda x: x is None or x is pd.NA or x != x
+    absent = lambda x: x is None or x != x
 
     def value_of(e: tuple) -> object:
         if e.value_type == "str":
@@ -228,11 +265,25 @@ def encode_logs(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
             return int(e.value_str) if e.value_type == "int" and e.value_str else None
         return int(e.value_num) if e.value_type == "int" else float(e.value_num)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for e in pdf.sort_values("seq").itertuples(index=False):
-            out.append(encode_record(e.event_type, int(e.event_id), 0 if pd.isna(e.var_id) else int(e.var_id), write_scalar(value_of(e)), e.value_type or "", bool(e.value_bool), 0 if pd.isna(e.length) else int(e.length)))
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "content": [b"".join(out)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, held, logs = None, [], 0, []
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*logs, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["run_id", "chunk", "content"])
+        for batch in batches:
+            for e in map(Row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if last != (e.run_id, e.chunk):
+                    if last is not None:
+                        logs.append((*last, b"".join(parts)))
+                        held += len(logs[-1][2])
+                    if held > LOG_BYTES or len(logs) == LOGS:
+                        yield full()
+                        held, logs = 0, []
+                    last, parts = (e.run_id, e.chunk), []
+                raw = write_scalar(value_of(e)) if e.event_type in ("DEF", "FUNCTION_EXIT") else b""
+                parts.append(encode_record(e.event_type, e.event_id, e.var_id or 0, raw, e.value_type or "", bool(e.value_bool), e.length or 0))
+        if last is not None:
+            logs.append((*last, b"".join(parts)))
+            yield full()
 
     rows = events.select("run_id", F.floor((F.col("seq") - 1) / stretch).alias("chunk"), "seq", "event_type", "event_id", "var_id", "value_num", "value_str", "value_bin", "value_type", "value_bool", "length")
-    return rows.groupBy("run_id", "chunk").applyInPandas(run, "run_id long, chunk long, content binary")
+    Row = namedtuple("Row", rows.columns)  # noqa: N806
+    return rows.repartition("run_id", "chunk").sortWithinPartitions("run_id", "chunk", "seq").mapInArrow(run, "run_id long, chunk long, content binary")
