@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import drop_stored, stored
 
 #: Containers that a log table is written to, bytes that a reading task is given, and bytes of an Arrow batch.
 FILES, GROUP_BYTES, BATCH_BYTES = 200, 64 << 20, 8 << 20
+#: Bytes that a log of no bytes counts as, when reading tasks get their shares.
+LOG_COST = 64
 INDEX = "run_id long, chunk long, file string, start long, size long"
 _PARTS = pa.schema([("run_id", pa.int64()), ("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
 _LOGS = pa.schema([("run_id", pa.int64()), ("chunk", pa.int64()), ("content", pa.binary())])
@@ -95,5 +97,13 @@ def read_containers(spark: SparkSession, path: str, wanted: Column | None = None
         if file is not None:
             file.close()
 
-    rows = index.repartition(tasks, "file", F.floor(F.col("start") / GROUP_BYTES)).sortWithinPartitions("file", "start")
+    # Tasks take equal shares of the bytes, in the order of the files; dealt by hashes of a few keys, some had several shares and others none.
+    weight = F.col("size") + LOG_COST
+    sums = index.groupBy("file").agg(F.sum(weight).alias("all"))  # a row per container
+    others = sums.select("file", F.coalesce(F.sum("all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.sum(weight).over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = index.withColumn("own", F.coalesce(own, F.lit(0))).join(others, "file")
+    most = max((facts.bytes or 0) + LOG_COST * facts.n, 1)
+    share = F.least(F.floor((F.col("before") + F.col("own")) * tasks / most), F.lit(tasks - 1)).cast("int")
+    rows = placed.repartitionById(tasks, share).sortWithinPartitions("file", "start")
     return rows.select("run_id", "chunk", "file", "start", "size").mapInArrow(get, "run_id long, chunk long, content binary")
