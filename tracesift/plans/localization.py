@@ -530,11 +530,11 @@ def source_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary logs as files, read by format("event_log") with a filter that its reader takes over."""
     events = testdata.program_place(testdata.valued(testdata.trace(spark, sf_dir, "scopes")))
     path = scratch_path(spark, "event-logs")
-    log_format.write_logs(binary_log.encode_logs(events).select(F.concat_ws("/", "run_id", "chunk").alias("name"), "content"), path)
-    places = events.select(*_STATIC).distinct()
+    log_format.write_logs(binary_log.encode_logs(events).select(F.concat_ws(".", "run_id", "chunk").alias("name"), "content"), path)
+    places = stored(events.select(*_STATIC).distinct(), "places")
     back = log_format.read_logs(spark, path, places).where(F.col("event_type").isin("DEF", "FUNCTION_EXIT"))
     named = back.join(F.broadcast(places.select("event_id", "line")), "event_id")  # a program's places
-    part = lambda i: F.element_at(F.split("path", "/"), i).cast("long")
+    part = lambda i: F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), i).cast("long")
     placed = named.withColumns({"run_id": part(-2), "seq": part(-1) * binary_log.STRETCH + F.col("seq")})
     return placed.selectExpr("run_id", "seq", *_LOG_COLUMNS)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -25,13 +26,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..shared import stored
-from .binary_log import Reader, read_scalar, records, value_columns
+from .binary_log import BATCH, Reader, records, value_rows
 
-#: Bytes of the files that a task reads, bytes of a piece of a growing file, and records of a batch.
-GROUP_BYTES, PIECE_BYTES, BATCH = 32 << 20, 8 << 20, 50_000
+#: Bytes of the files that a task reads and most of their number, and bytes of a piece of a growing file.
+GROUP_BYTES, GROUP_FILES, PIECE_BYTES = 32 << 20, 5_000, 8 << 20
 _FIELDS = [("path", pa.string()), ("seq", pa.int64()), ("event_id", pa.int64()), ("event_type", pa.string()), ("var_id", pa.int64()), ("value_num", pa.float64()), ("value_str", pa.string()), ("value_bin", pa.binary()), ("value_bool", pa.bool_()), ("value_type", pa.string()), ("length", pa.int64())]
 SCHEMA = "path string, seq long, event_id long, event_type string, var_id long, value_num double, value_str string, value_bin binary, value_bool boolean, value_type string, length long"
-_VALUES = ("value_num", "value_str", "value_bin", "value_bool", "value_type")
 
 
 def _files(path: str) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
@@ -54,27 +54,16 @@ def _kinds(path: str) -> dict[int, str]:
     return dict(zip(table["event_id"].to_pylist(), table["event_type"].to_pylist(), strict=True))
 
 
-def batches(path: str, data: bytes, kinds: dict[int, str], wanted: set[str] | None = None, reader: Reader | None = None, seq: int = 0) -> Iterator[pa.RecordBatch]:
-    """A log's records as columns, of the wanted kinds only; numbers are those of all records."""
-    columns: list[list] = [[] for _ in _FIELDS]
-    full = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
-    for event, kind, var_id, length, raw, name, truth in records(reader or Reader(data), kinds):
-        seq += 1
-        if wanted is not None and kind not in wanted:
-            continue
-        try:
-            value = value_columns(read_scalar(raw) if raw else None, name)
-        except (EOFError, ValueError, IndexError):
-            break
-        if truth is not None:
-            value["value_bool"] = truth
-        for column, x in zip(columns, (path, seq, event, kind, var_id, *(value[v] for v in _VALUES), length), strict=True):
-            column.append(x)
-        if len(columns[0]) == BATCH:
-            yield full()
-            columns = [[] for _ in _FIELDS]
-    if columns[0]:
-        yield full()
+def rows(path: str, data: bytes, kinds: dict[int, str], wanted: set[str] | None = None, reader: Reader | None = None, seq: int = 0) -> Iterator[tuple]:
+    """A log's records in the order of SCHEMA, of the wanted kinds only; numbers are those of all records."""
+    for at, event, var_id, *values, length in value_rows(data, kinds, wanted, reader):
+        yield path, seq + at, event, kinds[event], var_id, *values, length
+
+
+def batches(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records of any number of logs as columns."""
+    while part := list(islice(found, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
 
 class _Group(InputPartition):
@@ -110,7 +99,7 @@ class LogReader(DataSourceReader):
         for path, size in _files(self.path)[1]:
             if self.paths is not None and path not in self.paths:
                 continue
-            if groups[-1] and total + size > GROUP_BYTES:
+            if groups[-1] and (total + size > GROUP_BYTES or len(groups[-1]) == GROUP_FILES):
                 groups.append([])
                 total = 0
             groups[-1].append(path)
@@ -120,8 +109,7 @@ class LogReader(DataSourceReader):
     def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
         kinds = _kinds(self.kinds)
         store = _files(self.path)[0] if not partition.files else fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        for path in partition.files:
-            yield from batches(path, _bytes(store, path), kinds, self.wanted)
+        yield from batches(row for path in partition.files for row in rows(path, _bytes(store, path), kinds, self.wanted))
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -173,10 +161,13 @@ def write_logs(logs: DataFrame, path: str) -> int:
 
     def put(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        n = 0
+        n, made = 0, None
         for batch in found:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+                folder = f"{root}/{name}".rsplit("/", 1)[0]
+                if folder != made:
+                    store.create_dir(folder, recursive=True)
+                    made = folder
                 with store.open_output_stream(f"{root}/{name}") as file:
                     file.write(content.as_buffer())
                 n += 1
@@ -203,9 +194,9 @@ def live_events(pieces: DataFrame, kinds: dict[int, str]) -> DataFrame:
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         seq, tail = state.get if state.exists else (0, b"")
-        rows = sorted((int(start), bytes(content)) for frame in frames for start, content in zip(frame["start"], frame["content"], strict=True))
-        reader = Reader(bytes(tail) + b"".join(content for _, content in rows))
-        for batch in batches(key[0], b"", shared.value, reader=reader, seq=seq):
+        pieces = sorted((int(start), bytes(content)) for frame in frames for start, content in zip(frame["start"], frame["content"], strict=True))
+        reader = Reader(bytes(tail) + b"".join(content for _, content in pieces))
+        for batch in batches(rows(key[0], b"", shared.value, reader=reader, seq=seq)):
             yield batch.to_pandas()
         done = sum(1 for _ in records(Reader(reader.data[: reader.at]), shared.value))
         state.update((seq + done, reader.data[reader.at :]))
